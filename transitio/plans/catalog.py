@@ -40,3 +40,273 @@ def transition_labels(spark, sf_dir):
 def transition_labels_p7(spark, sf_dir):
     """Same at period 7 (gate: more than 3 missing), where gated records leave gaps."""
     return _transition_labels(spark, sf_dir, 7)
+
+
+# ---------------------------------------------------------------- daily sensor functions
+from pyspark.sql import functions as F  # noqa: E402
+
+from transitio.functions import scalar as S  # noqa: E402
+from transitio.operators import prompts as PM  # noqa: E402
+from transitio.sources.tables import table  # noqa: E402
+
+FOUR = list(SQ.CONFIG_FEATURES)
+RECORD_ORDER = [f for f in SQ.PROMPT_FEATURES if f in FOUR]
+KINDS = {"battery_afternoon": "int"}
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
+
+
+@register("battery_daily")
+def battery_daily(spark, sf_dir):
+    """F1 + F3: truncated daily mean level and afternoon level per (user, date)."""
+    return SQ.battery_daily(TD.battery(_events(spark, sf_dir))).select(
+        "user", "date", "battery_mean", "battery_afternoon")
+
+
+@register("quadratic_mean_std")
+def quadratic_mean_std(spark, sf_dir):
+    """quadratic mean of the std columns, truncated, 0 when not positive or missing."""
+    return SQ.battery_daily(TD.battery(_events(spark, sf_dir))).select("user", "date", "battery_std")
+
+
+@register("magnitude_max")
+def magnitude_max(spark, sf_dir):
+    """daily maximum of the epoch magnitudes, 0 when not positive, 1 decimal."""
+    acc = TD.accelerometer(_events(spark, sf_dir))
+    return acc.select("user", "date", SQ.feature_catalog()["magnitude_max"].expr.alias("magnitude_max"))
+
+
+@register("magnitude_afternoon")
+def magnitude_afternoon(spark, sf_dir):
+    """afternoon magnitude, 1 decimal."""
+    acc = TD.accelerometer(_events(spark, sf_dir))
+    return acc.select("user", "date", SQ.feature_catalog()["magnitude_afternoon"].expr.alias("magnitude_afternoon"))
+
+
+@register("app_minutes")
+def app_minutes(spark, sf_dir):
+    """application minutes for every category and epoch."""
+    apps = TD.apps(_events(spark, sf_dir))
+    cols = [SQ.app_feature(c, e).expr.alias(f"app_{c}_{e}_min") for c in TD.APP_CATEGORIES for e in TD.EPOCHS]
+    return apps.select("user", "date", *cols)
+
+
+@register("screen_hours")
+def screen_hours(spark, sf_dir):
+    """F8: screen off / use hours for every epoch."""
+    scr = TD.screen(_events(spark, sf_dir))
+    cat = SQ.feature_catalog()
+    return scr.select("user", "date", *[cat[f"screen_{k}_{e}_duration"].expr.alias(f"screen_{k}_{e}_hours")
+                                         for k in ("off", "use") for e in TD.EPOCHS])
+
+
+@register("location_ratio")
+def location_ratio(spark, sf_dir):
+    """still / moving ratio; NULL if either is missing, +Infinity if moving is 0."""
+    loc = TD.location(_events(spark, sf_dir))
+    return loc.select("user", "date", SQ.feature_catalog()["location_ratio"].expr.alias("location_ratio"))
+
+
+@register("location_bins")
+def location_bins(spark, sf_dir):
+    """visited-places count per day."""
+    loc = TD.location(_events(spark, sf_dir))
+    return loc.select("user", "date", SQ.feature_catalog()["location_bins"].expr.alias("location_bins"))
+
+
+# ---------------------------------------------------------------- assessments and sequences
+def _valid(spark, sf_dir, period=14):
+    return SQ.valid_assessments(TD.phq(_events(spark, sf_dir), period))
+
+
+@register("valid_assessments")
+def valid_assessments(spark, sf_dir):
+    """Drop entry (idx 1) and unanswered assessments."""
+    return _valid(spark, sf_dir).select("user", "date", "idx", "phq9")
+
+
+@register("dedupe_first")
+def dedupe_first(spark, sf_dir):
+    """First survey row per user in file order."""
+    cust = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    return SQ.dedupe_survey(TD.survey(cust)).select("user", "bg_sex", "group", "bg_age")
+
+
+@register("date_slots")
+def date_slots(spark, sf_dir):
+    """the 14 slot dates of each valid assessment, with the yyyy-MM-dd text of the anchor."""
+    s = SQ.slots(_valid(spark, sf_dir), 14)
+    return s.select("user", "anchor", "idx", "slot", F.col("date").alias("slot_date"),
+                    F.date_format("anchor", "yyyy-MM-dd").alias("anchor_text"))
+
+
+@register("user_window_filter")
+def user_window_filter(spark, sf_dir):
+    """Battery rows of the same user with date in (anchor - 14, anchor]."""
+    anchors = _valid(spark, sf_dir).select("user", F.col("date").alias("anchor"))
+    bat = TD.battery(_events(spark, sf_dir)).select("user", "date")
+    return SQ.user_window_filter(bat, anchors, 14).select("user", "anchor", "date")
+
+
+@register("interval_join_sum")
+def interval_join_sum(spark, sf_dir):
+    """Per valid assessment, days with a battery row and the sum of their daily mean over
+    (anchor-14, anchor], computed by slot explosion + equi-join."""
+    t = TD.panel(spark, sf_dir, 14)
+    sv = SQ.slot_values(SQ.valid_assessments(t["phq"]), t, [], 14)
+    return sv.groupBy("user", F.col("anchor").alias("date"), "idx").agg(
+        F.count("battery_mean").alias("n_days"),
+        F.coalesce(F.sum("battery_mean"), F.lit(0)).cast("bigint").alias("sum_battery_mean"))
+
+
+@register("zero_mask")
+def zero_mask(spark, sf_dir):
+    """per valid assessment, masked slots (truncated mean 0), absent battery days, and
+    screen slots present vs kept after the mask (absent battery days do not mask screen)."""
+    t = TD.panel(spark, sf_dir, 14)
+    sv = SQ.slot_values(SQ.valid_assessments(t["phq"]), t, ["screen_off_night_duration"], 14)
+    scr = t["screen"].select(F.col("user").alias("_u"), F.col("date").alias("_d"), F.lit(True).alias("_scr"))
+    sv = sv.join(scr, (sv["user"] == scr["_u"]) & (sv["date"] == scr["_d"]), "left")
+    return sv.groupBy("user", F.col("anchor").alias("date"), "idx").agg(
+        F.sum(F.col("masked").cast("int")).cast("bigint").alias("n_masked"),
+        F.sum(F.col("battery_std").isNull().cast("int")).cast("bigint").alias("n_absent"),
+        F.sum(F.col("_scr").isNotNull().cast("int")).cast("bigint").alias("n_screen_present"),
+        F.sum((F.col("_scr").isNotNull() & ~F.col("masked")).cast("int")).cast("bigint").alias("n_screen_kept"))
+
+
+@register("quality_gate")
+def quality_gate(spark, sf_dir):
+    """P4 + A2: missing battery slots per valid assessment and the keep decision (<= 7)."""
+    rec, _ = _records(spark, sf_dir, [], 14, gate=False)
+    return rec.select("user", "date", "idx", "n_missing", (F.col("n_missing") <= 7).alias("kept"))
+
+
+def _kept(spark, sf_dir, features=FOUR, period=14):
+    rec, t = _records(spark, sf_dir, features, period)
+    return rec, t
+
+
+@register("align_sequence")
+def align_sequence(spark, sf_dir):
+    """The masked 14-slot magnitude_max sequence of each kept record, as text."""
+    rec, _ = _kept(spark, sf_dir, ["magnitude_max"])
+    return rec.select("user", "date", PM.render_sequence("magnitude_max").alias("magnitude_max_seq"))
+
+
+@register("feature_projection")
+def feature_projection(spark, sf_dir):
+    """A two-feature configuration (battery_afternoon, screen_off_night_duration)."""
+    rec, _ = _kept(spark, sf_dir, ["battery_afternoon", "screen_off_night_duration"])
+    return rec.select("user", "date", "phq9",
+                      PM.render_sequence("battery_afternoon", "int").alias("battery_afternoon_seq"),
+                      PM.render_sequence("screen_off_night_duration").alias("screen_off_night_duration_seq"))
+
+
+@register("survey_join")
+def survey_join(spark, sf_dir):
+    """Kept records with the first survey row of their user."""
+    rec, t = _kept(spark, sf_dir, [])
+    return SQ.attach_survey(rec, t["survey"]).select("user", "date", "phq9", "gender", "group", "age")
+
+
+@register("nest_user_records")
+def nest_user_records(spark, sf_dir):
+    """Per-user nested records; checked through count and first/last entries."""
+    rec, t = _kept(spark, sf_dir, FOUR)
+    nested = SQ.nest_user_records(SQ.attach_survey(rec, t["survey"]), FOUR)
+    return nested.select(
+        "user", "gender", "group", "age", F.size("data").cast("bigint").alias("n_records"),
+        F.col("data")[0]["date_text"].alias("first_date"),
+        F.element_at("data", -1)["date_text"].alias("last_date"),
+        F.aggregate("data", F.lit(0.0), lambda a, r: a + r["PHQ_week2"]).alias("phq_total"))
+
+
+@register("adjacent_pairs")
+def adjacent_pairs(spark, sf_dir):
+    """W2 + P7 + W5: nowcast pairs with both magnitude sequences and states."""
+    rec, _ = _kept(spark, sf_dir, ["magnitude_max"])
+    p = PR.adjacent_pairs(rec, ["magnitude_max"], 14)
+    return p.select("user", "date", "prev_date", "previous_state", "current_state", "label",
+                    PM.render_sequence("magnitude_max").alias("cur_seq"),
+                    PM.render_sequence("prev_magnitude_max").alias("prev_seq"))
+
+
+@register("forecast_pairs")
+def forecast_pairs(spark, sf_dir):
+    """W1 + P8 + P9: forecast framing, label from this record's score to the next one's."""
+    rec, _ = _kept(spark, sf_dir, [])
+    return PR.forecast_pairs(rec, 14).select("user", "date", "phq9", "future_phq9", "label")
+
+
+@register("history_average")
+def history_average(spark, sf_dir):
+    """Expanding mean over all earlier kept records, per metric."""
+    rec, _ = _kept(spark, sf_dir, FOUR)
+    h = PR.history_average(rec, FOUR)
+    return h.select("user", "date", *[f"hist_{f}" for f in FOUR])
+
+
+@register("severity_state")
+def severity_state(spark, sf_dir):
+    """state per kept record."""
+    rec, _ = _kept(spark, sf_dir, [])
+    return rec.select("user", "date", "phq9", S.severity_state("phq9").alias("state"))
+
+
+@register("demographic_context")
+def demographic_context(spark, sf_dir):
+    """context and initial-state sentences of every panel user with a survey row."""
+    cust = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
+    users = _events(spark, sf_dir).select(F.col("user_id").alias("user")).distinct()
+    sv = SQ.dedupe_survey(TD.survey(cust)).join(users, "user", "left_semi")
+    return sv.select("user", PM.user_context("bg_age", "bg_sex").alias("context"),
+                     PM.initial_state("group").alias("initial"))
+
+
+@register("label_code")
+def label_code(spark, sf_dir):
+    """F16: label text to code (Remains 0, More 1, Less 2)."""
+    return transition_labels(spark, sf_dir).select("user", "date", "label", S.label_code("label").alias("code"))
+
+
+@register("statistics_text")
+def statistics_text(spark, sf_dir):
+    """K1: current-period statistics sentence of every kept record (4 features)."""
+    rec, _ = _kept(spark, sf_dir, FOUR)
+    return rec.select("user", "date", PM.statistics_text(RECORD_ORDER, KINDS).alias("statistics"))
+
+
+@register("history_text")
+def history_text(spark, sf_dir):
+    """K2: history sentence of every kept record."""
+    rec, _ = _kept(spark, sf_dir, FOUR)
+    h = PR.history_average(rec, FOUR)
+    return h.select("user", "date", PM.history_text(RECORD_ORDER).alias("history"))
+
+
+def prompt_frame(spark, sf_dir, features=FOUR, period=14):
+    """K4 composition: records -> history -> pairs -> survey -> prompt texts."""
+    order = [f for f in SQ.PROMPT_FEATURES if f in features]
+    rec, t = _kept(spark, sf_dir, list(features), period)
+    h = PR.history_average(rec, list(features))
+    p = PR.adjacent_pairs(h, list(features), period)
+    p = SQ.attach_survey(p, t["survey"])
+    return PM.prompt_table(p, order, KINDS)
+
+
+@register("prompt_table")
+def prompt_table(spark, sf_dir):
+    """K4: the full prompt table of the four-feature configuration."""
+    return prompt_frame(spark, sf_dir)
+
+
+@register("prompt_variants")
+def prompt_variants(spark, sf_dir):
+    """K3: the four variants, checked through length and md5."""
+    p = prompt_frame(spark, sf_dir)
+    cols = []
+    for name in ("Basic", "Health_Informtion", "Statistics", "All"):
+        cols += [F.length(name).cast("bigint").alias(f"{name.lower()}_len"), F.md5(name).alias(f"{name.lower()}_md5")]
+    return p.select("user", "date", *cols)

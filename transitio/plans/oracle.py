@@ -106,3 +106,231 @@ ORACLE: dict[str, str] = {
     "transition_labels": transition_labels(14),
     "transition_labels_p7": transition_labels(7),
 }
+
+
+# ---------------------------------------------------------------- daily sensor functions
+from transitio.operators import prompts as _P  # noqa: E402  (fixed wording only)
+
+EPOCH_NAMES = ("night", "morning", "afternoon", "evening")
+APP_CATS = ("click", "error", "purchase", "signup", "view")
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def app_cte() -> str:
+    cols = ", ".join(f"CAST(sum(v) FILTER (WHERE epoch = {i} AND et = '{c}') * 10 AS DOUBLE) AS a_{c}_{i}"
+                     for c in APP_CATS for i in range(4))
+    return f"app AS (SELECT uid, d, {cols} FROM ev GROUP BY uid, d)"
+
+
+def per_unit(x: str, unit: float) -> str:
+    return npround(f"CASE WHEN {x} = 0 THEN 0.0 ELSE {x} / {unit} END", 1)
+
+
+MAGMAX = npround("CASE WHEN greatest(m1, m2, m3, m0) > 0 THEN greatest(m1, m2, m3, m0) ELSE 0.0 END", 1)
+RATIO = (f"CASE WHEN n_static IS NULL OR n_moving IS NULL THEN NULL "
+         f"WHEN n_moving = 0 THEN CAST('Infinity' AS DOUBLE) ELSE {npround('n_static / n_moving', 2)} END")
+
+ORACLE.update({
+    "battery_daily": f"""WITH {EV}, {BAT}
+SELECT uid AS "user", d AS date, bmean AS battery_mean, baft AS battery_afternoon FROM bday""",
+    "quadratic_mean_std": f"""WITH {EV}, {BAT}
+SELECT uid AS "user", d AS date, bstd_i AS battery_std FROM bday""",
+    "magnitude_max": f"""WITH {EV}, {ACC}
+SELECT uid AS "user", d AS date, {MAGMAX} AS magnitude_max FROM acc""",
+    "magnitude_afternoon": f"""WITH {EV}, {ACC}
+SELECT uid AS "user", d AS date, {npround('m2', 1)} AS magnitude_afternoon FROM acc""",
+    "app_minutes": f"""WITH {EV}, {app_cte()}
+SELECT uid AS "user", d AS date, """ + ", ".join(
+        f"{per_unit(f'a_{c}_{i}', 60.0)} AS app_{c}_{e}_min" for c in APP_CATS for i, e in enumerate(EPOCH_NAMES))
+    + " FROM app",
+    "screen_hours": f"""WITH {EV}, {SCR}
+SELECT uid AS "user", d AS date, """ + ", ".join(
+        f"{per_unit(f'{k}{i}', 3600.0)} AS screen_{k}_{e}_hours" for k in ("off", "use") for i, e in enumerate(EPOCH_NAMES))
+    + " FROM scr",
+    "location_ratio": f"""WITH {EV}, {LOC}
+SELECT uid AS "user", d AS date, {RATIO} AS location_ratio FROM loc""",
+    "location_bins": f"""WITH {EV}, {LOC}
+SELECT uid AS "user", d AS date, n_bins AS location_bins FROM loc""",
+})
+
+SURVEY = """sv_all AS (
+  SELECT c_custkey AS uid, CAST(c_custkey % 2 AS INTEGER) AS bg_sex,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 'mmm-control' ELSE 'patient' END AS grp,
+         CAST(18 + c_custkey % 50 AS INTEGER) AS bg_age, 1 AS fo FROM customer
+  UNION ALL
+  SELECT c_custkey, CAST(c_custkey % 2 AS INTEGER),
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 'mmm-control' ELSE 'patient' END,
+         CAST(18 + c_custkey % 50 + 1 AS INTEGER), 2 FROM customer WHERE c_custkey % 5 = 0),
+sv AS (SELECT uid, bg_sex, grp, bg_age FROM (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY fo) AS rn FROM sv_all) WHERE rn = 1)"""
+
+BASE14 = f"{EV}, {BAT}, {phq_cte(14)}"
+
+ORACLE.update({
+    "valid_assessments": f"""WITH {BASE14}
+SELECT uid AS "user", date, idx, phq9 FROM valid""",
+    "dedupe_first": f"""WITH {SURVEY}
+SELECT uid AS "user", bg_sex, grp AS "group", bg_age FROM sv""",
+    "date_slots": f"""WITH {BASE14}
+SELECT uid AS "user", date AS anchor, idx, CAST(s AS INTEGER) AS slot, CAST(date - 14 + CAST(s AS INTEGER) AS DATE) AS slot_date,
+       strftime(date, '%Y-%m-%d') AS anchor_text
+FROM valid CROSS JOIN range(1, 15) r(s)""",
+    "user_window_filter": f"""WITH {BASE14}
+SELECT v.uid AS "user", v.date AS anchor, b.d AS date
+FROM valid v JOIN bat b ON b.uid = v.uid AND b.d > v.date - 14 AND b.d <= v.date""",
+    "interval_join_sum": f"""WITH {BASE14}
+SELECT v.uid AS "user", v.date, v.idx, count(b.d) AS n_days, CAST(coalesce(sum(b.bmean), 0) AS BIGINT) AS sum_battery_mean
+FROM valid v LEFT JOIN bday b ON b.uid = v.uid AND b.d > v.date - 14 AND b.d <= v.date
+GROUP BY v.uid, v.date, v.idx""",
+    "zero_mask": f"""WITH {BASE14}, {SCR}
+SELECT v.uid AS "user", v.date, v.idx,
+  (SELECT count(*) FROM bday b WHERE b.uid = v.uid AND b.d > v.date - 14 AND b.d <= v.date AND b.bmean = 0) AS n_masked,
+  14 - (SELECT count(*) FROM bday b WHERE b.uid = v.uid AND b.d > v.date - 14 AND b.d <= v.date) AS n_absent,
+  (SELECT count(*) FROM scr s WHERE s.uid = v.uid AND s.d > v.date - 14 AND s.d <= v.date) AS n_screen_present,
+  (SELECT count(*) FROM scr s LEFT JOIN bday b ON b.uid = s.uid AND b.d = s.d
+    WHERE s.uid = v.uid AND s.d > v.date - 14 AND s.d <= v.date AND coalesce(b.bmean <> 0, true)) AS n_screen_kept
+FROM valid v""",
+    "quality_gate": f"""WITH {BASE14}, {records_cte(14)}
+SELECT uid AS "user", date, idx, n_missing, n_missing <= 7 AS kept FROM rec_all""",
+})
+
+
+def fmt_int(x: str) -> str:
+    return f"coalesce(CAST(CAST({x} AS INTEGER) AS VARCHAR), 'NaN')"
+
+
+def fmt_double(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 'NaN' WHEN isinf({x}) THEN 'Inf' "
+            f"ELSE CAST({x} AS VARCHAR) END")
+
+
+FEATURE_SQL = {
+    "battery_afternoon": ("baft", "int"),
+    "screen_off_night_duration": (per_unit("off0", 3600.0), "double"),
+    "screen_use_duration_afternoon": (per_unit("use2", 3600.0), "double"),
+    "magnitude_max": (f"CASE WHEN acc_present THEN {MAGMAX} END", "double"),
+}
+FEATS = list(FEATURE_SQL)  # configuration order
+ORDER = ["battery_afternoon", "screen_off_night_duration", "screen_use_duration_afternoon", "magnitude_max"]
+
+
+def seq_ctes(p: int = 14) -> str:
+    """Kept records with their masked per-slot values and one text sequence per feature."""
+    masked = ", ".join(f"CASE WHEN masked THEN NULL ELSE {expr} END AS {name}" for name, (expr, _) in FEATURE_SQL.items())
+    aggs = ", ".join(
+        f"string_agg({fmt_int(n) if k == 'int' else fmt_double(n)}, ', ' ORDER BY slot) AS s_{n}"
+        for n, (_, k) in FEATURE_SQL.items())
+    return f"""{ACC}, {SCR},
+sl AS (SELECT r.uid, r.date, r.idx, r.phq9, CAST(s AS INTEGER) AS slot, CAST(r.date - {p} + CAST(s AS INTEGER) AS DATE) AS d
+       FROM rec r CROSS JOIN range(1, {p + 1}) t(s)),
+sv_slot AS (SELECT sl.*, coalesce(b.bmean = 0, false) AS masked, b.baft, a.uid IS NOT NULL AS acc_present, a.m0, a.m1, a.m2, a.m3, c.off0, c.use2
+       FROM sl LEFT JOIN bday b ON b.uid = sl.uid AND b.d = sl.d
+               LEFT JOIN acc a ON a.uid = sl.uid AND a.d = sl.d
+               LEFT JOIN scr c ON c.uid = sl.uid AND c.d = sl.d),
+fv AS (SELECT uid, date, idx, phq9, slot, {masked} FROM sv_slot),
+seq AS (SELECT uid, date, idx, phq9, {aggs} FROM fv GROUP BY uid, date, idx, phq9)"""
+
+
+def hist_cte() -> str:
+    cols = []
+    for n in FEATS:
+        x = f"f.{n}"
+        cols.append(f"CASE WHEN count({x}) > 0 THEN {npround(f'CAST(sum(CAST({x} AS DECIMAL(20,1))) AS DOUBLE) / count({x})', 1)} END AS hist_{n}")
+    return f"""hist AS (SELECT r.uid, r.date, r.idx, {', '.join(cols)}
+  FROM rec r LEFT JOIN fv f ON f.uid = r.uid AND (f.date < r.date OR (f.date = r.date AND f.idx < r.idx))
+  GROUP BY r.uid, r.date, r.idx)"""
+
+
+def stats_sql(prefix: str, descriptions: dict) -> str:
+    parts = [f"{q(descriptions[n] + ': ')} || {prefix}s_{n} || '. '" for n in ORDER]
+    return " || ".join(parts)
+
+
+def hist_text_sql() -> str:
+    return " || ".join(f"{q(_P.history_description(n) + ': ')} || coalesce(CAST(hist_{n} AS VARCHAR), 'NaN') || '. '"
+                       for n in ORDER)
+
+
+SEQ14 = f"{BASE14}, {records_cte(14)}, {seq_ctes(14)}"
+
+PAIRS = f"""{SEQ14}, {hist_cte()}, {SURVEY},
+lagged AS (
+  SELECT s.*, h.*EXCLUDE (uid, date, idx),
+         lag(s.date) OVER w AS prev_date, lag(s.phq9) OVER w AS prev_phq9,
+         {', '.join(f'lag(s.s_{n}) OVER w AS p_s_{n}' for n in FEATS)}
+  FROM seq s JOIN hist h ON h.uid = s.uid AND h.date = s.date AND h.idx = s.idx
+  WINDOW w AS (PARTITION BY s.uid ORDER BY s.date, s.idx)),
+pairs AS (
+  SELECT l.*, sv.bg_sex, sv.grp, sv.bg_age,
+         {stats_sql('', _P.CURRENT_DESCRIPTIONS)} AS cur_stats,
+         {stats_sql('p_', _P.PREVIOUS_DESCRIPTIONS)} AS pre_stats,
+         {hist_text_sql()} AS hist_text,
+         {state_sql('prev_phq9')} AS previous_state, {state_sql('phq9')} AS current_state,
+         {label_sql('phq9', 'prev_phq9')} AS label
+  FROM lagged l LEFT JOIN sv ON sv.uid = l.uid
+  WHERE datediff('day', prev_date, date) = 14),
+prompts AS (
+  SELECT *,
+    {q(_P.PRE_DATA_START)} || pre_stats || 'This person was ' || previous_state || ' over the previous two weeks.'
+      || {q(_P.CUR_DATA_START)} || cur_stats || {q(_P.CUR_STATE_PREDICTION)} AS basic,
+    'The following data comes from a ' || CAST(bg_age AS VARCHAR) || '-year-old '
+      || CASE WHEN bg_sex = 1 THEN 'male' ELSE 'female' END || '. ' AS ctx,
+    ' This person was ' || CASE WHEN grp = 'mmm-control' THEN 'not depressed' ELSE 'depressed' END
+      || ' when they first entered the experiment. ' AS init
+  FROM pairs)"""
+
+PROMPT_COLS = f"""basic AS "Basic", {q(_P.PHQ_EXPLAIN)} || basic AS "Health_Informtion",
+  {q(_P.HISTORY_START)} || hist_text || basic AS "Statistics",
+  {q(_P.PHQ_EXPLAIN)} || ctx || init || {q(_P.HISTORY_START)} || hist_text || basic AS "All\""""
+
+ORACLE.update({
+    "align_sequence": f"""WITH {SEQ14}
+SELECT uid AS "user", date, s_magnitude_max AS magnitude_max_seq FROM seq""",
+    "feature_projection": f"""WITH {SEQ14}
+SELECT uid AS "user", date, phq9, s_battery_afternoon AS battery_afternoon_seq,
+       s_screen_off_night_duration AS screen_off_night_duration_seq FROM seq""",
+    "survey_join": f"""WITH {BASE14}, {records_cte(14)}, {SURVEY}
+SELECT r.uid AS "user", r.date, r.phq9, sv.bg_sex AS gender, sv.grp AS "group", sv.bg_age AS age
+FROM rec r LEFT JOIN sv ON sv.uid = r.uid""",
+    "nest_user_records": f"""WITH {BASE14}, {records_cte(14)}, {SURVEY}
+SELECT r.uid AS "user", sv.bg_sex AS gender, sv.grp AS "group", sv.bg_age AS age, count(*) AS n_records,
+       strftime(min(r.date), '%Y-%m-%d') AS first_date, strftime(max(r.date), '%Y-%m-%d') AS last_date,
+       sum(r.phq9) AS phq_total
+FROM rec r LEFT JOIN sv ON sv.uid = r.uid GROUP BY r.uid, sv.bg_sex, sv.grp, sv.bg_age""",
+    "adjacent_pairs": f"""WITH {PAIRS}
+SELECT uid AS "user", date, prev_date, previous_state, current_state, label,
+       s_magnitude_max AS cur_seq, p_s_magnitude_max AS prev_seq FROM pairs""",
+    "forecast_pairs": f"""WITH {BASE14}, {records_cte(14)},
+led AS (SELECT *, lead(date) OVER w AS next_date, lead(phq9) OVER w AS next_phq9
+        FROM rec WINDOW w AS (PARTITION BY uid ORDER BY date, idx))
+SELECT uid AS "user", date, phq9, next_phq9 AS future_phq9, {label_sql('next_phq9', 'phq9')} AS label
+FROM led WHERE datediff('day', date, next_date) = 14 AND next_phq9 IS NOT NULL""",
+    "history_average": f"""WITH {SEQ14}, {hist_cte()}
+SELECT uid AS "user", date, {', '.join(f'hist_{n}' for n in FEATS)} FROM hist""",
+    "severity_state": f"""WITH {BASE14}, {records_cte(14)}
+SELECT uid AS "user", date, phq9, {state_sql('phq9')} AS state FROM rec""",
+    "demographic_context": f"""WITH {EV}, {SURVEY}
+SELECT uid AS "user",
+  'The following data comes from a ' || CAST(bg_age AS VARCHAR) || '-year-old '
+    || CASE WHEN bg_sex = 1 THEN 'male' ELSE 'female' END || '. ' AS context,
+  ' This person was ' || CASE WHEN grp = 'mmm-control' THEN 'not depressed' ELSE 'depressed' END
+    || ' when they first entered the experiment. ' AS initial
+FROM sv WHERE uid IN (SELECT uid FROM ev)""",
+    "label_code": f"""SELECT "user", date, label,
+  CASE label WHEN 'Remains' THEN 0 WHEN 'More Depressed' THEN 1 WHEN 'Less Depressed' THEN 2 END AS code
+FROM ({transition_labels(14)})""",
+    "statistics_text": f"""WITH {SEQ14}
+SELECT uid AS "user", date, {stats_sql('', _P.CURRENT_DESCRIPTIONS)} AS statistics FROM seq""",
+    "history_text": f"""WITH {SEQ14}, {hist_cte()}
+SELECT uid AS "user", date, {hist_text_sql()} AS history FROM hist""",
+    "prompt_table": f"""WITH {PAIRS}
+SELECT uid AS "user", date, phq9 AS current_phq, prev_phq9 AS previous_phq, previous_state, current_state, label,
+  {PROMPT_COLS} FROM prompts""",
+    "prompt_variants": f"""WITH {PAIRS}, pv AS (SELECT uid, date, {PROMPT_COLS} FROM prompts)
+SELECT uid AS "user", date, """ + ", ".join(
+        f'length("{n}") AS {n.lower()}_len, md5("{n}") AS {n.lower()}_md5'
+        for n in ("Basic", "Health_Informtion", "Statistics", "All")) + " FROM pv",
+})
