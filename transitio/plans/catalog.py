@@ -310,3 +310,202 @@ def prompt_variants(spark, sf_dir):
     for name in ("Basic", "Health_Informtion", "Statistics", "All"):
         cols += [F.length(name).cast("bigint").alias(f"{name.lower()}_len"), F.md5(name).alias(f"{name.lower()}_md5")]
     return p.select("user", "date", *cols)
+
+
+# ---------------------------------------------------------------- evaluation
+from transitio.operators import evaluate as EV  # noqa: E402
+from transitio.operators import sampling as SM  # noqa: E402
+
+
+def _class(spark, sf_dir):
+    return TD.class_table(spark, sf_dir)
+
+
+def _qt(spark, sf_dir):
+    """(true, predicted) = (quality, toxic) as label strings."""
+    return _class(spark, sf_dir).select("doc_id", "lang", F.col("quality").cast("string").alias("y"),
+                                        F.col("toxic").cast("string").alias("yhat"))
+
+
+@register("eval_metrics")
+def eval_metrics(spark, sf_dir):
+    """A5 + A7 (+ J8 by doc_id): accuracy, macro and weighted P/R/F1 per language."""
+    return EV.metrics(_qt(spark, sf_dir), "y", "yhat", ["lang"])
+
+
+@register("confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    """A4: confusion cells over the union of labels, zero cells included."""
+    return EV.confusion_matrix(_qt(spark, sf_dir), "y", "yhat")
+
+
+@register("class_report")
+def class_report(spark, sf_dir):
+    """Per-label precision, recall, F1 and support per language."""
+    pl = EV.per_label(_qt(spark, sf_dir), "y", "yhat", ["lang"])
+    return pl.select("lang", "label", *[F.round(c, 10).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register("class_report_full")
+def class_report_full(spark, sf_dir):
+    """Report over the fixed labels 0, 1, 2 plus accuracy / macro avg / weighted avg rows."""
+    return EV.report(_qt(spark, sf_dir), "y", "yhat", ["0", "1", "2"])
+
+
+@register("class_counts")
+def class_counts(spark, sf_dir):
+    """A3 + A12: class sizes, their mean and the number of classes."""
+    return EV.class_counts(_class(spark, sf_dir), "label")
+
+
+# ---------------------------------------------------------------- splitting and sampling
+def _split(spark, sf_dir, seed=1):
+    return SM.group_split(_class(spark, sf_dir), "source", seed)
+
+
+@register("group_split")
+def group_split(spark, sf_dir):
+    """R1 + J5: ceil(0.4 G) sources to test, the rest train, every row follows its source."""
+    return _split(spark, sf_dir).select("doc_id", "source", "side")
+
+
+@register("two_stage_split")
+def two_stage_split(spark, sf_dir):
+    """R2: test 40% of sources, remaining sources halved into train / eval."""
+    return SM.two_stage_split(_class(spark, sf_dir), "source", 1).select("doc_id", "source", "side")
+
+
+@register("split_all_seeds")
+def split_all_seeds(spark, sf_dir):
+    """The group split for seeds 1..5 in one plan (seed as a column)."""
+    ct = SM.seeds_frame(_class(spark, sf_dir).select("doc_id", "source"), [1, 2, 3, 4, 5])
+    return SM.group_split(ct, "source", "seed", keys=["seed"]).select("seed", "doc_id", "side")
+
+
+@register("oversample")
+def oversample(spark, sf_dir):
+    """R3 + X1: minority classes of the train side get int(mean) drawn copies appended."""
+    train = _split(spark, sf_dir).where("side = 'train'").select("doc_id", "label")
+    return SM.oversample(train, "label", "doc_id", 1).select("doc_id", "label", "copy")
+
+
+@register("holdout_split")
+def holdout_split(spark, sf_dir):
+    """First int(0.2 n) rows in hash order are validation."""
+    return SM.holdout_split(_class(spark, sf_dir).select("doc_id"), "doc_id", 1).select("doc_id", "side")
+
+
+@register("stratified_folds")
+def stratified_folds(spark, sf_dir):
+    """Three balanced folds within each label."""
+    ct = _class(spark, sf_dir).select("doc_id", "label")
+    return SM.stratified_folds(ct, "label", "doc_id", 1, 3).select("doc_id", "label", "fold")
+
+
+def _few_shot(spark, sf_dir, n, queries_side=None):
+    sp = _split(spark, sf_dir)
+    pool = sp.where("side = 'train'")
+    queries = sp if queries_side is None else sp.where(F.col("side") == queries_side)
+    pairs = SM.few_shot_positions(pool, queries, "lang", "data", "doc_id", "doc_id", n, 1)
+    return sp, pool, queries, pairs
+
+
+@register("few_shot_pairs")
+def few_shot_pairs(spark, sf_dir):
+    """5 examples per row from the train pool, same language, different text."""
+    return _few_shot(spark, sf_dir, 5)[3]
+
+
+@register("same_subject_examples")
+def same_subject_examples(spark, sf_dir):
+    """3 examples of the same subject (source), excluding the row itself."""
+    ct = _class(spark, sf_dir).select("doc_id", "source")
+    return SM.few_shot_positions(ct, ct, "source", "doc_id", "doc_id", "doc_id", 3, 1)
+
+
+def _votes(pairs, pool, queries, keys=()):
+    k = list(keys)
+    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("label").alias("ex_label")), "example_id")
+    votes = ex.groupBy(*k, "doc_id", "ex_label").agg(F.count(F.lit(1)).alias("votes"))
+    w = Window.partitionBy(*k, "doc_id").orderBy(F.col("votes").desc(), S.label_code("ex_label"))
+    best = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*k, "doc_id", F.col("ex_label").alias("predicted"))
+    return queries.join(best, k + ["doc_id"], "left").withColumn(
+        "predicted", F.coalesce("predicted", F.lit(S.LABEL_REMAINS)))
+
+
+from pyspark.sql import Window  # noqa: E402
+
+
+@register("few_shot_vote")
+def few_shot_vote(spark, sf_dir):
+    """K16 native predictor: majority label of the row's 5 few-shot examples (ties by label code)."""
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, 5, "test")
+    return _votes(pairs, pool, queries.select("doc_id", "label")).select("doc_id", "label", "predicted")
+
+
+SHOTS = [0, 1, 3, 5, 10, 15, 25]
+
+
+@register("shots_curve")
+def shots_curve(spark, sf_dir):
+    """Accuracy and macro F1 of the vote predictor for 0..25 shots, nested samples."""
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, max(SHOTS), "test")
+    ranked = SM.shuffled_ordinals(pairs, "doc_id", 1)
+    shots = F.array(*[F.lit(s) for s in SHOTS])
+    ex = ranked.withColumn("n_shots", F.explode(shots)).where(F.col("rank") < F.col("n_shots"))
+    q = queries.select("doc_id", "label").withColumn("n_shots", F.explode(shots))
+    pred = _votes(ex, pool, q, ["n_shots"])
+    m = EV.metrics(pred, "label", "predicted", ["n_shots"])
+    return m.select("n_shots", "accuracy", "macro_f1")
+
+
+def _chats(spark, sf_dir, side, with_answer):
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, 3, side)
+    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("data").alias("ex_data"),
+                                F.col("label").alias("ex_label")), "example_id")
+    grouped = ex.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "ex_data", "ex_label"))).alias("_ex"))
+    rows = queries.select("doc_id", "data", "label").join(grouped, "doc_id", "left")
+    examples = F.transform("_ex", lambda e: F.struct(e["ex_data"].alias("data"), e["ex_label"].alias("label")))
+    msgs = PM.chat_messages(F.col("data"), F.col("label"), examples, with_answer)
+    out = rows.select("doc_id", msgs.alias("messages"))
+    text = PM.render_chat("messages")
+    return out.select("doc_id", F.size("messages").cast("bigint").alias("n_messages"),
+                      F.length(text).cast("bigint").alias("chat_len"), F.md5(text).alias("chat_md5"))
+
+
+@register("chat_train")
+def chat_train(spark, sf_dir):
+    """K5 + K7 + K20: 3-shot training chats of the train side, rendered."""
+    return _chats(spark, sf_dir, "train", True)
+
+
+@register("chat_test")
+def chat_test(spark, sf_dir):
+    """K6 + K7: 3-shot test chats (no final label), rendered."""
+    return _chats(spark, sf_dir, "test", False)
+
+
+@register("chat_render")
+def chat_render(spark, sf_dir):
+    """K7: conversations rendered with the explicit fallback template."""
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    msgs = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    msgs = msgs.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    text = PM.render_chat("messages")
+    return msgs.select("conv_id", F.size("messages").cast("bigint").alias("n_turns"),
+                       F.length(text).cast("bigint").alias("chat_len"), F.md5(text).alias("chat_md5"))
+
+
+# Fixed test suffixes appended to a prompt to play generated answers.
+GENERATED_SUFFIXES = ("\nLabel: Remains", " Label: More Depressed", "Label: Less Depressed.", "no idea")
+
+
+@register("parse_label")
+def parse_label(spark, sf_dir):
+    """K8: generated = prompt + suffix chosen by md5(doc_id) mod 4; parse the answer."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    suffix = F.element_at(F.array(*[F.lit(s) for s in GENERATED_SUFFIXES]),
+                          (F.pmod(S.md5_int(F.col("doc_id").cast("string")), F.lit(4)) + 1).cast("int"))
+    gen = docs.select("doc_id", F.col("text").alias("prompt"), F.concat("text", suffix).alias("generated"))
+    label, parsed = PM.parse_answer("generated", "prompt")
+    return gen.select("doc_id", label.alias("label"), parsed.alias("parsed"))

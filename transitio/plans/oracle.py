@@ -334,3 +334,192 @@ SELECT uid AS "user", date, """ + ", ".join(
         f'length("{n}") AS {n.lower()}_len, md5("{n}") AS {n.lower()}_md5'
         for n in ("Basic", "Health_Informtion", "Statistics", "All")) + " FROM pv",
 })
+
+
+# ---------------------------------------------------------------- evaluation and sampling
+CT = """ct AS (
+  SELECT d.doc_id, d.source, d.lang, d.text AS data, l.quality, l.toxic,
+         CASE WHEN l.toxic = 1 THEN 'More Depressed' WHEN l.quality = 0 THEN 'Less Depressed' ELSE 'Remains' END AS label
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def h32(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+
+
+def split_cte(seed: str = "'1'", name: str = "split") -> str:
+    return f"""gs AS (SELECT source, row_number() OVER (ORDER BY md5({seed} || ':' || source), source) - 1 AS pos,
+              count(*) OVER () AS g FROM (SELECT DISTINCT source FROM ct)),
+{name} AS (SELECT ct.*, CASE WHEN gs.pos < ceil(CAST(gs.g AS DOUBLE) * 0.4) THEN 'test' ELSE 'train' END AS side
+          FROM ct JOIN gs ON gs.source = ct.source)"""
+
+
+def metric_ctes(src: str, keys: list[str], y: str, yh: str) -> str:
+    """Per-label counts by correlated sums over the confusion cells."""
+    kc = ", ".join(keys)
+    kk = "".join(f" AND c.{k} = l.{k}" for k in keys)
+    return f"""cells AS (SELECT {kc + ', ' if keys else ''}{y} AS y, {yh} AS yh, count(*) AS n FROM {src} GROUP BY ALL),
+labs AS (SELECT {kc + ', ' if keys else ''}y AS label FROM cells UNION SELECT {kc + ', ' if keys else ''}yh FROM cells),
+pl AS (SELECT l.*,
+  CAST(coalesce((SELECT sum(n) FROM cells c WHERE c.y = l.label AND c.yh = l.label{kk}), 0) AS BIGINT) AS tp,
+  CAST(coalesce((SELECT sum(n) FROM cells c WHERE c.y = l.label{kk}), 0) AS BIGINT) AS sup,
+  CAST(coalesce((SELECT sum(n) FROM cells c WHERE c.yh = l.label{kk}), 0) AS BIGINT) AS pred
+  FROM labs l),
+pm AS (SELECT *, CASE WHEN pred > 0 THEN CAST(tp AS DOUBLE) / pred ELSE 0.0 END AS p,
+              CASE WHEN sup > 0 THEN CAST(tp AS DOUBLE) / sup ELSE 0.0 END AS r,
+              CASE WHEN sup + pred > 0 THEN 2.0 * tp / (sup + pred) ELSE 0.0 END AS f FROM pl)"""
+
+
+def metric_select(keys: list[str], cols=None) -> str:
+    allc = {
+        "accuracy": "CAST(sum(tp) AS DOUBLE) / sum(sup)", "macro_precision": "avg(p)", "macro_recall": "avg(r)",
+        "macro_f1": "avg(f)", "weighted_precision": "sum(p * sup) / sum(sup)",
+        "weighted_recall": "sum(r * sup) / sum(sup)", "weighted_f1": "sum(f * sup) / sum(sup)"}
+    cols = cols or list(allc)
+    sel = ", ".join(f"round({allc[c]}, 10) AS {c}" for c in cols)
+    kc = ", ".join(keys)
+    extra = ", CAST(sum(sup) AS BIGINT) AS n" if cols == list(allc) else ""
+    return f"SELECT {kc + ', ' if keys else ''}{sel}{extra} FROM pm {'GROUP BY ' + kc if keys else ''}"
+
+
+QT = "qt AS (SELECT doc_id, lang, CAST(quality AS VARCHAR) AS y, CAST(toxic AS VARCHAR) AS yh FROM ct)"
+
+ORACLE.update({
+    "eval_metrics": f"WITH {CT}, {QT}, {metric_ctes('qt', ['lang'], 'y', 'yh')}\n{metric_select(['lang'])}",
+    "confusion_matrix": f"""WITH {CT}, {QT},
+cells AS (SELECT y, yh, count(*) AS n FROM qt GROUP BY y, yh),
+labs AS (SELECT y AS label FROM cells UNION SELECT yh FROM cells)
+SELECT a.label AS true_label, b.label AS pred_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM labs a, labs b LEFT JOIN cells c ON c.y = a.label AND c.yh = b.label""",
+    "class_report": f"""WITH {CT}, {QT}, {metric_ctes('qt', ['lang'], 'y', 'yh')}
+SELECT lang, label, round(p, 10) AS precision, round(r, 10) AS recall, round(f, 10) AS f1, sup AS support FROM pm""",
+    "class_report_full": f"""WITH {CT}, {QT}, {metric_ctes('qt', [], 'y', 'yh')},
+fixed AS (SELECT * FROM (VALUES ('0'), ('1'), ('2')) t(label)),
+rows AS (SELECT fx.label AS "row", coalesce(pm.p, 0.0) AS p, coalesce(pm.r, 0.0) AS r, coalesce(pm.f, 0.0) AS f,
+                CAST(coalesce(pm.sup, 0) AS BIGINT) AS sup FROM fixed fx LEFT JOIN pm ON pm.label = fx.label),
+tot AS (SELECT CAST(sum(tp) AS DOUBLE) / sum(sup) AS acc, CAST(sum(sup) AS BIGINT) AS n FROM pm)
+SELECT "row", round(p, 10) AS precision, round(r, 10) AS recall, round(f, 10) AS f1, sup AS support FROM rows
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 10), n FROM tot
+UNION ALL SELECT 'macro avg', round(avg(p), 10), round(avg(r), 10), round(avg(f), 10), (SELECT n FROM tot) FROM rows
+UNION ALL SELECT 'weighted avg', round(sum(p * sup) / sum(sup), 10), round(sum(r * sup) / sum(sup), 10),
+                 round(sum(f * sup) / sum(sup), 10), (SELECT n FROM tot) FROM rows""",
+    "class_counts": f"""WITH {CT}, c AS (SELECT label, count(*) AS n FROM ct GROUP BY label)
+SELECT label, n, avg(n) OVER () AS mean_n, count(*) OVER () AS n_classes FROM c""",
+    "group_split": f"""WITH {CT}, {split_cte()}
+SELECT doc_id, source, side FROM split""",
+    "two_stage_split": f"""WITH {CT}, {split_cte()},
+tr AS (SELECT DISTINCT source FROM split WHERE side = 'train'),
+g2 AS (SELECT source, row_number() OVER (ORDER BY md5('1:stage2:' || source), source) - 1 AS pos, count(*) OVER () AS g FROM tr)
+SELECT s.doc_id, s.source,
+       CASE WHEN s.side = 'test' THEN 'test' WHEN g2.pos < ceil(CAST(g2.g AS DOUBLE) * 0.5) THEN 'eval' ELSE 'train' END AS side
+FROM split s LEFT JOIN g2 ON g2.source = s.source""",
+    "split_all_seeds": f"""WITH {CT}, seeds AS (SELECT * FROM range(1, 6) t(seed)),
+gsrc AS (SELECT DISTINCT source FROM ct),
+gs AS (SELECT seed, source, row_number() OVER (PARTITION BY seed ORDER BY md5(CAST(seed AS VARCHAR) || ':' || source), source) - 1 AS pos,
+              count(*) OVER (PARTITION BY seed) AS g FROM seeds, gsrc)
+SELECT CAST(gs.seed AS INTEGER) AS seed, ct.doc_id,
+       CASE WHEN gs.pos < ceil(CAST(gs.g AS DOUBLE) * 0.4) THEN 'test' ELSE 'train' END AS side
+FROM ct JOIN gs ON gs.source = ct.source""",
+    "oversample": f"""WITH {CT}, {split_cte()},
+tr AS (SELECT doc_id, label FROM split WHERE side = 'train'),
+cnt AS (SELECT label, count(*) AS c FROM tr GROUP BY label),
+need AS (SELECT label, c, CAST(floor((SELECT avg(c) FROM cnt)) AS BIGINT) AS n FROM cnt WHERE c < (SELECT avg(c) FROM cnt)),
+draws AS (SELECT label, c, unnest(range(0, n)) AS j FROM need),
+pos AS (SELECT label, {h32("'1:' || label || ':' || CAST(j AS VARCHAR)")} % c AS pos FROM draws),
+idx AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos FROM tr)
+SELECT doc_id, label, 0 AS copy FROM tr
+UNION ALL SELECT idx.doc_id, idx.label, 1 FROM pos JOIN idx ON idx.label = pos.label AND idx.pos = pos.pos""",
+    "holdout_split": f"""WITH {CT},
+ix AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos, count(*) OVER () AS n FROM ct)
+SELECT doc_id, CASE WHEN pos < floor(CAST(n AS DOUBLE) * 0.2) THEN 'validation' ELSE 'train' END AS side FROM ix""",
+    "stratified_folds": f"""WITH {CT}
+SELECT doc_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 3 AS INTEGER) AS fold
+FROM ct""",
+})
+
+
+def fewshot_ctes(n: int, query_filter: str = "TRUE", stratum: str = "lang", text: str = "data",
+                 pool_src: str = "split WHERE side = 'train'", query_src: str = "split") -> str:
+    """Systematic sampling restated with window functions over the pool."""
+    return f"""pool AS (SELECT {stratum} AS st, md5('1:' || CAST({text} AS VARCHAR)) AS th, doc_id, label, data,
+                 row_number() OVER (PARTITION BY {stratum} ORDER BY md5('1:' || CAST({text} AS VARCHAR)), doc_id) - 1 AS pos
+          FROM {pool_src}),
+sizes AS (SELECT st, count(*) AS cnt FROM pool GROUP BY st),
+blocks AS (SELECT st, th, count(*) AS b, max(pos) AS e FROM pool GROUP BY st, th),
+qq AS (SELECT q.doc_id AS qid, q.{stratum} AS st, s.cnt, coalesce(bl.b, 0) AS b, coalesce(bl.e, -1) AS e
+       FROM (SELECT * FROM {query_src} WHERE {query_filter}) q JOIN sizes s ON s.st = q.{stratum}
+       LEFT JOIN blocks bl ON bl.st = q.{stratum} AND bl.th = md5('1:' || CAST(q.{text} AS VARCHAR))),
+qm AS (SELECT *, cnt - b AS m, least({n}, cnt - b) AS nf, {h32("'1:q:' || CAST(qid AS VARCHAR)")} % (cnt - b) AS o
+       FROM qq WHERE cnt - b > 0),
+picks AS (SELECT qid, st, nf, j, (e + 1 + (o + j * m) // nf) % cnt AS pos
+          FROM (SELECT *, unnest(range(0, nf)) AS j FROM qm)),
+pairs AS (SELECT p.qid AS doc_id, CAST(p.j AS INTEGER) AS j, pool.doc_id AS example_id, CAST(p.nf AS INTEGER) AS n_found,
+                 pool.label AS ex_label, pool.data AS ex_data
+          FROM picks p JOIN pool ON pool.st = p.st AND pool.pos = p.pos)"""
+
+
+LABEL_CODE = "CASE {x} WHEN 'Remains' THEN 0 WHEN 'More Depressed' THEN 1 WHEN 'Less Depressed' THEN 2 END"
+
+ORACLE.update({
+    "few_shot_pairs": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(5)}
+SELECT doc_id, j, example_id, n_found FROM pairs""",
+    "same_subject_examples": f"""WITH {CT}, {fewshot_ctes(3, stratum='source', text='doc_id', pool_src='ct', query_src='ct')}
+SELECT doc_id, j, example_id, n_found FROM pairs""",
+    "few_shot_vote": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(5, "side = 'test'")},
+v AS (SELECT doc_id, ex_label, count(*) AS votes FROM pairs GROUP BY doc_id, ex_label),
+b AS (SELECT doc_id, ex_label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC,
+        {LABEL_CODE.format(x='ex_label')}) AS r FROM v) WHERE r = 1)
+SELECT s.doc_id, s.label, coalesce(b.ex_label, 'Remains') AS predicted
+FROM split s LEFT JOIN b ON b.doc_id = s.doc_id WHERE s.side = 'test'""",
+    "shots_curve": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(25, "side = 'test'")},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
+             md5('1:rank:' || CAST(doc_id AS VARCHAR) || ':' || CAST(example_id AS VARCHAR)), example_id) - 1 AS rnk FROM pairs),
+shots AS (SELECT * FROM (VALUES (0), (1), (3), (5), (10), (15), (25)) t(n_shots)),
+v AS (SELECT n_shots, doc_id, ex_label, count(*) AS votes FROM ranked, shots WHERE rnk < n_shots GROUP BY ALL),
+b AS (SELECT n_shots, doc_id, ex_label FROM (SELECT *, row_number() OVER (PARTITION BY n_shots, doc_id ORDER BY votes DESC,
+        {LABEL_CODE.format(x='ex_label')}) AS r FROM v) WHERE r = 1),
+pr AS (SELECT sh.n_shots, s.doc_id, s.label, coalesce(b.ex_label, 'Remains') AS predicted
+       FROM split s CROSS JOIN shots sh LEFT JOIN b ON b.doc_id = s.doc_id AND b.n_shots = sh.n_shots WHERE s.side = 'test'),
+{metric_ctes('pr', ['n_shots'], 'label', 'predicted')}
+{metric_select(['n_shots'], ['accuracy', 'macro_f1'])}""",
+})
+
+NL = "\n"
+HEAD = (_P.TURN_USER.format(content=_P.INSTRUCTION_TURN.format(system=_P.SYSTEM_PROMPT))
+        + _P.TURN_ASSISTANT.format(content=_P.ACK_TURN))
+
+
+def chat_sql(side: str, answer: bool) -> str:
+    ex = f"'<start_of_turn>user{NL}' || ex_data || '<end_of_turn>{NL}<start_of_turn>model{NL}Label: ' || ex_label || '{NL}<end_of_turn>{NL}'"
+    ans = f" || '<start_of_turn>model{NL}Label: ' || s.label || '{NL}<end_of_turn>{NL}'" if answer else ""
+    return f"""WITH {CT}, {split_cte()}, {fewshot_ctes(3, f"side = '{side}'")},
+agg AS (SELECT doc_id, count(*) AS n_ex, string_agg({ex}, '' ORDER BY j) AS ex_text FROM pairs GROUP BY doc_id),
+txt AS (SELECT s.doc_id, 3 + 2 * coalesce(a.n_ex, 0) {'+ 1' if answer else ''} AS n_messages,
+          {q(HEAD)} || coalesce(a.ex_text, '') || '<start_of_turn>user{NL}' || s.data || '<end_of_turn>{NL}'{ans}
+          || '<start_of_turn>model{NL}' AS t
+        FROM split s LEFT JOIN agg a ON a.doc_id = s.doc_id WHERE s.side = '{side}')
+SELECT doc_id, CAST(n_messages AS BIGINT) AS n_messages, CAST(length(t) AS BIGINT) AS chat_len, md5(t) AS chat_md5 FROM txt"""
+
+
+ORACLE.update({
+    "chat_train": chat_sql("train", True),
+    "chat_test": chat_sql("test", False),
+    "chat_render": f"""WITH r AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(
+    CASE role WHEN 'system' THEN '<bos><start_of_turn>model{NL}' || text || '<end_of_turn>{NL}'
+              WHEN 'user' THEN '<start_of_turn>user{NL}' || text || '<end_of_turn>{NL}'
+              WHEN 'assistant' THEN '<start_of_turn>model{NL}' || text || '<end_of_turn>{NL}' ELSE '' END, '' ORDER BY turn)
+    || '<start_of_turn>model{NL}' AS t
+  FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, CAST(length(t) AS BIGINT) AS chat_len, md5(t) AS chat_md5 FROM r""",
+    "parse_label": f"""WITH g AS (
+  SELECT doc_id, text AS p, text || CASE {h32('CAST(doc_id AS VARCHAR)')} % 4
+      WHEN 0 THEN '{NL}Label: Remains' WHEN 1 THEN ' Label: More Depressed' WHEN 2 THEN 'Label: Less Depressed.'
+      ELSE 'no idea' END AS g FROM documents),
+o AS (SELECT doc_id, regexp_replace(regexp_replace(substring(g, length(p) + 1), '^\\s+', ''), '\\s+$', '') AS out FROM g)
+SELECT doc_id,
+  CASE WHEN contains(out, 'Label: Remains') THEN 'Remains' WHEN contains(out, 'Label: More Depressed') THEN 'More Depressed'
+       WHEN contains(out, 'Label: Less Depressed') THEN 'Less Depressed' ELSE 'Remains' END AS label,
+  contains(out, 'Label: Remains') OR contains(out, 'Label: More Depressed') OR contains(out, 'Label: Less Depressed') AS parsed
+FROM o""",
+})

@@ -147,3 +147,15 @@ def panel(spark: SparkSession, sf_dir: str, period: int = 14) -> dict[str, DataF
         "phq": phq(events, period),
         "survey": survey(customer),
     }
+
+
+def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as a classification table: group = source (split key),
+    stratum = lang (few-shot stratum), data = text, and a 3-class label text
+    (toxic -> More Depressed, else low quality -> Less Depressed, else Remains)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    label = (F.when(F.col("toxic") == 1, F.lit("More Depressed"))
+             .when(F.col("quality") == 0, F.lit("Less Depressed")).otherwise(F.lit("Remains")))
+    return docs.join(labels, "doc_id", "inner").select(
+        "doc_id", "source", "lang", F.col("text").alias("data"), "quality", "toxic", label.alias("label"))
