@@ -509,3 +509,81 @@ def parse_label(spark, sf_dir):
     gen = docs.select("doc_id", F.col("text").alias("prompt"), F.concat("text", suffix).alias("generated"))
     label, parsed = PM.parse_answer("generated", "prompt")
     return gen.select("doc_id", label.alias("label"), parsed.alias("parsed"))
+
+
+# ---------------------------------------------------------------- model preparation
+from transitio.operators import prepare as PP  # noqa: E402
+
+
+def _forecast(spark, sf_dir):
+    """Forecast pairs of the four-feature configuration with survey columns."""
+    rec, t = _kept(spark, sf_dir, FOUR)
+    return SQ.attach_survey(PR.forecast_pairs(rec, 14), t["survey"])
+
+
+@register("flatten_sequences")
+def flatten_sequences(spark, sf_dir):
+    """P10 + P11: the flat feature table (4 x 14 step columns) in the fixed column order."""
+    return PP.flat_feature_table(_forecast(spark, sf_dir))
+
+
+@register("sequence_matrix")
+def sequence_matrix(spark, sf_dir):
+    """K12 + F17: flat columns back to a time-major 14 x 4 matrix, rendered as text."""
+    flat = PP.flat_feature_table(_forecast(spark, sf_dir))
+    cols = [c for c in flat.columns if c.split("_")[-1].isdigit()]
+    m = PP.sequence_matrix(PP.feature_prefixes(cols))
+    text = F.array_join(F.transform(m, lambda r: F.array_join(F.transform(r, lambda v: PM.render_number(v)), " ")), "; ")
+    return flat.select("user_id", "phq_week2", text.alias("matrix"))
+
+
+@register("numeric_coerce")
+def numeric_coerce(spark, sf_dir):
+    """tree path (fill, then coerce: bad text stays missing) vs sequence path (fill again)."""
+    ct = _class(spark, sf_dir).select(
+        "doc_id", F.col("source").alias("r1"), F.substring("source", 4, 10).alias("r2"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("NaN"))
+        .otherwise(F.col("lang")).alias("r3"))
+    return ct.select("doc_id", *[S.coerce_numeric(f"r{i}", False).alias(f"tree_{i}") for i in (1, 2, 3)],
+                     *[S.coerce_numeric(f"r{i}", True).alias(f"seq_{i}") for i in (1, 2, 3)])
+
+
+EMB_DIMS = 8
+
+
+@register("standard_scale")
+def standard_scale(spark, sf_dir):
+    """A10 + K10: z-scores of 8 embedding dimensions with train-side mean / population std."""
+    emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    cols = [f"z_{i}" for i in range(EMB_DIMS)]
+    e = emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    sp = SM.holdout_split(e, "vec_id", 1)
+    stats = PP.standard_stats(sp.where("side = 'train'"), cols)
+    return PP.standard_scale(sp, stats, cols, digits=6).select("vec_id", "side", *cols)
+
+
+@register("minmax_sequences")
+def minmax_sequences(spark, sf_dir):
+    """A11 + K11: sequences filled with 0, min-max scaled per feature with train-user statistics."""
+    fc = SM.group_split(_forecast(spark, sf_dir), "user", 1)
+    filled = fc.select("user", "date", "side", *[F.transform(f, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias(f)
+                                                 for f in FOUR])
+    stats = PP.minmax_stats(filled.where("side = 'train'"), FOUR)
+    scaled = PP.minmax_scale(filled, stats, FOUR)
+    return scaled.select("user", "date", "side", *[
+        F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x), 6).alias(f"mm_sum_{f}") for f in FOUR])
+
+
+@register("label_encode")
+def label_encode(spark, sf_dir):
+    """X4 + K9: alphabetical label codes fitted on train + eval of the two-stage user split."""
+    sp = SM.two_stage_split(_forecast(spark, sf_dir), "user", 1)
+    d = PP.label_dictionary([sp.where("side = 'train'"), sp.where("side = 'eval'")], "label")
+    return PP.encode_labels(sp, d, "label").select("user", "date", "side", "label", "code")
+
+
+@register("argmax_class")
+def argmax_class(spark, sf_dir):
+    """Predicted class = first arg-max of the first 10 embedding values."""
+    emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return emb.select("vec_id", "label", PP.argmax_class(F.slice("embedding", 1, 10)).alias("predicted"))

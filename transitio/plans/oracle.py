@@ -523,3 +523,73 @@ SELECT doc_id,
   contains(out, 'Label: Remains') OR contains(out, 'Label: More Depressed') OR contains(out, 'Label: Less Depressed') AS parsed
 FROM o""",
 })
+
+
+# ---------------------------------------------------------------- model preparation
+FLAT_ORDER = ["battery_afternoon", "magnitude_max", "screen_off_night_duration", "screen_use_duration_afternoon"]
+
+FORECAST = f"""{SEQ14}, {SURVEY},
+led AS (SELECT *, lead(date) OVER w AS next_date, lead(phq9) OVER w AS next_phq9
+        FROM rec WINDOW w AS (PARTITION BY uid ORDER BY date, idx)),
+fc AS (SELECT uid, date, idx, phq9, next_phq9 AS future_phq9, {label_sql('next_phq9', 'phq9')} AS label
+       FROM led WHERE datediff('day', date, next_date) = 14 AND next_phq9 IS NOT NULL),
+flat AS (SELECT fc.uid AS user_id, sv.bg_sex AS gender, sv.grp AS "group", sv.bg_age AS age, fc.date,
+   {', '.join(f'max(CASE WHEN fv.slot = {i} THEN fv.{f} END) AS {f}_{i}' for f in FLAT_ORDER for i in range(1, 15))},
+   fc.phq9 AS phq_week2, fc.future_phq9 AS future_phq_week2, fc.label
+  FROM fc JOIN fv ON fv.uid = fc.uid AND fv.date = fc.date AND fv.idx = fc.idx LEFT JOIN sv ON sv.uid = fc.uid
+  GROUP BY fc.uid, sv.bg_sex, sv.grp, sv.bg_age, fc.date, fc.phq9, fc.future_phq9, fc.label)"""
+
+_FLAT_COLS = ", ".join(["user_id", "gender", '"group"', "age"] + [f"{f}_{i}" for f in FLAT_ORDER for i in range(1, 15)]
+                       + ["phq_week2", "future_phq_week2", "label"])
+
+
+def _num(x: str) -> str:
+    return fmt_double(f"CAST({x} AS DOUBLE)")
+
+
+USER_SPLIT = """us AS (SELECT uid, row_number() OVER (ORDER BY md5('1:' || CAST(uid AS VARCHAR)), uid) - 1 AS pos,
+                     count(*) OVER () AS g FROM (SELECT DISTINCT uid FROM fc)),
+uside AS (SELECT uid, CASE WHEN pos < ceil(CAST(g AS DOUBLE) * 0.4) THEN 'test' ELSE 'train' END AS side FROM us)"""
+
+ORACLE.update({
+    "flatten_sequences": f"WITH {FORECAST}\nSELECT {_FLAT_COLS} FROM flat",
+    "sequence_matrix": f"""WITH {FORECAST},
+steps AS (SELECT fc.uid, fc.date, fc.phq9, fv.slot,
+   {" || ' ' || ".join(_num('fv.' + f) for f in FLAT_ORDER)} AS step
+   FROM fc JOIN fv ON fv.uid = fc.uid AND fv.date = fc.date AND fv.idx = fc.idx)
+SELECT uid AS user_id, phq9 AS phq_week2, string_agg(step, '; ' ORDER BY slot) AS matrix FROM steps GROUP BY uid, date, phq9""",
+    "numeric_coerce": f"""WITH {CT},
+raw AS (SELECT doc_id, source AS r1, substring(source, 4, 10) AS r2,
+               CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'NaN' ELSE lang END AS r3 FROM ct),
+num AS (SELECT doc_id, {', '.join(f"TRY_CAST(coalesce(r{i}, '0') AS DOUBLE) AS n{i}" for i in (1, 2, 3))} FROM raw)
+SELECT doc_id, {', '.join(f'CASE WHEN isnan(n{i}) THEN NULL ELSE n{i} END AS tree_{i}' for i in (1, 2, 3))},
+       {', '.join(f'coalesce(CASE WHEN isnan(n{i}) THEN NULL ELSE n{i} END, 0.0) AS seq_{i}' for i in (1, 2, 3))}
+FROM num""",
+    "standard_scale": f"""WITH e AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS z_{i}' for i in range(8))} FROM embeddings),
+ix AS (SELECT vec_id, row_number() OVER (ORDER BY md5('1:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS pos, count(*) OVER () AS n FROM e),
+sd AS (SELECT e.*, CASE WHEN pos < floor(CAST(n AS DOUBLE) * 0.2) THEN 'validation' ELSE 'train' END AS side FROM e JOIN ix USING (vec_id)),
+st AS (SELECT {', '.join(f'avg(z_{i}) AS mu_{i}, stddev_pop(z_{i}) AS sd_{i}' for i in range(8))} FROM sd WHERE side = 'train')
+SELECT vec_id, side, {', '.join(f'round((z_{i} - mu_{i}) / CASE WHEN sd_{i} = 0 THEN 1.0 ELSE sd_{i} END, 6) AS z_{i}' for i in range(8))}
+FROM sd, st""",
+    "minmax_sequences": f"""WITH {FORECAST}, {USER_SPLIT},
+vals AS (SELECT fc.uid, fc.date, u.side, fv.slot,
+   {', '.join(f'coalesce(CAST(fv.{f} AS DOUBLE), 0.0) AS {f}' for f in FEATS)}
+   FROM fc JOIN fv ON fv.uid = fc.uid AND fv.date = fc.date AND fv.idx = fc.idx JOIN uside u ON u.uid = fc.uid),
+st AS (SELECT {', '.join(f'min({f}) AS mn_{f}, max({f}) AS mx_{f}' for f in FEATS)} FROM vals WHERE side = 'train')
+SELECT uid AS "user", date, side, {', '.join(
+        f'round(sum(({f} - mn_{f}) / CASE WHEN mx_{f} - mn_{f} = 0 THEN 1.0 ELSE mx_{f} - mn_{f} END), 6) AS mm_sum_{f}'
+        for f in FEATS)}
+FROM vals, st GROUP BY uid, date, side""",
+    "label_encode": f"""WITH {FORECAST}, {USER_SPLIT},
+tr AS (SELECT DISTINCT uid FROM uside WHERE side = 'train'),
+u2 AS (SELECT uid, row_number() OVER (ORDER BY md5('1:stage2:' || CAST(uid AS VARCHAR)), uid) - 1 AS pos, count(*) OVER () AS g FROM tr),
+sides AS (SELECT u.uid, CASE WHEN u.side = 'test' THEN 'test' WHEN u2.pos < ceil(CAST(u2.g AS DOUBLE) * 0.5) THEN 'eval' ELSE 'train' END AS side
+          FROM uside u LEFT JOIN u2 ON u2.uid = u.uid),
+rows AS (SELECT fc.uid, fc.date, s.side, fc.label FROM fc JOIN sides s ON s.uid = fc.uid),
+dict AS (SELECT DISTINCT label FROM rows WHERE side IN ('train', 'eval'))
+SELECT uid AS "user", date, side, label,
+       CASE WHEN label IN (SELECT label FROM dict) THEN CAST((SELECT count(*) FROM dict d WHERE d.label < rows.label) AS INTEGER) END AS code
+FROM rows""",
+    "argmax_class": """SELECT vec_id, label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted
+FROM embeddings""",
+})
