@@ -587,3 +587,212 @@ def argmax_class(spark, sf_dir):
     """Predicted class = first arg-max of the first 10 embedding values."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     return emb.select("vec_id", "label", PP.argmax_class(F.slice("embedding", 1, 10)).alias("predicted"))
+
+
+# ---------------------------------------------------------------- study, sinks and restart
+from transitio import session as SE  # noqa: E402
+from transitio.plans import study as ST  # noqa: E402
+from transitio.sources import io as IO  # noqa: E402
+
+
+def study_detail(spark, sf_dir):
+    """Results-table fixture: customer x nation (25-row TPC-H dimension, broadcast by its
+    fixed size). Negative account balances play failed runs (NULL macro F1)."""
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    n = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    j = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"], "inner")
+    k = F.col("c_custkey")
+    return j.select(
+        k.alias("random_seed"), F.col("c_mktsegment").alias("model"), F.col("n_name").alias("feature_set"),
+        ((k % 97) / 97.0).alias("accuracy"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 10000.0).alias("macro_f1"),
+        ((k % 89) / 89.0).alias("weighted_f1"), ((k % 83) / 83.0).alias("macro_precision"),
+        ((k % 79) / 79.0).alias("macro_recall"), (F.lit(14) * (1 + F.col("n_nationkey") % 4)).cast("int").alias("num_features"))
+
+
+@register("study_summary")
+def study_summary(spark, sf_dir):
+    """A9 (+ X5 input, S6 shape): mean / sample std per (model, feature_set), rounded to 4."""
+    return ST.summarize(study_detail(spark, sf_dir))
+
+
+@register("top_performers")
+def top_performers(spark, sf_dir):
+    """Top 10 cells by mean macro F1."""
+    return ST.top_performers(ST.summarize(study_detail(spark, sf_dir))).select(
+        "model", "feature_set", "macro_f1_mean", "macro_f1_std", "accuracy_mean")
+
+
+@register("best_per_group")
+def best_per_group(spark, sf_dir):
+    """Best model per feature set and best feature set per model."""
+    return ST.best_per_group(ST.summarize(study_detail(spark, sf_dir)))
+
+
+@register("best_params")
+def best_params(spark, sf_dir):
+    """Best run per cell, strictly greater macro F1 wins, earlier run wins ties, failed skipped."""
+    runs = study_detail(spark, sf_dir)
+    return EV.best_run(runs, ["model", "feature_set"], "macro_f1", "random_seed").select(
+        "model", "feature_set", "random_seed", "macro_f1")
+
+
+@register("experiment_grid")
+def experiment_grid(spark, sf_dir):
+    """X3 + R7: the (model, feature_set) cells present in the results, x 5 seeds."""
+    cells = study_detail(spark, sf_dir).select("model", "feature_set").distinct()
+    return ST.experiment_grid(cells, [1, 2, 3, 4, 5])
+
+
+@register("feature_power_set")
+def feature_power_set(spark, sf_dir):
+    """The 15 feature configurations with the records and present values each covers."""
+    rec, _ = _kept(spark, sf_dir, FOUR)
+    return ST.configuration_coverage(rec, FOUR)
+
+
+@register("prompt_length_stats")
+def prompt_length_stats(spark, sf_dir):
+    """Prompt length per style in characters and whitespace words."""
+    return ST.prompt_length_stats(prompt_frame(spark, sf_dir), ["Basic", "Health_Informtion", "Statistics", "All"])
+
+
+@register("prompt_style_select")
+def prompt_style_select(spark, sf_dir):
+    """P12 + P13: each accepted style name projects its prompt column to (data, state, label)."""
+    p = prompt_frame(spark, sf_dir)
+    parts = [PM.select_style(p, s, keep=("user", "date")).withColumn("style", F.lit(s))
+             for s in ("Basic", "Health_Information", "Statistics", "All")]
+    u = parts[0]
+    for x in parts[1:]:
+        u = u.unionByName(x)
+    return u.select("style", "user", "date", F.length("data").cast("bigint").alias("data_len"),
+                    F.md5("data").alias("data_md5"), "previous_state", "label")
+
+
+@register("csv_roundtrip")
+def csv_roundtrip(spark, sf_dir):
+    """S1 + S2 + S5: the prompt table written as headered CSV with the reference column
+    names, read back with an explicit schema."""
+    p = prompt_frame(spark, sf_dir).drop("date")
+    path = SE.scratch_dir(spark, "prompts-csv")
+    IO.write_csv(p, path, IO.PROMPT_CSV_NAMES)
+    schema = T.StructType([T.StructField(IO.PROMPT_CSV_NAMES[c], T.LongType() if c == "user" else
+                                         T.DoubleType() if c.endswith("_phq") else T.StringType()) for c in p.columns])
+    return IO.read_csv(spark, path, schema)
+
+
+from pyspark.sql import types as T  # noqa: E402
+
+
+@register("sequence_json_unnest")
+def sequence_json_unnest(spark, sf_dir):
+    """S4 + S3: nested user records written as JSON Lines, read back with a declared
+    schema (sequences as text, then try_cast) and unnested to one row per record."""
+    rec, t = _kept(spark, sf_dir, FOUR)
+    nested = SQ.nest_user_records(SQ.attach_survey(rec, t["survey"]), FOUR)
+    path = SE.scratch_dir(spark, "sequences-json")
+    IO.write_nested_json(nested, path)
+    flat = IO.read_nested_json(spark, path, FOUR)
+    return flat.select("user", "gender", "group", "age", "date", "phq9",
+                       *[PM.render_sequence(f, KINDS.get(f, "double")).alias(f"s_{f}") for f in FOUR])
+
+
+@register("results_sink")
+def results_sink(spark, sf_dir):
+    """S6 + S7: the shot-count metrics written partitioned by n_shots, read back."""
+    path = SE.scratch_dir(spark, "results")
+    IO.write_results(shots_curve(spark, sf_dir), path, ["n_shots"], "json", "overwrite")
+    return spark.read.json(path).select("n_shots", "accuracy", "macro_f1")
+
+
+def _manifest_events(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    return ev.select(F.col("user_id").alias("user"), F.to_date("ts").alias("date"), "ts", "event_type", "value",
+                     F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+def _run_grid(ev):
+    days = F.sequence(F.lit(TD.PANEL_START), F.date_add(F.lit(TD.PANEL_START), TD.PANEL_DAYS - 1), F.expr("INTERVAL 1 DAY"))
+    return ev.select("user").distinct().select("user", F.explode(days).alias("date"))
+
+
+@register("pending_runs_both")
+def pending_runs_both(spark, sf_dir):
+    """Grid keys without both a JSON and a CSV result (kind = json if k is even)."""
+    ev = _manifest_events(spark, sf_dir)
+    manifest = ev.select("user", "date", F.when(F.col("k") % 2 == 0, "json").otherwise("csv").alias("kind"))
+    return IO.pending_runs_both(_run_grid(ev), manifest, ["user", "date"])
+
+
+@register("pending_runs_latest_valid")
+def pending_runs_latest_valid(spark, sf_dir):
+    """Grid keys whose newest result (by time) lacks Accuracy or Macro F1."""
+    ev = _manifest_events(spark, sf_dir)
+    manifest = ev.select("user", "date", F.col("ts").alias("file_time"),
+                         F.when(F.col("event_type") != "error", F.col("value")).alias("Accuracy"),
+                         F.when(F.col("event_type") != "signup", F.col("value")).alias("Macro F1"))
+    return IO.pending_runs_latest_valid(_run_grid(ev), manifest, ["user", "date"], "file_time", ["Accuracy", "Macro F1"])
+
+
+@register("score_prompts")
+def score_prompts(spark, sf_dir):
+    """Rendered test chats scored by a predictor through mapInPandas (fallback
+    predictor here), answers parsed in SQL."""
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, 3, "test")
+    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("data").alias("ex_data"),
+                                F.col("label").alias("ex_label")), "example_id")
+    grouped = ex.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "ex_data", "ex_label"))).alias("_ex"))
+    rows = queries.select("doc_id", "data", "label").join(grouped, "doc_id", "left")
+    examples = F.transform("_ex", lambda e: F.struct(e["ex_data"].alias("data"), e["ex_label"].alias("label")))
+    prompts = rows.select("doc_id", "label", PM.render_chat(PM.chat_messages(F.col("data"), F.col("label"), examples,
+                                                                            False)).alias("prompt"))
+    return ST.score_prompts(prompts, "prompt", ST.fallback_predictor_factory, ["doc_id", "label"])
+
+
+def _with_row_id(df, id_expr):
+    return df.withColumn("row_id", id_expr)
+
+
+@register("rf_study")
+def rf_study(spark, sf_dir):
+    """Random forest, small grid, 3-fold CV on macro F1, on 16 embedding dimensions."""
+    emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    cols = [f"e_{i}" for i in range(16)]
+    data = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("y"),
+                      *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+
+    def split(df, seed):
+        s = SM.holdout_split(df, "row_id", seed)
+        return s.withColumn("side", F.when(F.col("side") == "validation", "eval").otherwise("train"))
+    return ST.run_study(data, {"embedding_16": cols}, {"random_forest": {"numTrees": [10, 20], "maxDepth": [4]}},
+                        [1], split)
+
+
+def _flat_study_data(spark, sf_dir):
+    flat = PP.flat_feature_table(_forecast(spark, sf_dir))
+    codes = F.when(F.col("label") == S.LABEL_LESS, 0.0).when(F.col("label") == S.LABEL_MORE, 1.0).otherwise(2.0)
+    return flat.withColumn("row_id", F.concat_ws(":", "user_id", "phq_week2", "future_phq_week2",
+                                                 F.md5(F.to_json(F.struct(*flat.columns))))).withColumn("y", codes)
+
+
+def _user_split(df, seed):
+    return SM.two_stage_split(df, "user_id", seed)
+
+
+@register("gbt_study")
+def gbt_study(spark, sf_dir):
+    """One-vs-rest gradient-boosted trees on the flat battery + magnitude features."""
+    data = _flat_study_data(spark, sf_dir)
+    cols = [f"{f}_{i}" for f in ("battery_afternoon", "magnitude_max") for i in range(1, 15)]
+    return ST.run_study(data, {"battery_afternoon_magnitude_max": cols},
+                        {"gradient_boosting": {"maxIter": [5], "maxDepth": [2, 3]}}, [1], _user_split)
+
+
+@register("study_runs")
+def study_runs(spark, sf_dir):
+    """K15 + X5: seed x feature set x model study on the flat features (reduced grid)."""
+    data = _flat_study_data(spark, sf_dir)
+    sets = {"battery_afternoon": [f"battery_afternoon_{i}" for i in range(1, 15)],
+            "magnitude_max": [f"magnitude_max_{i}" for i in range(1, 15)]}
+    return ST.run_study(data, sets, {"random_forest": {"numTrees": [10], "maxDepth": [3]}}, [1], _user_split)

@@ -593,3 +593,87 @@ FROM rows""",
     "argmax_class": """SELECT vec_id, label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted
 FROM embeddings""",
 })
+
+
+# ---------------------------------------------------------------- study, sinks and restart
+DETAIL = """detail AS (
+  SELECT c.c_custkey AS random_seed, c.c_mktsegment AS model, n.n_name AS feature_set,
+         (c.c_custkey % 97) / 97.0 AS accuracy,
+         CASE WHEN c.c_acctbal >= 0 THEN c.c_acctbal / 10000.0 END AS macro_f1,
+         (c.c_custkey % 89) / 89.0 AS weighted_f1, (c.c_custkey % 83) / 83.0 AS macro_precision,
+         (c.c_custkey % 79) / 79.0 AS macro_recall, CAST(14 * (1 + n.n_nationkey % 4) AS INTEGER) AS num_features
+  FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
+
+_MS = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
+SUMMARY = DETAIL + """,
+summary AS (SELECT model, feature_set, """ + ", ".join(
+    f"{npround(f'avg({m})', 4)} AS {m}_mean, {npround(f'stddev_samp({m})', 4)} AS {m}_std" for m in _MS) + """,
+  min(num_features) AS num_features_first FROM detail GROUP BY model, feature_set)"""
+
+
+def _coverage_sql() -> str:
+    names = ["battery_afternoon", "screen_off_night_duration", "magnitude_max", "screen_use_duration_afternoon"]
+    flags = [f"((i >> {3 - j}) & 1) = 0" for j in range(4)]
+    name = "concat_ws('_', " + ", ".join(f"CASE WHEN {flags[j]} THEN '{names[j]}' END" for j in range(4)) + ")"
+    nval = " + ".join(f"CASE WHEN {flags[j]} THEN nv_{names[j]} ELSE 0 END" for j in range(4))
+    nfeat = " + ".join(f"CAST({flags[j]} AS INTEGER)" for j in range(4))
+    return f"""WITH {SEQ14},
+tot AS (SELECT (SELECT count(*) FROM rec) AS n_records,
+  {', '.join(f'(SELECT count({n}) FROM fv) AS nv_{n}' for n in names)}),
+cfg AS (SELECT CAST(i AS INTEGER) AS i FROM range(0, 15) t(i))
+SELECT i AS config, {name} AS feature_set, CAST({nfeat} AS INTEGER) AS n_features,
+       CAST({nval} AS BIGINT) AS n_values, CAST(n_records AS BIGINT) AS n_records FROM cfg, tot"""
+
+
+STYLES = ("Basic", "Health_Informtion", "Statistics", "All")
+
+ORACLE.update({
+    "study_summary": f"WITH {SUMMARY}\nSELECT * FROM summary",
+    "top_performers": f"""WITH {SUMMARY}
+SELECT model, feature_set, macro_f1_mean, macro_f1_std, accuracy_mean FROM summary
+ORDER BY macro_f1_mean DESC NULLS LAST, model, feature_set LIMIT 10""",
+    "best_per_group": f"""WITH {SUMMARY},
+r AS (SELECT *, row_number() OVER (PARTITION BY feature_set ORDER BY macro_f1_mean DESC NULLS LAST, model, feature_set) AS rf,
+               row_number() OVER (PARTITION BY model ORDER BY macro_f1_mean DESC NULLS LAST, model, feature_set) AS rm FROM summary)
+SELECT 'feature_set' AS group_kind, feature_set AS group_value, model, feature_set, macro_f1_mean, accuracy_mean FROM r WHERE rf = 1
+UNION ALL
+SELECT 'model', model, model, feature_set, macro_f1_mean, accuracy_mean FROM r WHERE rm = 1""",
+    "best_params": f"""WITH {DETAIL}
+SELECT model, feature_set, random_seed, macro_f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, feature_set ORDER BY macro_f1 DESC, random_seed) AS r
+  FROM detail WHERE macro_f1 IS NOT NULL) WHERE r = 1""",
+    "experiment_grid": f"""WITH {DETAIL}, cells AS (SELECT DISTINCT model, feature_set FROM detail)
+SELECT CAST(s AS INTEGER) AS random_seed, model, feature_set, CAST(s AS INTEGER) AS split_seed, CAST(42 * s AS INTEGER) AS model_seed
+FROM cells, range(1, 6) t(s)""",
+    "feature_power_set": _coverage_sql(),
+    "prompt_length_stats": f"""WITH {PAIRS}, pv AS (SELECT {PROMPT_COLS} FROM prompts),
+long AS ({' UNION ALL '.join(f"SELECT '{s}' AS style, length(\"{s}\") AS chars, len(string_split_regex(trim(\"{s}\"), '\\s+')) AS words FROM pv" for s in STYLES)})
+SELECT style, CAST(min(chars) AS BIGINT) AS min_chars, round(avg(chars), 6) AS avg_chars, CAST(max(chars) AS BIGINT) AS max_chars,
+       CAST(min(words) AS BIGINT) AS min_words, round(avg(words), 6) AS avg_words, CAST(max(words) AS BIGINT) AS max_words
+FROM long GROUP BY style""",
+    "prompt_style_select": f"""WITH {PAIRS}, pv AS (SELECT uid, date, previous_state, label, {PROMPT_COLS} FROM prompts)
+""" + " UNION ALL ".join(
+        f"SELECT '{name}' AS style, uid AS \"user\", date, CAST(length(\"{col}\") AS BIGINT) AS data_len, md5(\"{col}\") AS data_md5, "
+        f"previous_state, label FROM pv" for name, col in (("Basic", "Basic"), ("Health_Information", "Health_Informtion"),
+                                                            ("Statistics", "Statistics"), ("All", "All"))),
+    "csv_roundtrip": f"""WITH {PAIRS}
+SELECT uid AS "user", phq9 AS "current PHQ", prev_phq9 AS "previous PHQ", previous_state AS "previous depression state",
+       current_state AS "current depression state", label, {PROMPT_COLS} FROM prompts""",
+    "sequence_json_unnest": f"""WITH {SEQ14}, {SURVEY}
+SELECT s.uid AS "user", sv.bg_sex AS gender, sv.grp AS "group", sv.bg_age AS age, s.date, s.phq9,
+       {', '.join(f's.s_{n}' for n in FEATS)}
+FROM seq s LEFT JOIN sv ON sv.uid = s.uid""",
+    "pending_runs_both": f"""WITH {EV},
+grid AS (SELECT uid, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev), range(0, 30) t(d)),
+m AS (SELECT uid, d AS date, CASE WHEN k % 2 = 0 THEN 'json' ELSE 'csv' END AS kind FROM ev)
+SELECT uid AS "user", date FROM grid g
+WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.uid = g.uid AND m.date = g.date AND m.kind = 'json')
+   OR NOT EXISTS (SELECT 1 FROM m WHERE m.uid = g.uid AND m.date = g.date AND m.kind = 'csv')""",
+    "pending_runs_latest_valid": f"""WITH {EV},
+grid AS (SELECT uid, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev), range(0, 30) t(d)),
+m AS (SELECT user_id AS uid, CAST(ts AS DATE) AS date, ts,
+             CASE WHEN event_type <> 'error' THEN value END AS acc, CASE WHEN event_type <> 'signup' THEN value END AS f1 FROM events),
+latest AS (SELECT uid, date, arg_max(acc IS NOT NULL AND f1 IS NOT NULL, ts) AS ok FROM m GROUP BY uid, date)
+SELECT uid AS "user", date FROM grid g
+WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.uid = g.uid AND l.date = g.date AND l.ok)""",
+})
