@@ -92,14 +92,15 @@ def report(df: DataFrame, y: str, yhat: str, labels: list[str], keys=None, digit
     rows = spine.join(pl, k + ["label"], "left").select(
         *k, F.col("label").alias("row"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")],
-        F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
-    totals = pl.groupBy(*k).agg((F.sum("tp") / F.sum("support")).alias("acc"), F.sum("support").alias("tot"))
+        F.coalesce("support", F.lit(0)).cast("bigint").alias("support"),
+        F.coalesce("tp", F.lit(0)).cast("bigint").alias("tp"))
+    # Supports and accuracy over the listed labels (they cover every present label).
     summary = rows.groupBy(*k).agg(
+        (F.sum("tp") / F.sum("support")).alias("acc"), F.sum("support").alias("tot"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    summary = summary.join(totals, k, "inner")
     extra = summary.select(*k, F.explode(F.array(
         F.struct(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"),
@@ -109,7 +110,7 @@ def report(df: DataFrame, y: str, yhat: str, labels: list[str], keys=None, digit
         F.struct(F.lit("weighted avg").alias("row"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
                  F.col("wf").alias("f1"), F.col("tot").cast("bigint").alias("support")),
     )).alias("s")).select(*k, "s.*")
-    out = rows.unionByName(extra)
+    out = rows.drop("tp").unionByName(extra)
     return out.select(*user_keys, "row", *[F.round(c, digits).alias(c) for c in ("precision", "recall", "f1")],
                       "support")
 

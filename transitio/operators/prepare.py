@@ -44,9 +44,10 @@ def coerce_columns(df: DataFrame, cols: list[str], fill_after: bool) -> DataFram
                      *[S.coerce_numeric(c, fill_after).alias(c) for c in cols])
 
 
-def _one_row(stats: DataFrame) -> DataFrame:
-    """A single-row statistics frame with a join key; its size is one row by construction."""
-    return F.broadcast(stats.withColumn("_one", F.lit(1)))
+def _one_row(stats: DataFrame) -> Column:
+    """A single-row statistics frame as one struct-valued scalar subquery: computed once,
+    inlined as a value into the row-level projection (no join)."""
+    return stats.select(F.struct(*stats.columns).alias("s")).scalar()
 
 
 def standard_stats(train: DataFrame, cols: list[str]) -> DataFrame:
@@ -59,14 +60,14 @@ def standard_stats(train: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def standard_scale(df: DataFrame, stats: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
-    """(x - mean) / std with the training statistics (one broadcast row, equi-joined)."""
-    j = df.withColumn("_one", F.lit(1)).join(_one_row(stats), "_one", "inner")
+    """(x - mean) / std with the training statistics (one scalar-subquery row)."""
+    st = _one_row(stats)
     out = []
     for c in cols:
-        sd = F.when(F.col(f"_sd_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_sd_{c}"))
-        z = (F.col(c) - F.col(f"_mu_{c}")) / sd
+        sd = F.when(st[f"_sd_{c}"] == 0, F.lit(1.0)).otherwise(st[f"_sd_{c}"])
+        z = (F.col(c) - st[f"_mu_{c}"]) / sd
         out.append((F.round(z, digits) if digits is not None else z).alias(c))
-    return j.select(*[c for c in df.columns if c not in cols], *out)
+    return df.select(*[c for c in df.columns if c not in cols], *out)
 
 
 def minmax_stats(train: DataFrame, arrays: list[str]) -> DataFrame:
@@ -81,13 +82,17 @@ def minmax_stats(train: DataFrame, arrays: list[str]) -> DataFrame:
 def minmax_scale(df: DataFrame, stats: DataFrame, arrays: list[str]) -> DataFrame:
     """(x - min) / (max - min), a zero range scales by 1; evaluation rows use the
     training statistics and are not clipped."""
-    j = df.withColumn("_one", F.lit(1)).join(_one_row(stats), "_one", "inner")
-    out = []
+    st = _one_row(stats)
+    # Subqueries may not sit inside lambdas: bind the statistics to columns first.
+    bound = df
     for a in arrays:
-        rng = F.col(f"_mx_{a}") - F.col(f"_mn_{a}")
-        rng = F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-        out.append(F.transform(a, lambda x: (x - F.col(f"_mn_{a}")) / rng).alias(a))
-    return j.select(*[c for c in df.columns if c not in arrays], *out)
+        rng = st[f"_mx_{a}"] - st[f"_mn_{a}"]
+        bound = bound.withColumn(f"_lo_{a}", st[f"_mn_{a}"]) \
+            .withColumn(f"_rng_{a}", F.when(rng == 0, F.lit(1.0)).otherwise(rng))
+    def scaler(a: str):
+        return lambda x: (x - F.col(f"_lo_{a}")) / F.col(f"_rng_{a}")
+    out = [F.transform(a, scaler(a)).alias(a) for a in arrays]
+    return bound.select(*[c for c in df.columns if c not in arrays], *out)
 
 
 def sequence_matrix(prefixes: list[str], length: int = 14) -> Column:
@@ -109,9 +114,9 @@ def label_dictionary(frames: list[DataFrame], label: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, dictionary: DataFrame, label: str, name: str = "code") -> DataFrame:
     """K9: alphabetical code of the label (NULL when unseen)."""
-    j = df.withColumn("_one", F.lit(1)).join(_one_row(dictionary), "_one", "inner")
-    pos = F.array_position("labels", F.col(label))
-    return j.withColumn(name, F.when(pos > 0, (pos - 1).cast("int"))).drop("_one", "labels")
+    labels = _one_row(dictionary)["labels"]
+    pos = F.array_position(labels, F.col(label))
+    return df.withColumn(name, F.when(pos > 0, (pos - 1).cast("int")))
 
 
 def argmax_class(scores: Column | str) -> Column:

@@ -63,12 +63,12 @@ def group_sides(df: DataFrame, group: str, seed, test_fraction: float = 0.4,
     groups = df.select(*k, group).distinct()
     seed_c = F.col(seed) if isinstance(seed, str) and seed in groups.columns else _seed_col(seed)
     idx = dense_index(groups, k, seeded_md5(seed_c, group), group)
-    n = groups.groupBy(*k).agg(F.count(F.lit(1)).alias("_g")) if k else \
-        groups.groupBy().agg(F.count(F.lit(1)).alias("_g")).withColumn("_all", F.lit(0))
-    if not k:
-        idx = idx.withColumn("_all", F.lit(0))
-    jk = k or ["_all"]
-    out = idx.join(n, jk, "inner")
+    if k:
+        n = groups.groupBy(*k).agg(F.count(F.lit(1)).alias("_g"))
+        out = idx.join(n, k, "inner")
+    else:
+        # One global count: a scalar subquery evaluated once, not a join.
+        out = idx.withColumn("_g", groups.agg(F.count(F.lit(1))).scalar())
     out = out.withColumn("is_test", F.col("pos") < F.ceil(F.col("_g") * F.lit(test_fraction)))
     return out.select(*k, group, "is_test")
 
@@ -126,11 +126,10 @@ def oversample(train: DataFrame, label: str, row_id: str, seed=1, keys: list[str
 def holdout_split(df: DataFrame, row_id: str, seed=1, fraction: float = 0.2) -> DataFrame:
     """Rows permuted by hash; the first int(fraction * n) are validation."""
     idx = dense_index(df, [], seeded_md5(seed, row_id), row_id)
-    n = df.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
-    out = idx.withColumn("_all", F.lit(0)).join(n, "_all", "inner")  # one-row count, equi-join
-    out = out.withColumn("side", F.when(F.col("pos") < F.floor(F.col("_n") * F.lit(fraction)), F.lit("validation"))
+    n = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, evaluated once
+    out = idx.withColumn("side", F.when(F.col("pos") < F.floor(n * F.lit(fraction)), F.lit("validation"))
                          .otherwise(F.lit("train")))
-    return out.drop("_all", "_n", "pos")
+    return out.drop("pos")
 
 
 def stratified_folds(df: DataFrame, label: str, row_id: str, seed=1, k: int = 3) -> DataFrame:

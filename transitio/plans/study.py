@@ -124,7 +124,8 @@ def cross_validate(train: DataFrame, cols: list[str], kind: str, grid: dict[str,
     """K13/K14 search: each grid cell scored by mean macro F1 over stratified folds (R6);
     fold membership is a column, so each fold is a filter, not a copy."""
     from transitio.operators.sampling import stratified_folds
-    fdf = stratified_folds(train, "y", "row_id", seed, folds)
+    # Fold membership is materialised once (reliable checkpoint) and reused by every fit.
+    fdf = stratified_folds(train, "y", "row_id", seed, folds).checkpoint(eager=True)
     rows = []
     for ordinal, params in enumerate(_grid(grid)):
         per_fold = [fit_and_score(fdf.where(F.col("fold") != k), fdf.where(F.col("fold") == k), cols, kind, params, seed)
@@ -146,14 +147,19 @@ def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[
     train statistics, grid search by CV macro F1, refit the best, score on the eval side.
     ``data`` has ``row_id``, numeric ``y`` and the feature columns; ``split(df, seed)`` adds
     ``side`` in {'train', 'eval', ...}. Failed runs are skipped, as in the reference."""
+    from transitio.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(data.sparkSession)
     results = []
     for seed in seeds:
-        sp = split(data, seed)
+        # The split table is checkpointed to the shared checkpoint folder: every fit below
+        # reads it instead of re-running the upstream plan, and a lost executor recomputes
+        # from the files, not from the whole lineage.
+        sp = split(data, seed).checkpoint(eager=True)
         for fs, cols in feature_sets.items():
             prepared = PP.coerce_columns(sp, cols, fill_after=True)
             stats = PP.standard_stats(prepared.where("side = 'train'"), cols)
-            scaled = PP.standard_scale(prepared, stats, cols)
-            train, ev = scaled.where("side = 'train'").cache(), scaled.where("side = 'eval'")
+            scaled = PP.standard_scale(prepared, stats, cols).checkpoint(eager=True)
+            train, ev = scaled.where("side = 'train'"), scaled.where("side = 'eval'")
             for kind, grid in models.items():
                 try:
                     cv = cross_validate(train, cols, kind, grid, 42 * seed).collect()
@@ -168,7 +174,6 @@ def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[
                     F.lit(seed).alias("random_seed"), F.lit(kind).alias("model"), F.lit(fs).alias("feature_set"),
                     F.lit(len(cols)).alias("num_features"), *[F.col(c) for c in m.columns if c != "n"],
                     F.lit(repr(params)).alias("best_params")))
-            train.unpersist()
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
