@@ -63,7 +63,7 @@ def test_metrics_fixture(spark):
     assert (round(m.macro_precision, 4), round(m.macro_recall, 4), round(m.macro_f1, 4)) == (0.75, 0.75, 0.6667)
     assert (round(m.weighted_precision, 4), round(m.weighted_recall, 4), round(m.weighted_f1, 4)) == (0.8333, 0.6667, 0.6667)
     rep = {r.row: r for r in EV.report(df, "y", "p", ["0", "1", "2"]).collect()}
-    assert round(rep["macro avg"].f1, 4) == round(0.6667 * 2 / 3, 4) and rep["2"].support == 0
+    assert round(rep["macro avg"].f1, 4) == round((2 / 3) * (2 / 3), 4) and rep["2"].support == 0
     cm = EV.confusion_matrix(df, "y", "p").collect()
     assert len(cm) == 4 and sum(r.n for r in cm) == 3
 
