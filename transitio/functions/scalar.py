@@ -26,13 +26,25 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def q(name: str) -> str:
+    """Backtick-quoted column reference for SQL expression strings."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def np_round_sql(x: str, digits: int) -> str:
+    scale = 10 ** digits
+    return f"(rint(({x}) * {scale}D) / {scale}D)"
+
+
 def np_round(c: Column | str, digits: int) -> Column:
     """numpy/pandas ``.round(d)``: ``rint(x * 10^d) / 10^d`` (half to even on the scaled value).
 
     Spark's ``round`` is HALF_UP and differs on ties (0.25 -> 0.3), so it is not used.
     """
+    if isinstance(c, str):
+        return F.expr(np_round_sql(q(c), digits))
     scale = float(10 ** digits)
-    return F.rint(col(c) * F.lit(scale)) / F.lit(scale)
+    return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -40,18 +52,17 @@ def nan_to_null(c: Column | str) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
-def battery_daily_mean(cols: Sequence[Column | str]) -> Column:
+def battery_daily_mean(cols: Sequence[str]) -> Column:
     """sum of the epoch means (NULLs skipped) divided by the number of epochs, always;
     0 when the sum is not positive; truncated to int."""
-    total = sum((F.coalesce(col(c), F.lit(0.0)) for c in cols[1:]), F.coalesce(col(cols[0]), F.lit(0.0)))
-    return F.when(total > 0, total / F.lit(float(len(cols)))).otherwise(F.lit(0.0)).cast("int")
+    total = "(" + " + ".join(f"coalesce({q(c)}, 0D)" for c in cols) + ")"
+    return F.expr(f"CAST(CASE WHEN {total} > 0 THEN {total} / {len(cols)}D ELSE 0D END AS INT)")
 
 
-def quadratic_mean(cols: Sequence[Column | str]) -> Column:
+def quadratic_mean(cols: Sequence[str]) -> Column:
     """``sqrt(sum(x^2) / n)`` truncated to int; 0 when the sum is not positive or a cell is NULL."""
-    squares = [col(c) * col(c) for c in cols]
-    total = sum(squares[1:], squares[0])
-    return F.when(total > 0, F.sqrt(total / F.lit(float(len(cols))))).otherwise(F.lit(0.0)).cast("int")
+    total = "(" + " + ".join(f"{q(c)} * {q(c)}" for c in cols) + ")"
+    return F.expr(f"CAST(CASE WHEN {total} > 0 THEN sqrt({total} / {len(cols)}D) ELSE 0D END AS INT)")
 
 
 def truncate_int(c: Column | str) -> Column:
@@ -59,24 +70,23 @@ def truncate_int(c: Column | str) -> Column:
     return col(c).cast("int")
 
 
-def daily_max(cols: Sequence[Column | str], digits: int = 1) -> Column:
+def daily_max(cols: Sequence[str], digits: int = 1) -> Column:
     """maximum over the epochs (NULL and NaN skipped), 0 when not positive, rounded."""
-    m = F.greatest(*[nan_to_null(c) for c in cols])
-    return np_round(F.when(m > 0, m).otherwise(F.lit(0.0)), digits)
+    m = "greatest(" + ", ".join(f"nanvl({q(c)}, CAST(NULL AS DOUBLE))" for c in cols) + ")"
+    return F.expr(np_round_sql(f"CASE WHEN {m} > 0 THEN {m} ELSE 0D END", digits))
 
 
-def seconds_to(c: Column | str, seconds_per_unit: float, digits: int = 1) -> Column:
+def seconds_to(c: str, seconds_per_unit: float, digits: int = 1) -> Column:
     """Duration in seconds converted to minutes (60) or hours (3600), rounded; NULL stays NULL."""
-    x = col(c).cast("double")
-    return np_round(F.when(x == 0, F.lit(0.0)).otherwise(x / F.lit(float(seconds_per_unit))), digits)
+    x = f"CAST({q(c)} AS DOUBLE)"
+    return F.expr(np_round_sql(f"CASE WHEN {x} = 0 THEN 0D ELSE {x} / {float(seconds_per_unit)}D END", digits))
 
 
-def safe_ratio(num: Column | str, den: Column | str, digits: int = 2) -> Column:
+def safe_ratio(num: str, den: str, digits: int = 2) -> Column:
     """NULL if either side is NULL, +Infinity if the denominator is 0, else the rounded ratio."""
-    a, b = col(num).cast("double"), col(den).cast("double")
-    return (F.when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-            .when(b == 0, F.lit(float("inf")))
-            .otherwise(np_round(a / b, digits)))
+    a, b = f"CAST({q(num)} AS DOUBLE)", f"CAST({q(den)} AS DOUBLE)"
+    return F.expr(f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN CAST(NULL AS DOUBLE) "
+                  f"WHEN {b} = 0 THEN CAST('Infinity' AS DOUBLE) ELSE {np_round_sql(f'{a} / {b}', digits)} END")
 
 
 def severity_state(score: Column | str, cut: float = 10) -> Column:

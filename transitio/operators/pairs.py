@@ -65,15 +65,17 @@ def history_average(records: DataFrame, features: list[str]) -> DataFrame:
     independent of partition order.
     """
     w = _by_user().rowsBetween(Window.unboundedPreceding, -1)
-    out = records
+    parts = []
     for f in features:
         total, n = _valid_sum_count(f)
-        out = out.withColumn(f"_s_{f}", total).withColumn(f"_n_{f}", n)
+        parts += [total.alias(f"_s_{f}"), n.alias(f"_n_{f}")]
+    out = records.select("*", *parts)
+    hist = []
     for f in features:
         s = F.sum(f"_s_{f}").over(w)
         n = F.sum(f"_n_{f}").over(w)
-        out = out.withColumn(f"hist_{f}", F.when(n > 0, S.np_round(s.cast("double") / n, 1)))
-    return out.drop(*[f"_s_{f}" for f in features], *[f"_n_{f}" for f in features])
+        hist.append(F.when(n > 0, S.np_round(s.cast("double") / n, 1)).alias(f"hist_{f}"))
+    return out.select(*records.columns, *hist)
 
 
 def record_ordinal(records: DataFrame) -> DataFrame:

@@ -30,22 +30,38 @@ def _battery_cols() -> list[str]:
     return [f"battery_{e}" for e in EPOCHS]
 
 
+class _Catalog(dict):
+    """Feature name -> Feature, each built on first use (building a Column costs JVM calls)."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self[key] = self._builders[key]()
+        return value
+
+    def __contains__(self, key):
+        return key in self._builders
+
+
 def feature_catalog() -> dict[str, Feature]:
     """Daily features by name. The first five are the ones rendered into prompts."""
-    out = {
-        "battery_afternoon": Feature("battery", S.truncate_int("battery_afternoon"), "int"),
-        "screen_off_night_duration": Feature("screen", S.seconds_to("screen_off_night", 3600)),
-        "screen_use_duration_afternoon": Feature("screen", S.seconds_to("screen_use_afternoon", 3600)),
-        "magnitude_max": Feature("accelerometer", S.daily_max([f"magnitude_{e}" for e in
-                                                               ("morning", "afternoon", "evening", "night")])),
-        "magnitude_afternoon": Feature("accelerometer", S.np_round("magnitude_afternoon", 1)),
-        "location_ratio": Feature("location", S.safe_ratio("n_static", "n_moving", 2)),
-        "location_bins": Feature("location", F.col("n_bins").cast("double")),
+    builders = {
+        "battery_afternoon": lambda: Feature("battery", S.truncate_int("battery_afternoon"), "int"),
+        "screen_off_night_duration": lambda: Feature("screen", S.seconds_to("screen_off_night", 3600)),
+        "screen_use_duration_afternoon": lambda: Feature("screen", S.seconds_to("screen_use_afternoon", 3600)),
+        "magnitude_max": lambda: Feature("accelerometer", S.daily_max(
+            [f"magnitude_{e}" for e in ("morning", "afternoon", "evening", "night")])),
+        "magnitude_afternoon": lambda: Feature("accelerometer", S.np_round("magnitude_afternoon", 1)),
+        "location_ratio": lambda: Feature("location", S.safe_ratio("n_static", "n_moving", 2)),
+        "location_bins": lambda: Feature("location", F.col("n_bins").cast("double")),
     }
     for kind in ("off", "use"):
         for e in EPOCHS:
-            out.setdefault(f"screen_{kind}_{e}_duration", Feature("screen", S.seconds_to(f"screen_{kind}_{e}", 3600)))
-    return out
+            builders.setdefault(f"screen_{kind}_{e}_duration",
+                                lambda k=kind, ep=e: Feature("screen", S.seconds_to(f"screen_{k}_{ep}", 3600)))
+    return _Catalog(builders)
 
 
 def app_feature(category: str, epoch: str) -> Feature:
@@ -134,14 +150,10 @@ def slot_values(assessments: DataFrame, tables: dict[str, DataFrame], features:
         out = out.join(frame, (out["user"] == frame["_u"]) & (out["date"] == frame["_d"]), "left") \
             .drop("_u", "_d")
     masked = F.col("battery_mean").eqNullSafe(0)
-    out = out.withColumn("masked", masked) \
-        .withColumn("missing", F.col("battery_std").isNull() | masked)
-    if "battery_afternoon" in features:
-        out = out.withColumn("battery_afternoon", F.col("_battery_afternoon"))
-    out = out.drop("_battery_afternoon")
-    for name in features:
-        out = out.withColumn(name, F.when(~F.col("masked"), F.col(name)))
-    return out
+    values = {n: F.col("_battery_afternoon") if n == "battery_afternoon" else F.col(n) for n in features}
+    keep = [c for c in out.columns if c not in values and c != "_battery_afternoon"]
+    return out.select(*keep, masked.alias("masked"), (F.col("battery_std").isNull() | masked).alias("missing"),
+                      *[F.when(~masked, v).alias(n) for n, v in values.items()])
 
 
 def build_records(assessments: DataFrame, tables: dict[str, DataFrame], features: list[str],
@@ -158,8 +170,7 @@ def build_records(assessments: DataFrame, tables: dict[str, DataFrame], features
                           lambda x: x["v"]).alias(n) for n in features]
     rec = sv.groupBy("user", F.col("anchor").alias("date"), "idx", "phq9").agg(
         F.sum(F.col("missing").cast("int")).cast("int").alias("n_missing"), *arrays)
-    rec = rec.withColumn("kept", F.col("n_missing") <= F.lit(max_missing))
-    return rec.where("kept").drop("kept") if gate else rec
+    return rec.where(F.col("n_missing") <= F.lit(max_missing)) if gate else rec
 
 
 def dedupe_survey(survey: DataFrame) -> DataFrame:

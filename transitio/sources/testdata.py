@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitio.sources.tables import table
@@ -33,65 +33,55 @@ def enriched_events(events: DataFrame) -> DataFrame:
     )
 
 
-def _in_epoch(i: int, value: Column) -> Column:
-    return F.when(F.col("epoch") == i, value)
+def _epoch_mean(i: int, scale: str = "") -> str:
+    """Mean of the epoch's values: exact decimal sum, divided once as double; NULL if none."""
+    v = f"CASE WHEN epoch = {i} THEN v END"
+    return f"CASE WHEN count({v}) > 0 THEN CAST(sum({v}) AS DOUBLE) / count({v}){scale} END"
 
 
-def _epoch_mean(i: int) -> Column:
-    total = F.sum(_in_epoch(i, F.col("v"))).cast("double")
-    n = F.count(_in_epoch(i, F.col("v")))
-    return F.when(n > 0, total / n)
+def _agg(ev: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Conditional aggregation per (user, date); SQL expression strings keep plan building cheap."""
+    return ev.groupBy("user", "date").agg(*[F.expr(e).alias(name) for name, e in exprs.items()])
 
 
 def battery(events: DataFrame) -> DataFrame:
     """Battery levels: mean per epoch of view/click values; std = max - min of the morning."""
     ev = enriched_events(events).where(F.col("event_type").isin("view", "click"))
-    morning = _in_epoch(1, F.col("v"))
-    return ev.groupBy("user", "date").agg(
-        *[_epoch_mean(i).alias(f"battery_{e}") for i, e in enumerate(EPOCHS)],
-        (F.max(morning) - F.min(morning)).cast("double").alias("battery_std_morning"),
-    )
+    exprs = {f"battery_{e}": _epoch_mean(i) for i, e in enumerate(EPOCHS)}
+    exprs["battery_std_morning"] = "CAST(max(CASE WHEN epoch = 1 THEN v END) - min(CASE WHEN epoch = 1 THEN v END) AS DOUBLE)"
+    return _agg(ev, exprs)
 
 
 def accelerometer(events: DataFrame) -> DataFrame:
     """Accelerometer magnitude per epoch: mean value / 100 over all events."""
-    ev = enriched_events(events)
-    return ev.groupBy("user", "date").agg(
-        *[(_epoch_mean(i) / 100.0).alias(f"magnitude_{e}") for i, e in enumerate(EPOCHS)])
+    return _agg(enriched_events(events), {f"magnitude_{e}": _epoch_mean(i, " / 100D") for i, e in enumerate(EPOCHS)})
+
+
+def _epoch_sum(i: int, etype: str, factor: int) -> str:
+    return f"CAST(sum(CASE WHEN epoch = {i} AND event_type = '{etype}' THEN v END) * {factor} AS DOUBLE)"
 
 
 def screen(events: DataFrame) -> DataFrame:
     """Screen off (error events) and use (click events) seconds per epoch: sum(value) * 60."""
     ev = enriched_events(events).where(F.col("event_type").isin("error", "click"))
-    cols = []
-    for kind, etype in (("off", "error"), ("use", "click")):
-        for i, e in enumerate(EPOCHS):
-            hit = (F.col("epoch") == i) & (F.col("event_type") == etype)
-            cols.append((F.sum(F.when(hit, F.col("v"))) * 60).cast("double").alias(f"screen_{kind}_{e}"))
-    return ev.groupBy("user", "date").agg(*cols)
+    return _agg(ev, {f"screen_{kind}_{e}": _epoch_sum(i, etype, 60)
+                     for kind, etype in (("off", "error"), ("use", "click")) for i, e in enumerate(EPOCHS)})
 
 
 def apps(events: DataFrame, categories=APP_CATEGORIES) -> DataFrame:
     """Application seconds per category (event type) and epoch: sum(value) * 10."""
-    ev = enriched_events(events)
-    cols = []
-    for cat in categories:
-        for i, e in enumerate(EPOCHS):
-            hit = (F.col("epoch") == i) & (F.col("event_type") == cat)
-            cols.append((F.sum(F.when(hit, F.col("v"))) * 10).cast("double").alias(f"app_{cat}_{e}"))
-    return ev.groupBy("user", "date").agg(*cols)
+    return _agg(enriched_events(events), {f"app_{cat}_{e}": _epoch_sum(i, cat, 10)
+                                          for cat in categories for i, e in enumerate(EPOCHS)})
 
 
 def location(events: DataFrame) -> DataFrame:
     """Location per active day: static = sum(k) of non-error events (NULL if none),
     moving = count of error events, bins = number of distinct event types."""
-    ev = enriched_events(events)
-    is_err = F.col("event_type") == "error"
-    return ev.groupBy("user", "date").agg(
-        F.sum(F.when(~is_err, F.col("k"))).cast("double").alias("n_static"),
-        F.count(F.when(is_err, F.lit(1))).cast("double").alias("n_moving"),
-        F.countDistinct("event_type").cast("double").alias("n_bins"),
-    )
+    return _agg(enriched_events(events), {
+        "n_static": "CAST(sum(CASE WHEN event_type <> 'error' THEN k END) AS DOUBLE)",
+        "n_moving": "CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS DOUBLE)",
+        "n_bins": "CAST(count(DISTINCT event_type) AS DOUBLE)",
+    })
 
 
 def phq(events: DataFrame, period: int = 14, start: dt.date = PANEL_START,
@@ -134,19 +124,35 @@ def survey(customer: DataFrame) -> DataFrame:
     return base.unionByName(dup)
 
 
+class _LazyTables(dict):
+    """Builds a mapped table on first access, so a query only pays for what it uses."""
+
+    def __init__(self, builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        value = self[key] = self._builders[key]()
+        return value
+
+
 def panel(spark: SparkSession, sf_dir: str, period: int = 14) -> dict[str, DataFrame]:
-    """All mapped panel inputs for one scale-factor directory."""
-    events = table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
-    customer = table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
-    return {
-        "battery": battery(events),
-        "accelerometer": accelerometer(events),
-        "screen": screen(events),
-        "apps": apps(events),
-        "location": location(events),
-        "phq": phq(events, period),
-        "survey": survey(customer),
-    }
+    """All mapped panel inputs for one scale-factor directory (built lazily)."""
+    cache: dict[str, DataFrame] = {}
+
+    def events():
+        if "events" not in cache:  # one scan definition (and one file listing) per panel
+            cache["events"] = table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
+        return cache["events"]
+    return _LazyTables({
+        "battery": lambda: battery(events()),
+        "accelerometer": lambda: accelerometer(events()),
+        "screen": lambda: screen(events()),
+        "apps": lambda: apps(events()),
+        "location": lambda: location(events()),
+        "phq": lambda: phq(events(), period),
+        "survey": lambda: survey(table(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")),
+    })
 
 
 def class_table(spark: SparkSession, sf_dir: str) -> DataFrame:
