@@ -144,7 +144,7 @@ def seeds_frame(df: DataFrame, seeds: list[int], name: str = "seed") -> DataFram
 
 
 def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text: str, pool_id: str,
-                       query_id: str, n: int, seed=1) -> DataFrame:
+                       query_id: str, n: int, seed=1, hashed: bool = False, materialize: bool = False) -> DataFrame:
     """For each query row, up to ``n`` distinct pool rows of the same stratum whose
     text differs from the query's text, drawn without replacement.
 
@@ -153,12 +153,16 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     ``(e + 1 + (o + j*m) div n') mod count`` for j < n' = min(n, m), m = count - b,
     o = hash(seed:query) mod m: all distinct, never in its own block.
     Returns (query_id, ordinal j, pool_id of the example, n_found).
+    ``hashed=True``: ``text`` already holds md5(seed:text) (see ``text_hash``).
+    ``materialize=True`` checkpoints the indexed pool, which three branches read.
     """
     seed_c = _seed_col(seed)
     # Texts travel as their seeded md5 (also the pool order), never as whole strings.
-    th = seeded_md5(seed_c, text)
+    th = F.col(text) if hashed else seeded_md5(seed_c, text)
     p = pool.select(stratum, th.alias("_th"), pool_id)
     pidx = dense_index(p, [stratum], F.col("_th"), pool_id)
+    if materialize:
+        pidx = pidx.checkpoint(eager=True)
     sizes = pidx.groupBy(stratum).agg(F.count(F.lit(1)).alias("_count"))
     blocks = pidx.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("_b"), F.max("pos").alias("_e"))
     q = queries.select(query_id, stratum, th.alias("_th"))
@@ -176,6 +180,11 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     return picked.join(ex, [stratum, "pos"], "inner").select(query_id, "j", "example_id", "n_found")
 
 
+def text_hash(text: str, seed=1) -> Column:
+    """md5(seed:text): the few-shot pool order and text identity, computed once at the scan."""
+    return seeded_md5(_seed_col(seed), text)
+
+
 def shuffled_ordinals(pairs: DataFrame, query_id: str, seed=1) -> DataFrame:
     """K17 helper: re-rank a query's examples by hash so the first k of them are a uniform
     k-subset (nested samples for growing shot counts). Groups are bounded by ``n``."""

@@ -403,13 +403,21 @@ def stratified_folds(spark, sf_dir):
 
 
 def _few_shot(spark, sf_dir, n, queries_side=None):
-    sp = _split(spark, sf_dir)
+    """Split + few-shot pairs over narrow rows (ids, stratum, label, text hash). The split is
+    checkpointed once (it feeds pool and queries), so the document scan and the splitting
+    joins run once; full texts are joined back by id only where a chat needs them."""
+    ct = _class(spark, sf_dir).select("doc_id", "source", "lang", "label", SM.text_hash("data", 1).alias("th"))
+    sp = SM.group_split(ct, "source", 1).checkpoint(eager=True)
     pool = sp.where("side = 'train'")
     queries = sp if queries_side is None else sp.where(F.col("side") == queries_side)
-    pairs = SM.few_shot_positions(pool, queries, "lang", "data", "doc_id", "doc_id", n, 1)
+    pairs = SM.few_shot_positions(pool, queries, "lang", "th", "doc_id", "doc_id", n, 1, hashed=True, materialize=True)
     return sp, pool, queries, pairs
 
 
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
 @register("few_shot_pairs")
 def few_shot_pairs(spark, sf_dir):
     """5 examples per row from the train pool, same language, different text."""
@@ -459,12 +467,19 @@ def shots_curve(spark, sf_dir):
     return m.select("n_shots", "accuracy", "macro_f1")
 
 
-def _chats(spark, sf_dir, side, with_answer):
-    _, pool, queries, pairs = _few_shot(spark, sf_dir, 3, side)
-    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("data").alias("ex_data"),
-                                F.col("label").alias("ex_label")), "example_id")
+def _chat_rows(spark, sf_dir, side, n):
+    """Query rows with their ordered examples (text + label), texts joined back by id."""
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, n, side)
+    texts = _texts(spark, sf_dir)
+    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("label").alias("ex_label")), "example_id") \
+        .join(texts.select(F.col("doc_id").alias("example_id"), F.col("text").alias("ex_data")), "example_id")
     grouped = ex.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "ex_data", "ex_label"))).alias("_ex"))
-    rows = queries.select("doc_id", "data", "label").join(grouped, "doc_id", "left")
+    own = queries.select("doc_id", "label").join(texts.select("doc_id", F.col("text").alias("data")), "doc_id")
+    return own.join(grouped, "doc_id", "left")
+
+
+def _chats(spark, sf_dir, side, with_answer):
+    rows = _chat_rows(spark, sf_dir, side, 3)
     examples = F.transform("_ex", lambda e: F.struct(e["ex_data"].alias("data"), e["ex_label"].alias("label")))
     msgs = PM.chat_messages(F.col("data"), F.col("label"), examples, with_answer)
     out = rows.select("doc_id", msgs.alias("messages"))
@@ -739,11 +754,7 @@ def pending_runs_latest_valid(spark, sf_dir):
 def score_prompts(spark, sf_dir):
     """Rendered test chats scored by a predictor through mapInPandas (fallback
     predictor here), answers parsed in SQL."""
-    _, pool, queries, pairs = _few_shot(spark, sf_dir, 3, "test")
-    ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("data").alias("ex_data"),
-                                F.col("label").alias("ex_label")), "example_id")
-    grouped = ex.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "ex_data", "ex_label"))).alias("_ex"))
-    rows = queries.select("doc_id", "data", "label").join(grouped, "doc_id", "left")
+    rows = _chat_rows(spark, sf_dir, "test", 3)
     examples = F.transform("_ex", lambda e: F.struct(e["ex_data"].alias("data"), e["ex_label"].alias("label")))
     prompts = rows.select("doc_id", "label", PM.render_chat(PM.chat_messages(F.col("data"), F.col("label"), examples,
                                                                             False)).alias("prompt"))
