@@ -50,11 +50,11 @@ def forecast_pairs(records: DataFrame, period: int = 14, threshold: float = 3) -
 
 def _valid_sum_count(arr: str):
     """Per-record sum (exact decimal) and count of finite, present elements of a sequence."""
-    valid = F.filter(F.col(arr).cast("array<double>"),
-                     lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    total = F.aggregate(valid, F.lit(0).cast("decimal(20,1)"),
-                        lambda acc, x: (acc + x.cast("decimal(20,1)")).cast("decimal(20,1)"))
-    return total, F.size(valid)
+    valid = (f"filter(CAST(`{arr}` AS ARRAY<DOUBLE>), x -> x IS NOT NULL AND NOT isnan(x) "
+             f"AND abs(x) != CAST('Infinity' AS DOUBLE))")
+    total = F.expr(f"aggregate({valid}, CAST(0 AS DECIMAL(20,1)), "
+                   f"(acc, x) -> CAST(acc + CAST(x AS DECIMAL(20,1)) AS DECIMAL(20,1)))")
+    return total, F.expr(f"size({valid})")
 
 
 def history_average(records: DataFrame, features: list[str]) -> DataFrame:

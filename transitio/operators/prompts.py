@@ -84,9 +84,19 @@ def render_number(x: Column, kind: str = "double") -> Column:
             .otherwise(d.cast("string")))
 
 
+def render_number_sql(x: str, kind: str = "double") -> str:
+    if kind == "int":
+        return f"coalesce(CAST(CAST({x} AS INT) AS STRING), 'NaN')"
+    d = f"CAST({x} AS DOUBLE)"
+    return (f"CASE WHEN {d} IS NULL OR isnan({d}) THEN 'NaN' WHEN abs({d}) = CAST('Infinity' AS DOUBLE) "
+            f"THEN 'Inf' ELSE CAST({d} AS STRING) END")
+
+
 def render_sequence(arr: Column | str, kind: str = "double") -> Column:
     """K1 helper: ``v1, v2, ..., vn``."""
-    return F.array_join(F.transform(S.col(arr), lambda x: render_number(x, kind)), ", ")
+    if isinstance(arr, str):
+        return F.expr(f"array_join(transform({S.q(arr)}, x -> {render_number_sql('x', kind)}), ', ')")
+    return F.array_join(F.transform(arr, lambda x: render_number(x, kind)), ", ")
 
 
 def statistics_text(features: list[str], kinds: dict[str, str], prefix: str = "",

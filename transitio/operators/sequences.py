@@ -166,8 +166,8 @@ def build_records(assessments: DataFrame, tables: dict[str, DataFrame], features
     """
     max_missing = period // 2 if max_missing is None else max_missing
     sv = slot_values(assessments, tables, features, period, catalog)
-    arrays = [F.transform(F.sort_array(F.collect_list(F.struct("slot", F.col(n).alias("v")))),
-                          lambda x: x["v"]).alias(n) for n in features]
+    arrays = [F.expr(f"transform(sort_array(collect_list(named_struct('slot', slot, 'v', `{n}`))), x -> x.v)").alias(n)
+              for n in features]
     rec = sv.groupBy("user", F.col("anchor").alias("date"), "idx", "phq9").agg(
         F.sum(F.col("missing").cast("int")).cast("int").alias("n_missing"), *arrays)
     return rec.where(F.col("n_missing") <= F.lit(max_missing)) if gate else rec
