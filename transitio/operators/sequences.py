@@ -87,10 +87,16 @@ def battery_daily(battery: DataFrame) -> DataFrame:
     )
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """Keep the first row per key in the given order (file order when it is an ordinal)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep the first row per key in the given (ascending, unique per key) order.
+
+    ``min(struct(order..., row))`` is a plain aggregate with map-side partial aggregation,
+    so a key with very many duplicate rows never sits whole in one task.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = F.min(F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in rest]).alias("_row")))
+    out = df.groupBy(*keys).agg(best.alias("_first"))
+    return out.select(*keys, *[F.col(f"_first.{c}") for c in order], "_first._row.*").select(*df.columns)
 
 
 def valid_assessments(phq: DataFrame, entry_idx: int = 1) -> DataFrame:
@@ -186,14 +192,16 @@ def attach_survey(records: DataFrame, survey: DataFrame) -> DataFrame:
     return records.join(sv, "user", "left")
 
 
-def nest_user_records(records: DataFrame, features: list[str]) -> DataFrame:
-    """``(user, gender, group, age, data array<struct>)`` ordered by (date, idx).
+def nest_user_records(records: DataFrame, features: list[str], chunk_days: int = 366) -> DataFrame:
+    """``(user, gender, group, age, chunk, data array<struct>)`` ordered by (date, idx).
 
-    A user's list is bounded by the assessment schedule (one record per period), so the
-    per-user collect stays small however large the sensor tables are.
+    One nested line per user and time chunk (default about a year), so no collect holds a
+    whole user however long its history; readers unnest lines and a user's chunks in
+    ``chunk`` order concatenate to its full record list.
     """
     item = F.struct(F.col("date"), F.col("idx"),
                     F.date_format("date", "yyyy-MM-dd").alias("date_text"),
                     F.col("phq9").alias("PHQ_week2"), *[F.col(f) for f in features])
     keys = ["user"] + [c for c in ("gender", "group", "age") if c in records.columns]
-    return records.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("data"))
+    chunk = F.floor(F.datediff(F.col("date"), F.lit("1970-01-01")) / F.lit(chunk_days)).cast("long").alias("chunk")
+    return records.groupBy(*keys, chunk).agg(F.sort_array(F.collect_list(item)).alias("data"))

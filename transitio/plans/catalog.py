@@ -216,11 +216,13 @@ def nest_user_records(spark, sf_dir):
     """Per-user nested records; checked through count and first/last entries."""
     rec, t = _kept(spark, sf_dir, FOUR)
     nested = SQ.nest_user_records(SQ.attach_survey(rec, t["survey"]), FOUR)
-    return nested.select(
-        "user", "gender", "group", "age", F.size("data").cast("bigint").alias("n_records"),
-        F.col("data")[0]["date_text"].alias("first_date"),
-        F.element_at("data", -1)["date_text"].alias("last_date"),
-        F.aggregate("data", F.lit(0.0), lambda a, r: a + r["PHQ_week2"]).alias("phq_total"))
+    per_chunk = nested.select(
+        "user", "gender", "group", "age", "chunk", F.size("data").alias("n"),
+        F.col("data")[0]["date_text"].alias("first"), F.element_at("data", -1)["date_text"].alias("last"),
+        F.expr("aggregate(data, 0D, (a, r) -> a + r.PHQ_week2)").alias("total"))
+    return per_chunk.groupBy("user", "gender", "group", "age").agg(
+        F.sum("n").cast("bigint").alias("n_records"), F.min("first").alias("first_date"),
+        F.max("last").alias("last_date"), F.sum("total").alias("phq_total"))
 
 
 @register("adjacent_pairs")
@@ -290,7 +292,7 @@ def prompt_frame(spark, sf_dir, features=FOUR, period=14):
     """K4 composition: records -> history -> pairs -> survey -> prompt texts."""
     order = [f for f in SQ.PROMPT_FEATURES if f in features]
     rec, t = _kept(spark, sf_dir, list(features), period)
-    h = PR.history_average(rec, list(features))
+    h = PR.history_average(rec, list(features), period)
     p = PR.adjacent_pairs(h, list(features), period)
     p = SQ.attach_survey(p, t["survey"])
     return PM.prompt_table(p, order, KINDS)
