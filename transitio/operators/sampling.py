@@ -53,6 +53,22 @@ def dense_index(df: DataFrame, strata: list[str], order_hash: Column, tiebreak:
     return out.withColumn(name, (F.col("_o") + F.col("_r")).cast("bigint")).drop("_h", "_b", "_r", "_o")
 
 
+def weighted_offsets(df: DataFrame, strata: list[str], order_hash: str, weight: str, name: str,
+                     digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+    """Start position of each row when rows of ``weight`` units are laid out in ``order_hash``
+    order within the stratum: the sum of the weights of all earlier rows. Same two-level
+    scheme as ``dense_index`` (hash-prefix buckets, then a prefix sum over bucket totals)."""
+    d = df.withColumn("_b", F.substring(order_hash, 1, digits))
+    w = Window.partitionBy(*strata, "_b").orderBy(order_hash).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_r", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+    sizes = d.groupBy(*strata, "_b").agg(F.sum(weight).alias("_c"))
+    ws = (Window.partitionBy(*strata) if strata else Window).orderBy("_b") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(ws), F.lit(0))).drop("_c")
+    out = d.join(offsets, strata + ["_b"], "inner")
+    return out.withColumn(name, (F.col("_o") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_o")
+
+
 def group_sides(df: DataFrame, group: str, seed, test_fraction: float = 0.4,
                 keys: list[str] | None = None) -> DataFrame:
     """R1 on the distinct groups: ``ceil(test_fraction * G)`` groups in hash order go to test.
@@ -148,7 +164,7 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     """For each query row, up to ``n`` distinct pool rows of the same stratum whose
     text differs from the query's text, drawn without replacement.
 
-    Pool order: (md5(seed:text), id) so equal texts are adjacent. A query whose text block in
+    Pool order: (md5(seed:text), md5(seed:id), id) so equal texts are adjacent. A query whose text block in
     the pool has size b ending at position e takes positions
     ``(e + 1 + (o + j*m) div n') mod count`` for j < n' = min(n, m), m = count - b,
     o = hash(seed:query) mod m: all distinct, never in its own block.
@@ -160,11 +176,19 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     # Texts travel as their seeded md5 (also the pool order), never as whole strings.
     th = F.col(text) if hashed else seeded_md5(seed_c, text)
     p = pool.select(stratum, th.alias("_th"), pool_id)
-    pidx = dense_index(p, [stratum], F.col("_th"), pool_id)
+    # Pool order: (text hash, id hash, id). Text blocks are laid out by a weighted prefix sum
+    # over one row per distinct text; rows are ranked inside their block by a dense index
+    # over id-hash buckets, so many copies of one text never share a window partition.
+    blocks = p.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("_size"))
+    blocks = weighted_offsets(blocks, [stratum], "_th", "_size", "_start")
+    ranked = dense_index(p, [stratum, "_th"], seeded_md5(seed_c, pool_id), pool_id, name="_in")
+    pidx = ranked.join(blocks.select(stratum, "_th", "_start"), [stratum, "_th"], "inner") \
+        .select(stratum, pool_id, (F.col("_start") + F.col("_in")).alias("pos"))
     if materialize:
         pidx = pidx.checkpoint(eager=True)
-    sizes = pidx.groupBy(stratum).agg(F.count(F.lit(1)).alias("_count"))
-    blocks = pidx.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("_b"), F.max("pos").alias("_e"))
+        blocks = blocks.checkpoint(eager=True)
+    sizes = blocks.groupBy(stratum).agg(F.sum("_size").alias("_count"))
+    blocks = blocks.select(stratum, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
     q = queries.select(query_id, stratum, th.alias("_th"))
     q = q.join(sizes, stratum, "inner").join(blocks, [stratum, "_th"], "left")
     q = q.withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))

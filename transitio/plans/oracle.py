@@ -442,7 +442,8 @@ def fewshot_ctes(n: int, query_filter: str = "TRUE", stratum: str = "lang", text
                  pool_src: str = "split WHERE side = 'train'", query_src: str = "split") -> str:
     """Systematic sampling restated with window functions over the pool."""
     return f"""pool AS (SELECT {stratum} AS st, md5('1:' || CAST({text} AS VARCHAR)) AS th, doc_id, label, data,
-                 row_number() OVER (PARTITION BY {stratum} ORDER BY md5('1:' || CAST({text} AS VARCHAR)), doc_id) - 1 AS pos
+                 row_number() OVER (PARTITION BY {stratum} ORDER BY md5('1:' || CAST({text} AS VARCHAR)),
+                                    md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos
           FROM {pool_src}),
 sizes AS (SELECT st, count(*) AS cnt FROM pool GROUP BY st),
 blocks AS (SELECT st, th, count(*) AS b, max(pos) AS e FROM pool GROUP BY st, th),
