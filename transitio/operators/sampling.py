@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitio.functions.scalar import md5_int
+from transitio.session import materialize as checkpointed
 
 BUCKET_HEX_DIGITS = 3  # 4096 hash buckets per stratum
 DRAW_CHUNK = 1 << 16
@@ -185,8 +186,8 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     pidx = ranked.join(blocks.select(stratum, "_th", "_start"), [stratum, "_th"], "inner") \
         .select(stratum, pool_id, (F.col("_start") + F.col("_in")).alias("pos"))
     if materialize:
-        pidx = pidx.checkpoint(eager=True)
-        blocks = blocks.checkpoint(eager=True)
+        pidx = checkpointed(pidx)
+        blocks = checkpointed(blocks)
     sizes = blocks.groupBy(stratum).agg(F.sum("_size").alias("_count"))
     blocks = blocks.select(stratum, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
     q = queries.select(query_id, stratum, th.alias("_th"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from transitio.operators import pairs as PR
 from transitio.operators import sequences as SQ
 from transitio.sources import testdata as TD
+from transitio.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,8 +22,12 @@ def register(name: str):
 
 
 def _records(spark, sf_dir, features, period=14, gate=True):
+    """Gated records, materialised once (reliable checkpoint in spark.checkpoint.dir): pairs,
+    histories and nesting each read them several times, and the sensor joins below them
+    are the expensive part of the plan."""
     t = TD.panel(spark, sf_dir, period)
-    return SQ.build_records(SQ.valid_assessments(t["phq"]), t, list(features), period, gate=gate), t
+    rec = SQ.build_records(SQ.valid_assessments(t["phq"]), t, list(features), period, gate=gate)
+    return materialize(rec), t
 
 
 def _transition_labels(spark: SparkSession, sf_dir: str, period: int) -> DataFrame:
@@ -409,7 +414,7 @@ def _few_shot(spark, sf_dir, n, queries_side=None):
     checkpointed once (it feeds pool and queries), so the document scan and the splitting
     joins run once; full texts are joined back by id only where a chat needs them."""
     ct = _class(spark, sf_dir).select("doc_id", "source", "lang", "label", SM.text_hash("data", 1).alias("th"))
-    sp = SM.group_split(ct, "source", 1).checkpoint(eager=True)
+    sp = materialize(SM.group_split(ct, "source", 1))
     pool = sp.where("side = 'train'")
     queries = sp if queries_side is None else sp.where(F.col("side") == queries_side)
     pairs = SM.few_shot_positions(pool, queries, "lang", "th", "doc_id", "doc_id", n, 1, hashed=True, materialize=True)

@@ -19,6 +19,7 @@ from transitio.functions import scalar as S
 from transitio.operators import evaluate as EV
 from transitio.operators import prepare as PP
 from transitio.operators import prompts as PM
+from transitio.session import materialize
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
 
@@ -125,7 +126,7 @@ def cross_validate(train: DataFrame, cols: list[str], kind: str, grid: dict[str,
     fold membership is a column, so each fold is a filter, not a copy."""
     from transitio.operators.sampling import stratified_folds
     # Fold membership is materialised once (reliable checkpoint) and reused by every fit.
-    fdf = stratified_folds(train, "y", "row_id", seed, folds).checkpoint(eager=True)
+    fdf = materialize(stratified_folds(train, "y", "row_id", seed, folds))
     rows = []
     for ordinal, params in enumerate(_grid(grid)):
         per_fold = [fit_and_score(fdf.where(F.col("fold") != k), fdf.where(F.col("fold") == k), cols, kind, params, seed)
@@ -147,18 +148,16 @@ def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[
     train statistics, grid search by CV macro F1, refit the best, score on the eval side.
     ``data`` has ``row_id``, numeric ``y`` and the feature columns; ``split(df, seed)`` adds
     ``side`` in {'train', 'eval', ...}. Failed runs are skipped, as in the reference."""
-    from transitio.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(data.sparkSession)
     results = []
     for seed in seeds:
         # The split table is checkpointed to the shared checkpoint folder: every fit below
         # reads it instead of re-running the upstream plan, and a lost executor recomputes
         # from the files, not from the whole lineage.
-        sp = split(data, seed).checkpoint(eager=True)
+        sp = materialize(split(data, seed))
         for fs, cols in feature_sets.items():
             prepared = PP.coerce_columns(sp, cols, fill_after=True)
             stats = PP.standard_stats(prepared.where("side = 'train'"), cols)
-            scaled = PP.standard_scale(prepared, stats, cols).checkpoint(eager=True)
+            scaled = materialize(PP.standard_scale(prepared, stats, cols))
             train, ev = scaled.where("side = 'train'"), scaled.where("side = 'eval'")
             for kind, grid in models.items():
                 try:
