@@ -148,6 +148,8 @@ def slot_values(assessments: DataFrame, tables: dict[str, DataFrame], features:
     """
     catalog = catalog or feature_catalog()
     s = slots(assessments, period)
+    if "daily" in tables:
+        return _slot_values_wide(s, tables["daily"], features, catalog)
     bat = battery_daily(tables["battery"]).select(
         F.col("user").alias("_u"), F.col("date").alias("_d"), "battery_mean", "battery_std",
         F.col("battery_afternoon").alias("_battery_afternoon"))
@@ -162,6 +164,21 @@ def slot_values(assessments: DataFrame, tables: dict[str, DataFrame], features:
                       *[F.when(~masked, v).alias(n) for n, v in values.items()])
 
 
+def _slot_values_wide(s: DataFrame, daily: DataFrame, features: list[str], catalog) -> DataFrame:
+    """Slots joined once to the one-pass daily table (all sensors, presence flags)."""
+    present = F.col("battery_present")
+    d = daily.select(
+        F.col("user").alias("_u"), F.col("date").alias("_d"),
+        F.when(present, S.battery_daily_mean(_battery_cols())).alias("battery_mean"),
+        F.when(present, S.quadratic_mean(["battery_std_morning"])).alias("battery_std"),
+        *[catalog[n].expr.alias(n) for n in features])
+    out = s.join(d, (s["user"] == d["_u"]) & (s["date"] == d["_d"]), "left").drop("_u", "_d")
+    masked = F.col("battery_mean").eqNullSafe(0)
+    keep = [c for c in out.columns if c not in features]
+    return out.select(*keep, masked.alias("masked"), (F.col("battery_std").isNull() | masked).alias("missing"),
+                      *[F.when(~masked, F.col(n)).alias(n) for n in features])
+
+
 def build_records(assessments: DataFrame, tables: dict[str, DataFrame], features: list[str],
                   period: int = 14, max_missing: int | None = None, gate: bool = True,
                   catalog: dict[str, Feature] | None = None) -> DataFrame:

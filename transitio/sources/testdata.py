@@ -84,6 +84,35 @@ def location(events: DataFrame) -> DataFrame:
     })
 
 
+def daily(events: DataFrame, categories=APP_CATEGORIES) -> DataFrame:
+    """All sensor tables in one pass: one row per active (user, date) with every sensor's
+    columns and presence flags (``battery_present``: a view/click event that day,
+    ``screen_present``: an error/click event). Battery columns are NULL on days without a
+    battery row. One scan and one shuffle of the events, however many sensors a query
+    needs; unused columns are pruned by Catalyst."""
+    ev = enriched_events(events)
+    bat = "event_type IN ('view', 'click')"
+
+    def bmean(i: int) -> str:
+        v = f"CASE WHEN epoch = {i} AND {bat} THEN v END"
+        return f"CASE WHEN count({v}) > 0 THEN CAST(sum({v}) AS DOUBLE) / count({v}) END"
+    mv = f"CASE WHEN epoch = 1 AND {bat} THEN v END"
+    exprs = {
+        "battery_present": f"count(CASE WHEN {bat} THEN 1 END) > 0",
+        "screen_present": "count(CASE WHEN event_type IN ('error', 'click') THEN 1 END) > 0",
+        **{f"battery_{e}": bmean(i) for i, e in enumerate(EPOCHS)},
+        "battery_std_morning": f"CAST(max({mv}) - min({mv}) AS DOUBLE)",
+        **{f"magnitude_{e}": _epoch_mean(i, " / 100D") for i, e in enumerate(EPOCHS)},
+        **{f"screen_{kind}_{e}": _epoch_sum(i, etype, 60)
+           for kind, etype in (("off", "error"), ("use", "click")) for i, e in enumerate(EPOCHS)},
+        **{f"app_{cat}_{e}": _epoch_sum(i, cat, 10) for cat in categories for i, e in enumerate(EPOCHS)},
+        "n_static": "CAST(sum(CASE WHEN event_type <> 'error' THEN k END) AS DOUBLE)",
+        "n_moving": "CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS DOUBLE)",
+        "n_bins": "CAST(count(DISTINCT event_type) AS DOUBLE)",
+    }
+    return _agg(ev, exprs)
+
+
 def phq(events: DataFrame, period: int = 14, start: dt.date = PANEL_START,
         days: int = PANEL_DAYS) -> DataFrame:
     """Assessments: for k = 0..(days-1) div period, date = start + period*k, idx = k+1,
@@ -97,7 +126,9 @@ def phq(events: DataFrame, period: int = 14, start: dt.date = PANEL_START,
     per_k = (ev.withColumn("k_slot", F.ceil(offset / F.lit(period)).cast("int"))
              .groupBy("user", "k_slot").agg(F.sum("k").alias("ksum")))
     n_k = (days - 1) // period
-    spine = (ev.select("user").distinct()
+    # Users come from the already aggregated sums (one row per user and window), not from
+    # a second scan of the events.
+    spine = (per_k.select("user").distinct()
              .select("user", F.explode(F.sequence(F.lit(0), F.lit(n_k))).alias("k_slot")))
     joined = spine.join(per_k, ["user", "k_slot"], "left")
     score = F.when((F.col("user") + F.col("k_slot")) % 17 == 0, F.lit(None)) \
@@ -135,6 +166,9 @@ class _LazyTables(dict):
         value = self[key] = self._builders[key]()
         return value
 
+    def __contains__(self, key):
+        return key in self._builders
+
 
 def panel(spark: SparkSession, sf_dir: str, period: int = 14) -> dict[str, DataFrame]:
     """All mapped panel inputs for one scale-factor directory (built lazily)."""
@@ -145,6 +179,7 @@ def panel(spark: SparkSession, sf_dir: str, period: int = 14) -> dict[str, DataF
             cache["events"] = table(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
         return cache["events"]
     return _LazyTables({
+        "daily": lambda: daily(events()),
         "battery": lambda: battery(events()),
         "accelerometer": lambda: accelerometer(events()),
         "screen": lambda: screen(events()),
