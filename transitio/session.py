@@ -45,15 +45,19 @@ def build_session(master: str | None = None, app: str = "transitio",
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a private one only in local mode."""
-    current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or spark.conf.get(_CHECKPOINT_KEY, None)
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)  # named in the session conf only: hand it to the context
         return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{_CHECKPOINT_KEY} must name a shared folder on a cluster")
+    # spark.checkpoint.dir is a static setting (read-only at runtime); local sessions
+    # without it get a private folder on the SparkContext.
     path = tempfile.mkdtemp(prefix="transitio-ckpt-")
-    spark.conf.set(_CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def materialize(df: DataFrame) -> DataFrame:
