@@ -107,13 +107,15 @@ def valid_assessments(phq: DataFrame, entry_idx: int = 1) -> DataFrame:
 def user_window_filter(df: DataFrame, anchors: DataFrame, period: int = 14) -> DataFrame:
     """P1 as a join: rows of ``df`` with date in (anchor - period, anchor] of the same user.
 
-    ``anchors`` has (user, anchor). The range predicate rides on the user equi-key;
-    used for checks and unbounded windows, the slot join below is the default path.
+    ``anchors`` has (user, anchor). Each anchor is exploded into its ``period`` dates and
+    equi-joined on (user, date): no range predicate, so no (row, anchor) pairs of a user are
+    ever formed beyond the matching ones.
     """
-    a = anchors.select(F.col("user").alias("_u"), "anchor")
-    cond = ((df["user"] == a["_u"]) & (df["date"] > F.date_sub(a["anchor"], period))
-            & (df["date"] <= a["anchor"]))
-    return df.join(a, cond, "inner").drop("_u")
+    a = anchors.select(F.col("user").alias("_u"), "anchor",
+                       F.explode(F.sequence(F.lit(0), F.lit(period - 1))).alias("_o"))
+    a = a.withColumn("_d", F.date_sub(F.col("anchor"), F.col("_o")))
+    cond = (df["user"] == a["_u"]) & (df["date"] == a["_d"])
+    return df.join(a, cond, "inner").drop("_u", "_d", "_o")
 
 
 def slots(assessments: DataFrame, period: int = 14) -> DataFrame:
