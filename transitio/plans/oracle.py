@@ -678,3 +678,10 @@ latest AS (SELECT uid, date, arg_max(acc IS NOT NULL AND f1 IS NOT NULL, ts) AS
 SELECT uid AS "user", date FROM grid g
 WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.uid = g.uid AND l.date = g.date AND l.ok)""",
 })
+
+
+# Round trips and the scoring hook: the sink must return the shot-count metrics unchanged;
+# the fallback predictor answers "Label: Remains" after every prompt.
+ORACLE["results_sink"] = ORACLE["shots_curve"]
+ORACLE["score_prompts"] = f"""WITH {CT}, {split_cte()}
+SELECT doc_id, label, 'Remains' AS predicted, true AS parsed FROM split WHERE side = 'test'"""
