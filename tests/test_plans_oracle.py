@@ -44,3 +44,19 @@ def test_all_oracles_match_smallest_sf(spark):
         if not r["ok"]:
             bad.append(r)
     assert not bad, bad
+
+
+def test_no_raw_dates_at_the_contract(spark):
+    """Dates cross the driver contract as ISO text on both sides (DATE_COLUMNS kept in sync)."""
+    from pyspark.sql import types as T
+    from __spark_entry__ import oracle_sql, queries
+    con = duck(SF_SMALL)
+    for name, fn in queries().items():
+        if name in HEAVY:
+            continue
+        df = fn(spark, SF_SMALL)
+        assert not [f for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType))], name
+        sql = oracle_sql().get(name)
+        if sql:
+            types = [str(d[1]) for d in con.execute(sql).description]
+            assert not [t for t in types if t.upper().startswith(("DATE", "TIMESTAMP"))], (name, types)
