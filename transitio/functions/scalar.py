@@ -153,12 +153,3 @@ def argmax_index(arr: Column | str) -> Column:
 def md5_int(text: Column) -> Column:
     """A 32-bit hash from the first 8 hex digits of md5, equal in Spark and plain SQL engines."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
-def seeded_key(seed: Column | str | int, *parts: Column | str) -> Column:
-    """``seed:part1:part2`` text used as hash input."""
-    s = F.lit(str(seed)) if isinstance(seed, int) else col(seed).cast("string")
-    items = [s]
-    for p in parts:
-        items += [F.lit(":"), col(p).cast("string")]
-    return F.concat(*items)
