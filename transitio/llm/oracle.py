@@ -25,6 +25,47 @@ SELECT d.doc_id, CASE WHEN len(t.w) > 0 THEN class_id ELSE d.doc_id END AS class
 FROM documents d LEFT JOIN t ON t.tk = md5(d.text) LEFT JOIN cls ON cls.tk = t.tk
 """
 
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+  SELECT tk, {no} AS no, '{kind}' AS kind, p AS start, p + length(h[i]) AS stop, v[i] AS value FROM (
+    SELECT tk, h, v, i, coalesce(list_sum(list_transform(q[1:i], lambda x: length(x))), 0)
+           + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS p
+    FROM (SELECT tk, h, v, q, unnest(range(1, len(h) + 1)) AS i FROM (
+      SELECT tk, regexp_extract_all(text, '{pattern}', 0) AS h, regexp_extract_all(text, '{pattern}', {group}) AS v,
+             string_split_regex(text, '{pattern}') AS q FROM t)))
+  WHERE length(v[i]) >= {least}"""
+
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, md5(coalesce(text, '')) AS tk FROM documents),
+t AS (SELECT tk, any_value(text) AS text FROM d GROUP BY 1),
+base AS ({_matches(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+", 0, 20)}
+  UNION ALL {_matches(2, "hex", "[0-9a-f]+", 0, 24)}),
+token AS ({_matches(3, "copy", "[A-Za-z0-9+/_=-]+", 0, 16)}),
+bare AS (SELECT * FROM token c WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.tk = c.tk AND b.start < c.stop AND c.start < b.stop)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+owners AS (SELECT value, count(DISTINCT coalesce(source, chr(30))) AS n_owners
+  FROM every JOIN d USING (tk) GROUP BY 1 HAVING min(no) < 3),
+found AS (SELECT every.*, CASE WHEN n_owners >= 3 THEN 'example'
+    WHEN len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') THEN 'live'
+    ELSE 'plain' END AS verdict FROM every JOIN owners USING (value)),
+per AS (SELECT tk, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access,
+    count(*) FILTER (no = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans,
+    count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+  FROM found GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN per USING (tk)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_bagminhash": OP1,
+    "op7_secret_owners": OP7,
 }
