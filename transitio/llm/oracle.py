@@ -25,6 +25,49 @@ SELECT d.doc_id, CASE WHEN len(t.w) > 0 THEN class_id ELSE d.doc_id END AS class
 FROM documents d LEFT JOIN t ON t.tk = md5(d.text) LEFT JOIN cls ON cls.tk = t.tk
 """
 
+
+
+def _rounds(n: int) -> str:
+    out = ["x0 AS (SELECT kind, host, seed, seed AS x FROM seeds)"]
+    for i in range(n):
+        out.append(f"""x{i + 1} AS MATERIALIZED (SELECT s.kind, s.host, s.seed,
+          s.seed * (1 - 0.85::DOUBLE) + coalesce(g.got, 0) * 0.85::DOUBLE AS x FROM seeds s LEFT JOIN (
+            SELECT e.kind, e.dst AS host, sum(x.x * e.w) AS got FROM links e JOIN x{i} x
+            ON x.kind = e.kind AND x.host = e.src GROUP BY ALL) g ON g.kind = s.kind AND g.host = s.host)""")
+    return ",\n".join(out)
+
+
+OP6 = rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(kind, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'),
+  ('block', 'net/es/'), ('block', 'net/fr/')),
+r AS (SELECT kind, rule, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM rules),
+j AS (SELECT p.*, (SELECT max_by(rule, length(rule)) FROM r
+    WHERE (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp)) AS rule FROM p),
+judged AS (SELECT j.*, r.kind AS ruled FROM j LEFT JOIN r USING (rule)),
+edges AS (SELECT src, dst, count(*) AS n FROM (
+    SELECT host AS src, host AS dst FROM judged WHERE host <> '' UNION ALL
+    SELECT host, translate(unnest(regexp_extract_all(html,
+      '[Hh][Rr][Ee][Ff]\s*=\s*["'']?(?:[Hh][Tt][Tt][Pp][Ss]?:)?//([^/?#"''\s>]+)', 1)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM judged WHERE host <> '') GROUP BY ALL),
+links AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM edges UNION ALL
+  SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+hosts AS (SELECT src AS host FROM edges UNION SELECT dst FROM edges),
+share AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS t,
+  avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM judged WHERE host <> '' GROUP BY 1),
+seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, coalesce(t, 0) AS seed FROM hosts LEFT JOIN share USING (host)
+  UNION ALL SELECT 'distrust', host, coalesce(d, 0) FROM hosts LEFT JOIN share USING (host)),
+{_rounds(10)},
+scores AS (SELECT host, round(max(x) FILTER (kind = 'trust'), 6) AS trust,
+  round(max(x) FILTER (kind = 'distrust'), 6) AS distrust FROM x10 GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block'
+  ELSE 'allow' END) AS verdict, trust, distrust FROM judged LEFT JOIN scores USING (host)
+"""
+
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -67,5 +110,6 @@ FROM d LEFT JOIN per USING (tk)
 
 ORACLE: dict[str, str] = {
     "op1_bagminhash": OP1,
+    "op6_link_trust": OP6,
     "op7_secret_owners": OP7,
 }

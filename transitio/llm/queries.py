@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import bagminhash, secret_owners
+from transitio.llm import bagminhash, link_trust, secret_owners
 from transitio.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict; trust and distrust of the host."""
+    return link_trust.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest of the contract, all spans, live and example credentials per document."""
     return secret_owners.scan(table(spark, sf_dir, "documents")).drop("tk", "found")
@@ -24,5 +29,6 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op6_link_trust": op6_link_trust,
     "op7_secret_owners": op7_secret_owners,
 }
