@@ -26,6 +26,52 @@ FROM documents d LEFT JOIN t ON t.tk = md5(d.text) LEFT JOIN cls ON cls.tk = t.t
 """
 
 
+def _programme(k: int) -> str:
+    out = ["d1 AS MATERIALIZED (SELECT j, len * c AS cost, 0 AS prev FROM g)"]
+    for i in range(2, k + 1):
+        out.append(f"""d{i} AS MATERIALIZED (SELECT j, min(cost) AS cost, min_by(i, (cost, i)) AS prev FROM (
+          SELECT b.j, a.j AS i, a.cost + b.len * (b.c - p.c) AS cost FROM g b JOIN d{i - 1} a ON a.j < b.j
+          JOIN g p ON p.j = a.j) GROUP BY j)""")
+    every = " UNION ALL ".join(f"SELECT {i} AS k, j, prev FROM d{i}" for i in range(1, k + 1))
+    return ",\n".join(out) + f",\nd AS ({every})"
+
+
+OP4 = f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(text), '') AS key,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\t\n\f\r ]+'), lambda x: x <> '')) AS n FROM documents),
+c AS (SELECT doc_id, key, n, unnest(range(greatest(ceil(n / 2048)::BIGINT, 1))) AS piece FROM t),
+p AS (SELECT doc_id, piece, piece * 2048 AS start, least(2048, n - piece * 2048) AS n_tokens,
+    md5('pack:' || key || ':' || piece) AS h FROM c),
+g AS MATERIALIZED (SELECT row_number() OVER (ORDER BY len) AS j, len, (sum(m) OVER (ORDER BY len))::BIGINT AS c
+  FROM (SELECT n_tokens AS len, count(*) AS m FROM p GROUP BY 1)),
+{_programme(8)},
+walk(k, j) AS (SELECT least(8, max(j)), max(j) FROM g UNION ALL
+  SELECT w.k - 1, d.prev FROM walk w JOIN d ON d.k = w.k AND d.j = w.j WHERE w.k > 1),
+ends AS (SELECT len AS padded_len, row_number() OVER (ORDER BY len) - 1 AS bucket FROM walk JOIN g USING (j)),
+b AS (SELECT p.*, (SELECT min(padded_len) FROM ends WHERE padded_len >= n_tokens) AS padded_len FROM p),
+r AS (SELECT b.*, ends.bucket, row_number() OVER (PARTITION BY ends.bucket ORDER BY h, piece) - 1 AS pos,
+    greatest(1, 16384 // greatest(b.padded_len, 1)) AS per FROM b JOIN ends USING (padded_len))
+SELECT doc_id, piece, start, n_tokens, bucket, padded_len, pos // per AS batch, pos % per AS slot FROM r
+"""
+
+OP10 = """
+WITH RECURSIVE m AS (SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS mass FROM documents GROUP BY 1),
+w AS (SELECT source, mass, CASE WHEN mass > 0 THEN pow(mass, 0.5) ELSE 0 END AS want FROM m),
+r AS (SELECT source, CASE WHEN mass > 0 THEN want / (SELECT sum(want) FROM w) * (SELECT sum(mass) FROM w) / mass
+  ELSE 1.0 END AS rate FROM w),
+q AS (SELECT source, greatest(1, ceil(rate / 32))::INT AS parts, rate / greatest(1, ceil(rate / 32)) AS mean FROM r),
+k(source, mean, k, p, c) AS (SELECT source, mean, 0, exp(-mean), exp(-mean) FROM q UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM k
+  WHERE k < floor(mean + 12 * sqrt(mean) + 20)),
+cdf AS (SELECT source, list(c ORDER BY k) AS cdf FROM k GROUP BY 1),
+d AS (SELECT documents.*, coalesce(doc_id::VARCHAR, md5(text), '') AS id, parts, cdf FROM documents
+  JOIN q ON q.source IS NOT DISTINCT FROM documents.source JOIN cdf ON cdf.source IS NOT DISTINCT FROM documents.source),
+n AS (SELECT *, list_sum(list_transform(range(parts), lambda j: len(list_filter(cdf, lambda c: c <=
+  ('0x' || substr(md5('mix:' || id || ':' || j), 1, 13))::BIGINT / 4503599627370496::DOUBLE))))::BIGINT AS n FROM d),
+e AS (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
+SELECT doc_id, text, lang, source, n_chars, copy, md5('mix#' || id || '#' || copy) AS mix_key FROM e
+"""
+
 
 def _rounds(n: int) -> str:
     out = ["x0 AS (SELECT kind, host, seed, seed AS x FROM seeds)"]
@@ -110,6 +156,8 @@ FROM d LEFT JOIN per USING (tk)
 
 ORACLE: dict[str, str] = {
     "op1_bagminhash": OP1,
+    "op4_length_buckets": OP4,
     "op6_link_trust": OP6,
     "op7_secret_owners": OP7,
+    "op10_poisson_mix": OP10,
 }

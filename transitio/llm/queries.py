@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import bagminhash, link_trust, secret_owners
+from transitio.llm import bagminhash, length_buckets, link_trust, poisson_mix, secret_owners
 from transitio.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, n_tokens, bucket, padded_len, batch, slot."""
+    return length_buckets.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict; trust and distrust of the host."""
     return link_trust.filter_urls(table(spark, sf_dir, "pages"))
@@ -27,8 +32,15 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(table(spark, sf_dir, "documents")).drop("tk", "found")
 
 
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: all columns of documents, copy, mix_key."""
+    return poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op4_length_buckets": op4_length_buckets,
     "op6_link_trust": op6_link_trust,
     "op7_secret_owners": op7_secret_owners,
+    "op10_poisson_mix": op10_poisson_mix,
 }
