@@ -26,6 +26,29 @@ FROM documents d LEFT JOIN t ON t.tk = md5(d.text) LEFT JOIN cls ON cls.tk = t.t
 """
 
 
+OP2 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL
+    AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON comp.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+OP9 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER w AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+"""
+
+
 def _programme(k: int) -> str:
     out = ["d1 AS MATERIALIZED (SELECT j, len * c AS cost, 0 AS prev FROM g)"]
     for i in range(2, k + 1):
@@ -156,8 +179,10 @@ FROM d LEFT JOIN per USING (tk)
 
 ORACLE: dict[str, str] = {
     "op1_bagminhash": OP1,
+    "op2_int8_pairs": OP2,
     "op4_length_buckets": OP4,
     "op6_link_trust": OP6,
     "op7_secret_owners": OP7,
+    "op9_histogram_topk": OP9,
     "op10_poisson_mix": OP10,
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import bagminhash, length_buckets, link_trust, poisson_mix, secret_owners
+from transitio.llm import (bagminhash, histogram_topk, int8_pairs, length_buckets, link_trust, poisson_mix,
+                           secret_owners)
 from transitio.llm.common import table
 
 
@@ -17,6 +18,11 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op2_int8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    return int8_pairs.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, n_tokens, bucket, padded_len, batch, slot."""
     return length_buckets.pack(table(spark, sf_dir, "documents"))
@@ -32,6 +38,11 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(table(spark, sf_dir, "documents")).drop("tk", "found")
 
 
+def op9_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the queries are the rows whose vec_id is divisible by 100."""
+    return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed corpus: all columns of documents, copy, mix_key."""
     return poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
@@ -39,8 +50,10 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op2_int8_pairs": op2_int8_pairs,
     "op4_length_buckets": op4_length_buckets,
     "op6_link_trust": op6_link_trust,
     "op7_secret_owners": op7_secret_owners,
+    "op9_histogram_topk": op9_histogram_topk,
     "op10_poisson_mix": op10_poisson_mix,
 }
