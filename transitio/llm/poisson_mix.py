@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     table = table.select(F.coalesce(F.to_json(F.struct("_source")), F.lit("")).alias("_key"), "parts", "cdf")
     key = F.coalesce(F.to_json(F.struct(F.col(source_col).alias("_source"))), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit(""))
-    rows = docs.select(*cols).withColumn("_key", key).withColumn("_id", ident)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), key.alias("_key"), ident.alias("_id"))
     if size <= BROADCAST_BYTES:
         rows = rows.join(F.broadcast(table), "_key")
     else:
@@ -86,4 +86,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         (z, u) -> size(filter(cdf, c -> c <= u))))"""))
     rows = rows.where("_n > 0").withColumn("copy", F.explode(F.expr("sequence(1, _n)")))
     rows = rows.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}#"), F.col("_id"), F.lit("#"), F.col("copy"))))
-    return rows.select(*cols, "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    return rows.select("row.*", "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")

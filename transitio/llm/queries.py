@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitio.llm import (bagminhash, histogram_topk, int8_pairs, length_buckets, link_trust, poisson_mix,
-                           secret_owners)
+                           secret_owners, toxic_crf)
 from transitio.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op7_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(table(spark, sf_dir, "documents")).drop("tk", "found")
 
 
+def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted; spans as start:end of the toxic words."""
+    rows = toxic_crf.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.withColumn("spans", F.expr("array_join(transform(spans, s -> concat(s[0], ':', s[1])), ',')"))
+
+
 def op9_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the queries are the rows whose vec_id is divisible by 100."""
     return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_length_buckets": op4_length_buckets,
     "op6_link_trust": op6_link_trust,
     "op7_secret_owners": op7_secret_owners,
+    "op8_toxic_crf": op8_toxic_crf,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_poisson_mix": op10_poisson_mix,
 }

@@ -115,18 +115,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     Rows without live credentials keep their text as it is; only texts with a candidate are shuffled.
     """
-    cols = docs.columns
-    live = scan(docs, id_col, text_col, **options).where("n_live > 0").groupBy("tk").agg(F.first("found").alias("_found"))
-    might = F.coalesce(F.col(text_col), F.lit("")).rlike("|".join([*GUARDS.values(), TOKEN]))
-    hot = docs.where(might).withColumn("tk", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    hot = salted_join(hot, live, ["tk"], F.xxhash64(*[F.col(f"`{c}`") for c in cols if c != text_col]), "left")
-    text = F.expr(f"""CASE WHEN _found IS NULL THEN `{text_col}` ELSE aggregate(
-        filter(_found, s -> s.verdict = 'live'), named_struct('p', 0, 'out', ''),
+    live = scan(docs, id_col, text_col, **options).where("n_live > 0") \
+        .groupBy("tk").agg(F.first("found").alias("found"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.md5(text).alias("tk"), text.rlike("|".join([*GUARDS.values(), TOKEN])).alias("might"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hot = salted_join(rows.where("might").withColumn("spread", F.xxhash64(f"row.`{id_col}`")), live, ["tk"], F.col("spread"))
+    clean = F.expr(f"""aggregate(filter(found, s -> s.verdict = 'live'), named_struct('p', 0, 'out', ''),
         (a, s) -> CASE WHEN s.end <= a.p THEN a ELSE named_struct('p', s.end, 'out', concat(a.out,
-            substring(`{text_col}`, a.p + 1, greatest(s.end - length(s.value) - a.p, 0)), '{mark}')) END,
-        a -> concat(a.out, substring(`{text_col}`, a.p + 1))) END""")
-    hot = hot.withColumn(text_col, text)
-    if n_chars in cols:
-        hot = hot.withColumn(n_chars, F.when(F.col("_found").isNull(), F.col(n_chars))
-                             .otherwise(F.length(text_col)).cast(docs.schema[n_chars].dataType))
-    return docs.where(~might).select(*cols).unionByName(hot.select(*cols))
+            substring(row.`{text_col}`, a.p + 1, greatest(s.end - length(s.value) - a.p, 0)), '{mark}')) END,
+        a -> concat(a.out, substring(row.`{text_col}`, a.p + 1)))""")
+    hot = hot.withColumn("clean", F.when(F.col("found").isNotNull(), clean))
+    out = []
+    for c in docs.columns:
+        value = F.col(f"row.`{c}`")
+        if c == text_col:
+            value = F.coalesce("clean", value)
+        elif c == n_chars:
+            value = F.coalesce(F.length("clean"), value).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    return rows.where("not might").select("row.*").unionByName(hot.select(*out))
