@@ -279,13 +279,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Repeated rows with that id and text leave one. Rows without a word all stay.
     """
-    cols = docs.columns
     rows = near_duplicates(docs, id_col, text_col, **options)
-    best = rows.where("class_tk is not null").withColumnRenamed(id_col, "_id") \
-        .groupBy("class_tk").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "tk")).alias("k")) \
-        .select(F.col("k._id").alias("_id"), F.col("k.tk").alias("_tk"))
-    marked = docs.withColumn("_tk", F.unhex(F.md5(text_col)))
-    worded = marked.where(F.length(F.regexp_replace(F.col(text_col), r"[\t\n\f\r ]+", "")) > 0)
-    blank = docs.where(F.coalesce(F.length(F.regexp_replace(F.col(text_col), r"[\t\n\f\r ]+", "")), F.lit(0)) == 0)
-    hit = worded.join(best, worded[id_col].eqNullSafe(best["_id"]) & (worded["_tk"] == best["_tk"]), "left_semi")
-    return hit.dropDuplicates([id_col, "_tk"]).select(*cols).unionByName(blank)
+    ident = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null"))
+    best = rows.where("class_tk is not null").withColumnRenamed(id_col, "id") \
+        .groupBy("class_tk").agg(F.min(F.struct(F.col("id").isNull(), "id", "tk")).alias("k")) \
+        .select("k.id", "k.tk").select(ident.alias("ident"), "tk")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("tk"),
+                         text.rlike(r"[^\t\n\f\r ]").alias("worded"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    hit = marked.where("worded").select(ident.alias("ident"), "tk", "row").join(best, ["ident", "tk"], "left_semi")
+    return hit.dropDuplicates(["ident", "tk"]).select("row.*").unionByName(marked.where("not worded").select("row.*"))

@@ -15,7 +15,8 @@ beyond it the rows meet their rate in a salted join.
 Cases: a null source is a source of its own; a null text has no characters; a source without
 characters has rate ``epochs``; a null id draws by the MD5 of its text; repeated rows draw the
 same count each; a source that is not in a given target has rate 0; empty tables give empty
-results. Added columns replace columns of the same name (``copy``, ``mix_key``).
+results. The added columns
+(``copy_col``, ``key_col``) replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -65,10 +66,10 @@ def _uniform(digest: str) -> str:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
                 targets: dict[str, float] | None = None, alpha: float = ALPHA, epochs: float = 1.0,
-                seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as drawn, with ``copy`` (from 1) and ``mix_key``, dealt to
+                seed: str = SEED, copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
+    """The rows of ``docs``, each as often as drawn, with their number (from 1) and ``key_col``, dealt to
     partitions by the key and in its order within each."""
-    cols = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    cols = [c for c in docs.columns if c not in (copy_col, key_col)]
     table = stored(rates(docs, source_col, text_col, targets, alpha, epochs), "mix-rates")
     size = table.agg(F.coalesce(F.sum(F.size("cdf") * 8 + F.coalesce(F.octet_length(F.col("_source").cast("string")),
                                                                     F.lit(0)) + 64), F.lit(0)).alias("b")).first()["b"]
@@ -84,6 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
       aggregate(sequence(0, parts - 1), 0, (n, j) -> n + aggregate(
         array({_uniform(f"md5(concat('{seed}:', _id, ':', j))")}), 0,
         (z, u) -> size(filter(cdf, c -> c <= u))))"""))
-    rows = rows.where("_n > 0").withColumn("copy", F.explode(F.expr("sequence(1, _n)")))
-    rows = rows.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}#"), F.col("_id"), F.lit("#"), F.col("copy"))))
-    return rows.select("row.*", "copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    rows = rows.where("_n > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _n)")))
+    rows = rows.withColumn("_mix", F.md5(F.concat(F.lit(f"{seed}#"), F.col("_id"), F.lit("#"), F.col("_copy"))))
+    rows = rows.select("row", "_copy", "_mix").repartition("_mix").sortWithinPartitions("_mix")
+    return rows.select("row.*", F.col("_copy").alias(copy_col), F.col("_mix").alias(key_col))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import (bagminhash, histogram_topk, int8_pairs, length_buckets, link_trust, poisson_mix,
-                           secret_owners, toxic_crf)
+from transitio.llm import (bagminhash, bloom_langid, cross_entropy, histogram_topk, int8_pairs, length_buckets,
+                           link_trust, poisson_mix, secret_owners, toxic_crf)
 from transitio.llm.common import table
 
 
@@ -23,11 +23,22 @@ def op2_int8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return int8_pairs.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ce_target, ce_background, score; the target are the texts of good quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return cross_entropy.score_documents(table(spark, sf_dir, "documents"), good)
+
+
 def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, n_tokens, bucket, padded_len, batch, slot."""
     return length_buckets.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_bloom_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    return bloom_langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict; trust and distrust of the host."""
     return link_trust.filter_urls(table(spark, sf_dir, "pages"))
@@ -57,7 +68,9 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_int8_pairs": op2_int8_pairs,
+    "op3_cross_entropy": op3_cross_entropy,
     "op4_length_buckets": op4_length_buckets,
+    "op5_bloom_langid": op5_bloom_langid,
     "op6_link_trust": op6_link_trust,
     "op7_secret_owners": op7_secret_owners,
     "op8_toxic_crf": op8_toxic_crf,

@@ -43,8 +43,9 @@ LEAST_RATIO = 20.0
 LEAST_PRECISION = 0.95
 #: Log weight of the toxic state for a word of which no feature was seen in training.
 UNSEEN = -10.0
-#: Every CURVE_PART-th text of the sample fits the curve, the others the chain.
-CURVE_PART = 3
+FOLDS = 3
+#: Pull of every weight towards its start, against the summed log likelihood: rare features move little.
+RIDGE = 0.5
 _U = np.uint64
 
 
@@ -209,14 +210,19 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = ROUNDS)
     texts, toxic = [texts[i] for i in keep], np.array([labels[i] for i in keep], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
         return None
-    part = np.zeros(len(texts), dtype=bool)  # texts for the curve: every third of each class
+    # the curve is fitted on texts that their chain has not seen: FOLDS chains, each on the other folds
+    fold = np.zeros(len(texts), dtype=np.int64)
     for c in (0, 1):
-        part[np.flatnonzero(toxic == c)[CURVE_PART - 1::CURVE_PART]] = True
-    model = _fit_chain([t for t, p in zip(texts, part) if not p], toxic[~part], rounds)
-    own = part if len(set(toxic[part].tolist())) == 2 else ~part
-    x = [document_features(marg, w.row, w.rows) for w, marg in _marginals(model, [t for t, p in zip(texts, own) if p])]
-    y = toxic[own].astype(np.float64)
-    model.curve = _logistic(np.concatenate(x), y)
+        fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
+    x = np.zeros((len(texts), 3))
+    for k in range(FOLDS):
+        if toxic[fold != k].any() and (fold == k).any():
+            part = _fit_chain([t for t, f in zip(texts, fold) if f != k], toxic[fold != k], rounds)
+            x[fold == k] = np.concatenate([document_features(marg, w.row, w.rows) for w, marg in
+                                           _marginals(part, [t for t, f in zip(texts, fold) if f == k])])
+    model = _fit_chain(texts, toxic, rounds)
+    y = toxic.astype(np.float64)
+    model.curve = _logistic(x, y)
     share = min(max(share, 1e-4), 1 - 1e-4)
     model.curve[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
@@ -246,15 +252,16 @@ def _fit_chain(texts: list[str], toxic: np.ndarray, rounds: int) -> Model:
     slots = 1 << FEATURE_BITS
     weights, trans, start = np.full(slots, UNSEEN / feat.shape[1]), np.zeros((2, 2)), 0.0
     theta = np.concatenate([weights, trans.ravel(), [start]])
+    centre = theta.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     observed = sum(np.bincount(feat[:, f], weights=y, minlength=slots) for f in range(feat.shape[1]))
-    for k in range(1, rounds + 1):  # Adam on the mean log likelihood per toxic token
+    for k in range(1, rounds + 1):  # Adam on the penalised log likelihood
         marg, moves, _ = chains.run(theta[feat].sum(axis=1), theta[slots:slots + 4].reshape(2, 2), theta[-1])
         want = sum(np.bincount(feat[:, f], weights=marg, minlength=slots) for f in range(feat.shape[1]))
         g = np.concatenate([want - observed, (moves - seen).ravel(), [marg[first].sum() - y[first].sum()]])
-        g = g / max(1.0, y.sum()) + 1e-6 * theta
+        g += RIDGE * (theta - centre)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta -= 0.4 * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-7)
+        theta -= 0.6 * (1 - (k - 1) / rounds) * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-7)
     return Model(theta[:slots].astype(np.float32), theta[slots:slots + 4].reshape(2, 2), float(theta[-1]), np.zeros(3))
 
 
@@ -330,3 +337,21 @@ def apply_model(docs: DataFrame, model: Model | None, id_col: str, text_col: str
                            T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
                            T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
     return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "toxic", sample: int = SAMPLE, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; no shuffle."""
+    rows, share = training_rows(docs, labels, id_col, text_col, label_col, sample)
+    model = fit([r["_text"] for r in rows], [int(r["_y"]) for r in rows], share)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans, model.start, model.curve))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for b in batches:
+            for lo, hi, score, _ in tag(model, b.column(b.schema.get_field_index(text_col))):
+                yield b.slice(lo, hi - lo).filter(pa.array(score < at))
+
+    return docs.mapInArrow(run, docs.schema)
