@@ -2,9 +2,11 @@
 
 Rules decide the urls they fit (longest rule first). For the rest, hosts are judged by the link
 graph: personalised PageRank spreads trust from hosts whose pages an allow rule fits along the
-links, and distrust from hosts whose pages a block rule fits against them (towards those who
-link there). A host's seed is the share of its pages that the rules decide so. Per host, the
-verdict is block where distrust reaches ``threshold`` and exceeds trust, else allow.
+links; distrust runs against them, from hosts whose pages a block rule fits to those who link
+there (a host's distrust is the chance that a walk from it, along its links, ends at a blocked
+seed). A host's seed is the share of its pages that the rules decide so, and its scores are at
+least its seeds. Per host, the verdict is block where distrust reaches ``threshold`` and exceeds
+trust, else allow.
 
 Edges are the absolute ``href`` targets of the html, weighted by their number; each page adds a
 link of its host to itself (its relative navigation). Edges are summed per host pair before
@@ -68,7 +70,7 @@ def host_edges(df: DataFrame, html_col: str) -> DataFrame:
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
     """Personalised PageRank of ``edges`` (kind, src, dst, w) from ``seeds`` (kind, host, seed):
-    (kind, host, x) after ``rounds`` rounds, started at the seeds."""
+    (kind, host, seed, x) after ``rounds`` rounds, started at the seeds."""
     x = seeds.select("kind", "host", "seed", F.col("seed").alias("x"))
     for i in range(rounds):
         sent = edges.join(x.select("kind", F.col("host").alias("src"), "x"), ["kind", "src"]) \
@@ -77,17 +79,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -
             "kind", "host", "seed", (F.col("seed") * (1 - damping) + F.coalesce("got", F.lit(0.0)) * damping).alias("x"))
         if i % CUT == CUT - 1:
             x = materialize(x)
-    return x.select("kind", "host", "x")
+    return x.select("kind", "host", "seed", "x")
 
 
 def host_scores(df: DataFrame, html_col: str, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(host, trust, distrust) of every host of ``df`` (judged pages) and of their links."""
     edges = materialize(host_edges(df, html_col))
     out = edges.groupBy("src").agg(F.sum("n").alias("t"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("t"))
-    forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("t")).alias("w"))
-    back = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"),
-                                          F.col("src").alias("dst"), (F.col("n") / F.col("t")).alias("w"))
+    shares = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("t")).alias("w"))
+    forward = shares.select(F.lit("trust").alias("kind"), "src", "dst", "w")
+    back = shares.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     share = df.where("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("distrust"))
@@ -97,7 +98,7 @@ def host_scores(df: DataFrame, html_col: str, damping: float = DAMPING, rounds:
         F.struct(F.lit("distrust").alias("kind"), F.coalesce("distrust", F.lit(0.0)).alias("seed")))).alias("s")) \
         .select("s.kind", "host", "s.seed")
     x = propagate(materialize(forward.unionByName(back)), materialize(seeds), damping, rounds)
-    of = {k: F.max(F.when(F.col("kind") == k, F.col("x"))) for k in ("trust", "distrust")}
+    of = {k: F.max(F.when(F.col("kind") == k, F.greatest("seed", "x"))) for k in ("trust", "distrust")}
     return x.groupBy("host").agg(*[F.round(v, 6).alias(k) for k, v in of.items()])
 
 

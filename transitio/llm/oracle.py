@@ -124,15 +124,15 @@ edges AS (SELECT src, dst, count(*) AS n FROM (
       '[Hh][Rr][Ee][Ff]\s*=\s*["'']?(?:[Hh][Tt][Tt][Pp][Ss]?:)?//([^/?#"''\s>]+)', 1)),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM judged WHERE host <> '') GROUP BY ALL),
 links AS MATERIALIZED (SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM edges UNION ALL
-  SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+  SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY src) FROM edges),
 hosts AS (SELECT src AS host FROM edges UNION SELECT dst FROM edges),
 share AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS t,
   avg(CASE WHEN ruled = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM judged WHERE host <> '' GROUP BY 1),
 seeds AS MATERIALIZED (SELECT 'trust' AS kind, host, coalesce(t, 0) AS seed FROM hosts LEFT JOIN share USING (host)
   UNION ALL SELECT 'distrust', host, coalesce(d, 0) FROM hosts LEFT JOIN share USING (host)),
 {_rounds(10)},
-scores AS (SELECT host, round(max(x) FILTER (kind = 'trust'), 6) AS trust,
-  round(max(x) FILTER (kind = 'distrust'), 6) AS distrust FROM x10 GROUP BY 1)
+scores AS (SELECT host, round(max(greatest(seed, x)) FILTER (kind = 'trust'), 6) AS trust,
+  round(max(greatest(seed, x)) FILTER (kind = 'distrust'), 6) AS distrust FROM x10 GROUP BY 1)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN distrust >= 0.5 AND distrust > trust THEN 'block'
   ELSE 'allow' END) AS verdict, trust, distrust FROM judged LEFT JOIN scores USING (host)
 """
