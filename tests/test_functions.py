@@ -1,4 +1,5 @@
 """Hand-worked edge fixtures for the scalar rules (FIXTURES section 4)."""
+import hashlib
 import math
 
 from pyspark.sql import functions as F
@@ -56,8 +57,9 @@ def test_np_round_half_even(spark):
     assert one(spark, S.np_round("x", 1), "x double", [(0.25,), (0.35,), (1.05,)]) == [0.2, 0.4, 1.0]
 
 
-def test_window_slots_and_argmax(spark):
-    df = spark.createDataFrame([("2024-01-15",)], "d string").select(F.to_date("d").alias("d"))
-    slots = df.select(S.window_slots("d", 14).alias("s")).first()["s"]
-    assert len(slots) == 14 and str(slots[0]) == "2024-01-02" and str(slots[-1]) == "2024-01-15"
+def test_md5_int_has_60_bits(spark):
+    assert one(spark, S.md5_int(F.col("t")), "t string", [("1:a:0",)]) == [int(hashlib.md5(b"1:a:0").hexdigest()[:15], 16)]
+
+
+def test_argmax(spark):
     assert one(spark, S.argmax_index("a"), "a array<double>", [([1.0, 3.0, 3.0, 0.0],)]) == [1]

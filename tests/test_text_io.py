@@ -75,10 +75,16 @@ def test_restart_detection_from_files(spark):
     now = time.time()
     put("a", "old.json", json.dumps({"Accuracy": 0.5, "Macro F1": 0.4}), now - 100)
     put("a", "new.json", json.dumps({"Accuracy": 0.5}), now)                # newest lacks Macro F1
-    put("b", "r.json", json.dumps({"Accuracy": 0.6, "Macro F1": 0.5}), now)
+    put("b", "r.json", json.dumps({"Accuracy": 0.6, "Macro F1": 0.5}, indent=4), now)   # pretty-printed
+    put("b", "r.csv", "Accuracy\n0.6\n", now + 50)
+    put("d", "old.json", json.dumps({"Accuracy": 0.6, "Macro F1": 0.5}), now - 100)
+    put("d", "new.json", "", now)                                              # the newest file is empty
+    put("e", "r.json", '{"Accuracy": 0.6,', now)                               # broken
     manifest = IO.result_manifest(spark, root, ["feature"], ["Accuracy", "Macro F1"])
-    grid = spark.createDataFrame([("a",), ("b",), ("c",)], "feature string")
-    pending = IO.pending_runs_latest_valid(grid, manifest, ["feature"], "file_time", ["Accuracy", "Macro F1"])
-    assert sorted(r.feature for r in pending.collect()) == ["a", "c"]
+    assert manifest.count() == 7
+    grid = spark.createDataFrame([(k,) for k in "abcde"], "feature string")
+    pending = IO.pending_runs_latest_valid(grid, manifest.where("kind = 'json'"), ["feature"], "file_time", ["Accuracy", "Macro F1"])
+    assert sorted(r.feature for r in pending.collect()) == ["a", "c", "d", "e"]
+    assert sorted(r.feature for r in IO.pending_runs_both(grid, manifest, ["feature"]).collect()) == ["a", "c", "d", "e"]
     kinds = spark.createDataFrame([("a", "json"), ("b", "json"), ("b", "csv")], "feature string, kind string")
-    assert sorted(r.feature for r in IO.pending_runs_both(grid, kinds, ["feature"]).collect()) == ["a", "c"]
+    assert sorted(r.feature for r in IO.pending_runs_both(grid, kinds, ["feature"]).collect()) == ["a", "c", "d", "e"]

@@ -138,12 +138,6 @@ def _sql_ref(c: Column | str) -> str:
     raise TypeError("coerce_numeric takes a column name")
 
 
-def window_slots(anchor: Column | str, period: int) -> Column:
-    """the ``period`` dates ending at the anchor, ascending (anchor-period+1 .. anchor)."""
-    a = col(anchor)
-    return F.sequence(F.date_sub(a, period - 1), a, F.expr("INTERVAL 1 DAY"))
-
-
 def argmax_index(arr: Column | str) -> Column:
     """0-based position of the first maximum of an array."""
     a = col(arr)
@@ -151,5 +145,5 @@ def argmax_index(arr: Column | str) -> Column:
 
 
 def md5_int(text: Column) -> Column:
-    """A 32-bit hash from the first 8 hex digits of md5, equal in Spark and plain SQL engines."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    """A 60-bit hash from the first 15 hex digits of md5, equal in Spark and plain SQL engines."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -15,10 +15,6 @@ from transitio.functions import scalar as S
 BUCKET_PERIODS = 16  # records of one user are windowed in time buckets of 16 periods
 
 
-def _by_user() -> Window:
-    return Window.partitionBy("user").orderBy("date", "idx")
-
-
 def _bucketed(records: DataFrame, period: int) -> DataFrame:
     days = F.datediff(F.col("date"), F.lit("1970-01-01"))
     return records.withColumn("_bk", F.floor(days / F.lit(period * BUCKET_PERIODS)).cast("long"))
@@ -78,8 +74,8 @@ def _valid_sum_count(arr: str):
     """Per-record sum (exact decimal) and count of finite, present elements of a sequence."""
     valid = (f"filter(CAST(`{arr}` AS ARRAY<DOUBLE>), x -> x IS NOT NULL AND NOT isnan(x) "
              f"AND abs(x) != CAST('Infinity' AS DOUBLE))")
-    total = F.expr(f"aggregate({valid}, CAST(0 AS DECIMAL(20,1)), "
-                   f"(acc, x) -> CAST(acc + CAST(x AS DECIMAL(20,1)) AS DECIMAL(20,1)))")
+    total = F.expr(f"aggregate({valid}, CAST(0 AS DECIMAL(28,9)), "
+                   f"(acc, x) -> CAST(acc + CAST(x AS DECIMAL(28,9)) AS DECIMAL(28,9)))")
     return total, F.expr(f"size({valid})")
 
 
@@ -111,8 +107,3 @@ def history_average(records: DataFrame, features: list[str], period: int = 14) -
         n = F.coalesce(F.col(f"_in_{f}"), F.lit(0)) + F.coalesce(F.col(f"_en_{f}"), F.lit(0))
         hist.append(F.when(n > 0, S.np_round(s.cast("double") / n, 1)).alias(f"hist_{f}"))
     return r.select(*records.columns, *hist)
-
-
-def record_ordinal(records: DataFrame) -> DataFrame:
-    """1-based ordinal of a record within its user."""
-    return records.withColumn("ordinal", F.row_number().over(_by_user()))

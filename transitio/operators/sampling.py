@@ -28,6 +28,21 @@ def _seed_col(seed) -> Column:
     return seed if isinstance(seed, Column) else F.lit(str(seed))
 
 
+JOIN_SALTS = 16
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """Join many rows with one row per key: a key that holds a large share of ``rows`` is dealt to
+    JOIN_SALTS tasks by the hash of ``spread``; each row of ``per_key`` is repeated per salt."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(JOIN_SALTS)).cast("int"))
+    right = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(JOIN_SALTS)])))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def seeded_md5(seed, *parts: Column | str) -> Column:
     items = [_seed_col(seed).cast("string")]
     for p in parts:
@@ -94,7 +109,7 @@ def group_split(df: DataFrame, group: str, seed=1, test_fraction: float = 0.4,
                 keys: list[str] | None = None) -> DataFrame:
     """R1 + J5: every row tagged 'train' or 'test' through its group's side (equi-join)."""
     sides = group_sides(df, group, seed, test_fraction, keys)
-    out = df.join(sides, list(keys or []) + [group], "inner")
+    out = salted_join(df, sides, list(keys or []) + [group], _row_hash(df))
     return out.withColumn("side", F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train"))).drop("is_test")
 
 
@@ -102,12 +117,12 @@ def two_stage_split(df: DataFrame, group: str, seed=1, test_fraction: float = 0.
                     eval_fraction: float = 0.5) -> DataFrame:
     """R2: test = ceil(0.4 G) groups; the rest is split again by group, ceil(0.5 G') to eval.
     All three sides are returned ('train', 'eval', 'test'); stage 2 uses a salted seed."""
-    first = group_split(df, group, seed, test_fraction)
-    rest = first.where(F.col("side") == "train").drop("side")
-    second = group_sides(rest, group, f"{seed}:stage2", eval_fraction)
+    # Both stages run on the distinct groups; the rows meet their side once.
+    first = group_sides(df.select(group).distinct(), group, seed, test_fraction)
+    second = group_sides(first.where(~F.col("is_test")).select(group), group, f"{seed}:stage2", eval_fraction)
     second = second.select(group, F.when(F.col("is_test"), F.lit("eval")).otherwise(F.lit("train")).alias("_s2"))
-    out = first.join(second, group, "left")
-    return out.withColumn("side", F.coalesce("_s2", "side")).drop("_s2")
+    sides = first.join(second, group, "left").select(group, F.coalesce("_s2", F.lit("test")).alias("side"))
+    return salted_join(df, sides, [group], _row_hash(df))
 
 
 def chunked_range(df: DataFrame, count: str, name: str, chunk: int = DRAW_CHUNK) -> DataFrame:
@@ -124,7 +139,8 @@ def chunked_range(df: DataFrame, count: str, name: str, chunk: int = DRAW_CHUNK)
 def oversample(train: DataFrame, label: str, row_id: str, seed=1, keys: list[str] | None = None) -> DataFrame:
     """R3 + X1: for each class with fewer rows than the mean class size, append ``int(mean)``
     rows drawn with replacement: draw j takes position hash(seed:class:j) mod count of the
-    class, joined to the class's dense index. Adds ``copy`` (0 original, 1 drawn)."""
+    class, joined to the class's dense index. Adds ``copy`` (0 original, 1 drawn) and ``draw`` (0, or
+    the draw's number from 1 within its class), so (row id, copy, draw) identifies a row."""
     k = list(keys or [])
     counts = train.groupBy(*k, label).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*k) if k else Window.partitionBy(F.lit(0))  # over class rows only
@@ -136,8 +152,9 @@ def oversample(train: DataFrame, label: str, row_id: str, seed=1, keys: list[str
                                                             F.col(label).cast("string"), F.lit(":"),
                                                             F.col("_j").cast("string"))), F.col("_cnt")))
     indexed = dense_index(train, k + [label], seeded_md5(seed_c, row_id), row_id)
-    drawn = draws.select(*k, label, "pos").join(indexed, k + [label, "pos"], "inner").drop("pos")
-    return train.withColumn("copy", F.lit(0)).unionByName(drawn.withColumn("copy", F.lit(1)))
+    drawn = draws.select(*k, label, "pos", (F.col("_j") + 1).alias("draw")).join(indexed, k + [label, "pos"], "inner").drop("pos")
+    originals = train.withColumn("copy", F.lit(0)).withColumn("draw", F.lit(0).cast("bigint"))
+    return originals.unionByName(drawn.withColumn("copy", F.lit(1)))
 
 
 def holdout_split(df: DataFrame, row_id: str, seed=1, fraction: float = 0.2) -> DataFrame:
@@ -191,7 +208,7 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     sizes = blocks.groupBy(stratum).agg(F.sum("_size").alias("_count"))
     blocks = blocks.select(stratum, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
     q = queries.select(query_id, stratum, th.alias("_th"))
-    q = q.join(sizes, stratum, "inner").join(blocks, [stratum, "_th"], "left")
+    q = salted_join(q, sizes, [stratum], F.col(query_id)).join(blocks, [stratum, "_th"], "left")
     q = q.withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))
     q = q.withColumn("_m", F.col("_count") - F.col("_b")).where(F.col("_m") > 0)
     q = q.withColumn("n_found", F.least(F.lit(n), F.col("_m")).cast("int"))

@@ -94,9 +94,10 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     so a key with very many duplicate rows never sits whole in one task.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    best = F.min(F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in rest]).alias("_row")))
+    row = [F.struct(*[F.col(c) for c in rest]).alias("_row")] if rest else []
+    best = F.min(F.struct(*[F.col(c) for c in order], *row))
     out = df.groupBy(*keys).agg(best.alias("_first"))
-    return out.select(*keys, *[F.col(f"_first.{c}") for c in order], "_first._row.*").select(*df.columns)
+    return out.select(*keys, *[F.col(f"_first.{c}") for c in order], *(["_first._row.*"] if rest else [])).select(*df.columns)
 
 
 def valid_assessments(phq: DataFrame, entry_idx: int = 1) -> DataFrame:
@@ -126,6 +127,13 @@ def slots(assessments: DataFrame, period: int = 14) -> DataFrame:
             .withColumn("date", F.date_add(F.date_sub(F.col("anchor"), period), F.col("slot"))))
 
 
+def first_of_day(table: DataFrame) -> DataFrame:
+    """The first row of a duplicated (user, date): in ``file_order`` where the table has it, else
+    in the order of the values."""
+    order = ["file_order"] if "file_order" in table.columns else [c for c in table.columns if c not in ("user", "date")]
+    return first_per_key(table, ["user", "date"], order) if order else table.distinct()
+
+
 def _source_frames(tables: dict[str, DataFrame], features: list[str],
                    catalog: dict[str, Feature]) -> dict[str, DataFrame]:
     by_source: dict[str, list[str]] = {}
@@ -135,7 +143,7 @@ def _source_frames(tables: dict[str, DataFrame], features: list[str],
     for source, names in by_source.items():
         if source == "battery":
             continue  # battery values come with the mask below
-        frames[source] = tables[source].select(
+        frames[source] = first_of_day(tables[source]).select(
             F.col("user").alias("_u"), F.col("date").alias("_d"),
             *[catalog[n].expr.alias(n) for n in names])
     return frames
@@ -152,7 +160,7 @@ def slot_values(assessments: DataFrame, tables: dict[str, DataFrame], features:
     s = slots(assessments, period)
     if "daily" in tables:
         return _slot_values_wide(s, tables["daily"], features, catalog)
-    bat = battery_daily(tables["battery"]).select(
+    bat = battery_daily(first_of_day(tables["battery"])).select(
         F.col("user").alias("_u"), F.col("date").alias("_d"), "battery_mean", "battery_std",
         F.col("battery_afternoon").alias("_battery_afternoon"))
     out = s.join(bat, (s["user"] == bat["_u"]) & (s["date"] == bat["_d"]), "left").drop("_u", "_d")

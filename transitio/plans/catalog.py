@@ -393,7 +393,7 @@ def split_all_seeds(spark, sf_dir):
 def oversample(spark, sf_dir):
     """R3 + X1: minority classes of the train side get int(mean) drawn copies appended."""
     train = _split(spark, sf_dir).where("side = 'train'").select("doc_id", "label")
-    return SM.oversample(train, "label", "doc_id", 1).select("doc_id", "label", "copy")
+    return SM.oversample(train, "label", "doc_id", 1).select("doc_id", "label", "copy", "draw")
 
 
 @register("holdout_split")
@@ -563,21 +563,23 @@ def sequence_matrix(spark, sf_dir):
 def numeric_coerce(spark, sf_dir):
     """tree path (fill, then coerce: bad text stays missing) vs sequence path (fill again)."""
     ct = _class(spark, sf_dir).select(
-        "doc_id", F.col("source").alias("r1"), F.substring("source", 4, 10).alias("r2"),
+        "doc_id", F.col("source").alias("r1"), F.expr("substring(source, 4)").alias("r2"),
         F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.lit("NaN"))
         .otherwise(F.col("lang")).alias("r3"))
     return ct.select("doc_id", *[S.coerce_numeric(f"r{i}", False).alias(f"tree_{i}") for i in (1, 2, 3)],
                      *[S.coerce_numeric(f"r{i}", True).alias(f"seq_{i}") for i in (1, 2, 3)])
 
 
-EMB_DIMS = 8
+def _dims(emb) -> int:
+    """Longest embedding of the table (one aggregate)."""
+    return emb.agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
 @register("standard_scale")
 def standard_scale(spark, sf_dir):
-    """A10 + K10: z-scores of 8 embedding dimensions with train-side mean / population std."""
+    """A10 + K10: z-scores of every embedding dimension with train-side mean / population std."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    cols = [f"z_{i}" for i in range(EMB_DIMS)]
+    cols = [f"z_{i}" for i in range(_dims(emb))]
     e = emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
     sp = SM.holdout_split(e, "vec_id", 1)
     stats = PP.standard_stats(sp.where("side = 'train'"), cols)
@@ -606,9 +608,9 @@ def label_encode(spark, sf_dir):
 
 @register("argmax_class")
 def argmax_class(spark, sf_dir):
-    """Predicted class = first arg-max of the first 10 embedding values."""
+    """Predicted class = first arg-max of all embedding values."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    return emb.select("vec_id", "label", PP.argmax_class(F.slice("embedding", 1, 10)).alias("predicted"))
+    return emb.select("vec_id", "label", PP.argmax_class(F.col("embedding")).alias("predicted"))
 
 
 # ---------------------------------------------------------------- study, sinks and restart
@@ -735,7 +737,8 @@ def _manifest_events(spark, sf_dir):
 
 
 def _run_grid(ev):
-    days = F.sequence(F.lit(TD.PANEL_START), F.date_add(F.lit(TD.PANEL_START), TD.PANEL_DAYS - 1), F.expr("INTERVAL 1 DAY"))
+    start, n_days = TD.panel_range(ev)
+    days = F.sequence(F.lit(start), F.date_add(F.lit(start), max(n_days - 1, 0)), F.expr("INTERVAL 1 DAY"))
     return ev.select("user").distinct().select("user", F.explode(days).alias("date"))
 
 
@@ -768,22 +771,18 @@ def score_prompts(spark, sf_dir):
     return ST.score_prompts(prompts, "prompt", ST.fallback_predictor_factory, ["doc_id", "label"])
 
 
-def _with_row_id(df, id_expr):
-    return df.withColumn("row_id", id_expr)
-
-
 @register("rf_study")
 def rf_study(spark, sf_dir):
-    """Random forest, small grid, 3-fold CV on macro F1, on 16 embedding dimensions."""
+    """Random forest, small grid, 3-fold CV on macro F1, on all embedding dimensions."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    cols = [f"e_{i}" for i in range(16)]
+    cols = [f"e_{i}" for i in range(_dims(emb))]
     data = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("y"),
                       *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
 
     def split(df, seed):
         s = SM.holdout_split(df, "row_id", seed)
         return s.withColumn("side", F.when(F.col("side") == "validation", "eval").otherwise("train"))
-    return ST.run_study(data, {"embedding_16": cols}, {"random_forest": {"numTrees": [10, 20], "maxDepth": [4]}},
+    return ST.run_study(data, {"embedding": cols}, {"random_forest": {"numTrees": [10, 20], "maxDepth": [4]}},
                         [1], split)
 
 

@@ -62,10 +62,10 @@ def npround(expr: str, digits: int = 1) -> str:
 
 
 def phq_cte(p: int) -> str:
-    n_k = 29 // p
     return f"""users AS (SELECT DISTINCT uid FROM ev),
-asg AS (SELECT uid, CAST(DATE '2024-01-01' + CAST({p} * k AS INTEGER) AS DATE) AS date, CAST(k + 1 AS INTEGER) AS idx, k
-        FROM users CROSS JOIN range(0, {n_k + 1}) r(k)),
+span AS (SELECT min(d) AS first, datediff('day', min(d), max(d)) // {p} AS n_k FROM ev),
+asg AS (SELECT uid, CAST(first + CAST({p} * k AS INTEGER) AS DATE) AS date, CAST(k + 1 AS INTEGER) AS idx, k
+        FROM (SELECT uid, first, unnest(range(0, n_k + 1)) AS k FROM users CROSS JOIN span)),
 phq AS (
   SELECT a.uid, a.date, a.idx,
          CASE WHEN (a.uid + a.k) % 17 = 0 THEN NULL ELSE CAST(sum(e.k) % 28 AS DOUBLE) END AS phq9
@@ -238,7 +238,7 @@ def hist_cte() -> str:
     cols = []
     for n in FEATS:
         x = f"f.{n}"
-        cols.append(f"CASE WHEN count({x}) > 0 THEN {npround(f'CAST(sum(CAST({x} AS DECIMAL(20,1))) AS DOUBLE) / count({x})', 1)} END AS hist_{n}")
+        cols.append(f"CASE WHEN count({x}) > 0 THEN {npround(f'CAST(sum(CAST({x} AS DECIMAL(28,9))) AS DOUBLE) / count({x})', 1)} END AS hist_{n}")
     return f"""hist AS (SELECT r.uid, r.date, r.idx, {', '.join(cols)}
   FROM rec r LEFT JOIN fv f ON f.uid = r.uid AND (f.date < r.date OR (f.date = r.date AND f.idx < r.idx))
   GROUP BY r.uid, r.date, r.idx)"""
@@ -343,8 +343,8 @@ CT = """ct AS (
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
-def h32(expr: str) -> str:
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+def h60(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
 
 
 def split_cte(seed: str = "'1'", name: str = "split") -> str:
@@ -425,10 +425,10 @@ tr AS (SELECT doc_id, label FROM split WHERE side = 'train'),
 cnt AS (SELECT label, count(*) AS c FROM tr GROUP BY label),
 need AS (SELECT label, c, CAST(floor((SELECT avg(c) FROM cnt)) AS BIGINT) AS n FROM cnt WHERE c < (SELECT avg(c) FROM cnt)),
 draws AS (SELECT label, c, unnest(range(0, n)) AS j FROM need),
-pos AS (SELECT label, {h32("'1:' || label || ':' || CAST(j AS VARCHAR)")} % c AS pos FROM draws),
+pos AS (SELECT label, j + 1 AS draw, {h60("'1:' || label || ':' || CAST(j AS VARCHAR)")} % c AS pos FROM draws),
 idx AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos FROM tr)
-SELECT doc_id, label, 0 AS copy FROM tr
-UNION ALL SELECT idx.doc_id, idx.label, 1 FROM pos JOIN idx ON idx.label = pos.label AND idx.pos = pos.pos""",
+SELECT doc_id, label, 0 AS copy, 0 AS draw FROM tr
+UNION ALL SELECT idx.doc_id, idx.label, 1, draw FROM pos JOIN idx ON idx.label = pos.label AND idx.pos = pos.pos""",
     "holdout_split": f"""WITH {CT},
 ix AS (SELECT doc_id, row_number() OVER (ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos, count(*) OVER () AS n FROM ct)
 SELECT doc_id, CASE WHEN pos < floor(CAST(n AS DOUBLE) * 0.2) THEN 'validation' ELSE 'train' END AS side FROM ix""",
@@ -450,7 +450,7 @@ blocks AS (SELECT st, th, count(*) AS b, max(pos) AS e FROM pool GROUP BY st, th
 qq AS (SELECT q.doc_id AS qid, q.{stratum} AS st, s.cnt, coalesce(bl.b, 0) AS b, coalesce(bl.e, -1) AS e
        FROM (SELECT * FROM {query_src} WHERE {query_filter}) q JOIN sizes s ON s.st = q.{stratum}
        LEFT JOIN blocks bl ON bl.st = q.{stratum} AND bl.th = md5('1:' || CAST(q.{text} AS VARCHAR))),
-qm AS (SELECT *, cnt - b AS m, least({n}, cnt - b) AS nf, {h32("'1:q:' || CAST(qid AS VARCHAR)")} % (cnt - b) AS o
+qm AS (SELECT *, cnt - b AS m, least({n}, cnt - b) AS nf, {h60("'1:q:' || CAST(qid AS VARCHAR)")} % (cnt - b) AS o
        FROM qq WHERE cnt - b > 0),
 picks AS (SELECT qid, st, nf, j, (e + 1 + (o + j * m) // nf) % cnt AS pos
           FROM (SELECT *, unnest(range(0, nf)) AS j FROM qm)),
@@ -514,7 +514,7 @@ ORACLE.update({
   FROM conversations GROUP BY conv_id)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, CAST(length(t) AS BIGINT) AS chat_len, md5(t) AS chat_md5 FROM r""",
     "parse_label": f"""WITH g AS (
-  SELECT doc_id, text AS p, text || CASE {h32('CAST(doc_id AS VARCHAR)')} % 4
+  SELECT doc_id, text AS p, text || CASE {h60('CAST(doc_id AS VARCHAR)')} % 4
       WHEN 0 THEN '{NL}Label: Remains' WHEN 1 THEN ' Label: More Depressed' WHEN 2 THEN 'Label: Less Depressed.'
       ELSE 'no idea' END AS g FROM documents),
 o AS (SELECT doc_id, regexp_replace(regexp_replace(substring(g, length(p) + 1), '^\\s+', ''), '\\s+$', '') AS out FROM g)
@@ -566,11 +566,11 @@ num AS (SELECT doc_id, {', '.join(f"TRY_CAST(coalesce(r{i}, '0') AS DOUBLE) AS n
 SELECT doc_id, {', '.join(f'CASE WHEN isnan(n{i}) THEN NULL ELSE n{i} END AS tree_{i}' for i in (1, 2, 3))},
        {', '.join(f'coalesce(CASE WHEN isnan(n{i}) THEN NULL ELSE n{i} END, 0.0) AS seq_{i}' for i in (1, 2, 3))}
 FROM num""",
-    "standard_scale": f"""WITH e AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS z_{i}' for i in range(8))} FROM embeddings),
+    "standard_scale": f"""WITH e AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS z_{i}' for i in range(64))} FROM embeddings),
 ix AS (SELECT vec_id, row_number() OVER (ORDER BY md5('1:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS pos, count(*) OVER () AS n FROM e),
 sd AS (SELECT e.*, CASE WHEN pos < floor(CAST(n AS DOUBLE) * 0.2) THEN 'validation' ELSE 'train' END AS side FROM e JOIN ix USING (vec_id)),
-st AS (SELECT {', '.join(f'avg(z_{i}) AS mu_{i}, stddev_pop(z_{i}) AS sd_{i}' for i in range(8))} FROM sd WHERE side = 'train')
-SELECT vec_id, side, {', '.join(f'round((z_{i} - mu_{i}) / CASE WHEN sd_{i} = 0 THEN 1.0 ELSE sd_{i} END, 6) AS z_{i}' for i in range(8))}
+st AS (SELECT {', '.join(f'avg(z_{i}) AS mu_{i}, stddev_pop(z_{i}) AS sd_{i}' for i in range(64))} FROM sd WHERE side = 'train')
+SELECT vec_id, side, {', '.join(f'round((z_{i} - mu_{i}) / CASE WHEN sd_{i} = 0 THEN 1.0 ELSE sd_{i} END, 6) AS z_{i}' for i in range(64))}
 FROM sd, st""",
     "minmax_sequences": f"""WITH {FORECAST}, {USER_SPLIT},
 vals AS (SELECT fc.uid, fc.date, u.side, fv.slot,
@@ -591,7 +591,7 @@ dict AS (SELECT DISTINCT label FROM rows WHERE side IN ('train', 'eval'))
 SELECT uid AS "user", date, side, label,
        CASE WHEN label IN (SELECT label FROM dict) THEN CAST((SELECT count(*) FROM dict d WHERE d.label < rows.label) AS INTEGER) END AS code
 FROM rows""",
-    "argmax_class": """SELECT vec_id, label, CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER) AS predicted
+    "argmax_class": """SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS predicted
 FROM embeddings""",
 })
 
@@ -665,13 +665,15 @@ SELECT s.uid AS "user", sv.bg_sex AS gender, sv.grp AS "group", sv.bg_age AS age
        {', '.join(f's.s_{n}' for n in FEATS)}
 FROM seq s LEFT JOIN sv ON sv.uid = s.uid""",
     "pending_runs_both": f"""WITH {EV},
-grid AS (SELECT uid, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev), range(0, 30) t(d)),
+grid AS (SELECT uid, CAST(day AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev),
+  (SELECT unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM ev)),
 m AS (SELECT uid, d AS date, CASE WHEN k % 2 = 0 THEN 'json' ELSE 'csv' END AS kind FROM ev)
 SELECT uid AS "user", date FROM grid g
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.uid = g.uid AND m.date = g.date AND m.kind = 'json')
    OR NOT EXISTS (SELECT 1 FROM m WHERE m.uid = g.uid AND m.date = g.date AND m.kind = 'csv')""",
     "pending_runs_latest_valid": f"""WITH {EV},
-grid AS (SELECT uid, CAST(DATE '2024-01-01' + CAST(d AS INTEGER) AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev), range(0, 30) t(d)),
+grid AS (SELECT uid, CAST(day AS DATE) AS date FROM (SELECT DISTINCT uid FROM ev),
+  (SELECT unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM ev)),
 m AS (SELECT user_id AS uid, CAST(ts AS DATE) AS date, ts,
              CASE WHEN event_type <> 'error' THEN value END AS acc, CASE WHEN event_type <> 'signup' THEN value END AS f1 FROM events),
 latest AS (SELECT uid, date, arg_max(acc IS NOT NULL AND f1 IS NOT NULL, ts) AS ok FROM m GROUP BY uid, date)

@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)  # named in the session conf only: hand it to the context
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # executors in other processes (local-cluster too)
         raise RuntimeError(f"{_CHECKPOINT_KEY} must name a shared folder on a cluster")
     # spark.checkpoint.dir is a static setting (read-only at runtime); local sessions
     # without it get a private folder on the SparkContext.

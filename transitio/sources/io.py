@@ -3,6 +3,8 @@ restart detection over the result manifest."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,14 +85,37 @@ def write_results(df: DataFrame, path: str, partition_by: list[str], fmt: str =
     df.write.mode(mode).partitionBy(*partition_by).format(fmt).save(path)
 
 
+def _listing(spark: SparkSession, path: str, key_cols: list[str]) -> DataFrame:
+    """(keys, file_path, file_time, kind) of every JSON and CSV file under ``path``. Spark's own
+    sources skip empty files, so the folder is listed through Hadoop's file system, as Spark's
+    file index does: names and times only, one entry per result file."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    rows = []
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toUri().toString()
+        kind = name.rpartition(".")[2]
+        if kind in ("json", "csv"):
+            keys = dict(unquote(part).split("=", 1) for part in name.split("/") if "=" in part)
+            rows.append((*[keys.get(k) for k in key_cols], name, f.getModificationTime(), kind))
+    schema = ", ".join([*[f"`{k}` string" for k in key_cols], "file_path string", "ms long", "kind string"])
+    return spark.createDataFrame(rows, schema).withColumn("file_time", F.timestamp_millis("ms")).drop("ms")
+
+
 def result_manifest(spark: SparkSession, path: str, key_cols: list[str], metric_cols: list[str]) -> DataFrame:
-    """Manifest of JSON result files: key columns (partition directories), file kind and
-    modification time from ``_metadata``, and the metric fields (NULL when missing or
-    the file is corrupt: PERMISSIVE mode)."""
+    """Manifest of the JSON and CSV result files under ``path``: exactly one row per file, whatever it holds.
+
+    Key columns come from the folders (``key=value``); JSON metrics are read as whole documents,
+    so pretty-printed files parse, and joined by path. A file that is empty, corrupt or lacks a
+    metric has NULL there.
+    """
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in metric_cols])
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return df.select(*key_cols, *metric_cols, F.col("_metadata.file_path").alias("file_path"),
-                     F.col("_metadata.file_modification_time").alias("file_time"))
+    docs = spark.read.schema(schema).options(multiLine="true", mode="PERMISSIVE", pathGlobFilter="*.json").json(path)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  both spellings of a local path
+    found = docs.groupBy(plain("_metadata.file_path").alias("_path")).agg(*[F.max(c).alias(c) for c in metric_cols])
+    files = _listing(spark, path, key_cols).withColumn("_path", plain("file_path"))
+    return files.join(found, "_path", "left").select(*key_cols, *metric_cols, "kind", "file_path", "file_time")
 
 
 def pending_runs_both(grid: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,8 +17,13 @@ from transitio.sources.tables import table
 
 EPOCHS = ("night", "morning", "afternoon", "evening")
 APP_CATEGORIES = ("click", "error", "purchase", "signup", "view")
-PANEL_START = dt.date(2024, 1, 1)
-PANEL_DAYS = 30
+
+
+def panel_range(events: DataFrame) -> tuple[dt.date, int]:
+    """First day of the events and the number of days up to their last (one min / max
+    aggregate over the time column); an empty table has no days."""
+    first, last = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return (first, (last - first).days + 1) if first is not None else (dt.date(1970, 1, 1), 0)
 
 
 def enriched_events(events: DataFrame) -> DataFrame:
@@ -113,19 +118,20 @@ def daily(events: DataFrame, categories=APP_CATEGORIES) -> DataFrame:
     return _agg(ev, exprs)
 
 
-def phq(events: DataFrame, period: int = 14, start: dt.date = PANEL_START,
-        days: int = PANEL_DAYS) -> DataFrame:
-    """Assessments: for k = 0..(days-1) div period, date = start + period*k, idx = k+1,
+def phq(events: DataFrame, period: int = 14, start: dt.date | None = None, days: int | None = None) -> DataFrame:
+    """Assessments over the whole range of the events (or a given one): for k = 0..(days-1) div period, date = start + period*k, idx = k+1,
     phq9 = sum(k-prop over (date-period, date]) mod 28; NULL when (user+k) % 17 = 0 or no events.
 
     Each event day belongs to exactly one window, k = ceil(offset / period), so this is an
     equi-aggregation on (user, k) plus a user x k spine, not a range join.
     """
+    if start is None or days is None:
+        start, days = panel_range(events)
     ev = enriched_events(events)
     offset = F.datediff(F.col("date"), F.lit(start))
     per_k = (ev.withColumn("k_slot", F.ceil(offset / F.lit(period)).cast("int"))
              .groupBy("user", "k_slot").agg(F.sum("k").alias("ksum")))
-    n_k = (days - 1) // period
+    n_k = max(0, (days - 1) // period)
     # Users come from the already aggregated sums (one row per user and window), not from
     # a second scan of the events.
     spine = (per_k.select("user").distinct()

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from transitio.operators.sequences import battery_daily
-from transitio.session import scratch_dir
 from transitio.sources.testdata import EPOCHS
 
 EVENT_SCHEMA = T.StructType([
@@ -49,9 +48,8 @@ def daily_battery_features(spark: SparkSession, source_dir: str, lateness: str =
     return battery_daily(battery_stream(events, lateness))
 
 
-def start_to_parquet(stream: DataFrame, sink_dir: str, name: str = "daily-battery") -> StreamingQuery:
-    """Append closed days to parquet; the checkpoint lives under the shared checkpoint folder
-    so a restarted driver resumes exactly where it stopped."""
-    checkpoint = scratch_dir(stream.sparkSession, f"stream-{name}")
+def start_to_parquet(stream: DataFrame, sink_dir: str, checkpoint_dir: str) -> StreamingQuery:
+    """Append closed days to parquet. ``checkpoint_dir`` (on shared storage) belongs to the sink: a
+    restarted driver that passes the same two folders resumes exactly where it stopped."""
     return (stream.writeStream.outputMode("append").format("parquet")
-            .option("path", sink_dir).option("checkpointLocation", checkpoint).start())
+            .option("path", sink_dir).option("checkpointLocation", checkpoint_dir).start())
