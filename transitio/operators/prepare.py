@@ -60,14 +60,16 @@ def standard_stats(train: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def standard_scale(df: DataFrame, stats: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
-    """(x - mean) / std with the training statistics (one scalar-subquery row)."""
-    st = _one_row(stats)
+    """(x - mean) / std with the training statistics (one scalar-subquery row, bound to one
+    column, so the plan holds it once however many columns are scaled)."""
+    df, kept = df.withColumn("_st", _one_row(stats)), df.columns
+    st = F.col("_st")
     out = []
     for c in cols:
         sd = F.when(st[f"_sd_{c}"] == 0, F.lit(1.0)).otherwise(st[f"_sd_{c}"])
         z = (F.col(c) - st[f"_mu_{c}"]) / sd
         out.append((F.round(z, digits) if digits is not None else z).alias(c))
-    return df.select(*[c for c in df.columns if c not in cols], *out)
+    return df.select(*[c for c in kept if c not in cols], *out)
 
 
 def minmax_stats(train: DataFrame, arrays: list[str]) -> DataFrame:
@@ -82,9 +84,9 @@ def minmax_stats(train: DataFrame, arrays: list[str]) -> DataFrame:
 def minmax_scale(df: DataFrame, stats: DataFrame, arrays: list[str]) -> DataFrame:
     """(x - min) / (max - min), a zero range scales by 1; evaluation rows use the
     training statistics and are not clipped."""
-    st = _one_row(stats)
-    # Subqueries may not sit inside lambdas: bind the statistics to columns first.
-    bound = df
+    # Subqueries may not sit inside lambdas: bind the statistics to one column first.
+    bound = df.withColumn("_st", _one_row(stats))
+    st = F.col("_st")
     for a in arrays:
         rng = st[f"_mx_{a}"] - st[f"_mn_{a}"]
         bound = bound.withColumn(f"_lo_{a}", st[f"_mn_{a}"]) \
@@ -114,9 +116,8 @@ def label_dictionary(frames: list[DataFrame], label: str) -> DataFrame:
 
 def encode_labels(df: DataFrame, dictionary: DataFrame, label: str, name: str = "code") -> DataFrame:
     """K9: alphabetical code of the label (NULL when unseen)."""
-    labels = _one_row(dictionary)["labels"]
-    pos = F.array_position(labels, F.col(label))
-    return df.withColumn(name, F.when(pos > 0, (pos - 1).cast("int")))
+    bound = df.withColumn("_pos", F.array_position(_one_row(dictionary)["labels"], F.col(label)))
+    return bound.withColumn(name, F.when(F.col("_pos") > 0, (F.col("_pos") - 1).cast("int"))).drop("_pos")
 
 
 def argmax_class(scores: Column | str) -> Column:
