@@ -417,7 +417,9 @@ def _few_shot(spark, sf_dir, n, queries_side=None):
     sp = materialize(SM.group_split(ct, "source", 1))
     pool = sp.where("side = 'train'")
     queries = sp if queries_side is None else sp.where(F.col("side") == queries_side)
-    pairs = SM.few_shot_positions(pool, queries, "lang", "th", "doc_id", "doc_id", n, 1, hashed=True, materialize=True)
+    # Examples come from the oversampled train side (R3); ``pool`` stays one row per document.
+    drawn = SM.oversample(pool, "label", "doc_id", 1)
+    pairs = SM.few_shot_positions(drawn, queries, "lang", "th", "doc_id", "doc_id", n, 1, hashed=True, materialize=True)
     return sp, pool, queries, pairs
 
 
@@ -427,7 +429,7 @@ def _texts(spark, sf_dir):
 
 @register("few_shot_pairs")
 def few_shot_pairs(spark, sf_dir):
-    """5 examples per row from the train pool, same language, different text."""
+    """5 examples per row from the oversampled train pool, same language, different text."""
     return _few_shot(spark, sf_dir, 5)[3]
 
 

@@ -439,9 +439,19 @@ FROM ct""",
 
 
 def fewshot_ctes(n: int, query_filter: str = "TRUE", stratum: str = "lang", text: str = "data",
-                 pool_src: str = "split WHERE side = 'train'", query_src: str = "split") -> str:
-    """Systematic sampling restated with window functions over the pool."""
-    return f"""pool AS (SELECT {stratum} AS st, md5('1:' || CAST({text} AS VARCHAR)) AS th, doc_id, label, data,
+                 pool_src: str | None = None, query_src: str = "split") -> str:
+    """Systematic sampling restated with window functions over the pool, by default the
+    oversampled train side: classes below the mean size get that many drawn rows."""
+    drawn = "" if pool_src else f"""os_tr AS (SELECT * FROM split WHERE side = 'train'),
+os_cnt AS (SELECT label, count(*) AS c FROM os_tr GROUP BY label),
+os_draw AS (SELECT label, c, unnest(range(0, CAST(floor((SELECT avg(c) FROM os_cnt)) AS BIGINT))) AS j
+            FROM os_cnt WHERE c < (SELECT avg(c) FROM os_cnt)),
+os_idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS os_pos FROM os_tr),
+os_all AS (SELECT * FROM os_tr UNION ALL SELECT i.* EXCLUDE (os_pos) FROM os_draw d JOIN os_idx i
+           ON i.label = d.label AND i.os_pos = {h60("'1:' || d.label || ':' || CAST(d.j AS VARCHAR)")} % d.c),
+"""
+    pool_src = pool_src or "os_all"
+    return drawn + f"""pool AS (SELECT {stratum} AS st, md5('1:' || CAST({text} AS VARCHAR)) AS th, doc_id, label, data,
                  row_number() OVER (PARTITION BY {stratum} ORDER BY md5('1:' || CAST({text} AS VARCHAR)),
                                     md5('1:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos
           FROM {pool_src}),
