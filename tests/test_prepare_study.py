@@ -49,3 +49,25 @@ def test_two_stage_split_sizes(spark):
     sides = {r.side: r.n for r in SM.two_stage_split(df, "g", 1).groupBy("side").agg(
         F.countDistinct("g").alias("n")).collect()}
     assert sides == {"test": 8, "eval": 6, "train": 6}
+
+
+def test_study_has_one_row_per_cell_and_reports_failures(spark):
+    rows = [(i, i % 3, float(i % 3) + (i % 7) / 100, float(i % 5)) for i in range(90)]
+    data = spark.createDataFrame([(i, float(y), a, b) for i, y, a, b in rows], "row_id long, y double, a double, b double")
+
+    def split(df, seed):
+        return df.withColumn("side", F.when(F.col("row_id") % 4 == 0, "eval").otherwise("train"))
+
+    grids = {"random_forest": {"numTrees": [5], "maxDepth": [3]}, "unknown": {"depth": [1]}}
+    out = {r.model: r for r in ST.run_study(data, {"a_b": ["a", "b"]}, grids, [1], split).collect()}
+    assert set(out) == set(grids)
+    assert out["random_forest"].accuracy > 0.9 and out["random_forest"].error is None
+    assert out["unknown"].accuracy is None and "unknown" in out["unknown"].error
+
+
+def test_study_inputs_oversample_the_train_side_only(spark):
+    data = spark.createDataFrame([(i, float(i % 10 == 0), float(i)) for i in range(100)], "row_id long, y double, a double")
+    out = ST.study_inputs(data, ["a"], 1, lambda df, seed: df.withColumn("side", F.when(F.col("row_id") >= 80, "eval").otherwise("train")))
+    n = {(r.side, r.y): r["count"] for r in out.groupBy("side", "y").count().collect()}
+    assert n == {("eval", 0.0): 18, ("eval", 1.0): 2, ("train", 0.0): 72, ("train", 1.0): 48}
+    assert out.select("row_id").distinct().count() == out.count()

@@ -131,3 +131,10 @@ def best_run(runs: DataFrame, keys: list[str], score: str, ordinal: str) -> Data
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(ordinal).asc())
     return runs.where(F.col(score).isNotNull()).withColumn("_rn", F.row_number().over(w)) \
         .where(F.col("_rn") == 1).drop("_rn")
+
+
+def align_predictions(truth: DataFrame, predictions: DataFrame, key: str, predicted: str = "predicted") -> DataFrame:
+    """Predictions joined to the true rows by row id; a true row without a prediction keeps NULL
+    and ``answered`` false, a prediction without a true row is dropped."""
+    p = predictions.select(key, F.col(predicted).alias("predicted"))
+    return truth.join(p, key, "left").withColumn("answered", F.col("predicted").isNotNull())

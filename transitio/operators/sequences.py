@@ -219,6 +219,11 @@ def attach_survey(records: DataFrame, survey: DataFrame) -> DataFrame:
     return records.join(sv, "user", "left")
 
 
+def reject_rows(records: DataFrame, survey: DataFrame) -> DataFrame:
+    """the records whose user has no survey row (kept aside, not part of the prompts)."""
+    return records.join(survey.select("user").distinct(), "user", "left_anti")
+
+
 def nest_user_records(records: DataFrame, features: list[str], chunk_days: int = 366) -> DataFrame:
     """``(user, gender, group, age, chunk, data array<struct>)`` ordered by (date, idx).
 

@@ -216,6 +216,13 @@ def survey_join(spark, sf_dir):
     return SQ.attach_survey(rec, t["survey"]).select("user", "date", "phq9", "gender", "group", "age")
 
 
+@register("reject_rows")
+def reject_rows(spark, sf_dir):
+    """kept records of users without a survey row (here: of users in the BUILDING segment)."""
+    rec, t = _kept(spark, sf_dir, [])
+    return SQ.reject_rows(rec, t["survey"].where(F.col("group") == "patient")).select("user", "date", "phq9")
+
+
 @register("nest_user_records")
 def nest_user_records(spark, sf_dir):
     """Per-user nested records; checked through count and first/last entries."""
@@ -440,13 +447,24 @@ def same_subject_examples(spark, sf_dir):
     return SM.few_shot_positions(ct, ct, "source", "doc_id", "doc_id", "doc_id", 3, 1)
 
 
-def _votes(pairs, pool, queries, keys=()):
+@register("any_subject_examples")
+def any_subject_examples(spark, sf_dir):
+    """3 examples of any subject, excluding the row itself."""
+    ct = _class(spark, sf_dir).select("doc_id", F.lit("all").alias("anyone"))
+    return SM.few_shot_positions(ct, ct, "anyone", "doc_id", "doc_id", "doc_id", 3, 1)
+
+
+def _best_votes(pairs, pool, keys=()):
     k = list(keys)
     ex = pairs.join(pool.select(F.col("doc_id").alias("example_id"), F.col("label").alias("ex_label")), "example_id")
     votes = ex.groupBy(*k, "doc_id", "ex_label").agg(F.count(F.lit(1)).alias("votes"))
     w = Window.partitionBy(*k, "doc_id").orderBy(F.col("votes").desc(), S.label_code("ex_label"))
-    best = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*k, "doc_id", F.col("ex_label").alias("predicted"))
-    return queries.join(best, k + ["doc_id"], "left").withColumn(
+    return votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*k, "doc_id", F.col("ex_label").alias("predicted"))
+
+
+def _votes(pairs, pool, queries, keys=()):
+    k = list(keys)
+    return queries.join(_best_votes(pairs, pool, k), k + ["doc_id"], "left").withColumn(
         "predicted", F.coalesce("predicted", F.lit(S.LABEL_REMAINS)))
 
 
@@ -460,6 +478,15 @@ def few_shot_vote(spark, sf_dir):
     return _votes(pairs, pool, queries.select("doc_id", "label")).select("doc_id", "label", "predicted")
 
 
+@register("aligned_predictions")
+def aligned_predictions(spark, sf_dir):
+    """The votes of one example per row, aligned with the test rows by row id; rows of an
+    odd id are left unanswered."""
+    _, pool, queries, pairs = _few_shot(spark, sf_dir, 1, "test")
+    votes = _best_votes(pairs, pool).where("doc_id % 2 = 0")
+    return EV.align_predictions(queries.select("doc_id", "label"), votes, "doc_id")
+
+
 SHOTS = [0, 1, 3, 5, 10, 15, 25]
 
 

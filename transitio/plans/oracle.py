@@ -476,6 +476,14 @@ ORACLE.update({
 SELECT doc_id, j, example_id, n_found FROM pairs""",
     "same_subject_examples": f"""WITH {CT}, {fewshot_ctes(3, stratum='source', text='doc_id', pool_src='ct', query_src='ct')}
 SELECT doc_id, j, example_id, n_found FROM pairs""",
+    "any_subject_examples": f"""WITH {CT}, ca AS (SELECT *, 'all' AS anyone FROM ct),
+{fewshot_ctes(3, stratum='anyone', text='doc_id', pool_src='ca', query_src='ca')}
+SELECT doc_id, j, example_id, n_found FROM pairs""",
+    "aligned_predictions": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(1, "side = 'test'")}
+SELECT s.doc_id, s.label, p.ex_label AS predicted, p.ex_label IS NOT NULL AS answered
+FROM split s LEFT JOIN (SELECT doc_id, ex_label FROM pairs WHERE doc_id % 2 = 0) p ON p.doc_id = s.doc_id WHERE s.side = 'test'""",
+    "reject_rows": f"""WITH {SEQ14}, {SURVEY}
+SELECT uid AS "user", date, phq9 FROM rec WHERE uid NOT IN (SELECT uid FROM sv WHERE grp = 'patient')""",
     "few_shot_vote": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(5, "side = 'test'")},
 v AS (SELECT doc_id, ex_label, count(*) AS votes FROM pairs GROUP BY doc_id, ex_label),
 b AS (SELECT doc_id, ex_label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC,

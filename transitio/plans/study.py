@@ -19,6 +19,7 @@ from transitio.functions import scalar as S
 from transitio.operators import evaluate as EV
 from transitio.operators import prepare as PP
 from transitio.operators import prompts as PM
+from transitio.operators.sampling import oversample, stratified_folds
 from transitio.session import materialize
 
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
@@ -124,7 +125,6 @@ def cross_validate(train: DataFrame, cols: list[str], kind: str, grid: dict[str,
                    folds: int = 3) -> DataFrame:
     """K13/K14 search: each grid cell scored by mean macro F1 over stratified folds (R6);
     fold membership is a column, so each fold is a filter, not a copy."""
-    from transitio.operators.sampling import stratified_folds
     # Fold membership is materialised once (reliable checkpoint) and reused by every fit.
     fdf = materialize(stratified_folds(train, "y", "row_id", seed, folds))
     rows = []
@@ -142,41 +142,53 @@ def cross_validate(train: DataFrame, cols: list[str], kind: str, grid: dict[str,
     return out
 
 
-def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[str, dict[str, list]],
+# The search grids of the tree models. MLlib has no minimum split size; its depth
+# limit of 30 stands for an unlimited depth.
+FULL_GRIDS: dict[str, dict[str, list]] = {
+    "gradient_boosting": {"maxIter": [50, 100, 200], "maxDepth": [3, 4, 5, 6], "stepSize": [0.1, 0.05, 0.01],
+                          "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "all"]},
+    "random_forest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 15, 30], "minInstancesPerNode": [1, 2, 4]},
+}
+SCORES = ("accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1")
+
+
+def study_inputs(data: DataFrame, cols: list[str], seed: int, split: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The rows a study cell is fitted on: split, train side oversampled (R3, drawn rows get an id
+    of their own), coerced (tree path) and scaled with the oversampled train side's statistics."""
+    sp = split(data, seed)
+    train = oversample(sp.where("side = 'train'").drop("side"), "y", "row_id", seed)
+    train = train.withColumn("row_id", F.when(F.col("copy") == 0, F.col("row_id").cast("string"))
+                             .otherwise(F.concat_ws("#", "row_id", "draw"))).drop("copy", "draw").withColumn("side", F.lit("train"))
+    rest = sp.where("side <> 'train'").withColumn("row_id", F.col("row_id").cast("string"))
+    prepared = PP.coerce_columns(materialize(train.unionByName(rest)), cols, fill_after=True)
+    return PP.standard_scale(prepared, PP.standard_stats(prepared.where("side = 'train'"), cols), cols)
+
+
+def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[str, dict[str, list]] | None,
               seeds: list[int], split: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """K15 + X5 + W7: for each seed, feature set and model: coerce (tree path), scale with
-    train statistics, grid search by CV macro F1, refit the best, score on the eval side.
-    ``data`` has ``row_id``, numeric ``y`` and the feature columns; ``split(df, seed)`` adds
-    ``side`` in {'train', 'eval', ...}. Failed runs are skipped, as in the reference."""
+    """K15 + X5 + W7: for each seed, feature set and model: prepare (``study_inputs``), grid search by
+    CV macro F1, refit the best, score on the eval side. ``models`` None searches FULL_GRIDS.
+    ``data`` has ``row_id``, numeric ``y`` and the feature columns; ``split(df, seed)`` adds ``side``
+    in {'train', 'eval', ...}. Exactly one row per requested cell: a cell that can't be fitted has
+    NULL scores and the error's text."""
     results = []
-    for seed in seeds:
-        # The split table is checkpointed to the shared checkpoint folder: every fit below
-        # reads it instead of re-running the upstream plan, and a lost executor recomputes
-        # from the files, not from the whole lineage.
-        sp = materialize(split(data, seed))
-        for fs, cols in feature_sets.items():
-            prepared = PP.coerce_columns(sp, cols, fill_after=True)
-            stats = PP.standard_stats(prepared.where("side = 'train'"), cols)
-            scaled = materialize(PP.standard_scale(prepared, stats, cols))
-            train, ev = scaled.where("side = 'train'"), scaled.where("side = 'eval'")
-            for kind, grid in models.items():
-                try:
-                    cv = cross_validate(train, cols, kind, grid, 42 * seed).collect()
-                except Exception:  # a failed configuration is skipped
-                    continue
-                best = sorted((r for r in cv if r["score"] is not None), key=lambda r: (-r["score"], r["ordinal"]))
-                if not best:
-                    continue
-                params = _grid(grid)[best[0]["ordinal"]]
-                m = fit_and_score(train, ev, cols, kind, params, 42 * seed)
-                results.append(m.select(
-                    F.lit(seed).alias("random_seed"), F.lit(kind).alias("model"), F.lit(fs).alias("feature_set"),
-                    F.lit(len(cols)).alias("num_features"), *[F.col(c) for c in m.columns if c != "n"],
-                    F.lit(repr(params)).alias("best_params")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    for seed, (fs, cols) in product(seeds, feature_sets.items()):
+        # Checkpointed once: every fit below reads it instead of re-running the upstream plan.
+        scaled = materialize(study_inputs(data, cols, seed, split))
+        train, ev = scaled.where("side = 'train'"), scaled.where("side = 'eval'")
+        for kind, grid in (models or FULL_GRIDS).items():
+            try:
+                cells = cross_validate(train, cols, kind, grid, 42 * seed).collect()  # one row per grid cell
+                best = min((r for r in cells if r["score"] is not None), key=lambda r: (-r["score"], r["ordinal"]))
+                params, error = _grid(grid)[best["ordinal"]], None
+                scores = fit_and_score(train, ev, cols, kind, params, 42 * seed).first()
+                values = [float(scores[c]) if scores[c] is not None else None for c in SCORES]
+            except Exception as exc:  # reported in the cell's row
+                params, values, error = None, [None] * len(SCORES), f"{type(exc).__name__}: {str(exc)[:200]}"
+            results.append((seed, kind, fs, len(cols), *values, repr(params) if params is not None else None, error))
+    schema = ("random_seed int, model string, feature_set string, num_features int, " +
+              ", ".join(f"{c} double" for c in SCORES) + ", best_params string, error string")
+    return data.sparkSession.createDataFrame(results, schema)  # one row per cell
 
 
 # ---------------------------------------------------------------- scoring hook (K16), stats
