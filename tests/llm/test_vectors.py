@@ -63,6 +63,13 @@ def test_null_ids_and_repeated_rows(spark):
     assert got == [(-1, 0, -1, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_one_id_in_more_rows_than_a_tile_holds(spark):
+    rows = [(5, [1.0, 0.0], 1)] * 40 + [(6, [1.0, 0.01], 1), (7, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in P.near_vectors(df, tile=8).collect()}
+    assert got == {(5, 40, 5), (6, 40, 5), (7, 0, 7)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(200, 64))

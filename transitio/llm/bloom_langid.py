@@ -101,11 +101,10 @@ def gram_rates(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sampl
                                                   pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
 
     seen = chosen.mapInArrow(run, "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    least = F.lit(0)
-    for lang, size in sizes.items():
-        least = F.when(F.col("lang") == lang, F.lit(max(2, int(np.ceil(size * MIN_RATE))) if size > 2 else 1)).otherwise(least)
+    least = [(lang, max(2, int(np.ceil(size * MIN_RATE))) if size > 2 else 1) for lang, size in sizes.items()]
+    least = docs.sparkSession.createDataFrame(least, "lang string, least long")  # one row per language
     rates: dict = {lang: {} for lang in sizes}
-    for r in seen.where(F.col("n") >= least).collect():  # a language has at most (n-grams per text) / MIN_RATE of these
+    for r in seen.join(F.broadcast(least), "lang").where("n >= least").collect():  # a language has at most (n-grams per text) / MIN_RATE of these
         rates[r["lang"]][r["g"]] = r["n"] / sizes[r["lang"]]
     return sizes, rates
 

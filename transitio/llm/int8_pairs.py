@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ SUB = 512
 
 
 def pack_tiles(vectors: DataFrame, tile: int) -> DataFrame:
-    """(label, dim, no, n, ids, vecs): blocks of at most ``tile`` vectors, numbered per label."""
+    """(label, dim, ids, vecs, count, no): blocks of at most ``tile`` vectors, numbered per label."""
     size = vectors.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     v = salted_join(vectors, size, ["label", "dim"], F.col("id"), "inner") \
         .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
@@ -43,27 +44,24 @@ def pack_tiles(vectors: DataFrame, tile: int) -> DataFrame:
         .select("label", "dim", "tile", "id", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for b in batches:
             for lo, hi in runs(b.column(0), b.column(1), b.column(2)):
                 for at in range(lo, hi, tile):
                     k = min(tile, hi - at)
                     ids = np.asarray(b.column(3).slice(at, k)).astype(np.int64)
                     vecs = matrix(b.column(4).slice(at, k))
+                    block += 1
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(at, 1), b.column(1).slice(at, 1), pa.array([k], pa.int32()),
+                        [b.column(0).slice(at, 1), b.column(1).slice(at, 1), pa.array([block], pa.int64()),
                          pa.array([ids.tobytes()], pa.binary()), pa.array([vecs.tobytes()], pa.binary())],
-                        names=["label", "dim", "n", "ids", "vecs"])
+                        names=["label", "dim", "block", "ids", "vecs"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    blocks = stored(v.mapInArrow(run, f"label {kind}, dim int, n int, ids binary, vecs binary"), "vec-tiles")
-    # block numbers: a window over one row per block
-    key = F.xxhash64("ids")
-    order = blocks.select("label", "dim", key.alias("k"), F.substring("ids", 1, 8).alias("first"))
-    number = order.groupBy("label", "dim").agg(F.sort_array(F.collect_set(F.struct("k", "first"))).alias("order"))
-    return blocks.withColumn("k", key).withColumn("first", F.substring("ids", 1, 8)) \
-        .join(number, ["label", "dim"]).withColumn("count", F.size("order")) \
-        .withColumn("no", F.expr("array_position(order, named_struct('k', k, 'first', first)) - 1").cast("int")) \
-        .drop("order", "k", "first")
+    blocks = stored(v.mapInArrow(run, f"label {kind}, dim int, block bigint, ids binary, vecs binary"), "vec-tiles")
+    number = blocks.groupBy("label", "dim").agg(F.sort_array(F.collect_set("block")).alias("order"))  # one number per block
+    return blocks.join(number, ["label", "dim"]).withColumn("count", F.size("order")) \
+        .withColumn("no", F.expr("array_position(order, block) - 1").cast("int")).drop("order", "block")
 
 
 def quantise(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
