@@ -21,13 +21,13 @@ def register(name: str):
     return deco
 
 
-def _records(spark, sf_dir, features, period=14, gate=True):
-    """Gated records, materialised once (reliable checkpoint in spark.checkpoint.dir): pairs,
-    histories and nesting each read them several times, and the sensor joins below them
-    are the expensive part of the plan."""
+def _records(spark, sf_dir, features, period=14, gate=True, once=False):
+    """Gated records, materialised (reliable checkpoint in spark.checkpoint.dir) unless the query
+    reads them only ``once``: pairs, histories and nesting each read them several times, and the
+    sensor joins below them are the expensive part of the plan."""
     t = TD.panel(spark, sf_dir, period)
     rec = SQ.build_records(SQ.valid_assessments(t["phq"]), t, list(features), period, gate=gate)
-    return materialize(rec), t
+    return (rec if once else materialize(rec)), t
 
 
 def _transition_labels(spark: SparkSession, sf_dir: str, period: int) -> DataFrame:
@@ -184,26 +184,25 @@ def zero_mask(spark, sf_dir):
 @register("quality_gate")
 def quality_gate(spark, sf_dir):
     """P4 + A2: missing battery slots per valid assessment and the keep decision (<= 7)."""
-    rec, _ = _records(spark, sf_dir, [], 14, gate=False)
+    rec, _ = _records(spark, sf_dir, [], 14, gate=False, once=True)
     return rec.select("user", "date", "idx", "n_missing", (F.col("n_missing") <= 7).alias("kept"))
 
 
-def _kept(spark, sf_dir, features=FOUR, period=14):
-    rec, t = _records(spark, sf_dir, features, period)
-    return rec, t
+def _kept(spark, sf_dir, features=FOUR, period=14, once=False):
+    return _records(spark, sf_dir, features, period, once=once)
 
 
 @register("align_sequence")
 def align_sequence(spark, sf_dir):
     """The masked 14-slot magnitude_max sequence of each kept record, as text."""
-    rec, _ = _kept(spark, sf_dir, ["magnitude_max"])
+    rec, _ = _kept(spark, sf_dir, ["magnitude_max"], once=True)
     return rec.select("user", "date", PM.render_sequence("magnitude_max").alias("magnitude_max_seq"))
 
 
 @register("feature_projection")
 def feature_projection(spark, sf_dir):
     """A two-feature configuration (battery_afternoon, screen_off_night_duration)."""
-    rec, _ = _kept(spark, sf_dir, ["battery_afternoon", "screen_off_night_duration"])
+    rec, _ = _kept(spark, sf_dir, ["battery_afternoon", "screen_off_night_duration"], once=True)
     return rec.select("user", "date", "phq9",
                       PM.render_sequence("battery_afternoon", "int").alias("battery_afternoon_seq"),
                       PM.render_sequence("screen_off_night_duration").alias("screen_off_night_duration_seq"))
@@ -212,21 +211,21 @@ def feature_projection(spark, sf_dir):
 @register("survey_join")
 def survey_join(spark, sf_dir):
     """Kept records with the first survey row of their user."""
-    rec, t = _kept(spark, sf_dir, [])
+    rec, t = _kept(spark, sf_dir, [], once=True)
     return SQ.attach_survey(rec, t["survey"]).select("user", "date", "phq9", "gender", "group", "age")
 
 
 @register("reject_rows")
 def reject_rows(spark, sf_dir):
     """kept records of users without a survey row (here: of users in the BUILDING segment)."""
-    rec, t = _kept(spark, sf_dir, [])
+    rec, t = _kept(spark, sf_dir, [], once=True)
     return SQ.reject_rows(rec, t["survey"].where(F.col("group") == "patient")).select("user", "date", "phq9")
 
 
 @register("nest_user_records")
 def nest_user_records(spark, sf_dir):
     """Per-user nested records; checked through count and first/last entries."""
-    rec, t = _kept(spark, sf_dir, FOUR)
+    rec, t = _kept(spark, sf_dir, FOUR, once=True)
     nested = SQ.nest_user_records(SQ.attach_survey(rec, t["survey"]), FOUR)
     per_chunk = nested.select(
         "user", "gender", "group", "age", "chunk", F.size("data").alias("n"),
@@ -265,7 +264,7 @@ def history_average(spark, sf_dir):
 @register("severity_state")
 def severity_state(spark, sf_dir):
     """state per kept record."""
-    rec, _ = _kept(spark, sf_dir, [])
+    rec, _ = _kept(spark, sf_dir, [], once=True)
     return rec.select("user", "date", "phq9", S.severity_state("phq9").alias("state"))
 
 
@@ -288,7 +287,7 @@ def label_code(spark, sf_dir):
 @register("statistics_text")
 def statistics_text(spark, sf_dir):
     """K1: current-period statistics sentence of every kept record (4 features)."""
-    rec, _ = _kept(spark, sf_dir, FOUR)
+    rec, _ = _kept(spark, sf_dir, FOUR, once=True)
     return rec.select("user", "date", PM.statistics_text(RECORD_ORDER, KINDS).alias("statistics"))
 
 
@@ -700,7 +699,7 @@ def experiment_grid(spark, sf_dir):
 @register("feature_power_set")
 def feature_power_set(spark, sf_dir):
     """The 15 feature configurations with the records and present values each covers."""
-    rec, _ = _kept(spark, sf_dir, FOUR)
+    rec, _ = _kept(spark, sf_dir, FOUR, once=True)
     return ST.configuration_coverage(rec, FOUR)
 
 
@@ -742,7 +741,7 @@ from pyspark.sql import types as T  # noqa: E402
 def sequence_json_unnest(spark, sf_dir):
     """S4 + S3: nested user records written as JSON Lines, read back with a declared
     schema (sequences as text, then try_cast) and unnested to one row per record."""
-    rec, t = _kept(spark, sf_dir, FOUR)
+    rec, t = _kept(spark, sf_dir, FOUR, once=True)
     nested = SQ.nest_user_records(SQ.attach_survey(rec, t["survey"]), FOUR)
     path = SE.scratch_dir(spark, "sequences-json")
     IO.write_nested_json(nested, path)
