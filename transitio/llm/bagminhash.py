@@ -161,8 +161,8 @@ def _verify(edges: DataFrame, texts: DataFrame, size: int, at_least: Fraction) -
 
 
 def tile_links(a: list, b: list | None, size: int, at_least: Fraction) -> list[tuple[int, int]]:
-    """Spanning links of the linked pairs among ``a`` (b None) or between ``a`` and ``b``: at most
-    one edge per text, indices into a + b."""
+    """Components of the linked pairs among ``a`` (b None) or between ``a`` and ``b``: one edge per
+    text to the first text it reaches, indices into a + b."""
     every = a + (b or [])
     n, parts, seen = len(every), [], 0
     for lo, hi, r, e, w in text_bags(pa.array(every, pa.string()), size):
@@ -194,13 +194,11 @@ def tile_links(a: list, b: list | None, size: int, at_least: Fraction) -> list[t
             x = parent[x]
         return x
 
-    out = []
     for x, y in zip(*np.nonzero(np.triu(ok, 1))):
         p, q = find(int(x)), find(int(y))
         if p != q:
             parent[max(p, q)] = min(p, q)
-            out.append((int(x), int(y)))
-    return out
+    return [(find(x), x) for x in range(n) if find(x) != x]
 
 
 def _closing(open_members: DataFrame, texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
@@ -215,6 +213,7 @@ def _closing(open_members: DataFrame, texts: DataFrame, size: int, at_least: Fra
     rows = m.join(texts, "tk")
 
     def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("tk")  # the first text is the smallest key, whatever the bucket
         tile, tk, text = t.column("tile").to_pylist(), t.column("tk").to_pylist(), t.column("text").to_pylist()
         x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
         a = [i for i, v in enumerate(tile) if v == x]
@@ -245,16 +244,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = stored(texts.join(involved, "tk"), "bag-texts")
 
     edges = members.where("tk != lo").select(F.col("lo").alias("a"), F.col("tk").alias("b")).distinct()
-    links = stored(_verify(edges, texts, shingle, at_least), "bag-links")
-    comps, open_members = _still_open(members, links)
+    comps = stored(connected_components(_verify(edges, texts, shingle, at_least)), "bag-comps")
+    open_members = _still_open(members, comps)
     if open_members.limit(1).count():
         more = open_members.where("comp != hi_comp").select(F.col("hi").alias("a"), F.col("tk").alias("b")).distinct()
-        links = stored(links.unionByName(_verify(more, texts, shingle, at_least)), "bag-links")
-        comps, open_members = _still_open(members, links)
+        comps = _merged(comps, _verify(more, texts, shingle, at_least))
+        open_members = _still_open(members, comps)
         if open_members.limit(1).count():
-            rest = _closing(open_members.select("key", "tk"), texts, shingle, at_least)
-            links = stored(links.unionByName(rest), "bag-links")
-            comps = connected_components(links)
+            comps = _merged(comps, _closing(open_members.select("key", "tk"), texts, shingle, at_least))
 
     by_text = sk.groupBy("tk").agg(F.min("id").alias("low")).join(comps.withColumnRenamed("node", "tk"), "tk", "left")
     by_text = by_text.withColumn("comp", F.coalesce("comp", "tk"))
@@ -265,13 +262,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.unionByName(alone).withColumnRenamed("id", id_col)
 
 
-def _still_open(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of the links, and the members of buckets that span more than one."""
-    comps = stored(connected_components(links), "bag-comps")
-    m = members.join(comps.withColumnRenamed("node", "tk"), "tk", "left").withColumn("comp", F.coalesce("comp", "tk"))
+def _comp_of(df: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+    """Add the component of ``node``; a node without links is its own."""
+    df = df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left")
+    return df.withColumn(name, F.coalesce(name, node))
+
+
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only links between different components count, as edges of the
+    components themselves, so the graph that is left is small."""
+    across = _comp_of(_comp_of(links.distinct(), comps, "a", "ca"), comps, "b", "cb").where("ca != cb")
+    across = stored(across.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bag-across")
+    more = connected_components(across)
+    nodes = comps.unionByName(across.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                              .withColumn("comp", F.col("node")).join(comps.select("node"), "node", "left_anti"))
+    more = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return stored(nodes.join(more, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "bag-comps")
+
+
+def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members of buckets that span more than one component."""
+    m = _comp_of(members, comps, "tk", "comp")
     span = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
                                 F.max_by("comp", "tk").alias("hi_comp")).where("c0 != c1").select("key", "hi_comp")
-    return comps, stored(salted_join(m, span, ["key"], F.col("tk"), "inner", 8), "bag-open")
+    return stored(salted_join(m, span, ["key"], F.col("tk"), "inner", 8), "bag-open")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
