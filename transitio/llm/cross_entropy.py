@@ -145,7 +145,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     """id, n_tokens, ce_target, ce_background, score (their difference, nats per token)."""
     ids = target_ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
     corpus = docs.select(F.col(text_col).alias("text"))
-    target = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    # One plan at every size: the ids grow with the corpus, so texts and ids meet by a shuffled merge.
+    target = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     target = stored(target.select("text"), "lm-target")
     plain = train(corpus, target)
     shared = docs.sparkSession.sparkContext.broadcast(plain)
