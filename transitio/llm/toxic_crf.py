@@ -36,7 +36,7 @@ SAMPLE = 1000
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
-ROUNDS = 20
+ROUNDS = 12
 BLOCK = 64
 PREDICT_AT = 0.7
 LEAST_RATIO = 20.0
@@ -158,23 +158,23 @@ def document_features(marg: np.ndarray, row: np.ndarray, rows: int) -> np.ndarra
     return np.stack([np.ones(rows), np.log1p(total), np.log(top / (1 - top)) / 10.0], axis=1)
 
 
-def token_labels(feat: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Tokens of toxic texts with a feature that is tied to toxic texts."""
+def tied_slots(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """Feature slots that are tied to toxic texts, from (features, row) pieces: whole texts count once."""
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()], dtype=np.float64)
     slots = 1 << FEATURE_BITS
     seen = [np.zeros(slots), np.zeros(slots)]
-    for f in range(feat.shape[1]):
-        pair = np.unique(row.astype(np.int64) << FEATURE_BITS | feat[:, f])
-        for y in (0, 1):
-            seen[y] += np.bincount(pair[toxic[pair >> FEATURE_BITS] == y] & (slots - 1), minlength=slots)
+    for feat, row in parts:
+        for f in range(feat.shape[1]):
+            pair = np.unique(row.astype(np.int64) << FEATURE_BITS | feat[:, f])
+            for y in (0, 1):
+                seen[y] += np.bincount(pair[toxic[pair >> FEATURE_BITS] == y] & (slots - 1), minlength=slots)
     share = (seen[0] + seen[1]) / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * sum(np.where(c > 0, c * np.log(c / (m * share)), 0.0) +
                         np.where(m - c > 0, (m - c) * np.log((m - c) / (m * (1 - share))), 0.0)
                         for c, m in ((seen[0], n[0]), (seen[1], n[1])))
         rate = seen[1] / n[1] / (seen[1] / n[1] + (seen[0] + 0.5) / n[0])
-    tied = (np.nan_to_num(ratio) >= LEAST_RATIO) & (np.nan_to_num(rate) >= LEAST_PRECISION)
-    return tied[feat].any(axis=1) & (toxic[row] == 1)
+    return (np.nan_to_num(ratio) >= LEAST_RATIO) & (np.nan_to_num(rate) >= LEAST_PRECISION)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -231,35 +231,44 @@ def fit(texts: list[str], labels: list[int], share: float, rounds: int = ROUNDS)
 def _marginals(model: Model, texts: list[str]) -> Iterator[tuple[Words, np.ndarray]]:
     for _, _, data, offs in pieces(pa.array(texts, pa.string())):
         w = words(data, offs, PUNCT)
-        yield w, Chains(w.row, w.rows).run(model.weights[features(w)].sum(axis=1, dtype=np.float64), model.trans,
+        yield w, Chains(w.row, w.rows).run(_unary(model.weights, features(w)), model.trans,
                                            model.start, moves=False)[0]
 
 
+def _unary(weights: np.ndarray, feat: np.ndarray) -> np.ndarray:
+    return sum(weights[feat[:, f]] for f in range(feat.shape[1])).astype(np.float64)
+
+
 def _fit_chain(texts: list[str], toxic: np.ndarray, rounds: int) -> Model:
-    feat, row = [], []
+    """Penalised maximum likelihood by Adam; sums run over pieces of the sample, so memory holds the
+    features of the sample and the recursions of one piece."""
+    parts = []
     for lo, _, data, offs in pieces(pa.array(texts, pa.string())):
         w = words(data, offs, PUNCT)
-        feat.append(features(w))
-        row.append(w.row + lo)
-    feat, row = np.concatenate(feat), np.concatenate(row)
-    y = token_labels(feat, row, toxic)
-    # observed transitions and starts
-    follows = row[1:] == row[:-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][follows].astype(int), y[1:][follows].astype(int)), 1)
-    first = np.concatenate([[True], ~follows]) if len(row) else np.zeros(0, dtype=bool)
-    chains = Chains(row, len(texts))
+        parts.append((features(w), w.row, lo, w.rows))
+    tied = tied_slots([(feat, row + lo) for feat, row, lo, _ in parts], toxic)
     slots = 1 << FEATURE_BITS
-    weights, trans, start = np.full(slots, UNSEEN / feat.shape[1]), np.zeros((2, 2)), 0.0
-    theta = np.concatenate([weights, trans.ravel(), [start]])
+    seen, starts, observed, work = np.zeros((2, 2)), 0.0, np.zeros(slots), []
+    for feat, row, lo, rows in parts:
+        y = tied[feat].any(axis=1) & (toxic[row + lo] == 1)  # the token labels
+        follows = row[1:] == row[:-1]
+        first = np.concatenate([np.ones(min(len(row), 1), dtype=bool), ~follows])
+        np.add.at(seen, (y[:-1][follows].astype(int), y[1:][follows].astype(int)), 1)
+        starts += y[first].sum()
+        for f in range(feat.shape[1]):
+            observed += np.bincount(feat[y, f], minlength=slots)
+        work.append((feat, first, Chains(row, rows)))
+    theta = np.concatenate([np.full(slots, UNSEEN / (1 + len(PREFIXES) + len(SUFFIXES))), np.zeros(5)])  # weights, transitions, start
     centre = theta.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    observed = sum(np.bincount(feat[:, f], weights=y, minlength=slots) for f in range(feat.shape[1]))
-    for k in range(1, rounds + 1):  # Adam on the penalised log likelihood
-        marg, moves, _ = chains.run(theta[feat].sum(axis=1), theta[slots:slots + 4].reshape(2, 2), theta[-1])
-        want = sum(np.bincount(feat[:, f], weights=marg, minlength=slots) for f in range(feat.shape[1]))
-        g = np.concatenate([want - observed, (moves - seen).ravel(), [marg[first].sum() - y[first].sum()]])
-        g += RIDGE * (theta - centre)
+    for k in range(1, rounds + 1):
+        g = np.concatenate([-observed, -seen.ravel(), [-starts]]) + RIDGE * (theta - centre)
+        for feat, first, chains in work:
+            marg, moves, _ = chains.run(_unary(theta, feat), theta[slots:slots + 4].reshape(2, 2), theta[-1])
+            for f in range(feat.shape[1]):
+                g[:slots] += np.bincount(feat[:, f], weights=marg, minlength=slots)
+            g[slots:slots + 4] += moves.ravel()
+            g[-1] += marg[first].sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.6 * (1 - (k - 1) / rounds) * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-7)
     return Model(theta[:slots].astype(np.float32), theta[slots:slots + 4].reshape(2, 2), float(theta[-1]), np.zeros(3))
@@ -271,7 +280,7 @@ def tag(model: Model, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, li
     for lo, hi, data, offs in pieces(text):
         w = words(data, offs, PUNCT)
         n = hi - lo
-        marg, _, _ = Chains(w.row, n).run(model.weights[features(w)].sum(axis=1, dtype=np.float64), model.trans, model.start, moves=False)
+        marg, _, _ = Chains(w.row, n).run(_unary(model.weights, features(w)), model.trans, model.start, moves=False)
         x = document_features(marg, w.row, n)
         score = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
         hit = np.flatnonzero(marg >= 0.5)
