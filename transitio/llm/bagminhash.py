@@ -10,9 +10,10 @@ texts that share a band are candidates, and every link is decided by the exact m
 overlap sum(min) / sum(max) >= threshold.
 
 Classes are the connected components of the links. Within a band bucket the work is never
-all pairs of a group: (1) every member is compared with the bucket's smallest key, (2) buckets
-that still span several components are compared with their largest key, (3) what still spans
-components is compared completely, in tiles, so that no link between candidates is lost.
+all pairs of a group: (1) every member is compared with the bucket's centre, the text that shares
+buckets with the most rows (of a group of copies usually the text they come from, and the same
+one in all its buckets), (2) what still spans several components is compared completely, in tiles:
+the members outside the largest component with all members. So no link between candidates is lost.
 
 Cases: exact copies are one text (by MD5) and always share a class; a text that is null or
 has no word is never a duplicate; texts of one to four words have a single run of all of them;
@@ -28,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +40,8 @@ SHINGLE = 5
 THRESHOLD = "0.8"
 BANDS = 32
 BAND_ROWS = 4
-TILE = 128
+TILE = 1024
+MINOR = 256
 _U = np.uint64
 
 
@@ -160,32 +162,31 @@ def _verify(edges: DataFrame, texts: DataFrame, size: int, at_least: Fraction) -
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def tile_links(a: list, b: list | None, size: int, at_least: Fraction) -> list[tuple[int, int]]:
-    """Components of the linked pairs among ``a`` (b None) or between ``a`` and ``b``: one edge per
-    text to the first text it reaches, indices into a + b."""
-    every = a + (b or [])
-    n, parts, seen = len(every), [], 0
-    for lo, hi, r, e, w in text_bags(pa.array(every, pa.string()), size):
+def tile_links(a: list, b: list, size: int, at_least: Fraction) -> list[tuple[int, int]]:
+    """Components of the linked pairs between ``a`` and ``b``: one edge per text to the first text it
+    reaches, indices into a + b."""
+    every, cut = a + b, len(a)
+    n, parts = len(every), []
+    for lo, _, r, e, w in text_bags(pa.array(every, pa.string()), size):
         parts.append((r + lo, e, w))
     r, e, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
     total = np.bincount(r, weights=w, minlength=n).astype(np.int64)
     _, col, times = np.unique(e, return_inverse=True, return_counts=True)
-    inter = np.zeros((n, n), dtype=np.float64)
-    # sum(min(x, y)) is the sum over levels of [x >= level][y >= level]; elements of one text only can't meet
-    for level in range(1, int(w.max(initial=0)) + 1):
-        use = (times[col] > 1) & (w >= level)
+    inter = np.zeros((cut, n - cut), dtype=np.float64)
+    # sum(min(x, y)) is the sum over levels of [x >= level][y >= level], taken in steps between the
+    # counts that occur; elements of one text only can't meet
+    shared, below = times[col] > 1, 0
+    for level in np.unique(w[shared]).tolist():
+        use, step, below = shared & (w >= level), level - below, level
         cols, inv = np.unique(col[use], return_inverse=True)
         rr = r[use]
         for c in range(0, len(cols), 4096):
             m = (inv >= c) & (inv < c + 4096)
             dense = np.zeros((n, min(4096, len(cols) - c)), dtype=np.float32)
             dense[rr[m], inv[m] - c] = 1
-            inter += dense @ dense.T
+            inter += (dense[:cut] @ dense[cut:].T) * step
     inter = np.rint(inter).astype(np.int64)
-    ok = _linked(inter, total[:, None] + total[None, :] - inter, at_least) & (total > 0)[:, None]
-    if b is not None:
-        ok[:len(a), :len(a)] = False
-        ok[len(a):, len(a):] = False
+    ok = _linked(inter, total[:cut, None] + total[None, cut:] - inter, at_least) & (total > 0)[:cut, None]
     parent = list(range(n))
 
     def find(x: int) -> int:
@@ -194,34 +195,40 @@ def tile_links(a: list, b: list | None, size: int, at_least: Fraction) -> list[t
             x = parent[x]
         return x
 
-    for x, y in zip(*np.nonzero(np.triu(ok, 1))):
-        p, q = find(int(x)), find(int(y))
+    for x, y in zip(*np.nonzero(ok)):
+        p, q = find(int(x)), find(int(y) + cut)
         if p != q:
             parent[max(p, q)] = min(p, q)
     return [(find(x), x) for x in range(n) if find(x) != x]
 
 
 def _closing(open_members: DataFrame, texts: DataFrame, size: int, at_least: Fraction) -> DataFrame:
-    """Spanning links among the members of buckets that still span several components: every
-    pair of TILE-text tiles of a bucket is compared in one task."""
-    sizes = open_members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    m = salted_join(open_members, sizes, ["key"], F.col("tk"), "inner", 8) \
-        .withColumn("tile", F.pmod(F.xxhash64("tk"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o")
-    m = m.select("key", "tk", "tile", other).select("key", "tk", "tile", F.least("tile", "o").alias("x"),
-                                                    F.greatest("tile", "o").alias("y"))
-    rows = m.join(texts, "tk")
+    """Links among the members (key, tk, comp) of buckets that still span several components.
+
+    Within a component nothing is left to decide, so the members outside the bucket's largest
+    component (the minor ones, in tiles of MINOR texts) are compared with all its members (in
+    tiles of TILE texts): every undecided pair is compared, and a bucket whose members are mostly
+    one component costs one row per member. A task holds one pair of tiles."""
+    comps = open_members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = comps.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top")).select(
+        "key", F.col("top.comp").alias("major"), F.ceil(F.col("all") / TILE).cast("int").alias("tiles"),
+        F.ceil((F.col("all") - F.col("top.n")) / MINOR).cast("int").alias("minors"))
+    m = salted_join(open_members.select("key", "tk", "comp"), sizes, ["key"], F.col("tk"), "inner", 8)
+    spread = F.xxhash64("tk")
+    members = m.select("key", "tk", F.lit(1).alias("role"), F.explode(F.expr("sequence(0, minors - 1)")).alias("x"),
+                       F.pmod(spread, F.col("tiles")).cast("int").alias("y"))
+    minor = m.where("comp != major").select("key", "tk", F.lit(0).alias("role"), F.pmod(spread, F.col("minors")).cast("int").alias("x"),
+                                            F.explode(F.expr("sequence(0, tiles - 1)")).alias("y"))
+    rows = members.unionByName(minor).join(texts, "tk")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("tk")  # the first text is the smallest key, whatever the bucket
-        tile, tk, text = t.column("tile").to_pylist(), t.column("tk").to_pylist(), t.column("text").to_pylist()
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
-        a = [i for i, v in enumerate(tile) if v == x]
-        b = [i for i, v in enumerate(tile) if v == y] if x != y else None
-        ids = a + (b or [])
-        links = tile_links([text[i] for i in a], [text[i] for i in b] if b is not None else None, size, at_least)
-        return pa.table({"a": pa.array([tk[ids[p]] for p, _ in links], pa.binary()),
-                         "b": pa.array([tk[ids[q]] for _, q in links], pa.binary())})
+        role, tk, text = t.column("role").to_pylist(), t.column("tk").to_pylist(), t.column("text").to_pylist()
+        ids = [i for i, v in enumerate(role) if v == 0] + [i for i, v in enumerate(role) if v == 1]
+        cut = role.count(0)
+        links = tile_links([text[i] for i in ids[:cut]], [text[i] for i in ids[cut:]], size, at_least) if 0 < cut < len(ids) else []
+        links = [(tk[ids[p]], tk[ids[q]]) for p, q in links if tk[ids[p]] != tk[ids[q]]]
+        return pa.table({"a": pa.array([p for p, _ in links], pa.binary()), "b": pa.array([q for _, q in links], pa.binary())})
 
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary")
 
@@ -236,22 +243,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at_least = Fraction(threshold)
     sk = stored(sketch(docs, id_col, text_col, shingle, bands, band_rows), "bag-sketch")
     buckets = sk.where("keys is not null").select("tk", F.explode("keys").alias("key"))
-    spans = buckets.groupBy("key").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).where("lo != hi")
-    members = stored(salted_join(buckets, spans, ["key"], F.col("tk"), "inner", 8).distinct(), "bag-members")
+    spans = buckets.groupBy("key").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
+    members = salted_join(buckets, spans.select("key", "n"), ["key"], F.col("tk"), "inner", 8).distinct()
+    # a text's rank: the rows it shares buckets with (a text has at most ``bands`` rows here)
+    members = members.withColumn("rank", F.sum("n").over(Window.partitionBy("tk"))).select("key", "tk", "rank")
+    members = stored(members, "bag-members")
     involved = members.select("tk").distinct()
     texts = docs.select(F.unhex(F.md5(text_col)).alias("tk"), F.col(text_col).alias("text")) \
         .groupBy("tk").agg(F.first("text").alias("text"))
     texts = stored(texts.join(involved, "tk"), "bag-texts")
 
-    edges = members.where("tk != lo").select(F.col("lo").alias("a"), F.col("tk").alias("b")).distinct()
+    centres = members.groupBy("key").agg(F.max(F.struct("rank", "tk")).alias("c")).select("key", F.col("c.tk").alias("a"))
+    edges = salted_join(members, centres, ["key"], F.col("tk"), "inner", 8).where("tk != a").select("a", F.col("tk").alias("b")).distinct()
     comps = stored(connected_components(_verify(edges, texts, shingle, at_least)), "bag-comps")
     open_members = _still_open(members, comps)
     if open_members.limit(1).count():
-        more = open_members.where("comp != hi_comp").select(F.col("hi").alias("a"), F.col("tk").alias("b")).distinct()
-        comps = _merged(comps, _verify(more, texts, shingle, at_least))
-        open_members = _still_open(members, comps)
-        if open_members.limit(1).count():
-            comps = _merged(comps, _closing(open_members.select("key", "tk"), texts, shingle, at_least))
+        comps = _merged(comps, _closing(open_members, texts, shingle, at_least))
 
     by_text = sk.groupBy("tk").agg(F.min("id").alias("low")).join(comps.withColumnRenamed("node", "tk"), "tk", "left")
     by_text = by_text.withColumn("comp", F.coalesce("comp", "tk"))
@@ -281,10 +288,12 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _still_open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members of buckets that span more than one component."""
+    """The members of buckets that span more than one component; of buckets with the same members
+    (equal in number and in two 64-bit sums of hashes) one is enough."""
     m = _comp_of(members, comps, "tk", "comp")
-    span = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                F.max_by("comp", "tk").alias("hi_comp")).where("c0 != c1").select("key", "hi_comp")
+    span = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"),
+                                F.bit_xor(F.xxhash64("tk")).alias("x"), F.bit_xor(F.xxhash64("tk", F.lit(1))).alias("y")).where("c0 != c1")
+    span = span.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     return stored(salted_join(m, span, ["key"], F.col("tk"), "inner", 8), "bag-open")
 
 
