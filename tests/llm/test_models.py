@@ -115,3 +115,24 @@ def test_empty_corpus_and_no_target(spark):
     assert C.score_documents(docs, target).count() == 0
     one = spark.createDataFrame([(1, "a a b")], "doc_id long, text string")
     assert C.score_documents(one, target).first().n_tokens == 3
+
+
+def test_rare_words_stay_known_in_a_large_corpus(spark):
+    rows = [(i, "a b " * 20000) for i in range(10)] + [(100 + i, "rare gem " + "c d " * 5) for i in range(3)] + [(200, "never seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(100 + i,) for i in range(3)], "doc_id long")
+    got = {r.doc_id: r for r in C.score_documents(docs, target).collect()}  # 400,000 tokens
+    want = {i: (t, b) for i, _, t, b in brute_scores(rows, {100, 101, 102})[0]}
+    for i, r in got.items():
+        assert abs(r.ce_target - want[i][0]) < 1e-9 and abs(r.ce_background - want[i][1]) < 1e-9
+    probe = spark.createDataFrame(rows + [(300, "rare gem")], "doc_id long, text string")
+    got = {r.doc_id: r for r in C.score_documents(probe, target).collect()}
+    assert got[300].ce_target < got[200].ce_target - 1 and got[300].ce_background < got[200].ce_background - 1  # were the same
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark):
+    rows, good = lm_rows(), range(0, 120, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    runs = [sorted((tuple(r) for r in C.score_documents(docs, target, head_rate=x).collect()), key=str) for x in (0.0, 1e-3, 1.0)]
+    assert runs[0] == runs[1] == runs[2]

@@ -1,20 +1,25 @@
 """Language-model scoring by cross-entropy difference (operator 3).
 
 Two interpolated bigram models, of a target corpus and of the whole corpus as background, share
-one vocabulary: the words whose frequency in the background is at least WORD_RATE of its tokens,
-and one unknown word. A document's score is its mean loss per token under the target model minus
+one vocabulary: the words that occur at least LEAST times in the corpus or the target, and one
+unknown word. A document's score is its mean loss per token under the target model minus
 that under the background model: the lower, the more target-like.
 
     P(w | h) = L c(h, w) / c(h) + (1 - L K(h) / c(h)) (c(w) + 1) / (N + V)
 
 c counts, K(h) is the sum of the kept c(h, .), V the size of the vocabulary: it sums to one.
-Kept are the pairs of known words with a background count of at least PAIR_RATE of the tokens.
-Counting covers every token of every text; tasks pre-aggregate, and the sums are shuffled by
-hash. By the rates, at most 1 / WORD_RATE words and 1 / PAIR_RATE pairs are kept, whatever the
-size of the corpus; these tables are broadcast and scoring is one pass without a shuffle.
+Kept are the pairs that occur at least LEAST times. The floor is the same at every size, so the
+model grows with the corpus. Counting covers every token of every text; batches pre-aggregate,
+and the sums are shuffled by hash.
+
+The model is a table with the losses of every pair of the corpus, dealt by hash. Only its head,
+the at most 1 / HEAD_RATE pairs with that share of all tokens, is broadcast as well: it spares the
+join what is frequent, and leaves no key that is hot. Scoring reads the texts once; a document's
+other pairs are counted and meet the table in a shuffled join.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased; the first word of a text
-follows a start mark. Words are identified by 64-bit hashes.
+follows a start mark. Words are identified by 64-bit hashes. Losses are added in units of 2^-32
+nats, so sums do not depend on their order.
 
 Cases: a null text or one without a word has n_tokens 0 and null losses and score; repeated rows
 count again and are scored each; ids that are null or not in the corpus mark no target; without a
@@ -27,144 +32,168 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transitio.llm.common import stored
-from transitio.llm.tokens import PUNCT, pieces, words
+from transitio.llm.common import salted_join, stored
+from transitio.llm.tokens import PUNCT, mix, pieces, words
 
-WORD_RATE = 1e-5
-PAIR_RATE = 1e-6
+#: Words and pairs need no share of the corpus: LEAST alone decides, whatever its size.
+WORD_RATE = 0.0
+PAIR_RATE = 0.0
 LEAST = 2
 BIGRAM = 0.5
-_SHIFT = 32
+#: Pairs with this share of the tokens are looked up in place; it moves work, not results.
+HEAD_RATE = 1e-6
+UNIT = float(1 << 32)
+#: The history of a text's first word.
+START = int(np.iinfo(np.int64).min)
+_U = np.uint64
+TAIL = "array<struct<a:bigint,b:bigint,m:bigint>>"
 
 
-def _hashed(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _hashed(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, row, history, word) of pieces; the last three per token."""
     for lo, hi, data, offs in pieces(text):
         w = words(data, offs, PUNCT)
-        yield lo, hi, w.row, w.hashes().view(np.int64)
+        h = w.hashes().view(np.int64)
+        yield lo, hi, w.row, histories(w.row, h), h
+
+
+def histories(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    if len(h):
+        before[0] = START
+        before[1:][row[1:] != row[:-1]] = START
+    return before
 
 
-def _counted(df: DataFrame, keys_of) -> DataFrame:
-    """(k, n): how often the 64-bit keys of the texts occur, summed per batch before the shuffle."""
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(_U)) + b.view(_U))
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """(a, b, n): how often word b follows a in the texts, summed per batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [np.unique(keys_of(row, h), return_counts=True) for _, _, row, h in _hashed(b.column(0))]
+        for t in batches:
+            found = [(a, b) for _, _, _, a, b in _hashed(t.column(0))]
             if found:
-                k, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(k))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["k", "n"])
-
-    return df.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-def _both(corpus: DataFrame, target: DataFrame, keys_of) -> DataFrame:
-    """(k, bg, tg): counts in the whole corpus and in the target."""
-    bg = _counted(corpus, keys_of).select("k", F.col("n").alias("bg"), F.lit(0).cast("bigint").alias("tg"))
-    tg = _counted(target, keys_of).select("k", F.lit(0).cast("bigint").alias("bg"), F.col("n").alias("tg"))
-    return bg.unionByName(tg).groupBy("k").agg(F.sum("bg").alias("bg"), F.sum("tg").alias("tg"))
-
-
-def _table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and (bg, tg) counts of a bounded table."""
-    t = df.orderBy("k").toArrow()
-    return t.column("k").to_numpy(), np.stack([t.column("bg").to_numpy(), t.column("tg").to_numpy()])
-
-
-def word_ids(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """1 + position in the vocabulary; 0 for unknown words."""
-    if not len(vocab):
-        return np.zeros(len(h), dtype=np.int64)
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at + 1, 0)
-
-
-def pair_keys(ids: np.ndarray, row: np.ndarray, start: int) -> np.ndarray:
-    """history << 32 | word for every token; the history of a text's first word is ``start``."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    if len(ids):
-        before[0] = start
-        before[1:][row[1:] != row[:-1]] = start
-    return before << _SHIFT | ids
-
-
-class Models:
-    """The two models over one vocabulary: log probabilities of pairs."""
-
-    def __init__(self, vocab: np.ndarray, unigram: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, starts: np.ndarray):
-        """``unigram`` (2, V + 1) with the unknown word first; ``starts`` texts with a word, per model."""
-        self.vocab, self.pairs = vocab, pairs
-        size = unigram.shape[1]
-        self.uni = (unigram + 1.0) / (unigram.sum(axis=1) + size)[:, None]
-        history = np.concatenate([unigram, starts[:, None]], axis=1).astype(np.float64)  # the start mark comes last
-        h = pairs >> _SHIFT
-        kept = np.stack([np.bincount(h, weights=c, minlength=size + 1) for c in pair_counts])
-        self.rest = 1.0 - BIGRAM * kept / np.maximum(history, 1.0)
-        self.pair = BIGRAM * pair_counts / np.maximum(history[:, h], 1.0)
-
-    def losses(self, row: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """(2, tokens) losses in nats under target and background."""
-        ids = word_ids(self.vocab, h)
-        key = pair_keys(ids, row, len(self.vocab) + 1)
-        p = self.rest[:, key >> _SHIFT] * self.uni[:, ids]
-        if len(self.pairs) and len(key):
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p += np.where(self.pairs[at] == key, self.pair[:, at], 0.0)
-        return -np.log(p)[::-1]
-
-
-def train(corpus: DataFrame, target: DataFrame) -> tuple:
-    """The tables of both models from one-column frames of texts."""
-    unigrams = stored(_both(corpus, target, lambda row, h: h), "lm-words")
-    tokens = unigrams.agg(F.coalesce(F.sum("bg"), F.lit(0)), F.coalesce(F.sum("tg"), F.lit(0))).first()
-    vocab, counts = _table(unigrams.where(F.col("bg") >= max(LEAST, int(np.ceil(tokens[0] * WORD_RATE)))))
-    unknown = np.array(tokens, dtype=np.int64) - counts.sum(axis=1)
-    start = len(vocab) + 1
-    shared = corpus.sparkSession.sparkContext.broadcast(vocab)
-
-    def known_pairs(row: np.ndarray, h: np.ndarray) -> np.ndarray:
-        key = pair_keys(word_ids(shared.value, h), row, start)
-        # besides pairs of known words: every text start, under the key of (start, unknown)
-        first = np.where(key >> _SHIFT == start, np.int64(start) << _SHIFT, 0)
-        return np.concatenate([key[((key >> _SHIFT) > 0) & ((key & 0xFFFFFFFF) > 0)], first[first > 0]])
-
-    pairs = _both(corpus, target, known_pairs)
-    mark = start << _SHIFT
-    floor = max(LEAST, int(np.ceil(tokens[0] * PAIR_RATE)))
-    keys, n = _table(pairs.where((F.col("k") == mark) | (F.col("bg") >= floor)))
-    at = keys == mark
-    starts = n[:, at].sum(axis=1)
-    return vocab, np.concatenate([unknown[:, None], counts], axis=1), keys[~at], n[:, ~at], starts
-
-
-def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                _, at, n = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+    return df.mapInArrow(run, "a bigint, b bigint, n bigint")
+
+
+def _both(corpus: DataFrame, target: DataFrame) -> DataFrame:
+    """(a, b, bg, tg): counts in the whole corpus and in the target."""
+    none = F.lit(0).cast("bigint")
+    bg = _counted(corpus).select("a", "b", F.col("n").alias("bg"), none.alias("tg"))
+    tg = _counted(target).select("a", "b", none.alias("bg"), F.col("n").alias("tg"))
+    return bg.unionByName(tg).groupBy("a", "b").agg(F.sum("bg").alias("bg"), F.sum("tg").alias("tg"))
+
+
+def train(corpus: DataFrame, target: DataFrame) -> tuple[DataFrame, int]:
+    """((a, b, bg, lt, lb): the losses of every pair of the corpus under target and background, in
+    units; number of tokens) from one-column frames of texts."""
+    pairs = stored(_both(corpus, target), "lm-pairs")
+    kept = F.greatest("bg", "tg") >= LEAST
+    sums = [F.sum("bg").alias("bg"), F.sum("tg").alias("tg")]
+    every = stored(pairs.groupBy(F.col("b").alias("w")).agg(*sums), "lm-words")
+    known = every.where(kept)
+    total = every.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("bg", "tg")], F.count(F.when(kept, 1)),
+                      *[F.coalesce(F.sum(F.when(kept, F.col(x))), F.lit(0)) for x in ("bg", "tg")]).first()
+    starts = pairs.where(F.col("a") == START).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("bg", "tg")]).first()
+    tokens, size = dict(bg=total[0], tg=total[1]), total[2] + 1
+    unknown = dict(bg=total[0] - total[3], tg=total[1] - total[4])
+
+    def uni(x: str, count: Column) -> Column:
+        return (count + 1.0) / float(tokens[x] + size)
+
+    # words of a kept pair are known, so K needs no join with the vocabulary
+    mass = pairs.where(kept).groupBy("a").agg(F.sum("bg").alias("k_bg"), F.sum("tg").alias("k_tg"))
+    mark = corpus.sparkSession.createDataFrame([(START, *starts)], "w bigint, bg bigint, tg bigint")
+    after = known.unionByName(mark).withColumnRenamed("w", "a").join(mass.hint("merge"), "a", "left") \
+        .select("a", *[F.greatest(x, F.lit(1)).alias(f"c_{x}") for x in ("bg", "tg")],
+                *[F.coalesce(f"k_{x}", F.lit(0)).alias(f"k_{x}") for x in ("bg", "tg")])
+    word = known.select(F.col("w").alias("b"), *[uni(x, F.col(x)).alias(f"u_{x}") for x in ("bg", "tg")])
+    rows = salted_join(pairs, after.hint("merge"), ["a"], F.col("b"))
+    rows = salted_join(rows, word.hint("merge"), ["b"], F.col("a"))
+
+    def loss(x: str) -> Column:
+        rest = F.coalesce(1.0 - BIGRAM * F.col(f"k_{x}") / F.col(f"c_{x}"), F.lit(1.0))
+        p = rest * F.coalesce(f"u_{x}", uni(x, F.lit(unknown[x])))
+        return F.round(-F.log(p + F.when(kept, BIGRAM * F.col(x) / F.col(f"c_{x}")).otherwise(0.0)) * UNIT)
+
+    return stored(rows.select("a", "b", "bg", loss("tg").alias("lt"), loss("bg").alias("lb")), "lm-losses"), tokens["bg"]
+
+
+def head_table(losses: DataFrame, tokens: int, rate: float) -> tuple[np.ndarray, ...]:
+    """(sorted keys, a, b, losses [2, pairs]) of the pairs with at least ``rate`` of the tokens."""
+    t = losses.where(F.col("bg") >= max(LEAST, int(np.ceil(tokens * rate)))).toArrow()
+    a, b, lt, lb = (t.column(c).to_numpy() for c in ("a", "b", "lt", "lb"))
+    key = pair_keys(a, b)
+    at = np.argsort(key)
+    return key[at], a[at], b[at], np.stack([lt[at], lb[at]])
+
+
+def _found(head: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in the head, whether the pair is there) per token."""
+    keys, ha, hb, _ = head
+    if not len(keys):
+        return np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, pair_keys(a, b)), len(keys) - 1)
+    return at, (ha[at] == a) & (hb[at] == b)
+
+
+def _grouped(row: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> pa.Array:
+    """Per row the array of its distinct pairs with their numbers, of type TAIL."""
+    by = np.lexsort((b, a, row))
+    row, a, b = row[by], a[by], b[by]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    m = np.diff(np.append(at, len(row)))
+    items = pa.StructArray.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(m.astype(np.int64))], names=["a", "b", "m"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(rows + 1)).astype(np.int32)), items)
+
+
+def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    head_rate: float = HEAD_RATE) -> DataFrame:
     """id, n_tokens, ce_target, ce_background, score (their difference, nats per token)."""
     ids = target_ids.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
     corpus = docs.select(F.col(text_col).alias("text"))
     # One plan at every size: the ids grow with the corpus, so texts and ids meet by a shuffled merge.
     target = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "id", "left_semi")
     target = stored(target.select("text"), "lm-target")
-    plain = train(corpus, target)
-    shared = docs.sparkSession.sparkContext.broadcast(plain)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    losses, tokens = train(corpus, target)
+    shared = docs.sparkSession.sparkContext.broadcast(head_table(losses, tokens, head_rate))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models(*shared.value)
-        for b in batches:
-            for lo, hi, row, h in _hashed(b.column(1)):
-                n = np.bincount(row, minlength=hi - lo)
-                target, background = models.losses(row, h)
-                ce = [np.bincount(row, weights=x, minlength=hi - lo) / np.maximum(n, 1) for x in (target, background)]
-                none = n == 0
+        head = shared.value
+        for t in batches:
+            for lo, hi, row, a, b in _hashed(t.column(2)):
+                n = hi - lo
+                at, there = _found(head, a, b)
+                sums = [np.bincount(row[there], weights=x[at[there]], minlength=n).astype(np.float64) for x in head[3]]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64))] +
-                    [pa.array(x, mask=none) for x in (ce[0], ce[1], ce[0] - ce[1])],
-                    names=["id", "n_tokens", "ce_target", "ce_background", "score"])
-
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("n_tokens", T.LongType()),
-                           *[T.StructField(c, T.DoubleType()) for c in ("ce_target", "ce_background", "score")]])
-    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                    [t.column(0).slice(lo, n), t.column(1).slice(lo, n), pa.array(np.bincount(row, minlength=n).astype(np.int64)),
+                     *[pa.array(x) for x in sums], _grouped(row[~there], a[~there], b[~there], n)],
+                    names=["row", "id", "n", "lt", "lb", "tail"])
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", src.schema["id"].dataType),
+                           T.StructField("n", T.LongType()), T.StructField("lt", T.DoubleType()),
+                           T.StructField("lb", T.DoubleType()), T.StructField("tail", T._parse_datatype_string(TAIL))])
+    seen = stored(src.mapInArrow(run, schema), "lm-seen")  # row numbers hold for this one scan
+    rest = seen.select("row", F.explode("tail").alias("s")).select("row", "s.*").join(losses.drop("bg").hint("merge"), ["a", "b"])
+    rest = rest.select("row", F.lit(None).cast(src.schema["id"].dataType).alias("id"), F.lit(0).cast("bigint").alias("n"),
+                       (F.col("lt") * F.col("m")).alias("lt"), (F.col("lb") * F.col("m")).alias("lb"))
+    out = seen.drop("tail").unionByName(rest).groupBy("row").agg(
+        F.max("id").alias("id"), F.sum("n").alias("n"), F.sum("lt").alias("lt"), F.sum("lb").alias("lb"))
+    mean = [F.when(F.col("n") > 0, F.col(x) / UNIT / F.col("n")) for x in ("lt", "lb")]
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), mean[0].alias("ce_target"),
+                      mean[1].alias("ce_background"), (mean[0] - mean[1]).alias("score"))
