@@ -118,3 +118,15 @@ def test_top_k_with_few_candidates_and_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert H.top_k(empty, F.col("vec_id") % 100 == 0).count() == 0
     assert P.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_one_long_vector_takes_no_rows_from_the_others(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(300, 8))
+    unit[1:] = unit[0] + rng.normal(size=(299, 8)) * 1e-3  # scores within a few thousand of each other
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(unit)] + [(777, [1e6] + [0.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in H.top_k(df, F.col("vec_id") % 100 == 0).collect())
+    assert got == brute_top(rows)

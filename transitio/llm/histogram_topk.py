@@ -108,13 +108,13 @@ def _above(s: np.ndarray, need: np.ndarray) -> np.ndarray:
     return (s >= kth[:, None]) & (s > _LONG.min)
 
 
-def _histogram(pairs: DataFrame, shift: int) -> DataFrame:
-    """Global counts per query and bin of 2^shift scores over [lo, lo + 2^(shift + BIN_BITS))."""
+def _histogram(pairs: DataFrame, shift: int, width: int) -> DataFrame:
+    """Global counts per query and bin of 2^shift scores over the open interval [lo, lo + 2^width)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, part, ids, _, s, lo, need in _scored(batches):
-            inside = s - lo[:, None] if shift + BIN_BITS < 62 else s.astype(object) - lo[:, None].astype(object)
-            above = np.asarray(inside >> (shift + BIN_BITS) > 0, dtype=bool)
+            inside = s - lo[:, None] if width < 62 else s.astype(object) - lo[:, None].astype(object)
+            above = np.asarray(inside >> width > 0, dtype=bool)
             inside_ok = np.asarray((inside >= 0), dtype=bool) & ~above & (s > _LONG.min)
             masked = np.where(inside_ok, s, _LONG.min)
             q, c = np.nonzero(_above(masked, need))
@@ -168,8 +168,8 @@ def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: s
                          .withColumn("need", F.expr(f"array_repeat(cast({k} as bigint), n)")))
     shift = bits
     while shift > 0:
-        shift = max(0, shift - BIN_BITS)
-        chunks = _narrowed(chunks, _histogram(_meet(chunks, blocks, n_chunks), shift), shift)
+        width, shift = shift, max(0, shift - BIN_BITS)
+        chunks = _narrowed(chunks, _histogram(_meet(chunks, blocks, n_chunks), shift, width), shift)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, ids, c_ids, s, lo, _ in _scored(batches):
