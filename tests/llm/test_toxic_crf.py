@@ -96,3 +96,10 @@ def test_without_labels_and_empty(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert X.score_documents(docs, one).first().predicted == 0 and X.reject_toxic(docs, one).count() == 1
     assert X.score_documents(docs.limit(0), none).count() == 0
+
+
+def test_the_fit_runs_its_full_rounds():
+    rows, labels = corpus(120)
+    texts, y = [t for _, t, *_ in rows], [l for _, l in labels]
+    got, want = X.fit(texts, y, 0.2), X.fit(texts, y, 0.2, rounds=20)
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.curve, want.curve)

@@ -36,7 +36,7 @@ SAMPLE = 1000
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 SUFFIXES = (3, 4)
-ROUNDS = 12
+ROUNDS = 20
 BLOCK = 64
 PREDICT_AT = 0.7
 LEAST_RATIO = 20.0
