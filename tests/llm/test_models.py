@@ -136,3 +136,12 @@ def test_scores_do_not_depend_on_what_is_broadcast(spark):
     target = spark.createDataFrame([(i,) for i in good], "doc_id long")
     runs = [sorted((tuple(r) for r in C.score_documents(docs, target, head_rate=x).collect()), key=str) for x in (0.0, 1e-3, 1.0)]
     assert runs[0] == runs[1] == runs[2]
+
+
+def test_rare_language_is_learned_beside_a_hot_one(spark):
+    rows = [(i, "ba da ga lo", "aa") for i in range(3000)] + [(5000 + i, "pri tru ska priska truska", "bb") for i in range(3)] \
+        + [(None, "skapri trupri priska", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    totals, rates = G.gram_rates(df, "doc_id", "text", "lang", 1)
+    assert set(totals) == {"aa", "bb"} and rates["bb"] and totals["aa"] > 1500
+    assert [r.lang_pred for r in G.predict(df, sample=1).where("doc_id IS NULL").collect()] == ["bb"]

@@ -6,14 +6,14 @@ words is the bitmask of all languages that contain it. Per language the hits of
 counted, corrected for the filter's false-positive rate, and the highest count decides. N-grams are
 runs of four bytes inside lower-cased words, and whole words.
 
-Filters are fitted on a bounded sample of rows that are not held out (about SAMPLE, chosen by a
-hash of text and id): an n-gram belongs to a language if at least MIN_RATE of its sampled texts
+Filters are fitted on a bounded sample of rows that are not held out (about SAMPLE per language,
+all of a language with fewer, chosen by a hash of text and id): an n-gram belongs to a language if at least MIN_RATE of its sampled texts
 have it, and at least REL_RATE of the rate in the language where it is most usual. By MIN_RATE,
 the number of n-grams a language can have is bounded by the length of texts, not by their number;
 the array has 2^SLICE_BITS words whatever the corpus, one per 64 languages. Prediction is one pass without a shuffle.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; a text without any known
-n-gram gets the most usual language of the sample with that language's share; equal counts go to
+n-gram gets the most usual language of all learnable rows with that language's share; equal counts go to
 the more usual language, then the smaller name; without any learnable row all is ``und``; a null id is not held
 out; repeated rows are predicted each; empty tables give empty results.
 """
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from transitio.llm.tokens import PUNCT, Words, bags, mix, pieces, words
 from transitio.llm.toxic_crf import held_out
 
-SAMPLE = 40000
+SAMPLE = 10000
+_PARTS = 1 << 30
 GRAM = 4
 MIN_RATE = 0.01
 REL_RATE = 0.25
@@ -83,12 +84,18 @@ def counts(w: Words, table: np.ndarray, n_languages: int) -> tuple[np.ndarray, n
 
 
 def gram_rates(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> tuple[dict, dict]:
-    """(sampled texts per language, {language: {n-gram: rate}}) from rows that are not held out."""
-    learn = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = learn.select(lang_col).count()
-    part = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))
-    chosen = learn.where(part).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}  # one row per language
+    """(learnable texts per language, {language: {n-gram: rate}}) from rows that are not held out; the
+    rates are those of about ``sample`` texts per language."""
+    learn = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(_PARTS)).alias("part"))
+    per = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first")).collect()  # one row per language
+    totals = {r["lang"]: r["n"] for r in per}
+    # at least the row with the smallest hash, so that no language is left without a text
+    cuts = [(r["lang"], max(r["first"] + 1, int(_PARTS * min(1.0, sample / r["n"])))) for r in per]
+    cuts = docs.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    chosen = learn.join(F.broadcast(cuts), "lang").where("part < cut").select("lang", "text")
+    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,7 +113,7 @@ def gram_rates(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sampl
     rates: dict = {lang: {} for lang in sizes}
     for r in seen.join(F.broadcast(least), "lang").where("n >= least").collect():  # a language has at most (n-grams per text) / MIN_RATE of these
         rates[r["lang"]][r["g"]] = r["n"] / sizes[r["lang"]]
-    return sizes, rates
+    return totals, rates
 
 
 def fit(sizes: dict, rates: dict) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
