@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitio.llm import (bagminhash, bloom_langid, cross_entropy, histogram_topk, int8_pairs, length_buckets,
-                           link_trust, poisson_mix, secret_owners, toxic_crf)
+                           link_trust, poisson_mix, secret_owners, token_cache, toxic_crf)
 from transitio.llm.common import table
 
+#: Where op12's tokenizer file lies.
+TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the near-duplicate class), kept."""
@@ -65,6 +69,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_token_cache(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit; the cache is new, so that a run counts all it says."""
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer, limit=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_int8_pairs": op2_int8_pairs,
@@ -76,4 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_crf": op8_toxic_crf,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_poisson_mix": op10_poisson_mix,
+    "op12_token_cache": op12_token_cache,
 }
