@@ -186,3 +186,51 @@ ORACLE: dict[str, str] = {
     "op9_histogram_topk": OP9,
     "op10_poisson_mix": OP10,
 }
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), words AS (
+  SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first
+  FROM texts
+), marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id
+), facts AS (
+  SELECT part, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+                'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(words.doc_id > first, false)} AS f,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM words LEFT JOIN marks ON words.doc_id = marks.doc_id
+), cells AS (
+  SELECT part, concat(CASE WHEN f.A THEN 'A' ELSE '' END, CASE WHEN f.B THEN 'B' ELSE '' END, CASE WHEN f.C THEN 'C' ELSE '' END,
+                      CASE WHEN f.D THEN 'D' ELSE '' END, CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+         good, toxic, count(*) AS n
+  FROM facts GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT concat(a.l, b.l, c.l, d.l, e.l) AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, s::INT AS step, substr(filter_order, s, 1) AS letter, substr(filter_order, 1, s - 1) AS before
+  FROM orders, generate_series(1, 5) AS g(s)
+), judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS hit, fails = letter AS only_this,
+         len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 AND fails <> '' AND before <> '' AS gone
+  FROM cells, steps
+), audit AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (only_this), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM audit
+"""

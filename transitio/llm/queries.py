@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import (bagminhash, bloom_langid, cross_entropy, histogram_topk, int8_pairs, length_buckets,
+from transitio.llm import (bagminhash, bloom_langid, cross_entropy, filter_audit, histogram_topk, int8_pairs, length_buckets,
                            link_trust, poisson_mix, secret_owners, token_cache, toxic_crf)
 from transitio.llm.common import table
 
@@ -69,6 +69,11 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_token_cache(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; the cache is new, so that a run counts all it says."""
     return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer, limit=4096)
@@ -85,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_crf": op8_toxic_crf,
     "op9_histogram_topk": op9_histogram_topk,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_filter_audit": op11_filter_audit,
     "op12_token_cache": op12_token_cache,
 }
