@@ -234,3 +234,44 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
 FROM audit
 """
+
+
+ORACLE["op13_conv_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(text, '') AS x,
+         sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS d, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT c, x, d, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS pos FROM turns
+), convs AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda v: ascii(v)::BIGINT)),
+      lambda acc, v: list_reduce(list_concat([xor(acc, v)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+          lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM placed)
+), rebuilt AS (
+  SELECT convs.c, 0 AS own, pos, d, x FROM convs JOIN placed ON placed.c = base WHERE pos <= h
+  UNION ALL
+  SELECT convs.c, 1 AS own, pos, d, x FROM convs JOIN placed ON placed.c = convs.c WHERE pos > h
+), seqs AS (
+  SELECT convs.c, coalesce(list(d ORDER BY own, pos) FILTER (d IS NOT NULL), []) AS ds,
+         coalesce(list(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) ORDER BY own, pos) FILTER (d IS NOT NULL), []) AS ws
+  FROM convs LEFT JOIN rebuilt ON rebuilt.c = convs.c GROUP BY convs.c
+), members AS (
+  SELECT c, k AS depth, ds[1:k] AS p, CASE WHEN k = 0 THEN 0 ELSE ws[k] END AS w, k = len(ds) AS ends
+  FROM seqs, generate_series(0, (SELECT max(len(ds)) FROM seqs)) AS g(k) WHERE k <= len(ds)
+), nodes AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(w) AS saving,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY p, depth
+), kids AS (
+  SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), whole AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON kids.p = nodes.p
+), above AS (
+  SELECT p[1:k] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saving) AS saved
+  FROM whole, generate_series(0, (SELECT max(depth) FROM whole)) AS g(k) WHERE k <= depth GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       above.n_leaves::BIGINT AS n_leaves, above.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM whole n JOIN above ON above.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitio.llm import (bagminhash, bloom_langid, cross_entropy, filter_audit, histogram_topk, int8_pairs, length_buckets,
+from transitio.llm import (bagminhash, bloom_langid, conv_trie, cross_entropy, filter_audit, histogram_topk, int8_pairs, length_buckets,
                            link_trust, poisson_mix, secret_owners, token_cache, toxic_crf)
 from transitio.llm.common import table
 
@@ -79,6 +79,11 @@ def op12_token_cache(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZE
     return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer, limit=4096)
 
 
+def op13_conv_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
     "op2_int8_pairs": op2_int8_pairs,
@@ -92,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_poisson_mix": op10_poisson_mix,
     "op11_filter_audit": op11_filter_audit,
     "op12_token_cache": op12_token_cache,
+    "op13_conv_trie": op13_conv_trie,
 }
