@@ -15,10 +15,10 @@ def _keys(keys) -> list[str]:
     return list(keys or [])
 
 
-def confusion_counts(df: DataFrame, y: str, yhat: str, keys=None) -> DataFrame:
-    """Non-zero confusion cells per experiment key."""
+def confusion_counts(df: DataFrame, y: str, yhat: str, keys=None, n: str | None = None) -> DataFrame:
+    """Non-zero confusion cells per experiment key; ``n`` names a column of already counted rows."""
     return df.groupBy(*_keys(keys), F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(
-        F.count(F.lit(1)).alias("n"))
+        (F.sum(n) if n else F.count(F.lit(1))).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, y: str, yhat: str, keys=None) -> DataFrame:
@@ -38,10 +38,10 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str, keys=None) -> DataFrame:
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def per_label(df: DataFrame, y: str, yhat: str, keys=None) -> DataFrame:
+def per_label(df: DataFrame, y: str, yhat: str, keys=None, n: str | None = None) -> DataFrame:
     """Precision, recall, F1 and support per label present in y or yhat."""
     k = _keys(keys)
-    cells = confusion_counts(df, y, yhat, k)
+    cells = confusion_counts(df, y, yhat, k, n)
     sides = cells.select(*k, F.explode(F.array(
         F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
                  F.when(F.col("y") == F.col("yhat"), F.col("n")).otherwise(0).cast("bigint").alias("tp")),
@@ -59,12 +59,12 @@ def per_label(df: DataFrame, y: str, yhat: str, keys=None) -> DataFrame:
         F.col("support").cast("bigint").alias("support"), F.col("tp").cast("bigint").alias("tp"))
 
 
-def metrics(df: DataFrame, y: str, yhat: str, keys=None, digits: int = 10) -> DataFrame:
+def metrics(df: DataFrame, y: str, yhat: str, keys=None, digits: int = 10, n: str | None = None) -> DataFrame:
     """A5 + A7: accuracy, macro and support-weighted precision / recall / F1 per experiment key.
     Macro averages run over the labels present in y or yhat. Rounded to ``digits`` so the
     values do not depend on summation order."""
     k = _keys(keys)
-    pl = per_label(df, y, yhat, k)
+    pl = per_label(df, y, yhat, k, n)
     total = F.sum("support")
     out = pl.groupBy(*k).agg(
         (F.sum("tp") / total).alias("accuracy"),

@@ -16,8 +16,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitio.functions.scalar import md5_int
+from transitio.operators.skew import balanced_join
 from transitio.session import materialize as checkpointed
 
 BUCKET_HEX_DIGITS = 3  # 4096 hash buckets per stratum
@@ -28,19 +30,13 @@ def _seed_col(seed) -> Column:
     return seed if isinstance(seed, Column) else F.lit(str(seed))
 
 
-JOIN_SALTS = 16
-
-
-def salted_join(rows: DataFrame, per_key: DataFrame, on: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """Join many rows with one row per key: a key that holds a large share of ``rows`` is dealt to
-    JOIN_SALTS tasks by the hash of ``spread``; each row of ``per_key`` is repeated per salt."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(JOIN_SALTS)).cast("int"))
-    right = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(JOIN_SALTS)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
-
-
-def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+def _spread(df: DataFrame, row_id: str | None, on: list[str]) -> Column:
+    """What deals the rows of a hot key to parts: the row id, or else the short columns (never a whole text)."""
+    if row_id:
+        return F.struct(F.col(row_id))
+    short = [f.name for f in df.schema.fields
+             if f.name not in on and isinstance(f.dataType, (T.NumericType, T.DateType, T.TimestampType))]
+    return F.struct(*[F.col(f"`{c}`") for c in short or df.columns])
 
 
 def seeded_md5(seed, *parts: Column | str) -> Column:
@@ -97,7 +93,7 @@ def group_sides(df: DataFrame, group: str, seed, test_fraction: float = 0.4,
     idx = dense_index(groups, k, seeded_md5(seed_c, group), group)
     if k:
         n = groups.groupBy(*k).agg(F.count(F.lit(1)).alias("_g"))
-        out = idx.join(n, k, "inner")
+        out = balanced_join(idx, n, k, F.struct(group), "inner", counts=n.withColumnRenamed("_g", "n"))
     else:
         # One global count: a scalar subquery evaluated once, not a join.
         out = idx.withColumn("_g", groups.agg(F.count(F.lit(1))).scalar())
@@ -106,23 +102,28 @@ def group_sides(df: DataFrame, group: str, seed, test_fraction: float = 0.4,
 
 
 def group_split(df: DataFrame, group: str, seed=1, test_fraction: float = 0.4,
-                keys: list[str] | None = None) -> DataFrame:
-    """R1 + J5: every row tagged 'train' or 'test' through its group's side (equi-join)."""
+                keys: list[str] | None = None, row_id: str | None = None) -> DataFrame:
+    """R1 + J5: every row tagged 'train' or 'test' through its group's side (equi-join, large groups
+    in parts by their measured size)."""
+    on = list(keys or []) + [group]
     sides = group_sides(df, group, seed, test_fraction, keys)
-    out = salted_join(df, sides, list(keys or []) + [group], _row_hash(df))
+    out = balanced_join(df, sides, on, _spread(df, row_id, on), "inner")
     return out.withColumn("side", F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train"))).drop("is_test")
 
 
-def two_stage_split(df: DataFrame, group: str, seed=1, test_fraction: float = 0.4,
-                    eval_fraction: float = 0.5) -> DataFrame:
+def two_stage_split(df: DataFrame, group: str, seed=1, test_fraction: float = 0.4, eval_fraction: float = 0.5,
+                    keys: list[str] | None = None, row_id: str | None = None) -> DataFrame:
     """R2: test = ceil(0.4 G) groups; the rest is split again by group, ceil(0.5 G') to eval.
-    All three sides are returned ('train', 'eval', 'test'); stage 2 uses a salted seed."""
+    All three sides are returned ('train', 'eval', 'test'); stage 2 uses a salted seed. ``keys``
+    (e.g. the seed as a column, named by ``seed``) split independently."""
+    k = list(keys or [])
+    stage2 = F.concat(F.col(seed).cast("string"), F.lit(":stage2")) if seed in k else f"{seed}:stage2"
     # Both stages run on the distinct groups; the rows meet their side once.
-    first = group_sides(df.select(group).distinct(), group, seed, test_fraction)
-    second = group_sides(first.where(~F.col("is_test")).select(group), group, f"{seed}:stage2", eval_fraction)
-    second = second.select(group, F.when(F.col("is_test"), F.lit("eval")).otherwise(F.lit("train")).alias("_s2"))
-    sides = first.join(second, group, "left").select(group, F.coalesce("_s2", F.lit("test")).alias("side"))
-    return salted_join(df, sides, [group], _row_hash(df))
+    first = group_sides(df.select(*k, group).distinct(), group, seed, test_fraction, keys)
+    second = group_sides(first.where(~F.col("is_test")).select(*k, group), group, stage2, eval_fraction, keys)
+    second = second.select(*k, group, F.when(F.col("is_test"), F.lit("eval")).otherwise(F.lit("train")).alias("_s2"))
+    sides = first.join(second, k + [group], "left").select(*k, group, F.coalesce("_s2", F.lit("test")).alias("side"))
+    return balanced_join(df, sides, k + [group], _spread(df, row_id, k + [group]), "inner")
 
 
 def chunked_range(df: DataFrame, count: str, name: str, chunk: int = DRAW_CHUNK) -> DataFrame:
@@ -208,7 +209,13 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     sizes = blocks.groupBy(stratum).agg(F.sum("_size").alias("_count"))
     blocks = blocks.select(stratum, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
     q = queries.select(query_id, stratum, th.alias("_th"))
-    q = salted_join(q, sizes, [stratum], F.col(query_id)).join(blocks, [stratum, "_th"], "left")
+    # strata and texts that many queries share are met in parts, as their counts ask for
+    per_text = q.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("n"))
+    if materialize:
+        per_text = checkpointed(per_text)
+    per_stratum = per_text.groupBy(stratum).agg(F.sum("n").alias("n"))
+    q = balanced_join(q, sizes, [stratum], F.struct(query_id), "inner", counts=per_stratum)
+    q = balanced_join(q, blocks, [stratum, "_th"], F.struct(query_id), "left", counts=per_text)
     q = q.withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))
     q = q.withColumn("_m", F.col("_count") - F.col("_b")).where(F.col("_m") > 0)
     q = q.withColumn("n_found", F.least(F.lit(n), F.col("_m")).cast("int"))

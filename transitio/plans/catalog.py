@@ -644,6 +644,7 @@ def argmax_class(spark, sf_dir):
 # ---------------------------------------------------------------- study, sinks and restart
 from transitio import session as SE  # noqa: E402
 from transitio.plans import study as ST  # noqa: E402
+from transitio.plans import tree_study as TS  # noqa: E402
 from transitio.sources import io as IO  # noqa: E402
 
 
@@ -799,45 +800,64 @@ def score_prompts(spark, sf_dir):
     return ST.score_prompts(prompts, "prompt", ST.fallback_predictor_factory, ["doc_id", "label"])
 
 
+SEEDS = [1, 2, 3, 4, 5]
+
+
+def _study_sets() -> dict[str, list[str]]:
+    """The 15 feature sets of the four sequence features, 14 columns each."""
+    return {name: [f"{f}_{i}" for f, on in zip(FOUR, flags) if on for i in range(1, 15)]
+            for _, name, flags in ST.power_set_configs(FOUR)}
+
+
+def _study_table(spark, sf_dir, seeds):
+    """All seeds' rows of the study on the flat forecast features; a row is a user's date."""
+    pairs = _forecast(spark, sf_dir)
+    rows = pairs.select(F.concat_ws(":", "user", "date").alias("pair"), "user", "label", *PP.flatten_sequences(pairs))
+    cols = [f"{f}_{i}" for f in PP.FLAT_FEATURE_ORDER for i in range(1, 15)]
+    return TS.study_table(rows, cols, seeds, "pair", "user", "label"), cols
+
+
+@register("study_inputs")
+def study_inputs(spark, sf_dir):
+    """K15's inputs: per seed and feature set every train (with drawn) and eval row, its fold, label code and the
+    sum of the set's scaled columns (R2, R3, R6, R7, X2, X4, K9, K10, A10)."""
+    rows, cols = _study_table(spark, sf_dir, SEEDS)
+    z = TS.scaled(rows, cols)
+    sums = F.array(*[sum((F.col(f"{f}_{i}") for i in range(2, 15)), F.col(f"{f}_1")) for f in FOUR])
+    sets = F.explode(ST.config_array(FOUR)).alias("c")
+    one = z.select("random_seed", "pair", "draw", "side", "fold", "code", sums.alias("s"), sets)
+    total = sum((F.when(F.col("c.flags")[i], F.col("s")[i]).otherwise(0.0) for i in range(len(FOUR))), F.lit(0.0))
+    return one.select("random_seed", F.col("c.feature_set").alias("feature_set"), "pair", "draw", "side", "fold", "code",
+                      F.round(total, 6).alias("z_sum"))
+
+
 @register("rf_study")
 def rf_study(spark, sf_dir):
-    """Random forest, small grid, 3-fold CV on macro F1, on all embedding dimensions."""
+    """Random forests over the full grid (108 cells, 3 folds, up to 200 trees) on all embedding dimensions."""
     emb = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     cols = [f"e_{i}" for i in range(_dims(emb))]
-    data = emb.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("y"),
+    data = emb.select("vec_id", F.col("label").cast("string").alias("label"),
                       *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
 
-    def split(df, seed):
-        s = SM.holdout_split(df, "row_id", seed)
-        return s.withColumn("side", F.when(F.col("side") == "validation", "eval").otherwise("train"))
-    return ST.run_study(data, {"embedding": cols}, {"random_forest": {"numTrees": [10, 20], "maxDepth": [4]}},
-                        [1], split)
-
-
-def _flat_study_data(spark, sf_dir):
-    flat = PP.flat_feature_table(_forecast(spark, sf_dir))
-    codes = F.when(F.col("label") == S.LABEL_LESS, 0.0).when(F.col("label") == S.LABEL_MORE, 1.0).otherwise(2.0)
-    return flat.withColumn("row_id", F.concat_ws(":", "user_id", "phq_week2", "future_phq_week2",
-                                                 F.md5(F.to_json(F.struct(*flat.columns))))).withColumn("y", codes)
-
-
-def _user_split(df, seed):
-    return SM.two_stage_split(df, "user_id", seed)
+    def holdout(rows):
+        return SM.holdout_split(rows, "vec_id", 1).withColumn("side", F.when(F.col("side") == "validation", "eval").otherwise("train"))
+    rows = TS.study_table(data.withColumn("subject", F.col("vec_id")), cols, [1], "vec_id", "subject", "label", holdout)
+    return TS.run(rows, {"embedding": cols}, {"random_forest": TS.GRIDS["random_forest"]}, [1])
 
 
 @register("gbt_study")
 def gbt_study(spark, sf_dir):
-    """One-vs-rest gradient-boosted trees on the flat battery + magnitude features."""
-    data = _flat_study_data(spark, sf_dir)
-    cols = [f"{f}_{i}" for f in ("battery_afternoon", "magnitude_max") for i in range(1, 15)]
-    return ST.run_study(data, {"battery_afternoon_magnitude_max": cols},
-                        {"gradient_boosting": {"maxIter": [5], "maxDepth": [2, 3]}}, [1], _user_split)
+    """Boosted trees on all 56 flat columns; 16 of the grid's 144 cells (50 rounds, rate 0.1), seed 1."""
+    rows, cols = _study_table(spark, sf_dir, [1])
+    grid = {**TS.GRIDS["gradient_boosting"], "n_estimators": [50], "learning_rate": [0.1]}
+    return TS.run(rows, {"all": cols}, {"gradient_boosting": grid}, [1])
 
 
 @register("study_runs")
 def study_runs(spark, sf_dir):
-    """K15 + X5: seed x feature set x model study on the flat features (reduced grid)."""
-    data = _flat_study_data(spark, sf_dir)
-    sets = {"battery_afternoon": [f"battery_afternoon_{i}" for i in range(1, 15)],
-            "magnitude_max": [f"magnitude_max_{i}" for i in range(1, 15)]}
-    return ST.run_study(data, sets, {"random_forest": {"numTrees": [10], "maxDepth": [3]}}, [1], _user_split)
+    """K15 + X5: 5 seeds x 15 feature sets x 2 models; one cell of each grid, 50 trees or 10 rounds."""
+    rows, _ = _study_table(spark, sf_dir, SEEDS)
+    grids = {"random_forest": {"n_estimators": [50], "max_depth": [5], "min_samples_split": [2], "min_samples_leaf": [1]},
+             "gradient_boosting": {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1], "subsample": [0.8],
+                                   "colsample_bytree": [0.8]}}
+    return TS.run(rows, _study_sets(), grids, SEEDS)

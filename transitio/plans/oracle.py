@@ -705,3 +705,42 @@ WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.uid = g.uid AND l.date = g.date
 ORACLE["results_sink"] = ORACLE["shots_curve"]
 ORACLE["score_prompts"] = f"""WITH {CT}, {split_cte()}
 SELECT doc_id, label, 'Remains' AS predicted, true AS parsed FROM split WHERE side = 'test'"""
+
+
+# ---------------------------------------------------------------- inputs of the tree study
+def _study_inputs() -> str:
+    order = ["battery_afternoon", "screen_off_night_duration", "magnitude_max", "screen_use_duration_afternoon"]
+    sets = ", ".join("('" + "_".join(f for i, f in enumerate(order) if not m >> (3 - i) & 1) + f"', {[1 - (m >> (3 - i) & 1) for i in range(4)]})"
+                     for m in range(15))
+    z = ", ".join(f"sum((coalesce(CAST(v.{f} AS DOUBLE), 0.0) - t.mu_{f}) / CASE WHEN t.sd_{f} = 0 THEN 1.0 ELSE t.sd_{f} END) AS z_{f}" for f in FEATS)
+    stats = ", ".join(f"avg(coalesce(CAST(v.{f} AS DOUBLE), 0.0)) AS mu_{f}, stddev_pop(coalesce(CAST(v.{f} AS DOUBLE), 0.0)) AS sd_{f}" for f in FEATS)
+    return f"""WITH {FORECAST},
+seeds AS (SELECT CAST(seed AS INTEGER) AS seed FROM range(1, 6) r(seed)),
+pr AS (SELECT DISTINCT uid, date, idx, label, CAST(uid AS VARCHAR) || ':' || strftime(date, '%Y-%m-%d') AS pair FROM fc),
+s1 AS (SELECT seed, uid, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || uid), uid) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS g
+       FROM seeds, (SELECT DISTINCT uid FROM pr)),
+s2 AS (SELECT seed, uid, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':stage2:' || uid), uid) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS g
+       FROM s1 WHERE pos >= ceil(CAST(g AS DOUBLE) * 0.4)),
+rw AS (SELECT s2.seed, pr.*, CASE WHEN s2.pos < ceil(CAST(s2.g AS DOUBLE) * 0.5) THEN 'eval' ELSE 'train' END AS side FROM pr JOIN s2 USING (uid)),
+cnt AS (SELECT seed, label, count(*) AS c FROM rw WHERE side = 'train' GROUP BY seed, label),
+need AS (SELECT seed, label, c, CAST(floor(m) AS BIGINT) AS n FROM (SELECT *, avg(c) OVER (PARTITION BY seed) AS m FROM cnt) WHERE c < m),
+draws AS (SELECT seed, label, c, unnest(range(0, n)) AS j FROM need),
+ix AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY md5(seed || ':' || pair), pair) - 1 AS pos FROM rw WHERE side = 'train'),
+tr AS (SELECT seed, pair, uid, date, idx, label, 0 AS draw FROM ix
+       UNION ALL SELECT ix.seed, ix.pair, ix.uid, ix.date, ix.idx, ix.label, d.j + 1 FROM draws d JOIN ix ON ix.seed = d.seed AND ix.label = d.label
+         AND ix.pos = {h60("d.seed || ':' || d.label || ':' || CAST(d.j AS VARCHAR)")} % d.c),
+fl AS (SELECT *, (row_number() OVER (PARTITION BY seed, label ORDER BY md5((42 * seed) || ':' || rw), rw) - 1) % 3 AS fold
+       FROM (SELECT *, CASE WHEN draw = 0 THEN pair ELSE pair || '#' || draw END AS rw FROM tr)),
+al AS (SELECT seed, pair, uid, date, idx, label, draw, 'train' AS side, CAST(fold AS INTEGER) AS fold FROM fl
+       UNION ALL SELECT seed, pair, uid, date, idx, label, 0, 'eval', -1 FROM rw WHERE side = 'eval'),
+dict AS (SELECT seed, label, CAST(row_number() OVER (PARTITION BY seed ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT seed, label FROM al)),
+st AS (SELECT al.seed, v.slot, {stats} FROM al JOIN fv v ON v.uid = al.uid AND v.date = al.date AND v.idx = al.idx WHERE al.side = 'train' GROUP BY al.seed, v.slot),
+zs AS (SELECT al.seed, al.pair, al.draw, al.side, al.fold, al.label, {z}
+       FROM al JOIN fv v ON v.uid = al.uid AND v.date = al.date AND v.idx = al.idx JOIN st t ON t.seed = al.seed AND t.slot = v.slot
+       GROUP BY al.seed, al.pair, al.draw, al.side, al.fold, al.label)
+SELECT zs.seed AS random_seed, fs.name AS feature_set, zs.pair, zs.draw, zs.side, zs.fold, dict.code,
+       round({" + ".join(f"fs.f[{i + 1}] * z_{f}" for i, f in enumerate(order))}, 6) AS z_sum
+FROM zs JOIN dict ON dict.seed = zs.seed AND dict.label = zs.label, (VALUES {sets}) fs(name, f)"""
+
+
+ORACLE["study_inputs"] = _study_inputs()
