@@ -34,7 +34,7 @@ MAX_BINS = 32           # value bins per column
 MISSING = MAX_BINS      # the bin of missing values
 BINS = MAX_BINS + 1
 EVAL = -1               # the fold of evaluation rows; no fit trains on it
-BLOCK_TREES = 256       # trees that one task walks at a time
+BLOCK_TREES = 512       # trees that one task walks at a time
 PIECE_CELLS = 1 << 20   # rows x trees that are held in memory at a time
 DENSE_CELLS = 1 << 21   # histogram cells of a task that are held as one array; beyond it they are held sparse
 UNIT = 1 << 24          # one unit of gradient in fixed point
@@ -438,10 +438,10 @@ def grow_forests(rows: DataFrame, width: int, classes: int, fits: list[Fit], n_t
     than ``max_depth`` and holds ``min_split`` rows. Node statistics: class weights, then rows.
     """
     step = max(1, min(n_trees, BLOCK_TREES))
-    blocks = []
+    blocks, per_block = [], max(1, BLOCK_TREES // step)
     for a in range(0, n_trees, step):
         ids = np.arange(a, min(a + step, n_trees))
-        blocks += _blocks(rows, fits, len(ids), BLOCK_TREES // step, lambda f, ids=ids: mix(mix(np.full(len(ids), f.seed)) + ids.astype(_U)), classes + 1)
+        blocks += _blocks(rows, fits, len(ids), per_block, lambda f, ids=ids: mix(mix(np.full(len(ids), f.seed)) + ids.astype(_U)), classes + 1)
     for b in blocks:
         b.open = b.trees.roots.copy()
 

@@ -26,6 +26,8 @@ from transitio.session import ensure_checkpoint_dir, materialize
 FOLDS = 3
 #: Trees of unlimited depth stop here; a deeper one would need that many splits on one path.
 UNLIMITED = 64
+#: Binned rows per partition of the table that every level reads.
+ROWS_PER_PART = 100_000
 
 # The search grids of the tree models.
 GRIDS: dict[str, dict[str, list]] = {
@@ -138,9 +140,11 @@ def search(table: DataFrame, feature_sets: dict[str, list[str]], models: dict[st
     sets = {name: [cols.index(c) for c in cs] for name, cs in feature_sets.items()}
     classes = (table.agg(F.max("code")).first()[0] or 0) + 1
     # scaling is monotone per column, so trees are grown on bins of the unscaled values
+    n, cores = table.count(), table.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // ROWS_PER_PART), min(cores, n // 16))
     edges = TR.bin_edges(table.where(F.col("fold") != TR.EVAL), cols)
     rows = _stored(TR.binned(table.select(F.col("random_seed").alias("key"), F.xxhash64("row").alias("row"), F.col("code").alias("y"),
-                                          "fold", *cols), cols, edges), f"{prefix}-bins")
+                                          "fold", *cols), cols, edges).repartition(parts, "row"), f"{prefix}-bins")
     counts = None
     for kind, grid in (models or GRIDS).items():
         one = _counts(rows, len(cols), classes, kind, grid, seeds, sets)
