@@ -63,7 +63,8 @@ def _turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), "turn",
                                 F.unhex(F.sha2(F.concat(F.length(role), F.lit(":"), role, text), 256)).alias("d"),
                                 F.regexp_count(text, F.lit(WORD)).cast("long").alias("words")).where("conv IS NOT NULL")
-    rows = rows.orderBy("conv", F.asc_nulls_first("turn"), "d").select("conv", "d", "words", F.monotonically_increasing_id().alias("id"))
+    # the sort reads its input twice (bounds, then rows): texts are hashed before it
+    rows = stored(rows, "trie-hashed").orderBy("conv", F.asc_nulls_first("turn"), "d").select("conv", "d", "words", F.monotonically_increasing_id().alias("id"))
     rows = stored(rows.withColumn("piece", F.shiftright("id", 33)), "trie-turns")
     every, before = Window.partitionBy("conv"), Window.partitionBy("conv").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = rows.groupBy("conv", "piece").agg(F.min("id").alias("start"), F.count(F.lit(1)).alias("n")) \
