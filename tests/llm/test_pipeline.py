@@ -68,7 +68,7 @@ def test_every_stage_against_plain_python(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", ["op1_bagminhash", "op2_int8_pairs", "op4_length_buckets", "op6_link_trust", "op7_secret_owners",
-                                  "op9_histogram_topk", "op10_poisson_mix"])
+                                  "op9_histogram_topk", "op10_poisson_mix", "op11_filter_audit", "op13_conv_trie"])
 def test_oracle(spark, name):
     from transitio.llm.oracle import ORACLE
     from transitio.llm.queries import QUERIES
@@ -81,7 +81,7 @@ def test_one_query_per_operator_and_no_local_checkpoint():
 
     from __spark_entry__ import oracle_sql, queries
     names = [q for q in queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14)) and "pipeline" in queries()
     assert "pipeline" not in oracle_sql()
     for p in pathlib.Path("transitio/llm").glob("*.py"):
         text = p.read_text()

@@ -310,5 +310,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("tk"),
                          text.rlike(r"[^\t\n\f\r ]").alias("worded"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    hit = marked.where("worded").select(ident.alias("ident"), "tk", "row").join(best, ["ident", "tk"], "left_semi")
-    return hit.dropDuplicates(["ident", "tk"]).select("row.*").unionByName(marked.where("not worded").select("row.*"))
+    hit = marked.where("worded").select(ident.alias("ident"), "tk", "row").join(stored(best, "bag-best"), ["ident", "tk"], "left_semi")
+    # whole rows are combined only if any row stands there twice, which narrow rows tell
+    twice = rows.where("class_tk is not null").withColumnRenamed(id_col, "id").select(ident.alias("ident"), "tk") \
+        .groupBy("ident", "tk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if twice.limit(1).count():
+        hit = hit.dropDuplicates(["ident", "tk"])
+    return hit.select("row.*").unionByName(marked.where("not worded").select("row.*"))
