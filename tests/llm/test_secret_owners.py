@@ -87,3 +87,15 @@ def test_plan_is_native_and_empty_tables_work(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
     empty = spark.createDataFrame([], SCHEMA)
     assert S.scan(empty).count() == 0 and S.redact(empty).count() == 0
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+    words = " ".join(f"deadbeef{i:x} cafe" for i in range(25_000))
+    texts = [(1, words + " " + "0123456789abcdef" * 2 + " " + words, "a", "en"), (2, "token=abc1234 " * 70_000, "b", "en")]
+    S.scan(frame(spark, [(0, "password=warm-up1", "a", "en")])).collect()
+    t0 = time.time()
+    got = {r.doc_id: r for r in S.scan(frame(spark, texts)).collect()}
+    assert time.time() - t0 < 20
+    assert (got[1].n_hex, got[2].n_assign) == (1, 70_000)
+    assert got[2].spans.split(",")[-1] == f"assign:{14 * 69_999}:{14 * 69_999 + 13}"

@@ -5,7 +5,8 @@ over the corpus by distinct repositories and owners (columns of the table). A va
 owners hold is an *example* (documentation, copied snippets); one held by few owners that looks
 random is *live*; the rest is *plain*. The method adds the spans of kind ``copy``: bare
 occurrences (no keyword beside them) of a value that some text of the corpus uses as a
-credential. Texts never leave their scan: only spans and hashes are shuffled, and copies of a
+credential, if the bare value is a run of 16 or more of ``A-Za-z0-9+/_=-`` with a digit and a letter:
+shorter and dotted values are found only beside a keyword. Texts never leave their scan: only spans and hashes are shuffled, and copies of a
 text share one row of spans.
 
 Cases: a null text is empty; a null owner or repository counts as one of its own; repeated rows
@@ -30,6 +31,11 @@ def _either(word: str) -> str:
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN = "(" + "|".join(_either(k) for k in KEYWORDS) + ")[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 KINDS = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+#: What is searched: runs of the least length at once. The runs are maximal, so the spans are those of
+#: the patterns above; an assignment's short value takes part, because it uses up text.
+SEARCH = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}"}
+#: Matches whose lengths are summed at a time.
+STEP = 64
 #: What can end a search early: texts without a match of this have no candidate of the kind.
 GUARDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 #: Bare tokens: runs of 16 or more that hold a digit and a letter.
@@ -47,21 +53,27 @@ def _spans(df: DataFrame, kind: str, no: int, pattern: str, guard: str, group: i
     df = df.withColumn("_h", F.when(found, F.regexp_extract_all(text, pat, F.lit(0)))) \
         .withColumn("_p", F.when(F.size("_h") > 0, F.split(text, pattern, -1))) \
         .withColumn("_v", F.when(F.size("_h") > 0, F.regexp_extract_all(text, pat, F.lit(group))))
-    spans = F.expr(f"""
-      aggregate(sequence(0, size(_h) - 1),
-        named_struct('p', 0, 'out', cast(array() as {SPAN})),
-        (a, i) -> named_struct('p', a.p + length(_p[i]) + length(_h[i]),
-          'out', concat(a.out, array(named_struct('start', a.p + length(_p[i]), 'no', {no}, 'kind', '{kind}',
-                                                  'end', a.p + length(_p[i]) + length(_h[i]), 'value', _v[i])))),
-        a -> filter(a.out, s -> length(s.value) >= {least}))""")
+    # where a match starts: the lengths of all pieces and matches before it, summed in steps of STEP so
+    # that no array grows match by match. transform(array(x), y -> ...)[0] binds y to x, once per text
+    lengths = "transform(x.h, (m, i) -> length(x.p[i]) + length(m))"
+    steps = f"""aggregate(sequence(0, (size(l) - 1) div {STEP}), array(0), (a, b) ->
+        concat(a, array(element_at(a, -1) + aggregate(slice(l, int(b * {STEP} + 1), {STEP}), 0, (t, v) -> t + v))))"""
+    starts = f"""transform(l, (m, i) -> s[int(i div {STEP})] + length(x.p[i])
+        + aggregate(slice(l, int(i div {STEP}) * {STEP} + 1, i % {STEP}), 0, (t, v) -> t + v))"""
+    spans = F.expr(f"""transform(array(named_struct('h', _h, 'p', _p, 'v', _v)), x ->
+        transform(array({lengths}), l -> transform(array({steps}), s -> transform(array({starts}), at ->
+            filter(transform(x.h, (m, i) -> named_struct('start', at[i], 'no', {no}, 'kind', '{kind}',
+                                                         'end', at[i] + length(m), 'value', x.v[i])),
+                   c -> length(c.value) >= {least})
+        )[0])[0])[0])[0]""")
     return df.withColumn(kind, F.when(F.size("_h") > 0, spans).otherwise(F.array().cast(SPAN))).drop("_h", "_p", "_v")
 
 
 def candidates(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
     """``keep`` plus assign, access, hex (base spans) and bare (tokens that overlap none of them)."""
     df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    for no, (kind, pattern, group, least) in enumerate(KINDS):
-        df = _spans(df, kind, no, pattern, GUARDS[kind], group, least)
+    for no, (kind, _, group, least) in enumerate(KINDS):
+        df = _spans(df, kind, no, SEARCH[kind], GUARDS[kind], group, least)
     df = _spans(df, "copy", len(KINDS), TOKEN, TOKEN, 0, 16)
     df = df.withColumn("base", F.expr("array_sort(concat(assign, access, hex))"))
     return df.withColumn("bare", F.expr("""filter(copy, c -> c.value rlike '[A-Za-z]'
