@@ -738,6 +738,19 @@ def csv_roundtrip(spark, sf_dir):
 from pyspark.sql import types as T  # noqa: E402
 
 
+@register("load_inputs_roundtrip")
+def load_inputs_roundtrip(spark, sf_dir):
+    """The seven input files written under their names and headers, loaded by header with types checked,
+    then the two-feature records of ``feature_projection`` built from them."""
+    path = SE.scratch_dir(spark, "inputs")
+    IO.write_inputs(TD.panel(spark, sf_dir, 14), f"{path}/csv")
+    t, _ = IO.load_inputs(spark, f"{path}/csv", f"{path}/parsed")
+    two = ["battery_afternoon", "screen_off_night_duration"]
+    rec = SQ.build_records(SQ.valid_assessments(t["phq"]), t, two, 14)
+    return rec.select("user", "date", "phq9", PM.render_sequence("battery_afternoon", "int").alias("battery_afternoon_seq"),
+                      PM.render_sequence("screen_off_night_duration").alias("screen_off_night_duration_seq"))
+
+
 @register("sequence_json_unnest")
 def sequence_json_unnest(spark, sf_dir):
     """S4 + S3: nested user records written as JSON Lines, read back with a declared

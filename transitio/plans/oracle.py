@@ -744,3 +744,5 @@ FROM zs JOIN dict ON dict.seed = zs.seed AND dict.label = zs.label, (VALUES {set
 
 
 ORACLE["study_inputs"] = _study_inputs()
+# the same records, whichever way the inputs came in
+ORACLE["load_inputs_roundtrip"] = ORACLE["feature_projection"]

@@ -3,6 +3,7 @@ restart detection over the result manifest."""
 
 from __future__ import annotations
 
+import csv
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,80 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def load_inputs(spark: SparkSession, data_dir: str, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
-    """The seven input tables by their reference file names."""
-    return {k: read_csv(spark, f"{data_dir.rstrip('/')}/{INPUT_FILES[k]}", schemas[k]) for k in schemas}
+def _epochs(header: str, column: str) -> dict[str, tuple[str, str]]:
+    return {header.format(e): (column.format(e), "double") for e in ("night", "morning", "afternoon", "evening")}
+
+
+# The header names of the input files, the column each one becomes, its type.
+INPUT_COLUMNS: dict[str, dict[str, tuple[str, str]]] = {
+    "battery": {**_epochs("battery:battery_mean_level:{}", "battery_{}"),
+                "battery:battery_std_level:morning": ("battery_std_morning", "double")},
+    "accelerometer": _epochs("magnitude_mean:{}", "magnitude_{}"),
+    "screen": {**_epochs("screen:screen_off_durationtotal:{}", "screen_off_{}"),
+               **_epochs("screen:screen_use_durationtotal:{}", "screen_use_{}")},
+    "apps": {},
+    "location": {f"location:{c}": (c, "double") for c in ("n_static", "n_moving", "n_bins")},
+    "phq": {"idx": ("idx", "int"), "PHQ9": ("phq9", "double")},
+    "survey": {"bg_sex": ("bg_sex", "int"), "group": ("group", "string"), "bg_age": ("bg_age", "int")},
+}
+#: Application columns exist per category: application:duration:<category>:<epoch>.
+APP_HEADER = "application:duration:"
+
+
+def _mapping(table: str, names: list[str]) -> dict[str, tuple[str, str]]:
+    """Header name -> (column, type) of one table: its key columns, its own and, of apps, all categories."""
+    out = {"user": ("user", "long"), **({} if table == "survey" else {"date": ("date", "date")}), **INPUT_COLUMNS[table]}
+    if table == "apps":
+        out.update({n: ("app_" + n[len(APP_HEADER):].replace(":", "_"), "double") for n in names if n.startswith(APP_HEADER)})
+    return out
+
+
+def load_input(spark: SparkSession, path: str, table: str, stored: str) -> tuple[DataFrame, DataFrame]:
+    """One input file (or folder of files with the same header) by its header names.
+
+    Returns the typed rows and the rejected lines (table, line), both as Parquet under ``stored``, so
+    the text is parsed once and in full. Columns are found by name in any order, others are ignored,
+    an absent one raises. A line with a field that is not of its type, or with too many or too few
+    fields, is rejected, not read as NULL. ``file_order`` (file, block, line within it) keeps
+    the order of the file, for the first row of a day or user.
+    """
+    header = spark.read.text(path).first()  # the first line of the first file
+    names = next(csv.reader([header.value])) if header else []
+    mapping = _mapping(table, names)
+    absent = [n for n in mapping if n not in names]
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)}")
+    fields = [T.StructField(n, T._parse_datatype_string(mapping[n][1]) if n in mapping else T.StringType()) for n in names]
+    bad = "_rejected_line"
+    # every field is parsed, also of ignored columns: otherwise short lines pass
+    raw = spark.read.options(header="true", quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=bad,
+                             enforceSchema="false", columnPruning="false").schema(T.StructType([*fields, T.StructField(bad, T.StringType())])).csv(path)
+    order = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("line"))
+    rows = raw.select(*[F.col(f"`{n}`").alias(c) for n, (c, _) in mapping.items()], F.col(bad), order.alias("file_order"))
+    rows.withColumn("ok", F.col(bad).isNull()).write.partitionBy("ok").parquet(f"{stored}/{table}")
+    whole = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("ok", T.BooleanType())])).parquet(f"{stored}/{table}")
+    return whole.where("ok").drop(bad, "ok"), whole.where("not ok").select(F.lit(table).alias("table"), F.col(bad).alias("line"))
+
+
+def load_inputs(spark: SparkSession, data_dir: str, stored: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The seven input tables by their file names, and all rejected lines (table, line)."""
+    loaded = {t: load_input(spark, f"{data_dir.rstrip('/')}/{name}", t, stored) for t, name in INPUT_FILES.items()}
+    rejected = None
+    for _, bad in loaded.values():
+        rejected = bad if rejected is None else rejected.unionByName(bad)
+    return {t: good for t, (good, _) in loaded.items()}, rejected
+
+
+def write_inputs(tables: dict[str, DataFrame], data_dir: str) -> None:
+    """The seven input tables as CSV under their file names and headers, in file order where a table has one."""
+    for t, name in INPUT_FILES.items():
+        df = tables[t]
+        heads = [f"{APP_HEADER}{c[4:c.rindex('_')]}:{c[c.rindex('_') + 1:]}" for c in df.columns if c.startswith("app_")]
+        mapping = _mapping(t, heads)
+        keys = [c for c in ("user", "date", "idx", "file_order") if c in df.columns]
+        out = df.orderBy(*keys).select(*[F.col(c).alias(n) for n, (c, _) in mapping.items()])
+        out.write.mode("overwrite").options(header="true", quote='"', escape='"').csv(f"{data_dir.rstrip('/')}/{name}")
 
 
 def write_csv(df: DataFrame, path: str, rename: dict[str, str] | None = None, mode: str = "overwrite") -> None:
