@@ -19,6 +19,11 @@ TEXTS = [
     (13, "bare 1234567890abcdefXYZ unknown", "a", "en"), (None, "PASSWORD:secretsecret", "d", "en"),
     (14, "token=0123456789abcdef0123456789abcdef", "a", "en"),
     (15, "password=first1 " * 400, "e", "en"),
+    # short, dotted, letters only, digits only, after another name, before a final dot, inside a longer run
+    (16, "password: Zx9kQ2m7 secret: correcthorse token=SG.abcdefgh1234.ijklmnop5678 passwd=90210777.", "f", "en"),
+    (17, "use Zx9kQ2m7 to log in. SG.abcdefgh1234.ijklmnop5678. Not correcthorses, correcthorse", "g", "en"),
+    (18, "pin 90210777, pwd=Zx9kQ2m7 Zx9kQ2m7Zx9kQ2m7 pad=QUJDREVGRw== x", "g", "en"),
+    (19, "api_key=QUJDREVGRw== token: Zx9kQ2m7Zx9kQ2m7", "h", "en"),
 ]
 
 
@@ -32,18 +37,20 @@ def base(text):
 
 def brute(rows):
     bases = [base(t) for _, t, *_ in rows]
-    bare = [[(m.start(), 3, "copy", m.end(), m.group()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or "")
-             if len(m.group()) >= 16 and re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())
-             and not any(b[0] < m.end() and m.start() < b[3] for b in bs)] for (_, t, *_), bs in zip(rows, bases)]
+    known = {s[4].rstrip(".") for bs in bases for s in bs}
+    bare = []
+    for (_, t, *_), bs in zip(rows, bases):
+        found = {(m.start(), m.group().rstrip(".")) for pat in (r"[A-Za-z0-9+/_.=-]+", r"[A-Za-z0-9+/_.-]+=*") for m in re.finditer(pat, t or "")}
+        bare.append([(at, 3, "copy", at + len(v), v) for at, v in found if len(v) >= 6 and v in known
+                     and not any(b[0] < at + len(v) and at < b[3] for b in bs)])
     owners = {}
-    known = {s[4] for bs in bases for s in bs}
     for (_, _, source, _), bs, br in zip(rows, bases, bare):
         for s in bs + br:
-            owners.setdefault(s[4], set()).add(source)
+            owners.setdefault(s[4].rstrip("."), set()).add(source)
     out = []
     for (i, _, *_), bs, br in zip(rows, bases, bare):
-        every = sorted(bs + [s for s in br if s[4] in known])
-        kinds = ["example" if len(owners[s[4]]) >= 3 else "live" if len(set(s[4])) >= 8 and re.search("[0-9]", s[4]) else "plain"
+        every = sorted(bs + br)
+        kinds = ["example" if len(owners[s[4].rstrip(".")]) >= 3 else "live" if len(set(s[4])) >= 8 and re.search("[0-9]", s[4]) else "plain"
                  for s in every]
         join = lambda ss: ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in ss)
         out.append((i, *[sum(s[1] == k for s in bs) for k in range(3)], hashlib.sha256(join(bs).encode()).hexdigest(), join(every),
@@ -81,6 +88,14 @@ def test_redaction_masks_live_values_only(spark):
     assert got[14].text == "token=[SECRET]"  # the value is a hex span too: masked once
 
 
+def test_bare_copies_of_short_and_dotted_values(spark):
+    got = {r.doc_id: r for r in S.scan(frame(spark, TEXTS)).collect()}
+    assert got[17].spans == "copy:4:12,copy:24:52,copy:73:85"
+    assert got[18].spans == "copy:4:12,copy:18:26,copy:27:43,copy:48:60"
+    out = {r.doc_id: r.text for r in S.redact(frame(spark, TEXTS)).collect()}
+    assert out[17] == "use [SECRET] to log in. [SECRET]. Not correcthorses, correcthorse"
+
+
 def test_plan_is_native_and_empty_tables_work(spark):
     df = S.scan(frame(spark, TEXTS))
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -92,10 +107,12 @@ def test_plan_is_native_and_empty_tables_work(spark):
 def test_long_texts_take_linear_time(spark):
     import time
     words = " ".join(f"deadbeef{i:x} cafe" for i in range(25_000))
-    texts = [(1, words + " " + "0123456789abcdef" * 2 + " " + words, "a", "en"), (2, "token=abc1234 " * 70_000, "b", "en")]
+    texts = [(1, words + " " + "0123456789abcdef" * 2 + " " + words, "a", "en"), (2, "token=abc1234 " * 70_000, "b", "en"),
+             (3, "token: abc1234 abc1234 " * 40_000, "c", "en")]
     S.scan(frame(spark, [(0, "password=warm-up1", "a", "en")])).collect()
     t0 = time.time()
     got = {r.doc_id: r for r in S.scan(frame(spark, texts)).collect()}
     assert time.time() - t0 < 20
     assert (got[1].n_hex, got[2].n_assign) == (1, 70_000)
+    assert got[3].n_assign == 40_000 and len(got[3].spans.split(",")) == 80_000
     assert got[2].spans.split(",")[-1] == f"assign:{14 * 69_999}:{14 * 69_999 + 13}"

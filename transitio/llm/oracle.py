@@ -156,19 +156,20 @@ WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, md5(coalesce
 t AS (SELECT tk, any_value(text) AS text FROM d GROUP BY 1),
 base AS ({_matches(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+", 0, 20)}
   UNION ALL {_matches(2, "hex", "[0-9a-f]+", 0, 24)}),
-token AS ({_matches(3, "copy", "[A-Za-z0-9+/_=-]+", 0, 16)}),
-bare AS (SELECT * FROM token c WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+run AS ({_matches(3, "copy", "[A-Za-z0-9+/_.=-]{6,}", 0, 6)} UNION {_matches(3, "copy", "[A-Za-z0-9+/_.-]+=*", 0, 6)}),
+token AS (SELECT DISTINCT * REPLACE (rtrim(value, '.') AS value, start + length(rtrim(value, '.')) AS stop) FROM run),
+bare AS (SELECT * FROM token c WHERE length(value) >= 6 AND value IN (SELECT rtrim(value, '.') FROM base)
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.tk = c.tk AND b.start < c.stop AND c.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT value, count(DISTINCT coalesce(source, chr(30))) AS n_owners
-  FROM every JOIN d USING (tk) GROUP BY 1 HAVING min(no) < 3),
+owners AS (SELECT rtrim(value, '.') AS same, count(DISTINCT coalesce(source, chr(30))) AS n_owners
+  FROM every JOIN d USING (tk) GROUP BY 1),
 found AS (SELECT every.*, CASE WHEN n_owners >= 3 THEN 'example'
     WHEN len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]') THEN 'live'
-    ELSE 'plain' END AS verdict FROM every JOIN owners USING (value)),
+    ELSE 'plain' END AS verdict FROM every JOIN owners ON rtrim(value, '.') = same),
 per AS (SELECT tk, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access,
     count(*) FILTER (no = 2) AS n_hex,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (no < 3) AS base,
-    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no, stop) FILTER (no < 3) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no, stop) AS spans,
     count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
   FROM found GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,

@@ -4,10 +4,14 @@ Three kinds of candidates are matched in every whole text. Their values are hash
 over the corpus by distinct repositories and owners (columns of the table). A value that many
 owners hold is an *example* (documentation, copied snippets); one held by few owners that looks
 random is *live*; the rest is *plain*. The method adds the spans of kind ``copy``: bare
-occurrences (no keyword beside them) of a value that some text of the corpus uses as a
-credential, if the bare value is a run of 16 or more of ``A-Za-z0-9+/_=-`` with a digit and a letter:
-shorter and dotted values are found only beside a keyword. Texts never leave their scan: only spans and hashes are shuffled, and copies of a
-text share one row of spans.
+occurrences (no keyword beside them, no base span over them) of a value that some text of the
+corpus uses as a credential. Bare values are the maximal runs of the alphabet of values, and the
+parts of a run between its ``=`` (``name=value``; padding stays), of six or more characters. Final
+dots belong to no bare value, and values that differ only in final dots are one.
+
+Texts never leave their scan: only spans and hashes are shuffled, and copies of a text share one
+row of spans. A bit map of the known values' hashes, of bounded size, drops nearly all other words
+in the scan; what passes meets the table of known values in a salted join.
 
 Cases: a null text is empty; a null owner or repository counts as one of its own; repeated rows
 give repeated results; a value that a third of all rows hold is aggregated per (value, owner,
@@ -17,7 +21,9 @@ ends exclusive. Long texts are scanned whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitio.llm.common import salted_join, stored
@@ -38,10 +44,16 @@ SEARCH = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}", "hex": "[0-9a-f]{24,}
 STEP = 64
 #: What can end a search early: texts without a match of this have no candidate of the kind.
 GUARDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
-#: Bare tokens: runs of 16 or more that hold a digit and a letter.
-TOKEN = "(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+#: Bare values: whole runs, and parts of runs that hold a "=" inside (second pattern: which texts have such).
+RUN = "[A-Za-z0-9+/_.=-]{6,}"
+PART, PART_GUARD = "[A-Za-z0-9+/_.-]+=*", "[A-Za-z0-9+/_.-]=+[A-Za-z0-9+/_.-]"
+LEAST_COPY = 6
+#: A bit map has 16 bits a key, at least and at most so many (8 MB). It moves work, not results: beyond, more
+#: rows that match nothing reach the join behind it.
+MAP_BITS = (1 << 16, 1 << 26)
 EXAMPLE_OWNERS = 3
 LIVE_SYMBOLS = 8
+PLACE = ("start", "no", "kind", "end", "value")
 SPAN = "array<struct<start:int,no:int,kind:string,end:int,value:string>>"
 
 
@@ -70,14 +82,61 @@ def _spans(df: DataFrame, kind: str, no: int, pattern: str, guard: str, group: i
 
 
 def candidates(docs: DataFrame, keep: list[Column], text_col: str) -> DataFrame:
-    """``keep`` plus assign, access, hex (base spans) and bare (tokens that overlap none of them)."""
+    """``keep`` plus assign, access, hex (base spans) and base (all of them in order)."""
     df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     for no, (kind, _, group, least) in enumerate(KINDS):
         df = _spans(df, kind, no, SEARCH[kind], GUARDS[kind], group, least)
-    df = _spans(df, "copy", len(KINDS), TOKEN, TOKEN, 0, 16)
-    df = df.withColumn("base", F.expr("array_sort(concat(assign, access, hex))"))
-    return df.withColumn("bare", F.expr("""filter(copy, c -> c.value rlike '[A-Za-z]'
-        and not exists(base, b -> b.start < c.end and c.start < b.end))""")).drop("copy", "_text")
+    return df.withColumn("base", F.expr("array_sort(concat(assign, access, hex))")).drop("_text")
+
+
+def _hash(value: Column) -> Column:
+    return F.sha2(F.rtrim(value, F.lit(".")), 256)
+
+
+def in_bit_map(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test for membership in a stored table of distinct keys: true for each of them and for about one
+    other in 16. The map is a scalar subquery: one array of at most MAP_BITS[1] bits."""
+    bits = MAP_BITS[0]
+    while bits < min(16 * keys.count(), MAP_BITS[1]):
+        bits *= 2
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    words = keys.select(slot.alias("_slot")).select(F.expr("_slot div 64").alias("at"), one.alias("word"))
+    zero = keys.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("word"))
+    words = words.unionByName(zero).groupBy("at").agg(F.bit_or("word").alias("word"))
+    array = words.agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("s")).select("s.word").scalar()
+
+    def test(value: Column) -> Column:
+        at = F.pmod(F.xxhash64(value), F.lit(bits))
+        return F.getbit(F.element_at(array, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+
+    return test
+
+
+def bare_values(docs: DataFrame, text_col: str, known: DataFrame) -> DataFrame:
+    """(tk, start, no, kind, end, value, vh): runs, and parts of runs, whose hash is in ``known`` (vh)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = docs.select(F.md5(text).alias("tk"), text.alias("_text"))
+    df = _spans(df, "run", len(KINDS), RUN, RUN, 0, LEAST_COPY)
+    df = _spans(df, "part", len(KINDS), PART, PART_GUARD, 0, LEAST_COPY)
+    value = F.rtrim("s.value", F.lit("."))
+    rows = df.select("tk", F.explode(F.concat("run", "part")).alias("s")) \
+        .select("tk", "s.start", "s.no", F.lit("copy").alias("kind"), (F.col("s.start") + F.length(value)).alias("end"),
+                value.alias("value")).where(F.length("value") >= LEAST_COPY).withColumn("vh", _hash(F.col("value")))
+    rows = rows.where(in_bit_map(known, "vh")(F.col("vh"))).distinct()
+    return salted_join(rows, known, ["vh"], F.col("tk"), "inner").select("tk", *PLACE, "vh")
+
+
+def without_overlaps(spans: DataFrame) -> DataFrame:
+    """``spans`` but for copies that overlap a base span of their text: no base span that starts before a
+    copy or with it may reach over its start, and none that starts later may lie before its end."""
+    base = F.col("no") < len(KINDS)
+    before = Window.partitionBy("tk").orderBy("start", "no")
+    after = Window.partitionBy("tk").orderBy(F.desc("start"), F.desc("no"))
+    return spans.withColumn("_reach", F.max(F.when(base, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, 0))) \
+        .withColumn("_next", F.min(F.when(base, F.col("start"))).over(after.rowsBetween(Window.unboundedPreceding, 0))) \
+        .where(base | ((F.coalesce("_reach", "start") <= F.col("start")) & (F.coalesce("_next", "end") >= F.col("end")))) \
+        .drop("_reach", "_next")
 
 
 def _joined(spans: str) -> Column:
@@ -93,22 +152,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     keep = [F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tk"),
             owner.alias("owner"), repo.alias("repo")]
     seen = stored(candidates(docs, keep, text_col), "secret-candidates")
-    hits = seen.where("size(base) + size(bare) > 0")
-    held = hits.select("tk", "owner", "repo", F.explode(F.concat("base", "bare")).alias("s")) \
-        .select("tk", "owner", "repo", F.sha2("s.value", 256).alias("vh"), F.col("s.no").alias("no"))
-    uses = held.groupBy("vh", "owner", "repo").agg(F.min("no").alias("no"))
-    owners = uses.groupBy("vh").agg(F.min("no").alias("no"), F.countDistinct("owner").alias("n_owners"),
-                                    F.count(F.lit(1)).alias("n_repos")) \
-        .where(F.col("no") < len(KINDS)).drop("no")  # values that are nowhere a credential are no candidates
-    by_text = hits.groupBy("tk").agg(F.first("base").alias("base"), F.first("bare").alias("bare"))
-    one = by_text.select("tk", F.explode(F.concat("base", "bare")).alias("s")) \
-        .withColumn("vh", F.sha2("s.value", 256))
+    base = seen.where("size(base) > 0").groupBy("tk").agg(F.first("base").alias("base")) \
+        .select("tk", F.explode("base").alias("s")).select("tk", *[f"s.{c}" for c in PLACE]).withColumn("vh", _hash(F.col("value")))
+    base = stored(base, "secret-base")
+    known = stored(base.where(F.length(F.rtrim("value", F.lit("."))) >= LEAST_COPY).select("vh").distinct(), "secret-known")
+    one = stored(without_overlaps(base.unionByName(bare_values(docs, text_col, known))), "secret-spans")
+    texts = stored(one.groupBy("tk").agg(F.collect_set("vh").alias("vhs")), "secret-texts")
+    hit = in_bit_map(texts, "tk")(F.col("tk"))
+    holders = seen.where(hit).select("tk", "owner", "repo").distinct()
+    uses = salted_join(holders, texts, ["tk"], F.xxhash64("owner", "repo"), "inner") \
+        .select("owner", "repo", F.explode("vhs").alias("vh")).distinct()
+    owners = uses.groupBy("vh").agg(F.countDistinct("owner").alias("n_owners"), F.count(F.lit(1)).alias("n_repos"))
     one = salted_join(one, owners, ["vh"], F.col("tk"), "inner")
-    look = (F.size(F.array_distinct(F.split("s.value", ""))) >= LIVE_SYMBOLS) & F.col("s.value").rlike("[0-9]")
+    look = (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_SYMBOLS) & F.col("value").rlike("[0-9]")
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(look, "live").otherwise("plain")
     found = one.withColumn("verdict", verdict).groupBy("tk").agg(F.array_sort(F.collect_list(F.struct(
-        "s.start", "s.no", "s.kind", "s.end", "s.value", "n_owners", "n_repos", "verdict"))).alias("found"))
-    rows = seen.select("_id", "tk", "base", (F.size("base") + F.size("bare") > 0).alias("_hit"),
+        *PLACE, "n_owners", "n_repos", "verdict"))).alias("found"))
+    rows = seen.select("_id", "tk", "base", hit.alias("_hit"),
                        *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in KINDS])
     none = found.schema["found"].dataType
     with_hits = salted_join(rows.where("_hit"), found, ["tk"], F.col("_id"), "left")
@@ -125,13 +185,14 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
            n_chars: str | None = "n_chars", **options) -> DataFrame:
     """``docs`` with the values of live credentials replaced by ``mark``; everything else unchanged.
 
-    Rows without live credentials keep their text as it is; only texts with a candidate are shuffled.
+    Rows without live credentials keep their text as it is; only texts that hold one (and about one other
+    in 16) are shuffled.
     """
-    live = scan(docs, id_col, text_col, **options).where("n_live > 0") \
-        .groupBy("tk").agg(F.first("found").alias("found"))
+    live = stored(scan(docs, id_col, text_col, **options).where("n_live > 0")
+                  .groupBy("tk").agg(F.first("found").alias("found")), "secret-live")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.md5(text).alias("tk"), text.rlike("|".join([*GUARDS.values(), TOKEN])).alias("might"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    might = in_bit_map(live, "tk")
+    rows = docs.select(F.md5(text).alias("tk"), might(F.md5(text)).alias("might"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     hot = salted_join(rows.where("might").withColumn("spread", F.xxhash64(f"row.`{id_col}`")), live, ["tk"], F.col("spread"))
     clean = F.expr(f"""aggregate(filter(found, s -> s.verdict = 'live'), named_struct('p', 0, 'out', ''),
         (a, s) -> CASE WHEN s.end <= a.p THEN a ELSE named_struct('p', s.end, 'out', concat(a.out,
