@@ -104,6 +104,16 @@ def test_plan_is_native_and_empty_tables_work(spark):
     assert S.scan(empty).count() == 0 and S.redact(empty).count() == 0
 
 
+def test_filter_holds_every_key_and_few_others(spark, monkeypatch):
+    keys = spark.range(20_000).selectExpr("sha2(cast(id as string), 256) AS vh")
+    test = S.in_bloom(keys, "vh")
+    others = spark.range(20_000, 120_000).selectExpr("sha2(cast(id as string), 256) AS vh")
+    assert keys.where(test(keys.vh)).count() == 20_000 and others.where(test(others.vh)).count() < 400
+    monkeypatch.setattr(S, "MAP_BITS", (64, 64))  # a filter that lets all pass changes no result
+    got = S.scan(frame(spark, TEXTS)).drop("tk", "found").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(TEXTS)
+
+
 def test_long_texts_take_linear_time(spark):
     import time
     words = " ".join(f"deadbeef{i:x} cafe" for i in range(25_000))

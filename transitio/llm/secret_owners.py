@@ -10,7 +10,7 @@ parts of a run between its ``=`` (``name=value``; padding stays), of six or more
 dots belong to no bare value, and values that differ only in final dots are one.
 
 Texts never leave their scan: only spans and hashes are shuffled, and copies of a text share one
-row of spans. A bit map of the known values' hashes, of bounded size, drops nearly all other words
+row of spans. A Bloom filter of the known values' hashes, of bounded size, drops nearly all other words
 in the scan; what passes meets the table of known values in a salted join.
 
 Cases: a null text is empty; a null owner or repository counts as one of its own; repeated rows
@@ -48,9 +48,10 @@ GUARDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 RUN = "[A-Za-z0-9+/_.=-]{6,}"
 PART, PART_GUARD = "[A-Za-z0-9+/_.-]+=*", "[A-Za-z0-9+/_.-]=+[A-Za-z0-9+/_.-]"
 LEAST_COPY = 6
-#: A bit map has 16 bits a key, at least and at most so many (8 MB). It moves work, not results: beyond, more
-#: rows that match nothing reach the join behind it.
+#: A Bloom filter has 16 to 32 bits a key, at least and at most so many (8 MB), and PROBES bits are set per key. It
+#: moves work, not results: beyond, more rows that match nothing reach the join behind it.
 MAP_BITS = (1 << 16, 1 << 26)
+PROBES = 4
 EXAMPLE_OWNERS = 3
 LIVE_SYMBOLS = 8
 PLACE = ("start", "no", "kind", "end", "value")
@@ -93,22 +94,29 @@ def _hash(value: Column) -> Column:
     return F.sha2(F.rtrim(value, F.lit(".")), 256)
 
 
-def in_bit_map(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+def in_bloom(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     """A test for membership in a stored table of distinct keys: true for each of them and for about one
-    other in 16. The map is a scalar subquery: one array of at most MAP_BITS[1] bits."""
+    other in 400. The filter is a scalar subquery: one array of at most MAP_BITS[1] bits."""
     bits = MAP_BITS[0]
     while bits < min(16 * keys.count(), MAP_BITS[1]):
         bits *= 2
-    slot = F.pmod(F.xxhash64(column), F.lit(bits))
-    one = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
-    words = keys.select(slot.alias("_slot")).select(F.expr("_slot div 64").alias("at"), one.alias("word"))
+
+    def slot(value: Column, probe: int) -> Column:
+        return F.pmod(F.xxhash64(value, F.lit(probe)), F.lit(bits))
+
+    slots = F.explode(F.array(*[slot(F.col(column), i) for i in range(PROBES)]))
+    words = keys.select(slots.alias("_slot")) \
+        .select(F.expr("_slot div 64").alias("at"), F.expr("shiftleft(1L, cast(_slot % 64 as int))").alias("word"))
     zero = keys.sparkSession.range(bits // 64).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("word"))
     words = words.unionByName(zero).groupBy("at").agg(F.bit_or("word").alias("word"))
     array = words.agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("s")).select("s.word").scalar()
 
     def test(value: Column) -> Column:
-        at = F.pmod(F.xxhash64(value), F.lit(bits))
-        return F.getbit(F.element_at(array, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+        out = F.lit(True)
+        for i in range(PROBES):
+            at = slot(value, i)
+            out &= F.getbit(F.element_at(array, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+        return out
 
     return test
 
@@ -123,7 +131,7 @@ def bare_values(docs: DataFrame, text_col: str, known: DataFrame) -> DataFrame:
     rows = df.select("tk", F.explode(F.concat("run", "part")).alias("s")) \
         .select("tk", "s.start", "s.no", F.lit("copy").alias("kind"), (F.col("s.start") + F.length(value)).alias("end"),
                 value.alias("value")).where(F.length("value") >= LEAST_COPY).withColumn("vh", _hash(F.col("value")))
-    rows = rows.where(in_bit_map(known, "vh")(F.col("vh"))).distinct()
+    rows = rows.where(in_bloom(known, "vh")(F.col("vh"))).distinct()
     return salted_join(rows, known, ["vh"], F.col("tk"), "inner").select("tk", *PLACE, "vh")
 
 
@@ -158,7 +166,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     known = stored(base.where(F.length(F.rtrim("value", F.lit("."))) >= LEAST_COPY).select("vh").distinct(), "secret-known")
     one = stored(without_overlaps(base.unionByName(bare_values(docs, text_col, known))), "secret-spans")
     texts = stored(one.groupBy("tk").agg(F.collect_set("vh").alias("vhs")), "secret-texts")
-    hit = in_bit_map(texts, "tk")(F.col("tk"))
+    hit = in_bloom(texts, "tk")(F.col("tk"))
     holders = seen.where(hit).select("tk", "owner", "repo").distinct()
     uses = salted_join(holders, texts, ["tk"], F.xxhash64("owner", "repo"), "inner") \
         .select("owner", "repo", F.explode("vhs").alias("vh")).distinct()
@@ -186,12 +194,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     """``docs`` with the values of live credentials replaced by ``mark``; everything else unchanged.
 
     Rows without live credentials keep their text as it is; only texts that hold one (and about one other
-    in 16) are shuffled.
+    in 400) are shuffled.
     """
     live = stored(scan(docs, id_col, text_col, **options).where("n_live > 0")
                   .groupBy("tk").agg(F.first("found").alias("found")), "secret-live")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    might = in_bit_map(live, "tk")
+    might = in_bloom(live, "tk")
     rows = docs.select(F.md5(text).alias("tk"), might(F.md5(text)).alias("might"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     hot = salted_join(rows.where("might").withColumn("spread", F.xxhash64(f"row.`{id_col}`")), live, ["tk"], F.col("spread"))
     clean = F.expr(f"""aggregate(filter(found, s -> s.verdict = 'live'), named_struct('p', 0, 'out', ''),
