@@ -65,8 +65,7 @@ def brute_scores(rows, good):
     toks = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     sets = [[toks(t) for _, t in rows], [toks(t) for i, t in rows if i in good]]
     bg = Counter(w for d in sets[0] for w in d)
-    n = sum(bg.values())
-    vocab = {w for w, c in bg.items() if c >= max(C.LEAST, math.ceil(n * C.WORD_RATE))}
+    vocab = {w for w, c in bg.items() if c >= C.LEAST}
     size = len(vocab) + 1
     ident = lambda w: w if w in vocab else None
     models = []
@@ -75,7 +74,7 @@ def brute_scores(rows, good):
         uni = Counter(ident(w) for d in s for w in d)
         pairs = Counter((a, b) for d in s for a, b in zip(["<s>", *map(ident, d)], map(ident, d)) if a is not None and b is not None)
         if kept is None:
-            kept = {p for p, c in pairs.items() if c >= max(C.LEAST, math.ceil(n * C.PAIR_RATE))}
+            kept = {p for p, c in pairs.items() if c >= C.LEAST}
         pairs = {p: pairs[p] for p in kept}
         hist = Counter(uni)
         hist["<s>"] = sum(bool(d) for d in s)
@@ -130,14 +129,33 @@ def test_rare_words_stay_known_in_a_large_corpus(spark):
     assert got[300].ce_target < got[200].ce_target - 1 and got[300].ce_background < got[200].ce_background - 1  # were the same
 
 
-def test_scores_do_not_depend_on_what_is_broadcast(spark):
+def test_scores_do_not_depend_on_chunks_and_shards(spark):
     rows, good = lm_rows(), range(0, 120, 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     target = spark.createDataFrame([(i,) for i in good], "doc_id long")
-    runs = [sorted((tuple(r) for r in C.score_documents(docs, target, head_rate=x).collect()), key=str) for x in (0.0, 1e-3, 1.0)]
+    runs = [sorted((tuple(r) for r in C.score_documents(docs, target, chunk_bytes=x).collect()), key=str) for x in (150, 3000, 1 << 20)]
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_blocks_round_trip():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2 ** 64, 5000, dtype=np.uint64))
+    counts = [rng.integers(1, 9, len(keys)), rng.integers(0, 2 ** 40, len(keys))]
+    t = C.sent(7, 3, keys, counts)
+    assert t.num_rows == 8 and sum(t.column("n").to_pylist()) == len(keys)
+    back = [C.unpacked(b, n, 3) for b, n in zip(t.column("block").to_pylist(), t.column("n").to_pylist())]
+    assert (np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in back]) == keys).all()
+    for i, c in enumerate(counts):
+        assert (np.concatenate([p[1 + i] for p in back]).astype(np.int64) == c).all()
+    assert C.sent(7, 3, keys[:0], [keys[:0]]).num_rows == 0
+
+
+def test_texts_are_not_shuffled_for_scoring(spark):
+    docs = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    plan = C.score_documents(docs, docs.select("doc_id").limit(5))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # the answers alone move
+
+
 def test_rare_language_is_learned_beside_a_hot_one(spark):
     rows = [(i, "ba da ga lo", "aa") for i in range(3000)] + [(5000 + i, "pri tru ska priska truska", "bb") for i in range(3)] \
         + [(None, "skapri trupri priska", None)]
