@@ -187,7 +187,9 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     the pool has size b ending at position e takes positions
     ``(e + 1 + (o + j*m) div n') mod count`` for j < n' = min(n, m), m = count - b,
     o = hash(seed:query) mod m: all distinct, never in its own block.
-    Returns (query_id, ordinal j, pool_id of the example, n_found).
+    Returns (query_id, ordinal j, pool_id of the example, n_found). A row without a candidate (its stratum
+    is null or not in the pool, or all of it has the row's text) is reported once, with n_found = 0
+    and null j and example.
     ``hashed=True``: ``text`` already holds md5(seed:text) (see ``text_hash``).
     ``materialize=True`` checkpoints the indexed pool, which three branches read.
     """
@@ -214,19 +216,22 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     if materialize:
         per_text = checkpointed(per_text)
     per_stratum = per_text.groupBy(stratum).agg(F.sum("n").alias("n"))
-    q = balanced_join(q, sizes, [stratum], F.struct(query_id), "inner", counts=per_stratum)
+    alone = q.where(F.col(stratum).isNull()).select(query_id, *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("j", "int"), ("example_id", p.schema[pool_id].dataType))], F.lit(0).alias("n_found"))
+    q = balanced_join(q.where(F.col(stratum).isNotNull()), sizes, [stratum], F.struct(query_id), "left", counts=per_stratum)
     q = balanced_join(q, blocks, [stratum, "_th"], F.struct(query_id), "left", counts=per_text)
-    q = q.withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))
-    q = q.withColumn("_m", F.col("_count") - F.col("_b")).where(F.col("_m") > 0)
-    q = q.withColumn("n_found", F.least(F.lit(n), F.col("_m")).cast("int"))
-    q = q.withColumn("_o", F.pmod(md5_int(F.concat(seed_c.cast("string"), F.lit(":q:"),
-                                                   F.col(query_id).cast("string"))), F.col("_m")))
-    q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_found") - 1)))
-    step = F.floor((F.col("_o") + F.col("j") * F.col("_m")) / F.col("n_found"))
-    q = q.withColumn("pos", F.pmod(F.col("_e") + 1 + step, F.col("_count")))
+    q = q.withColumn("_count", F.coalesce("_count", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))
+    q = q.withColumn("_m", F.col("_count") - F.col("_b")).withColumn("n_found", F.least(F.lit(n), F.col("_m")).cast("int"))
+    h = md5_int(F.concat(seed_c.cast("string"), F.lit(":q:"), F.col(query_id).cast("string")))
+    q = q.withColumn("_o", F.pmod(h, F.greatest("_m", F.lit(1))))
+    q = q.withColumn("j", F.explode_outer(F.when(F.col("n_found") > 0, F.sequence(F.lit(0), F.col("n_found") - 1))))
+    step = F.floor((F.col("_o") + F.col("j") * F.col("_m")) / F.greatest("n_found", F.lit(1)))
+    # a row without a candidate asks for a place that no pool has, rows apart from each other
+    q = q.withColumn("pos", F.when(F.col("n_found") > 0, F.pmod(F.col("_e") + 1 + step, F.greatest("_count", F.lit(1))))
+                     .otherwise(-1 - F.pmod(h, F.lit(1 << 20))))
     picked = q.select(query_id, stratum, "j", "pos", "n_found")
     ex = pidx.select(stratum, "pos", F.col(pool_id).alias("example_id"))
-    return picked.join(ex, [stratum, "pos"], "inner").select(query_id, "j", "example_id", "n_found")
+    return picked.join(ex, [stratum, "pos"], "left").select(query_id, "j", "example_id", "n_found").unionByName(alone)
 
 
 def text_hash(text: str, seed=1) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -646,6 +647,7 @@ from transitio import session as SE  # noqa: E402
 from transitio.plans import study as ST  # noqa: E402
 from transitio.plans import tree_study as TS  # noqa: E402
 from transitio.sources import io as IO  # noqa: E402
+from transitio.sources import runs as RU  # noqa: E402
 
 
 def study_detail(spark, sf_dir):
@@ -813,6 +815,41 @@ def score_prompts(spark, sf_dir):
     return ST.score_prompts(prompts, "prompt", ST.fallback_predictor_factory, ["doc_id", "label"])
 
 
+@register("score_resumed")
+def score_resumed(spark, sf_dir):
+    """K16 over two runs: the first scores the even ids and ends; the second, with another predictor, is
+    asked for all rows and scores only those without an answer."""
+    path = SE.scratch_dir(spark, "answers")
+    ct = _class(spark, sf_dir).select("doc_id", "label", F.col("data").alias("prompt"))
+    ST.score_resumable(ct.where("doc_id % 2 = 0"), ["doc_id"], "prompt", ST.fallback_predictor_factory, path, slices=4)
+    more = lambda: lambda prompts: prompts + "Label: More Depressed"
+    return ST.score_resumable(ct, ["doc_id"], "prompt", more, path, slices=4).select("doc_id", "label", "predicted", "parsed")
+
+
+@register("run_restart")
+def run_restart(spark, sf_dir):
+    """S7 + S8 + S9 on written files: runs keyed by language and fold are published, published again without a
+    metric, broken off before publishing, or never made; then each key's state and newest results."""
+    path, keys = SE.scratch_dir(spark, "runs"), ["lang", "fold"]
+    rows = materialize(_qt(spark, sf_dir).withColumn("fold", (F.col("doc_id") % 5).cast("int")))
+    made = EV.metrics(rows, "y", "yhat", keys).select(*keys, "accuracy", "macro_f1")
+    start = dt.datetime(2024, 1, 1)
+    RU.write_run(rows.where("fold < 4"), made.where("fold < 4"), path, keys, at=start)
+    RU.write_run(rows.where("fold = 1"), made.where("fold = 1").drop("macro_f1"), path, keys, at=start + dt.timedelta(hours=1))
+    RU.write_scored(rows.where("fold = 2"), path, keys, "broken-off")
+    grid, types = rows.select(*keys).distinct(), T.StructType([rows.schema[k] for k in keys])
+    attempts = RU.published(spark, path, types)
+    last = RU.newest(attempts, keys)
+    metrics = RU.read_evaluation(spark, path, T.StructType([made.schema["accuracy"], made.schema["macro_f1"], *types.fields]), last, keys)
+    scored = RU.read_scored(spark, path, T.StructType([f for f in rows.schema.fields if f.name not in keys] + types.fields), last, keys)
+    right = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scored"), F.sum((F.col("y") == F.col("yhat")).cast("bigint")).alias("n_right"))
+    both = RU.pending_published(grid, attempts, keys).withColumn("_b", F.lit(True))
+    valid = RU.pending_newest_valid(grid, last, metrics, keys, ["accuracy", "macro_f1"]).withColumn("_v", F.lit(True))
+    out = grid.join(both, keys, "left").join(valid, keys, "left").join(metrics.drop("attempt"), keys, "left").join(right, keys, "left")
+    return out.select(*keys, F.col("_b").isNull().alias("done_both"), F.col("_v").isNull().alias("done_valid"), "accuracy", "macro_f1",
+                      F.coalesce("n_scored", F.lit(0)).cast("bigint").alias("n_scored"), "n_right")
+
+
 SEEDS = [1, 2, 3, 4, 5]
 
 

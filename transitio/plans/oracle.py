@@ -457,8 +457,8 @@ os_all AS (SELECT * FROM os_tr UNION ALL SELECT i.* EXCLUDE (os_pos) FROM os_dra
           FROM {pool_src}),
 sizes AS (SELECT st, count(*) AS cnt FROM pool GROUP BY st),
 blocks AS (SELECT st, th, count(*) AS b, max(pos) AS e FROM pool GROUP BY st, th),
-qq AS (SELECT q.doc_id AS qid, q.{stratum} AS st, s.cnt, coalesce(bl.b, 0) AS b, coalesce(bl.e, -1) AS e
-       FROM (SELECT * FROM {query_src} WHERE {query_filter}) q JOIN sizes s ON s.st = q.{stratum}
+qq AS (SELECT q.doc_id AS qid, q.{stratum} AS st, coalesce(s.cnt, 0) AS cnt, coalesce(bl.b, 0) AS b, coalesce(bl.e, -1) AS e
+       FROM (SELECT * FROM {query_src} WHERE {query_filter}) q LEFT JOIN sizes s ON s.st = q.{stratum}
        LEFT JOIN blocks bl ON bl.st = q.{stratum} AND bl.th = md5('1:' || CAST(q.{text} AS VARCHAR))),
 qm AS (SELECT *, cnt - b AS m, least({n}, cnt - b) AS nf, {h60("'1:q:' || CAST(qid AS VARCHAR)")} % (cnt - b) AS o
        FROM qq WHERE cnt - b > 0),
@@ -473,12 +473,15 @@ LABEL_CODE = "CASE {x} WHEN 'Remains' THEN 0 WHEN 'More Depressed' THEN 1 WHEN '
 
 ORACLE.update({
     "few_shot_pairs": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(5)}
-SELECT doc_id, j, example_id, n_found FROM pairs""",
+SELECT doc_id, j, example_id, n_found FROM pairs
+UNION ALL SELECT qid, NULL, NULL, 0 FROM qq WHERE cnt - b <= 0""",
     "same_subject_examples": f"""WITH {CT}, {fewshot_ctes(3, stratum='source', text='doc_id', pool_src='ct', query_src='ct')}
-SELECT doc_id, j, example_id, n_found FROM pairs""",
+SELECT doc_id, j, example_id, n_found FROM pairs
+UNION ALL SELECT qid, NULL, NULL, 0 FROM qq WHERE cnt - b <= 0""",
     "any_subject_examples": f"""WITH {CT}, ca AS (SELECT *, 'all' AS anyone FROM ct),
 {fewshot_ctes(3, stratum='anyone', text='doc_id', pool_src='ca', query_src='ca')}
-SELECT doc_id, j, example_id, n_found FROM pairs""",
+SELECT doc_id, j, example_id, n_found FROM pairs
+UNION ALL SELECT qid, NULL, NULL, 0 FROM qq WHERE cnt - b <= 0""",
     "aligned_predictions": f"""WITH {CT}, {split_cte()}, {fewshot_ctes(1, "side = 'test'")}
 SELECT s.doc_id, s.label, p.ex_label AS predicted, p.ex_label IS NOT NULL AS answered
 FROM split s LEFT JOIN (SELECT doc_id, ex_label FROM pairs WHERE doc_id % 2 = 0) p ON p.doc_id = s.doc_id WHERE s.side = 'test'""",
@@ -707,6 +710,19 @@ ORACLE["score_prompts"] = f"""WITH {CT}, {split_cte()}
 SELECT doc_id, label, 'Remains' AS predicted, true AS parsed FROM split WHERE side = 'test'"""
 
 
+# Every run key (language, fold 0-4) with what a restart finds of it: folds 0 to 3 were published whole,
+# fold 1 a second time without the macro F1, fold 2 a second time without being published.
+ORACLE["run_restart"] = f"""WITH {CT},
+fq AS (SELECT lang, CAST(doc_id % 5 AS INTEGER) AS fold, CAST(quality AS VARCHAR) AS y, CAST(toxic AS VARCHAR) AS yh FROM ct),
+{metric_ctes('fq', ['lang', 'fold'], 'y', 'yh')},
+m AS ({metric_select(['lang', 'fold'])})
+SELECT lang, fold, fold < 4 AS done_both, fold IN (0, 2, 3) AS done_valid,
+  CASE WHEN fold < 4 THEN accuracy END AS accuracy, CASE WHEN fold IN (0, 2, 3) THEN macro_f1 END AS macro_f1,
+  CASE WHEN fold < 4 THEN n ELSE 0 END AS n_scored, CASE WHEN fold < 4 THEN CAST(round(accuracy * n) AS BIGINT) END AS n_right FROM m"""
+ORACLE["score_resumed"] = f"""WITH {CT}
+SELECT doc_id, label, CASE WHEN doc_id % 2 = 0 THEN 'Remains' ELSE 'More Depressed' END AS predicted, true AS parsed FROM ct"""
+
+
 # ---------------------------------------------------------------- inputs of the tree study
 def _study_inputs() -> str:
     order = ["battery_afternoon", "screen_off_night_duration", "magnitude_max", "screen_use_duration_afternoon"]

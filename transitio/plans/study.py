@@ -8,12 +8,15 @@ distributed Spark job; their metrics come back as DataFrames and are unioned (X5
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitio.functions import scalar as S
 from transitio.operators import evaluate as EV
@@ -22,6 +25,8 @@ from transitio.operators import prompts as PM
 from transitio.operators.sampling import oversample, stratified_folds
 from transitio.session import materialize
 
+#: Padded tokens of one predictor call.
+BATCH_TOKENS = 16_384
 METRICS = ("accuracy", "macro_f1", "weighted_f1", "macro_precision", "macro_recall")
 
 
@@ -192,24 +197,78 @@ def run_study(data: DataFrame, feature_sets: dict[str, list[str]], models: dict[
 
 
 # ---------------------------------------------------------------- scoring hook (K16), stats
-def score_prompts(df: DataFrame, prompt: str, predictor_factory: Callable[[], Callable[[pd.Series], pd.Series]],
-                  keep: list[str]) -> DataFrame:
-    """The one Python surface. ``predictor_factory`` builds a predictor once per
-    partition (e.g. loads a model); the predictor maps a batch of prompts to generated
-    texts. Arrow batches in, Arrow batches out; parsing stays in SQL (K8)."""
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-                       + [f"`{prompt}` string", "generated string"])
+def _answers(predict: Callable[[pd.Series], pd.Series], prompts: pd.Series, budget: int) -> pd.Series:
+    """What the predictor writes after each prompt. It gets batches of prompts of like length whose
+    padded size (longest times number, a token taken as four characters) is within ``budget``; a longer prompt goes alone."""
+    prompts = prompts.fillna("").reset_index(drop=True)
+    size = prompts.str.len().to_numpy() // 4 + 1
+    order, out, lo = np.argsort(size, kind="stable"), np.empty(len(prompts), dtype=object), 0
+    while lo < len(order):
+        padded = size[order[lo:]] * np.arange(1, len(order) - lo + 1)  # ascends: sizes are sorted
+        hi = lo + max(1, int(np.searchsorted(padded, budget, side="right")))
+        part = prompts.iloc[order[lo:hi]]
+        texts = predict(part.reset_index(drop=True)).astype(str)
+        out[order[lo:hi]] = [g[len(p):] for g, p in zip(texts, part)]
+        lo = hi
+    return pd.Series(out)
+
+
+def generate(df: DataFrame, prompt: str, predictor_factory: Callable[[], Callable[[pd.Series], pd.Series]],
+             keep: list[str], budget: int = BATCH_TOKENS) -> DataFrame:
+    """(keep..., answer): the generated text after the prompt. The predictor is built once per partition
+    and maps prompts to generated texts that begin with them; prompts stay in the task. A null prompt is empty."""
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["answer string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = predictor_factory()
         for pdf in batches:
-            out = pdf[keep + [prompt]].copy()
-            out["generated"] = predict(pdf[prompt]).astype(str).values
+            out = pdf[keep].reset_index(drop=True)
+            out["answer"] = _answers(predict, pdf["_prompt"], budget)
             yield out
 
-    scored = df.select(*keep, prompt).mapInPandas(run, schema)
-    label, parsed = PM.parse_answer("generated", prompt)
-    return scored.select(*keep, label.alias("predicted"), parsed.alias("parsed"))
+    return df.select(*keep, F.col(prompt).alias("_prompt")).mapInPandas(run, schema)
+
+
+def parse_answers(df: DataFrame) -> DataFrame:
+    """K8 in SQL: predicted and parsed in place of ``answer``."""
+    label, parsed = PM.parse_answer("answer", "_none")
+    return df.withColumn("_none", F.lit("")).select(*[c for c in df.columns if c != "answer"], label.alias("predicted"),
+                                                    F.coalesce(parsed, F.lit(False)).alias("parsed"))
+
+
+def score_prompts(df: DataFrame, prompt: str, predictor_factory: Callable[[], Callable[[pd.Series], pd.Series]],
+                  keep: list[str], budget: int = BATCH_TOKENS) -> DataFrame:
+    """The one Python surface, ``generate``; parsing stays in SQL (K8)."""
+    return parse_answers(generate(df, prompt, predictor_factory, keep, budget))
+
+
+def score_resumable(df: DataFrame, keys: list[str], prompt: str, predictor_factory: Callable[[], Callable[[pd.Series], pd.Series]],
+                    path: str, slices: int = 16, budget: int = BATCH_TOKENS) -> DataFrame:
+    """K16 for predictors that take hours: the answers are kept under ``path`` and found again.
+
+    Rows whose key has an answer there are not scored (anti-join). The others are dealt by key hash to
+    ``slices``, each one job over the whole cluster whose answers appear when it ends, so a run that
+    breaks off loses at most the slice it was in. The prompts are shuffled and stored once, not per slice.
+
+    Returns the columns of ``df`` but the prompt, with predicted and parsed. A key that repeats is
+    scored once, by its smallest prompt, and all its rows get that answer; rows with a null in the key
+    are not scored (the fallback label, parsed = false).
+    """
+    spark = df.sparkSession
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("answer", T.StringType())])
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/answers")
+    kept = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    todo = df.dropna(subset=keys).groupBy(*keys).agg(F.min(prompt).alias("_text"))
+    if kept:
+        todo = todo.join(spark.read.schema(schema).parquet(f"{path}/answers").select(*keys), keys, "left_anti")
+    prompts = f"{path}/prompts-{uuid.uuid4().hex[:12]}"
+    todo.withColumn("_slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")).write.partitionBy("_slice").parquet(prompts)
+    stored = spark.read.schema(T.StructType([*[df.schema[k] for k in keys], T.StructField("_text", T.StringType()),
+                                             T.StructField("_slice", T.IntegerType())])).parquet(prompts)
+    for i in range(slices):  # jobs, not rows: their number is a parameter
+        generate(stored.where(F.col("_slice") == i), "_text", predictor_factory, keys, budget).write.mode("append").parquet(f"{path}/answers")
+    answers = spark.read.schema(schema).parquet(f"{path}/answers")
+    return parse_answers(df.drop(prompt).join(answers, keys, "left"))
 
 
 def fallback_predictor_factory() -> Callable[[pd.Series], pd.Series]:
