@@ -56,6 +56,16 @@ def test_few_shot_shortage(spark):
     assert len(out) == 2 and all(r.n_found == 2 for r in out)
 
 
+def test_few_shot_keys_sample_independently(spark):
+    base = spark.range(60).select("id", (F.col("id") % 2).cast("string").alias("st"), F.concat(F.lit("t"), (F.col("id") % 7).cast("string")).alias("txt"))
+    both = SM.seeds_frame(base, [1, 2])
+    got = SM.few_shot_positions(both, both, "st", "txt", "id", "id", 4, F.col("seed"), keys=["seed"])
+    assert got.columns == ["seed", "id", "j", "example_id", "n_found"]
+    for seed in (1, 2):
+        want = SM.few_shot_positions(base, base, "st", "txt", "id", "id", 4, seed)
+        assert sorted(map(tuple, got.where(F.col("seed") == seed).drop("seed").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_metrics_fixture(spark):
     df = spark.createDataFrame([("0", "0"), ("0", "1"), ("1", "1")], "y string, p string")
     m = EV.metrics(df, "y", "p").first()

@@ -179,7 +179,8 @@ def seeds_frame(df: DataFrame, seeds: list[int], name: str = "seed") -> DataFram
 
 
 def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text: str, pool_id: str,
-                       query_id: str, n: int, seed=1, hashed: bool = False, materialize: bool = False) -> DataFrame:
+                       query_id: str, n: int, seed=1, hashed: bool = False, materialize: bool = False,
+                       keys: list[str] | None = None) -> DataFrame:
     """For each query row, up to ``n`` distinct pool rows of the same stratum whose
     text differs from the query's text, drawn without replacement.
 
@@ -191,35 +192,39 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     is null or not in the pool, or all of it has the row's text) is reported once, with n_found = 0
     and null j and example.
     ``hashed=True``: ``text`` already holds md5(seed:text) (see ``text_hash``).
+    ``keys`` (e.g. seed and prompt style, the seed then given as a column) are columns of both tables
+    and of the result; each combination samples for itself, all in one plan.
     ``materialize=True`` checkpoints the indexed pool, which three branches read.
     """
     seed_c = _seed_col(seed)
+    k = list(keys or [])
+    st = [*k, stratum]
     # Texts travel as their seeded md5 (also the pool order), never as whole strings.
     th = F.col(text) if hashed else seeded_md5(seed_c, text)
-    p = pool.select(stratum, th.alias("_th"), pool_id)
+    p = pool.select(*st, th.alias("_th"), pool_id)
     # Pool order: (text hash, id hash, id). Text blocks are laid out by a weighted prefix sum
     # over one row per distinct text; rows are ranked inside their block by a dense index
     # over id-hash buckets, so many copies of one text never share a window partition.
-    blocks = p.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("_size"))
-    blocks = weighted_offsets(blocks, [stratum], "_th", "_size", "_start")
-    ranked = dense_index(p, [stratum, "_th"], seeded_md5(seed_c, pool_id), pool_id, name="_in")
-    pidx = ranked.join(blocks.select(stratum, "_th", "_start"), [stratum, "_th"], "inner") \
-        .select(stratum, pool_id, (F.col("_start") + F.col("_in")).alias("pos"))
+    blocks = p.groupBy(*st, "_th").agg(F.count(F.lit(1)).alias("_size"))
+    blocks = weighted_offsets(blocks, st, "_th", "_size", "_start")
+    ranked = dense_index(p, [*st, "_th"], seeded_md5(seed_c, pool_id), pool_id, name="_in")
+    pidx = ranked.join(blocks.select(*st, "_th", "_start"), [*st, "_th"], "inner") \
+        .select(*st, pool_id, (F.col("_start") + F.col("_in")).alias("pos"))
     if materialize:
         pidx = checkpointed(pidx)
         blocks = checkpointed(blocks)
-    sizes = blocks.groupBy(stratum).agg(F.sum("_size").alias("_count"))
-    blocks = blocks.select(stratum, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
-    q = queries.select(query_id, stratum, th.alias("_th"))
+    sizes = blocks.groupBy(*st).agg(F.sum("_size").alias("_count"))
+    blocks = blocks.select(*st, "_th", F.col("_size").alias("_b"), (F.col("_start") + F.col("_size") - 1).alias("_e"))
+    q = queries.select(query_id, *st, th.alias("_th"))
     # strata and texts that many queries share are met in parts, as their counts ask for
-    per_text = q.groupBy(stratum, "_th").agg(F.count(F.lit(1)).alias("n"))
+    per_text = q.groupBy(*st, "_th").agg(F.count(F.lit(1)).alias("n"))
     if materialize:
         per_text = checkpointed(per_text)
-    per_stratum = per_text.groupBy(stratum).agg(F.sum("n").alias("n"))
-    alone = q.where(F.col(stratum).isNull()).select(query_id, *[F.lit(None).cast(t).alias(c) for c, t in (
+    per_stratum = per_text.groupBy(*st).agg(F.sum("n").alias("n"))
+    alone = q.where(F.col(stratum).isNull()).select(*k, query_id, *[F.lit(None).cast(t).alias(c) for c, t in (
         ("j", "int"), ("example_id", p.schema[pool_id].dataType))], F.lit(0).alias("n_found"))
-    q = balanced_join(q.where(F.col(stratum).isNotNull()), sizes, [stratum], F.struct(query_id), "left", counts=per_stratum)
-    q = balanced_join(q, blocks, [stratum, "_th"], F.struct(query_id), "left", counts=per_text)
+    q = balanced_join(q.where(F.col(stratum).isNotNull()), sizes, st, F.struct(query_id), "left", counts=per_stratum)
+    q = balanced_join(q, blocks, [*st, "_th"], F.struct(query_id), "left", counts=per_text)
     q = q.withColumn("_count", F.coalesce("_count", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0))).withColumn("_e", F.coalesce("_e", F.lit(-1)))
     q = q.withColumn("_m", F.col("_count") - F.col("_b")).withColumn("n_found", F.least(F.lit(n), F.col("_m")).cast("int"))
     h = md5_int(F.concat(seed_c.cast("string"), F.lit(":q:"), F.col(query_id).cast("string")))
@@ -229,9 +234,9 @@ def few_shot_positions(pool: DataFrame, queries: DataFrame, stratum: str, text:
     # a row without a candidate asks for a place that no pool has, rows apart from each other
     q = q.withColumn("pos", F.when(F.col("n_found") > 0, F.pmod(F.col("_e") + 1 + step, F.greatest("_count", F.lit(1))))
                      .otherwise(-1 - F.pmod(h, F.lit(1 << 20))))
-    picked = q.select(query_id, stratum, "j", "pos", "n_found")
-    ex = pidx.select(stratum, "pos", F.col(pool_id).alias("example_id"))
-    return picked.join(ex, [stratum, "pos"], "left").select(query_id, "j", "example_id", "n_found").unionByName(alone)
+    picked = q.select(query_id, *st, "j", "pos", "n_found")
+    ex = pidx.select(*st, "pos", F.col(pool_id).alias("example_id"))
+    return picked.join(ex, [*st, "pos"], "left").select(*k, query_id, "j", "example_id", "n_found").unionByName(alone)
 
 
 def text_hash(text: str, seed=1) -> Column:
@@ -239,9 +244,9 @@ def text_hash(text: str, seed=1) -> Column:
     return seeded_md5(_seed_col(seed), text)
 
 
-def shuffled_ordinals(pairs: DataFrame, query_id: str, seed=1) -> DataFrame:
+def shuffled_ordinals(pairs: DataFrame, query_id: str, seed=1, keys: list[str] | None = None) -> DataFrame:
     """K17 helper: re-rank a query's examples by hash so the first k of them are a uniform
     k-subset (nested samples for growing shot counts). Groups are bounded by ``n``."""
     h = seeded_md5(_seed_col(seed), F.lit("rank"), query_id, "example_id")
-    w = Window.partitionBy(query_id).orderBy(h, "example_id")
+    w = Window.partitionBy(*(keys or []), query_id).orderBy(h, "example_id")
     return pairs.withColumn("rank", F.row_number().over(w) - 1)

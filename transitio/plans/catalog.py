@@ -488,6 +488,7 @@ def aligned_predictions(spark, sf_dir):
 
 
 SHOTS = [0, 1, 3, 5, 10, 15, 25]
+SEEDS = [1, 2, 3, 4, 5]
 
 
 @register("shots_curve")
@@ -503,6 +504,61 @@ def shots_curve(spark, sf_dir):
     return m.select("n_shots", "accuracy", "macro_f1")
 
 
+#: Prompt style -> its column of the prompt table.
+STYLES = {s: PM.style_column(s) for s in ("Basic", "Health_Information", "Statistics", "All")}
+
+
+def _incontext(spark, sf_dir, n, seeds, styles):
+    """The in-context chain on the prompt table, all seeds and styles in one plan: users split per seed, the
+    train side oversampled, examples of the query's previous state but another text.
+
+    Returns the prompts (pair, texts), the test rows (seed, style, pair, label) and their examples."""
+    prompts = materialize(prompt_frame(spark, sf_dir).withColumn("pair", F.concat_ws(":", "user", "date")))
+    keys, seed = ["seed", "style"], F.col("seed")
+    rows = SM.seeds_frame(prompts.select("pair", "user", "previous_state", "label"), seeds)
+    sides = materialize(SM.group_split(rows, "user", "seed", keys=["seed"], row_id="pair"))
+    train = SM.oversample(sides.where("side = 'train'"), "label", "pair", seed, keys=["seed"])
+    # texts are compared by hash, one row per seed, style and pair
+    texts = SM.seeds_frame(prompts, seeds).select("seed", "pair", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("style"), SM.text_hash(STYLES[s], seed).alias("th")) for s in styles])).alias("t")).select("seed", "pair", "t.*")
+    pool = train.select("seed", "pair", "previous_state").join(texts, ["seed", "pair"])
+    queries = sides.where("side = 'test'").join(texts, ["seed", "pair"])
+    pairs = SM.few_shot_positions(pool, queries, "previous_state", "th", "pair", "pair", n, seed, hashed=True, materialize=True, keys=keys)
+    return prompts, queries.select(*keys, "pair", "label"), pairs
+
+
+@register("incontext_curve")
+def incontext_curve(spark, sf_dir):
+    """K17 on the prompt table: accuracy and macro F1 of the vote predictor for every seed, prompt style and
+    number of shots; a row's samples are nested."""
+    prompts, queries, pairs = _incontext(spark, sf_dir, max(SHOTS), SEEDS, list(STYLES))
+    keys, shots = ["seed", "style", "n_shots"], F.array(*[F.lit(s) for s in SHOTS])
+    ranked = SM.shuffled_ordinals(pairs, "pair", F.col("seed"), ["seed", "style"]).where("example_id IS NOT NULL")
+    labels = prompts.select(F.col("pair").alias("example_id"), F.col("label").alias("ex_label"))
+    votes = ranked.join(labels, "example_id").withColumn("n_shots", F.explode(F.filter(shots, lambda s: s > F.col("rank")))) \
+        .groupBy(*keys, "pair", "ex_label").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(*keys, "pair").agg(F.max(F.struct("votes", -S.label_code("ex_label"), "ex_label")).alias("b")) \
+        .select(*keys, "pair", F.col("b.ex_label").alias("predicted"))
+    asked = queries.withColumn("n_shots", F.explode(shots)).join(best, [*keys, "pair"], "left") \
+        .withColumn("predicted", F.coalesce("predicted", F.lit(S.LABEL_REMAINS)))
+    return EV.metrics(asked, "label", "predicted", keys).select(*keys, "accuracy", "macro_f1", "n")
+
+
+@register("incontext_chats")
+def incontext_chats(spark, sf_dir):
+    """J6 + K6 + K7 on the prompt table: the test chats of seed 1 in every style, with three examples, rendered."""
+    prompts, queries, pairs = _incontext(spark, sf_dir, 3, [1], list(STYLES))
+    texts = prompts.select("pair", "label", F.explode(F.array(*[F.struct(F.lit(s).alias("style"), F.col(c).alias("data"))
+                                                               for s, c in STYLES.items()])).alias("t")).select("pair", "label", "t.*")
+    ex = texts.select("style", F.col("pair").alias("example_id"), F.struct("data", "label").alias("ex"))
+    given = pairs.join(ex, ["style", "example_id"]).groupBy("style", "pair") \
+        .agg(F.sort_array(F.collect_list(F.struct("j", "ex"))).alias("_ex"))  # three at most
+    rows = queries.select("style", "pair").join(texts, ["style", "pair"]).join(given, ["style", "pair"], "left")
+    text = PM.render_chat(PM.chat_messages(F.col("data"), F.col("label"), F.transform("_ex", lambda e: e["ex"]), False))
+    return rows.select("style", "pair", F.coalesce(F.size("_ex"), F.lit(0)).alias("n_examples"), F.length(text).cast("bigint").alias("chat_len"),
+                       F.md5(text).alias("chat_md5"))
+
+
 def _chat_rows(spark, sf_dir, side, n):
     """Query rows with their ordered examples (text + label), texts joined back by id."""
     _, pool, queries, pairs = _few_shot(spark, sf_dir, n, side)
@@ -850,9 +906,6 @@ def run_restart(spark, sf_dir):
                       F.coalesce("n_scored", F.lit(0)).cast("bigint").alias("n_scored"), "n_right")
 
 
-SEEDS = [1, 2, 3, 4, 5]
-
-
 def _study_sets() -> dict[str, list[str]]:
     """The 15 feature sets of the four sequence features, 14 columns each."""
     return {name: [f"{f}_{i}" for f, on in zip(FOUR, flags) if on for i in range(1, 15)]

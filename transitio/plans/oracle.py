@@ -710,6 +710,55 @@ ORACLE["score_prompts"] = f"""WITH {CT}, {split_cte()}
 SELECT doc_id, label, 'Remains' AS predicted, true AS parsed FROM split WHERE side = 'test'"""
 
 
+# ---------------------------------------------------------------- in-context chain on the prompt table
+def incontext_ctes(n: int, seeds: int) -> str:
+    """The keyed chain restated: per seed users are split and the train side oversampled; per seed, style
+    and previous state every test row takes systematic positions outside its own text."""
+    style = (("Basic", "Basic"), ("Health_Information", "Health_Informtion"), ("Statistics", "Statistics"), ("All", "All"))
+    texts = " UNION ALL ".join(f"""SELECT '{name}' AS style, pair, uid, st, label, "{col}" AS data FROM pv""" for name, col in style)
+    return f"""{PAIRS},
+pv AS (SELECT uid, CAST(uid AS VARCHAR) || ':' || strftime(date, '%Y-%m-%d') AS pair, previous_state AS st, label, {PROMPT_COLS} FROM prompts),
+lt AS ({texts}),
+sd AS (SELECT CAST(s AS INTEGER) AS seed FROM range(1, {seeds + 1}) t(s)),
+us AS (SELECT seed, uid, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || ':' || uid), uid) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS g
+       FROM sd, (SELECT DISTINCT uid FROM pv)),
+sp AS (SELECT us.seed, lt.*, CASE WHEN us.pos < ceil(CAST(us.g AS DOUBLE) * 0.4) THEN 'test' ELSE 'train' END AS side FROM lt JOIN us USING (uid)),
+tr AS (SELECT DISTINCT seed, pair, label FROM sp WHERE side = 'train'),
+oc AS (SELECT *, avg(c) OVER (PARTITION BY seed) AS mean FROM (SELECT seed, label, count(*) AS c FROM tr GROUP BY seed, label)),
+od AS (SELECT seed, label, c, unnest(range(0, CAST(floor(mean) AS BIGINT))) AS j FROM oc WHERE c < mean),
+oi AS (SELECT *, row_number() OVER (PARTITION BY seed, label ORDER BY md5(seed || ':' || pair), pair) - 1 AS pos FROM tr),
+dr AS (SELECT seed, pair FROM tr UNION ALL SELECT i.seed, i.pair FROM od d JOIN oi i ON i.seed = d.seed AND i.label = d.label
+       AND i.pos = {h60("d.seed || ':' || d.label || ':' || d.j")} % d.c),
+pool AS (SELECT sp.*, md5(seed || ':' || data) AS th, row_number() OVER (PARTITION BY seed, style, st
+           ORDER BY md5(seed || ':' || data), md5(seed || ':' || pair), pair) - 1 AS pos FROM dr JOIN sp USING (seed, pair)),
+sizes AS (SELECT seed, style, st, count(*) AS cnt FROM pool GROUP BY ALL),
+blocks AS (SELECT seed, style, st, th, count(*) AS b, max(pos) AS e FROM pool GROUP BY ALL),
+qq AS (SELECT q.seed, q.style, q.pair, q.st, s.cnt, coalesce(bl.b, 0) AS b, coalesce(bl.e, -1) AS e FROM sp q JOIN sizes s USING (seed, style, st)
+       LEFT JOIN blocks bl ON bl.seed = q.seed AND bl.style = q.style AND bl.st = q.st AND bl.th = md5(q.seed || ':' || q.data) WHERE q.side = 'test'),
+qm AS (SELECT *, cnt - b AS m, least({n}, cnt - b) AS nf, {h60("seed || ':q:' || pair")} % (cnt - b) AS o FROM qq WHERE cnt - b > 0),
+picks AS (SELECT *, (e + 1 + (o + j * m) // nf) % cnt AS pos FROM (SELECT *, unnest(range(0, nf)) AS j FROM qm)),
+pairs_x AS (SELECT p.seed, p.style, p.pair, p.j, x.pair AS example_id, x.label AS ex_label, x.data AS ex_data
+            FROM picks p JOIN pool x ON x.seed = p.seed AND x.style = p.style AND x.st = p.st AND x.pos = p.pos)"""
+
+
+ORACLE["incontext_curve"] = f"""WITH {incontext_ctes(25, 5)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed, style, pair ORDER BY md5(seed || ':rank:' || pair || ':' || example_id), example_id) - 1 AS rnk FROM pairs_x),
+shots AS (SELECT * FROM (VALUES (0), (1), (3), (5), (10), (15), (25)) t(n_shots)),
+v AS (SELECT seed, style, n_shots, pair, ex_label, count(*) AS votes FROM ranked, shots WHERE rnk < n_shots GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY seed, style, n_shots, pair ORDER BY votes DESC, {LABEL_CODE.format(x='ex_label')}) = 1),
+pr AS (SELECT s.seed, s.style, sh.n_shots, s.label, coalesce(b.ex_label, 'Remains') AS predicted FROM sp s CROSS JOIN shots sh
+       LEFT JOIN b ON b.seed = s.seed AND b.style = s.style AND b.pair = s.pair AND b.n_shots = sh.n_shots WHERE s.side = 'test'),
+{metric_ctes('pr', ['seed', 'style', 'n_shots'], 'label', 'predicted')},
+ms AS ({metric_select(['seed', 'style', 'n_shots'])})
+SELECT seed, style, n_shots, accuracy, macro_f1, n FROM ms"""
+_EX = f"'<start_of_turn>user{NL}' || ex_data || '<end_of_turn>{NL}<start_of_turn>model{NL}Label: ' || ex_label || '{NL}<end_of_turn>{NL}'"
+ORACLE["incontext_chats"] = f"""WITH {incontext_ctes(3, 1)},
+agg AS (SELECT style, pair, count(*) AS n_ex, string_agg({_EX}, '' ORDER BY j) AS ex_text FROM pairs_x GROUP BY style, pair),
+txt AS (SELECT style, pair, coalesce(n_ex, 0) AS n_ex, {q(HEAD)} || coalesce(ex_text, '') || '<start_of_turn>user{NL}' || data
+          || '<end_of_turn>{NL}<start_of_turn>model{NL}' AS t FROM sp LEFT JOIN agg USING (style, pair) WHERE side = 'test')
+SELECT style, pair, CAST(n_ex AS INTEGER) AS n_examples, CAST(length(t) AS BIGINT) AS chat_len, md5(t) AS chat_md5 FROM txt"""
+
+
 # Every run key (language, fold 0-4) with what a restart finds of it: folds 0 to 3 were published whole,
 # fold 1 a second time without the macro F1, fold 2 a second time without being published.
 ORACLE["run_restart"] = f"""WITH {CT},
