@@ -103,3 +103,21 @@ def test_the_fit_runs_its_full_rounds():
     texts, y = [t for _, t, *_ in rows], [l for _, l in labels]
     got, want = X.fit(texts, y, 0.2), X.fit(texts, y, 0.2, rounds=20)
     assert np.array_equal(got.weights, want.weights) and np.array_equal(got.curve, want.curve)
+
+
+def test_chains_are_fitted_in_tasks_not_on_the_driver(spark, monkeypatch):
+    rows, labels = corpus(150)
+    docs, labs = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample, share = X.training_rows(docs, labs, "doc_id", "text", "toxic", 1000)
+    taught = sorted(map(tuple, sample.select("_id", "_y", "_text").collect()))
+    want = X.fit([r[2] for r in taught], [r[1] for r in taught], share)
+
+    def on_driver(*_):
+        raise AssertionError("trained on the driver")
+    monkeypatch.setattr(X, "fit", on_driver)
+    got = X.fit_rows(sample, share)
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.trans, want.trans) and got.start == want.start
+    assert np.allclose(got.curve, want.curve, rtol=1e-12, atol=0)
+    scores = {r.doc_id: r.score for r in X.score_documents(docs, labs).collect()}
+    again = {r.doc_id: r.score for r in X.apply_model(docs, want, "doc_id", "text", X.PREDICT_AT).collect()}
+    assert len(scores) == 150 and all(abs(scores[i] - again[i]) < 1e-9 for i in scores)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitio.llm.bagminhash import band_keys, signatures
+from transitio.llm.common import stored
 from transitio.llm.tokens import PUNCT, Words, bags, pieces, shingles, words
 
 SAMPLE = 1000
@@ -203,31 +204,78 @@ def distinct_texts(texts: list[str]) -> list[int]:
     return keep
 
 
-def fit(texts: list[str], labels: list[int], share: float, rounds: int = ROUNDS) -> Model | None:
-    """The chain and the curve from labelled texts; None without both classes. The curve's constant
-    is moved from the sample's share of toxic texts to ``share``."""
+def _dealt(texts: list[str], labels: list[int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct texts of the sample, their labels and folds (balanced within each label)."""
     keep = distinct_texts(texts)
     texts, toxic = [texts[i] for i in keep], np.array([labels[i] for i in keep], dtype=np.int64)
-    if len(set(toxic.tolist())) < 2:
-        return None
-    # the curve is fitted on texts that their chain has not seen: FOLDS chains, each on the other folds
     fold = np.zeros(len(texts), dtype=np.int64)
     for c in (0, 1):
         fold[toxic == c] = np.arange((toxic == c).sum()) % FOLDS
-    x = np.zeros((len(texts), 3))
-    for k in range(FOLDS):
-        if toxic[fold != k].any() and (fold == k).any():
-            part = _fit_chain([t for t, f in zip(texts, fold) if f != k], toxic[fold != k], rounds)
-            x[fold == k] = np.concatenate([document_features(marg, w.row, w.rows) for w, marg in
-                                           _marginals(part, [t for t, f in zip(texts, fold) if f == k])])
-    model = _fit_chain(texts, toxic, rounds)
-    y = toxic.astype(np.float64)
+    return texts, toxic, fold
+
+
+def _chain_of(k: int, texts: list[str], toxic: np.ndarray, fold: np.ndarray, rounds: int) -> tuple[Model | None, np.ndarray]:
+    """Chain ``k`` and its document features: chain FOLDS is fitted on all texts, a smaller one on the other
+    folds, with the features of its own fold's texts (zeros if it can't be fitted)."""
+    if k == FOLDS:
+        return _fit_chain(texts, toxic, rounds), np.zeros((0, 3))
+    mine = [t for t, f in zip(texts, fold) if f == k]
+    if not (toxic[fold != k].any() and mine):
+        return None, np.zeros((len(mine), 3))
+    part = _fit_chain([t for t, f in zip(texts, fold) if f != k], toxic[fold != k], rounds)
+    return part, np.concatenate([document_features(marg, w.row, w.rows) for w, marg in _marginals(part, mine)])
+
+
+def _with_curve(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """The curve's constant is moved from the sample's share of toxic texts to ``share``."""
     model.curve = _logistic(x, y)
     share = min(max(share, 1e-4), 1 - 1e-4)
     model.curve[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
 
 
+def fit(texts: list[str], labels: list[int], share: float, rounds: int = ROUNDS) -> Model | None:
+    """The chain and the curve from labelled texts; None without both classes. The curve is fitted on
+    texts that their chain has not seen: FOLDS chains, each on the other folds."""
+    texts, toxic, fold = _dealt(texts, labels)
+    if len(set(toxic.tolist())) < 2:
+        return None
+    x = np.zeros((len(texts), 3))
+    for k in range(FOLDS):
+        x[fold == k] = _chain_of(k, texts, toxic, fold, rounds)[1]
+    return _with_curve(_chain_of(FOLDS, texts, toxic, fold, rounds)[0], x, toxic.astype(np.float64), share)
+
+
+def fit_rows(rows: DataFrame, share: float, rounds: int = ROUNDS) -> Model | None:
+    """``fit`` on the rows (_id, _y, _text) of a bounded sample: each of the FOLDS + 1 chains is a task of
+    its own. The driver gets the last chain's weights and three features per text, never a text."""
+    schema = "k int, toxic array<double>, fold array<int>, x array<double>, weights binary, trans array<double>, start double"
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        order = sorted(zip(t.column("_id").to_pylist(), t.column("_y").to_pylist(), t.column("_text").to_pylist()))
+        texts, toxic, fold = _dealt([r[2] for r in order], [int(r[1]) for r in order])
+        model, x = _chain_of(k, texts, toxic, fold, rounds) if len(set(toxic.tolist())) == 2 else (None, np.zeros((0, 3)))
+        last = k == FOLDS and model is not None
+        cols = [k, toxic.astype(np.float64).tolist() if last else [], fold.tolist() if last else [], x.ravel().tolist(),
+                model.weights.tobytes() if last else None, model.trans.ravel().tolist() if last else [], model.start if last else None]
+        kinds = [pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.binary(), pa.list_(pa.float64()), pa.float64()]
+        return pa.table({n: pa.array([v], kind) for n, v, kind in zip(("k", "toxic", "fold", "x", "weights", "trans", "start"), cols, kinds)})
+
+    each = rows.select("_id", "_y", "_text", F.explode(F.expr(f"sequence(0, {FOLDS})")).alias("k"))
+    # a partition per chain: its groups are not put together in one task
+    got = {r["k"]: r for r in each.repartitionByRange(FOLDS + 1, "k").groupBy("k").applyInArrow(run, schema).collect()}
+    last = got.get(FOLDS)
+    if last is None or last["weights"] is None:
+        return None
+    toxic, fold = np.array(last["toxic"]), np.array(last["fold"])
+    x = np.zeros((len(toxic), 3))
+    for k in range(FOLDS):
+        x[fold == k] = np.array(got[k]["x"]).reshape(-1, 3)
+    model = Model(np.frombuffer(last["weights"], dtype=np.float32), np.array(last["trans"]).reshape(2, 2), last["start"], np.zeros(3))
+    return _with_curve(model, x, toxic, share)
+
+
 def _marginals(model: Model, texts: list[str]) -> Iterator[tuple[Words, np.ndarray]]:
     for _, _, data, offs in pieces(pa.array(texts, pa.string())):
         w = words(data, offs, PUNCT)
@@ -297,7 +345,7 @@ def tag(model: Model, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, li
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                  sample: int) -> tuple[list, float]:
+                  sample: int) -> tuple[DataFrame, float]:
     """(rows, share of toxic ones among all labelled rows). At most ``sample`` labelled rows per class that are not held out, in the order of a hash of the
     id; chosen from the labels alone, then fetched by a broadcast of the chosen ids."""
     per = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)) \
@@ -305,21 +353,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = [per.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
     totals = {r["_y"]: r["count"] for r in per.groupBy("_y").count().collect()}  # two rows
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    ids = {(r["_id"], r["_y"]) for c in chosen for r in c.collect()}  # at most 2 * sample rows
-    if not ids:
-        return [], share
-    spark = docs.sparkSession
-    table = spark.createDataFrame(sorted(ids), T.StructType([per.schema["_id"], per.schema["_y"]]))
+    ids = chosen[0].unionByName(chosen[1])  # at most 2 * sample rows
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")) \
-        .join(F.broadcast(table), "_id").dropDuplicates(["_id"])
-    return sorted(rows.select("_id", "_y", "_text").collect()), share
+        .join(F.broadcast(ids), "_id").dropDuplicates(["_id"])
+    return stored(rows, "toxic-sample"), share
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "toxic", sample: int = SAMPLE, at: float = PREDICT_AT) -> DataFrame:
     """id, held_out, score, predicted, spans (array of code point [start, end) pairs)."""
     rows, share = training_rows(docs, labels, id_col, text_col, label_col, sample)
-    model = fit([r["_text"] for r in rows], [int(r["_y"]) for r in rows], share)
+    model = fit_rows(rows, share)
     return apply_model(docs, model, id_col, text_col, at)
 
 
@@ -352,7 +396,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                  label_col: str = "toxic", sample: int = SAMPLE, at: float = PREDICT_AT) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; no shuffle."""
     rows, share = training_rows(docs, labels, id_col, text_col, label_col, sample)
-    model = fit([r["_text"] for r in rows], [int(r["_y"]) for r in rows], share)
+    model = fit_rows(rows, share)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.trans, model.start, model.curve))
