@@ -186,3 +186,24 @@ def test_empty_side_and_constant_columns(spark):
     blocks = T.grow_forests(rows, 2, K, [T.Fit(1, 0, (0, 1), 3), T.Fit(1, 1, (0, 1), 3)], 2, max_depth=4)
     assert len(blocks[0].trees.feature) == len(blocks[0].trees.roots)
     assert T.score_forests(blocks, 2, K, [2], [4], [2]).agg({"n": "sum"}).first()[0] == 6
+
+
+@pytest.mark.parametrize("cells", [T.LEVEL_CELLS, 200])
+def test_upper_nodes_on_the_driver_and_the_rest_in_tasks(spark, monkeypatch, cells):
+    x, y, fold = _table(200, 5, 8)
+    rows, _ = _spark_rows(spark, x, y, fold)
+    fits = [T.Fit(1, held, (0, 1, 2, 3, 4), seed=7, min_leaf=leaf) for held in (0, T.EVAL) for leaf in (1, 3)]
+
+    def counts(blocks):
+        return sorted(map(tuple, T.score_forests(blocks, 5, K, [2, 6], [3, 64], [2, 9]).collect()))
+    small = T.grow_forests(rows, 5, K, fits, 6, max_depth=64)
+    # unlimited trees have nodes in number of the rows: none of them stays on the driver
+    assert sum(len(b.trees.feature) for b in small) == sum(len(b.trees.roots) for b in small) == 24
+    want = counts(small)
+    monkeypatch.setattr(T, "LOCAL_ROWS", 30)
+    monkeypatch.setattr(T, "LEVEL_CELLS", cells)
+    mixed = T.grow_forests(rows, 5, K, fits, 6, max_depth=64)
+    grown = sum(len(b.trees.feature) for b in mixed)
+    assert 24 < grown < 24 * 30 and counts(mixed) == want
+    monkeypatch.setattr(T, "LOCAL_ROWS", 0)     # every level by distributed histograms
+    assert counts(T.grow_forests(rows, 5, K, fits, 6, max_depth=64)) == want
