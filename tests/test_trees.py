@@ -207,3 +207,20 @@ def test_upper_nodes_on_the_driver_and_the_rest_in_tasks(spark, monkeypatch, cel
     assert 24 < grown < 24 * 30 and counts(mixed) == want
     monkeypatch.setattr(T, "LOCAL_ROWS", 0)     # every level by distributed histograms
     assert counts(T.grow_forests(rows, 5, K, fits, 6, max_depth=64)) == want
+
+
+def test_boosted_histograms_skip_padding_and_add_up_by_tree(spark, monkeypatch):
+    x, y, fold = _table(120, 6, 4)
+    rows, _ = _spark_rows(spark, x, y, fold)
+    fits = [T.Fit(1, h, c, 42, depth=3, subsample=0.8, colsample=0.8) for h in (0, T.EVAL) for c in ((0, 1, 2, 3, 4, 5), (1, 4))]
+    tree, columns = np.array([0, 0, 1]), np.array([[2, 3, 5], [2, 3, 5], [1, 4, -1]])
+    assert [(t, lo, hi, c.tolist()) for t, lo, hi, c in T._same_columns(tree, columns)] == [(0, 0, 2, [2, 3, 5]), (1, 2, 3, [1, 4])]
+    assert T._same_columns(tree, np.array([[2, 3, 5], [2, 3, 4], [1, 4, -1]])) is None
+    assert 2 * T.STORE_ROUNDS < 10     # ten rounds of a study don't walk all earlier ones at every level
+
+    def counts():
+        models = T.boost(rows, 6, K, fits, 4, lambda df, name: df.cache())
+        return sorted(map(tuple, T.score_boosted(rows, models, 6, K, [2, 4]).collect()))
+    want = counts()
+    monkeypatch.setattr(T, "_same_columns", lambda *_: None)
+    assert counts() == want
