@@ -224,3 +224,42 @@ def test_boosted_histograms_skip_padding_and_add_up_by_tree(spark, monkeypatch):
     want = counts()
     monkeypatch.setattr(T, "_same_columns", lambda *_: None)
     assert counts() == want
+
+
+def test_whole_forests_shuffle_neither_rows_nor_shares(spark, monkeypatch, tmp_path):
+    x, y, fold = _table(120, 5, 6)
+    _spark_rows(spark, x, y, fold)[0].write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    fits = [T.Fit(1, held, (0, 1, 2, 3, 4), seed=7) for held in (0, 1, 2, T.EVAL)]
+
+    def scored(some):
+        blocks = T.grow_forests(rows, 5, K, some, 6, max_depth=64)
+        out = T.score_forests(blocks, 5, K, [2, 6], [3, 64], [2, 9])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        return plan, sorted(tuple(r)[1:] for r in out.collect() if T.in_order(blocks)[r.fit] == some[0])
+    plan, want = scored(fits)
+    assert "shares" not in plan and "hashpartitioning(unit" not in plan and "hashpartitioning(fit" in plan
+    tasks, dealt = T._tasks(T.grow_forests(rows, 5, K, fits, 6, max_depth=64), {f: i for i, f in enumerate(fits)}, [2, 6])
+    assert not dealt and len(tasks) == 4 and all("Exchange" not in r.coalesce(1)._jdf.queryExecution().executedPlan().toString() for r, _ in tasks)
+    # more cores than fits: the trees of one are dealt out, and its shares meet
+    plan, got = scored(fits[:1])
+    assert "shares" in plan and got == want
+    # many fits share the tasks of their key
+    monkeypatch.setattr(T, "TASKS_PER_CORE", 0)
+    assert len(T._tasks(T.grow_forests(rows, 5, K, fits, 6, max_depth=64), {f: i for i, f in enumerate(fits)}, [2, 6])[0]) == 1
+    assert scored(fits)[1] == want
+
+
+def test_study_table_keeps_float_columns(spark):
+    from transitio.plans import tree_study as TS
+    rows = [(i, f"s{i}", "ab"[i % 3 == 0], None if i % 7 == 0 else i / 10, float("nan") if i % 5 == 0 else i / 3) for i in range(40)]
+    tables = []
+    for kind, keep in (("double", True), ("float", False)):
+        data = spark.createDataFrame(rows, "id long, subject string, label string, a float, b float")
+        data = data.select("id", "subject", "label", *[data[c].cast(kind).alias(c) for c in ("a", "b")])
+        tables.append(TS.study_table(data, ["a", "b"], [1, 2], "id", "subject", "label", keep=keep))
+    wide, narrow = tables
+    assert dict(wide.dtypes)["a"] == "double" and dict(narrow.dtypes)["a"] == "float"
+    assert sorted(map(str, map(tuple, wide.collect()))) == sorted(map(str, map(tuple, narrow.collect())))
+    for e, f in zip(*[T.bin_edges(t.where("fold != -1"), ["a", "b"]) for t in tables]):
+        assert e.tolist() == f.tolist()
