@@ -230,24 +230,55 @@ def test_whole_forests_shuffle_neither_rows_nor_shares(spark, monkeypatch, tmp_p
     x, y, fold = _table(120, 5, 6)
     _spark_rows(spark, x, y, fold)[0].write.parquet(str(tmp_path / "rows"))
     rows = spark.read.parquet(str(tmp_path / "rows"))
-    fits = [T.Fit(1, held, (0, 1, 2, 3, 4), seed=7) for held in (0, 1, 2, T.EVAL)]
+    fits = [T.Fit(1, held, (0, 1, 2, 3, 4), seed=7, min_leaf=leaf) for held in (0, 1, T.EVAL) for leaf in (1, 2, 4)]
+
+    def grown(some):
+        return T.grow_forests(rows, 5, K, some, 6, max_depth=64)
 
     def scored(some):
-        blocks = T.grow_forests(rows, 5, K, some, 6, max_depth=64)
+        blocks = grown(some)
         out = T.score_forests(blocks, 5, K, [2, 6], [3, 64], [2, 9])
         plan = out._jdf.queryExecution().executedPlan().toString()
-        return plan, sorted(tuple(r)[1:] for r in out.collect() if T.in_order(blocks)[r.fit] == some[0])
-    plan, want = scored(fits)
-    assert "shares" not in plan and "hashpartitioning(unit" not in plan and "hashpartitioning(fit" in plan
-    tasks, dealt = T._tasks(T.grow_forests(rows, 5, K, fits, 6, max_depth=64), {f: i for i, f in enumerate(fits)}, [2, 6])
-    assert not dealt and len(tasks) == 4 and all("Exchange" not in r.coalesce(1)._jdf.queryExecution().executedPlan().toString() for r, _ in tasks)
-    # more cores than fits: the trees of one are dealt out, and its shares meet
-    plan, got = scored(fits[:1])
-    assert "shares" in plan and got == want
+        assert "shares" not in plan and "hashpartitioning(unit" not in plan and "hashpartitioning(fit" in plan
+        return sorted(tuple(r)[1:] for r in out.collect() if T.in_order(blocks)[r.fit] == some[0])
+    want = scored(fits)
+    grow, score = T._tasks(grown(fits), {f: i for i, f in enumerate(fits)})
+    # fits that differ in the least leaf only are grown together, tree by tree; every fit is scored once
+    assert sorted((f.held, t) for _, plan in grow for fs, ids, _ in plan for _, f in fs for t in ids.tolist() if f.min_leaf == 4) \
+        == [(h, t) for h in (T.EVAL, 0, 1) for t in range(6)]
+    assert all([f.min_leaf for _, f in fs] == [1, 2, 4] for _, plan in grow for fs, _, _ in plan) and len(grow) == 15
+    assert len(score) == 9 and all("Exchange" not in r.coalesce(1)._jdf.queryExecution().executedPlan().toString() for r, _ in grow + score)
+    # more cores than fits: the scored rows of one are dealt out
+    assert len(T._tasks(grown(fits[:1]), {fits[0]: 0})[1]) == 4 and scored(fits[:1]) == want
     # many fits share the tasks of their key
     monkeypatch.setattr(T, "TASKS_PER_CORE", 0)
-    assert len(T._tasks(T.grow_forests(rows, 5, K, fits, 6, max_depth=64), {f: i for i, f in enumerate(fits)}, [2, 6])[0]) == 1
-    assert scored(fits)[1] == want
+    assert [len(t) for t in T._tasks(grown(fits), {f: i for i, f in enumerate(fits)})] == [1, 1]
+    assert scored(fits) == want
+
+
+@pytest.mark.parametrize("cells", [T.LEVEL_CELLS, 200])
+def test_trees_grown_together_equal_trees_grown_alone(monkeypatch, cells):
+    monkeypatch.setattr(T, "LEVEL_CELLS", cells)
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 12, (500, 6)).astype(np.uint8)
+    x[rnd.random(x.shape) < 0.1] = T.MISSING
+    y, w = (x[:, 0].astype(int) + rnd.integers(0, 4, 500)) % K, rnd.integers(1, 4, 500)
+    fits = [T.Fit(1, 0, (0, 1, 2, 3, 4, 5), 7, min_leaf=leaf) for leaf in (1, 2, 4, 30)]
+
+    def grow(some):
+        trees = [T.Trees.planted(T.mix(np.array([5])), K + 1) for _ in some]
+        T._finish(trees, np.zeros((1, len(some)), np.int64), some, x, y, w, np.zeros(500, np.int64), K, 2, 64)
+        return trees
+    together = grow(fits)
+    assert len({len(t.feature) for t in together}) == 4
+    for f, t in zip(fits, together):
+        stored = T._unpacked(T._packed(t), K)
+        alone = grow([f])[0]
+        for c in ("roots", "feature", "split", "missing_left", "left", "depth", "stats", "tree"):
+            assert (getattr(t, c) == getattr(alone, c)).all() and (getattr(stored, c) == getattr(alone, c)).all(), c
+        assert (t.path == alone.path).all()
+        leaves = t.stats[t.feature < 0, K]
+        assert leaves.min() >= f.min_leaf and leaves.sum() == 500
 
 
 def test_study_table_keeps_float_columns(spark):
