@@ -250,9 +250,9 @@ def test_whole_forests_shuffle_neither_rows_nor_shares(spark, monkeypatch, tmp_p
     assert len(score) == 9 and all("Exchange" not in r.coalesce(1)._jdf.queryExecution().executedPlan().toString() for r, _ in grow + score)
     # more cores than fits: the scored rows of one are dealt out
     assert len(T._tasks(grown(fits[:1]), {fits[0]: 0})[1]) == 4 and scored(fits[:1]) == want
-    # many fits share the tasks of their key
+    # many fits share the tasks of their key, which grow and score whole ones
     monkeypatch.setattr(T, "TASKS_PER_CORE", 0)
-    assert [len(t) for t in T._tasks(grown(fits), {f: i for i, f in enumerate(fits)})] == [1, 1]
+    assert [len(t) for t in T._tasks(grown(fits), {f: i for i, f in enumerate(fits)})] == [1, 0]
     assert scored(fits) == want
 
 
